@@ -207,3 +207,44 @@ BI_SQL["bi_18_friend_recommendation"] = with_fixture(
            "from foi k1 join foi k2 on k1.FriendId = k2.FriendId where k1.InterestedId != k2.InterestedId "
            "and not exists (select 1 from knows k3 where k3.Person1Id = k2.InterestedId and k3.Person2Id = k1.InterestedId) "
            "group by k1.InterestedId, k2.InterestedId order by mutualFriendCount desc, k1.InterestedId, k2.InterestedId limit 20")
+
+
+def _sssp_sql(edges: str, seeds: str) -> str:
+    """Per-source Bellman-Ford with DuckDB's keyed recursion (oracle only)."""
+    return ("select g, node, d from (with recursive s(g, node, d) using key (g, node) as ("
+            f"select id as g, id as node, 0.0::double as d from ({seeds}) seeds union ("
+            "select c.g, c.node, c.d from (select s.g, e.dst node, min(s.d + e.w) d from s join "
+            f"({edges}) e on e.src = s.node group by s.g, e.dst) c left join recurring.s r on r.g = c.g "
+            "and r.node = c.node where r.d is null or c.d < r.d)) select * from s)")
+
+
+_TRUSTED = ("select k.Person1Id src, k.Person2Id dst, 10::double / (coalesce(mm.w, 0) + 10) w from knows k "
+            "left join mm on least(k.Person1Id, k.Person2Id) = mm.src and greatest(k.Person1Id, k.Person2Id) = mm.dst")
+
+BI_SQL["bi_15_trusted_path"] = with_fixture(
+    ("myForums", f"select id from forum f where f.creationDate between {_ts('1996-01-01')} and {_ts('1999-01-01')}"),
+    ("mm", "select least(msg.CreatorPersonId, reply.CreatorPersonId) src, greatest(msg.CreatorPersonId, "
+           "reply.CreatorPersonId) dst, sum(case when msg.ParentMessageId is null then 10 else 5 end) w "
+           "from knows pp, message msg, message reply where pp.Person1Id = msg.CreatorPersonId and pp.Person2Id = "
+           "reply.CreatorPersonId and reply.ParentMessageId = msg.MessageId and exists (select * from myForums f "
+           "where f.id = msg.ContainerForumId) and exists (select * from myForums f where f.id = reply.ContainerForumId) "
+           "group by all"),
+    ("paths", _sssp_sql(_TRUSTED, "select 0::bigint id")),
+    select="select round(coalesce((select min(d) from paths where node = 700), -1.0), 6) as weight")
+
+_Q19 = with_fixture(
+    ("paths", _sssp_sql("select * from path_q19", "select id from person where LocationCityId = 1008")),
+    ("res", "select g f, node t, d w from paths where node in (select id from person where LocationCityId = 1021)"),
+    select="select f person1_id, t person2_id, round(w, 6) totalWeight from res "
+           "where round(w, 6) = (select round(min(w), 6) from res) order by f, t")
+BI_SQL["bi_19_city_path"] = _Q19
+BI_SQL["bi_19_city_path_full"] = _Q19
+
+_Q20 = with_fixture(
+    ("paths", _sssp_sql("select src, dst, cast(w as double) w from path_q20", "select 7::bigint id")),
+    ("res", "select node t, d w from paths where node in (select pw.PersonId from person_workat pw, company c "
+            "where pw.CompanyId = c.id and c.name = 'Supplier#000000033')"),
+    select="select t person1_id, cast(w as bigint) totalWeight from res where w = (select min(w) from res) "
+           "order by t limit 20")
+BI_SQL["bi_20_recruitment"] = _Q20
+BI_SQL["bi_20_recruitment_full"] = _Q20
