@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphbi.oracle.bi_sql import BI_SQL
-from graphbi.plans import bi
+from graphbi.oracle.operator_sql import OP_SQL
+from graphbi.plans import bi, operator_queries
 from graphbi.session import configure
 from graphbi.sources.store import load_graph
 
@@ -27,4 +28,5 @@ def _bi(name: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {name: _bi(name) for name in bi.QUERIES}
-ORACLE_SQL: dict[str, str] = dict(BI_SQL)
+QUERIES.update(operator_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL}

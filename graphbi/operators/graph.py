@@ -59,6 +59,24 @@ def count_triangles(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFra
     return closed.agg(F.count(F.lit(1)).alias("count"))
 
 
+def common_neighbors(edges: DataFrame, nodes: DataFrame, exclude_adjacent: bool = True,
+                     src: str = "src", dst: str = "dst") -> DataFrame:
+    """(a, b, n): ordered pairs of distinct ``nodes`` with n common neighbours.
+
+    Wedges a - f - b are formed by a self join on the neighbour f of the
+    edges leaving ``nodes``; AQE splits a hot neighbour's partition (skew
+    join) and the pair counts are partially aggregated before the shuffle.
+    With ``exclude_adjacent`` pairs that are already connected are removed
+    by an anti join."""
+    n = nodes.select(F.col(nodes.columns[0]).alias("a"))
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("f")).join(n, "a", "left_semi")
+    pairs = (e.join(e.select(F.col("a").alias("b"), "f"), "f").where(F.col("a") != F.col("b"))
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    if exclude_adjacent:
+        pairs = pairs.join(edges.select(F.col(dst).alias("a"), F.col(src).alias("b")), ["a", "b"], "left_anti")
+    return pairs
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) with component = smallest node id of the component.
 

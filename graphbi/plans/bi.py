@@ -427,15 +427,9 @@ def bi_17_information_propagation(g, tag="Brand#3", delta=4) -> DataFrame:
 
 def bi_18_friend_recommendation(g, tag="Brand#3") -> DataFrame:
     interested = g["person_hasinterest"].join(_tag_ids(g, tag), "TagId", "left_semi").select("PersonId")
-    foi = (g["knows"].select(F.col("Person1Id").alias("PersonId"), F.col("Person2Id").alias("FriendId"))
-           .join(interested, "PersonId", "left_semi"))
-    k1 = foi.select(F.col("PersonId").alias("a"), "FriendId")
-    k2 = foi.select(F.col("PersonId").alias("b"), "FriendId")
-    pairs = (k1.join(k2, "FriendId").where(F.col("a") != F.col("b"))
-             .groupBy("a", "b").agg(count_all().alias("mutualFriendCount")))
-    not_friends = pairs.join(g["knows"].select(F.col("Person1Id").alias("b"), F.col("Person2Id").alias("a")),
-                             ["a", "b"], "left_anti")
-    return (not_friends.select(F.col("a").alias("person1_id"), F.col("b").alias("person2_id"), "mutualFriendCount")
+    pairs = G.common_neighbors(g["knows"], interested, True, src="Person1Id", dst="Person2Id")
+    return (pairs.select(F.col("a").alias("person1_id"), F.col("b").alias("person2_id"),
+                         F.col("n").alias("mutualFriendCount"))
             .orderBy(F.desc("mutualFriendCount"), "person1_id", "person2_id").limit(20))
 
 
