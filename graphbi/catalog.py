@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from graphbi.oracle.bi_sql import BI_SQL
 from graphbi.oracle.curation_sql import CUR_SQL
 from graphbi.oracle.operator_sql import OP_SQL
-from graphbi.plans import bi, curation_queries, operator_queries
+from graphbi.oracle.scoring_sql import SCORE_SQL
+from graphbi.plans import bi, curation_queries, operator_queries, scoring_queries
 from graphbi.session import configure
 from graphbi.sources.store import load_graph
 
@@ -31,4 +32,5 @@ def _bi(name: str) -> Query:
 QUERIES: dict[str, Query] = {name: _bi(name) for name in bi.QUERIES}
 QUERIES.update(operator_queries.QUERIES)
 QUERIES.update(curation_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL, **CUR_SQL}
+QUERIES.update(scoring_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL, **CUR_SQL, **SCORE_SQL}
