@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from graphbi.oracle.bi_sql import BI_SQL
 from graphbi.oracle.curation_sql import CUR_SQL
 from graphbi.oracle.operator_sql import OP_SQL
+from graphbi.oracle.refresh_sql import REFRESH_SQL
 from graphbi.oracle.scoring_sql import SCORE_SQL
-from graphbi.plans import bi, curation_queries, operator_queries, scoring_queries
+from graphbi.plans import bi, curation_queries, operator_queries, refresh_queries, scoring_queries
 from graphbi.session import configure
 from graphbi.sources.store import load_graph
 
@@ -33,4 +34,5 @@ QUERIES: dict[str, Query] = {name: _bi(name) for name in bi.QUERIES}
 QUERIES.update(operator_queries.QUERIES)
 QUERIES.update(curation_queries.QUERIES)
 QUERIES.update(scoring_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL, **CUR_SQL, **SCORE_SQL}
+QUERIES.update(refresh_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL, **CUR_SQL, **SCORE_SQL, **REFRESH_SQL}
