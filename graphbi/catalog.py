@@ -11,7 +11,8 @@ from graphbi.oracle.curation_sql import CUR_SQL
 from graphbi.oracle.operator_sql import OP_SQL
 from graphbi.oracle.refresh_sql import REFRESH_SQL
 from graphbi.oracle.scoring_sql import SCORE_SQL
-from graphbi.plans import bi, curation_queries, operator_queries, refresh_queries, scoring_queries
+from graphbi.oracle.source_sql import SOURCE_SQL
+from graphbi.plans import bi, curation_queries, operator_queries, refresh_queries, scoring_queries, source_queries
 from graphbi.session import configure
 from graphbi.sources.store import load_graph
 
@@ -35,4 +36,5 @@ QUERIES.update(operator_queries.QUERIES)
 QUERIES.update(curation_queries.QUERIES)
 QUERIES.update(scoring_queries.QUERIES)
 QUERIES.update(refresh_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL, **CUR_SQL, **SCORE_SQL, **REFRESH_SQL}
+QUERIES.update(source_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL, **CUR_SQL, **SCORE_SQL, **REFRESH_SQL, **SOURCE_SQL}

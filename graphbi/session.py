@@ -27,6 +27,7 @@ def build_session(master: str | None = None, cpus: int | None = None,
     parts = shuffle_partitions or max(cpus, 8)
     builder = (builder
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.shuffle.partitions", str(parts))
                .config("spark.sql.adaptive.enabled", "true")
