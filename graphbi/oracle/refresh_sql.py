@@ -154,3 +154,5 @@ REFRESH_SQL["refresh_batch"] = with_fixture(*INS, *_FINAL, select=_counts([
     ("comment_hastag", "comment_hastag_f"), ("message_hastag", "mht_f"), ("person_likes_message", "likes_f"),
     ("message", "message_f"), ("knows", "knows_f"), ("path_q19", "(select * from q19w union all select * from q19w)"),
     ("path_q20", "q20w"), ("popularity_q06", "pop_f"), ("top_forums_q04", "top_f")]))
+
+REFRESH_SQL["refresh_batch_streaming"] = REFRESH_SQL["refresh_batch"]

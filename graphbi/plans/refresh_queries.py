@@ -116,3 +116,20 @@ QUERIES = {
     "delete_friendship": delete_friendship_q,
     "refresh_batch": refresh_batch_q,
 }
+
+
+def refresh_batch_streaming_q(spark, sf_dir):
+    """The same batch applied by the Structured Streaming job."""
+    from graphbi.streaming.refresh_stream import SnapshotChain, publish_batch, run_available
+    configure(spark)
+    g = load_graph(spark, sf_dir)
+    batched = R.with_batches(g)
+    initial = R.derive(spark, R.snapshot_before(batched, R.FIRST_BATCH))
+    initial.update({t: g[t] for t in R.STATIC})
+    root = scratch_path(spark, "stream")
+    publish_batch(spark, root, batched, R.FIRST_BATCH, DELETION_DATE)
+    chain = run_available(spark, root, SnapshotChain(spark, root, initial, list(batched)))
+    return R.table_counts(chain.current, ALL + ["path_q19", "path_q20", "popularity_q06", "top_forums_q04"])
+
+
+QUERIES["refresh_batch_streaming"] = refresh_batch_streaming_q
