@@ -128,7 +128,7 @@ def refresh_batch_streaming_q(spark, sf_dir):
     initial.update({t: g[t] for t in R.STATIC})
     root = scratch_path(spark, "stream")
     publish_batch(spark, root, batched, R.FIRST_BATCH, DELETION_DATE)
-    chain = run_available(spark, root, SnapshotChain(spark, root, initial, list(batched)))
+    chain = run_available(spark, root, SnapshotChain(spark, root, initial, {t: df.schema for t, df in batched.items()}))
     return R.table_counts(chain.current, ALL + ["path_q19", "path_q20", "popularity_q06", "top_forums_q04"])
 
 

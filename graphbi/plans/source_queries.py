@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphbi.plans import bi, curation, factors, refresh
 from graphbi.session import configure, scratch_path
 from graphbi.sources import csv as C
-from graphbi.sources.parquet import scan_parquet_factors
+from graphbi.sources.parquet import scan_batch_partition, scan_parquet_factors
 from graphbi.sources.store import load_graph
 
 PERSON_SCHEMA = "id bigint, firstName string, lastName string, LocationCityId bigint, creationDate timestamp_ntz"
@@ -57,8 +57,9 @@ def scan_parquet_factors_q(spark, sf_dir):
 def scan_batch_partition_q(spark, sf_dir):
     """Inserts stored partitioned by batch_id; one batch read by partition pruning."""
     path = scratch_path(spark, "inserts")
-    refresh.with_batches(_g(spark, sf_dir))["post"].write.partitionBy("batch_id").parquet(path)
-    return spark.read.parquet(path).where(F.col("batch_id") == refresh.FIRST_BATCH).drop("batch_id")
+    posts = refresh.with_batches(_g(spark, sf_dir))["post"]
+    posts.write.partitionBy("batch_id").parquet(path)
+    return scan_batch_partition(spark, path, posts.schema, refresh.FIRST_BATCH)
 
 
 def _params_file(spark, sf_dir) -> str:

@@ -18,3 +18,24 @@ def scan_parquet_temporal_window(spark: SparkSession, path: str, start, end) ->
     df = spark.read.parquet(path)
     return (df.where((F.col("creationDay") < F.lit(start)) & (F.col("deletionDay") > F.lit(end)))
             .drop("creationDay", "deletionDay"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system of ``path`` (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def scan_batch_partition(spark: SparkSession, path: str, schema, batch_id: str) -> DataFrame:
+    """One ``batch_id=`` partition of an entity stored partitioned by batch.
+
+    The partition filter prunes every other directory; a batch without rows
+    for this entity (no directory at all) reads as an empty table."""
+    from pyspark.sql.types import StructType
+
+    data_schema = StructType([f for f in schema.fields if f.name != "batch_id"])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], data_schema)
+    full = StructType(list(data_schema.fields)).add("batch_id", "string")
+    return spark.read.schema(full).parquet(path).where(F.col("batch_id") == batch_id).drop("batch_id")
