@@ -270,3 +270,23 @@ FACTOR_KEYS = {
 }
 for key, table in FACTOR_KEYS.items():
     CUR_SQL[key] = _q(f"select * from {table}")
+
+# uniform (naive) samples
+CUR_SQL["naive_pg_01"] = _q("select strftime(creationDay::timestamp, '%Y-%m-%dT%H:%M:%S.%g+00:00') datetime "
+                            "from creationDayNumMessages order by md5(creationDay::varchar), creationDay limit 400")
+CUR_SQL["naive_pg_02m"] = _q("select date, tagClassName name, frequency from q2_windows")
+CUR_SQL["naive_pg_02a"] = _q("select date, tagClassName tagClass from q2_windows "
+                             "order by md5(concat(date, tagClassName)), date, tagClassName limit 400")
+CUR_SQL["naive_pg_04"] = _q("select creationDay date from creationDayNumMessages")
+for _k, _s in (("naive_pg_05", "a"), ("naive_pg_06", "b"), ("naive_pg_07", "c"), ("naive_pg_18", "e")):
+    CUR_SQL[_k] = _q(f"select tagName tag from tagNumMessages order by md5(tagName || '{_s}'), tagName limit 400")
+CUR_SQL["naive_pg_08m"] = _q("select startDate, endDate, tagName name, frequency from q8_windows")
+CUR_SQL["naive_pg_08a"] = _q("select tagName tag, startDate, endDate from q8_windows "
+                             "order by md5(concat(tagName, startDate)), tagName, startDate limit 400")
+CUR_SQL["naive_pg_14a"] = _q("select country1Name country1, country2Name country2 from countryPairsNumFriends "
+                             "order by md5(concat(country1Name, country2Name)), country1Name, country2Name limit 400")
+CUR_SQL["naive_pg_17"] = _q("select tagName tag, 8 + (select sum(x) from (select unicode(unnest(string_split(tagName, "
+                            "''))) x)) % 9 delta from tagNumMessages order by md5(tagName || 'e'), tagName limit 400")
+CUR_SQL["naive_pg_19a"] = _q("select city1Id, city2Id from cityPairsNumFriends order by "
+                             "md5((3532569367::bigint*city1Id + 342663089::bigint*city2Id)::varchar), city1Id, city2Id "
+                             "limit 400")

@@ -481,3 +481,94 @@ JOBS = {
 }
 
 _ = _dt  # dates are built by Spark expressions above
+
+
+# --- uniform (naive) parameter samples ---------------------------------------
+
+def _naive(df: DataFrame, key: Column, n: int | None, out: list[Column], tie: list[str]) -> DataFrame:
+    ordered = df.orderBy(key, *tie)
+    if n is not None:
+        ordered = ordered.limit(n)
+    return ordered.select(*out)
+
+
+def naive_pg_01(f):
+    d = f.creationDayNumMessages
+    return _naive(d, _md5("creationDay"), 400,
+                  [F.date_format(F.col("creationDay").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
+                   .alias("datetime")], ["creationDay"])
+
+
+def naive_pg_02m(f):
+    return pg_02_windows(f).withColumnRenamed("tagClassName", "name")
+
+
+def naive_pg_02a(f):
+    w = naive_pg_02m(f)
+    return _naive(w, _md5("date", "name"), 400, [F.col("date"), F.col("name").alias("tagClass")], ["date", "name"])
+
+
+def naive_pg_04(f):
+    return _naive(f.creationDayNumMessages, _md5("creationDay"), None, [F.col("creationDay").alias("date")],
+                  ["creationDay"])
+
+
+def _naive_tag(f, salt: str, with_delta: bool = False):
+    t = f.tagNumMessages
+    cols = [F.col("tagName").alias("tag")]
+    if with_delta:
+        code_sum = F.aggregate(F.transform(F.split("tagName", ""), lambda ch: F.ascii(ch)), F.lit(0),
+                               lambda acc, x: acc + x)
+        cols.append((8 + code_sum % 9).alias("delta"))
+    return _naive(t, F.md5(F.concat(F.col("tagName"), F.lit(salt))), 400, cols, ["tagName"])
+
+
+def naive_pg_05(f):
+    return _naive_tag(f, "a")
+
+
+def naive_pg_06(f):
+    return _naive_tag(f, "b")
+
+
+def naive_pg_07(f):
+    return _naive_tag(f, "c")
+
+
+def naive_pg_08m(f):
+    return pg_08_windows(f).withColumnRenamed("tagName", "name")
+
+
+def naive_pg_08a(f):
+    w = naive_pg_08m(f)
+    return _naive(w, _md5("name", "startDate"), 400, [F.col("name").alias("tag"), "startDate", "endDate"],
+                  ["name", "startDate"])
+
+
+def naive_pg_14a(f):
+    c = f.countryPairsNumFriends
+    return _naive(c, _md5("country1Name", "country2Name"), 400,
+                  [F.col("country1Name").alias("country1"), F.col("country2Name").alias("country2")],
+                  ["country1Name", "country2Name"])
+
+
+def naive_pg_17(f):
+    return _naive_tag(f, "e", with_delta=True)
+
+
+def naive_pg_18(f):
+    return _naive_tag(f, "e")
+
+
+def naive_pg_19a(f):
+    c = f.cityPairsNumFriends
+    key = F.md5((F.lit(3532569367) * F.col("city1Id") + F.lit(342663089) * F.col("city2Id")).cast("string"))
+    return _naive(c, key, 400, [F.col("city1Id"), F.col("city2Id")], ["city1Id", "city2Id"])
+
+
+JOBS.update({
+    "naive_pg_01": naive_pg_01, "naive_pg_02m": naive_pg_02m, "naive_pg_02a": naive_pg_02a,
+    "naive_pg_04": naive_pg_04, "naive_pg_05": naive_pg_05, "naive_pg_06": naive_pg_06, "naive_pg_07": naive_pg_07,
+    "naive_pg_08m": naive_pg_08m, "naive_pg_08a": naive_pg_08a, "naive_pg_14a": naive_pg_14a,
+    "naive_pg_17": naive_pg_17, "naive_pg_18": naive_pg_18, "naive_pg_19a": naive_pg_19a,
+})
