@@ -29,7 +29,7 @@ def main() -> None:
 
     spark = build_session(cpus=cpus)
     t0 = time.time()
-    g = load_graph(spark, sf_dir)
+    g = load_graph(spark, sf_dir, fresh=True)
     load_sec = time.time() - t0
 
     times: dict[str, float] = {"load": round(load_sec, 3)}

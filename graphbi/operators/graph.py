@@ -52,7 +52,6 @@ def count_triangles(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFra
     """
     o = (edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
          .where(F.col("x") < F.col("y")).distinct())
-    o.persist(StorageLevel.MEMORY_AND_DISK)
     wedges = (o.select(F.col("x").alias("a"), F.col("y").alias("b"))
               .join(o.select(F.col("x").alias("b"), F.col("y").alias("c")), "b"))
     closed = wedges.join(o.select(F.col("x").alias("a"), F.col("y").alias("c")), ["a", "c"], "left_semi")
