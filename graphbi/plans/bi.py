@@ -373,8 +373,10 @@ def bi_15_trusted_path(g, person1Id=0, person2Id=700, startDate="1996-01-01", en
 # --- Q16 ------------------------------------------------------------------
 
 def _fake_news_side(g, tag: str, date, limit: int) -> DataFrame:
-    day = ts(date).date()
-    sub = (g["message"].where(F.to_date("creationDate") == F.lit(day))
+    start = ts(date)
+    # same day as a half-open range: pushed to the parquet reader (row-group skipping)
+    sub = (g["message"].where((F.col("creationDate") >= F.lit(start))
+                              & (F.col("creationDate") < F.lit(start + _dt.timedelta(days=1))))
            .select("MessageId", F.col("CreatorPersonId").alias("PersonId"))
            .join(_tagged_messages(g, tag), "MessageId")
            .join(g["person"].select(F.col("id").alias("PersonId")), "PersonId", "left_semi")

@@ -241,15 +241,21 @@ def refresh_batch(spark: SparkSession, tables: Mapping[str, DataFrame], ins: Map
                   deletion_date: str, root: str | None = None) -> dict[str, DataFrame]:
     """Inserts, then deletes, then precomputations; stored as a new snapshot."""
     root = root or scratch_path(spark, "refresh")
-    inserted = store(spark, apply_inserts(spark, tables, ins), f"{root}/inserted")
+    # after the inserts the other tables are unions of file scans (old snapshot
+    # plus new rows); only Message, which every delete step reads, is written
+    inserted = apply_inserts(spark, tables, ins)
+    inserted.update(store(spark, {"message": inserted["message"]}, f"{root}/inserted"))
     cands = delete_candidates(inserted, deletion_date)
     deleted = store(spark, apply_deletes(spark, inserted, cands), f"{root}/final")
     deleted.update({t: tables[t] for t in STATIC if t in tables})
-    deleted["top_forums_q04"] = views.precomp_forum_popularity(deleted["forum"], deleted["forum_hasmember"],
-                                                               deleted["person"], deleted["city"])
-    deleted["popularity_q06"] = views.precomp_popularity_score(deleted["message"], deleted["person_likes_message"])
-    deleted["path_q19"] = views.precomp_interaction_edges(deleted["message"], deleted["person_knows_person"])
-    deleted["path_q20"] = views.precomp_university_edges(deleted["knows"], deleted["person_studyat"])
+    precomp = {
+        "top_forums_q04": views.precomp_forum_popularity(deleted["forum"], deleted["forum_hasmember"],
+                                                         deleted["person"], deleted["city"]),
+        "popularity_q06": views.precomp_popularity_score(deleted["message"], deleted["person_likes_message"]),
+        "path_q19": views.precomp_interaction_edges(deleted["message"], deleted["person_knows_person"]),
+        "path_q20": views.precomp_university_edges(deleted["knows"], deleted["person_studyat"]),
+    }
+    deleted.update(store(spark, precomp, f"{root}/precomp"))
     return deleted
 
 
