@@ -1,9 +1,9 @@
 """Transitive closures along parent links (reply threads, sub-thread deletes).
 
 Both operators walk one tree level per round: the frontier of the previous
-level is joined to the children on the parent key.  The children are hash
-partitioned on the parent key once and persisted, so a round shuffles only
-the frontier (or broadcasts it when AQE sees it is small).  Rounds are
+level is joined to the children on the parent key.  The children are persisted
+once; AQE broadcasts a small frontier and otherwise splits a hot parent's
+partition (skew join).  Rounds are
 written to shared storage; the loop stops on an empty level.
 """
 
@@ -29,7 +29,10 @@ def thread_roots(spark: SparkSession, roots: DataFrame, children: DataFrame, *,
     child of a root).
     """
     store = RoundStore(spark, "closure")
-    pending = children.repartition(parent_col).persist(StorageLevel.MEMORY_AND_DISK)
+    # cached as read, not hash partitioned: a hot parent (one thread holding a
+    # large share of all replies) then stays splittable by AQE's skew join, and
+    # small frontiers are broadcast
+    pending = children.persist(StorageLevel.MEMORY_AND_DISK)
     frontier = roots.select(F.col(id_col).alias("_pid"), *inherit)
     out_cols = [c for c in children.columns] + inherit
     levels = []
@@ -59,7 +62,7 @@ def descendants(spark: SparkSession, seeds: DataFrame, links: DataFrame, *,
     descendants are visited once; used by cascading sub-thread deletes.
     """
     store = RoundStore(spark, "descendants")
-    edges = links.select(id_col, parent_col).repartition(parent_col).persist(StorageLevel.MEMORY_AND_DISK)
+    edges = links.select(id_col, parent_col).persist(StorageLevel.MEMORY_AND_DISK)
     frontier = seeds.select(F.col(id_col).alias("_pid")).distinct()
     parts = []
     try:

@@ -85,7 +85,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src"
     store = RoundStore(spark, "components")
     e = edges.select(F.col(src).alias("node"), F.col(dst).alias("_to"))
     e = e.unionByName(e.select(F.col("_to").alias("node"), F.col("node").alias("_to"))).distinct()
-    e = e.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)
     labels = store.put(e.select("node").distinct().withColumn("component", F.col("node")))
     try:
         while True:

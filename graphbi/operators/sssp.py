@@ -37,7 +37,8 @@ def _tol(x: float) -> float:
 
 def _prepare_edges(edges: DataFrame) -> DataFrame:
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to"), F.col("w").cast("double").alias("_w"))
-    return e.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
+    # persisted as read: a hub's edges stay splittable by AQE's skew join
+    return e.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _relax(state: DataFrame, edges: DataFrame, keys: list[str], bound: float | None) -> DataFrame:

@@ -298,8 +298,11 @@ def bi_13_zombies(g, country="NATION_2", endDate="2001-01-01") -> DataFrame:
     msgs = g["message"].where(F.col("creationDate") <= F.lit(end)).select(
         F.col("CreatorPersonId").alias("zid"), "MessageId", "creationDate")
     months = 12 * end.year + end.month - (12 * F.year("pcd") + F.month("pcd")) + 1
-    zombies = (cand.join(msgs, (cand.zid == msgs.zid) & (msgs.creationDate >= cand.pcd), "left")
-               .groupBy(cand.zid, cand.pcd).agg(F.count(msgs.MessageId).alias("_n"))
+    # inner join + per-person count (splittable when one creator is hot), then
+    # a left join of the counts keeps persons without messages at 0
+    counts = (msgs.join(cand, "zid").where(F.col("creationDate") >= F.col("pcd"))
+              .groupBy("zid").agg(F.count("MessageId").alias("_n")))
+    zombies = (cand.join(counts, "zid", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
                .where(F.col("_n") < months).select("zid"))
     likers = g["person"].where(F.col("creationDate") < F.lit(end)).select(F.col("id").alias("PersonId"))
     z_msgs = g["message"].select("MessageId", F.col("CreatorPersonId").alias("zid")).join(zombies, "zid", "left_semi")
