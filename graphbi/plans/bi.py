@@ -186,12 +186,15 @@ def bi_06_authoritative_users(g, tag="Brand#3", popularity: DataFrame | None = N
     pop = popularity if popularity is not None else g["popularity_q06"]
     msgs = g["message"].select("MessageId", F.col("CreatorPersonId").alias("person1id")).join(_tagged_messages(g, tag),
                                                                                                "MessageId")
-    poster_w_liker = (msgs.join(g["person_likes_message"].select("MessageId", F.col("PersonId").alias("person2id")),
-                                "MessageId", "left")
-                      .select("person1id", "person2id").distinct())
-    return (poster_w_liker.join(pop, "person2id", "left")
-            .groupBy("person1id").agg(F.sum(F.coalesce("popularityScore", F.lit(0))).alias("authorityScore"))
-            .select(F.col("person1id").alias("person1_id"), "authorityScore")
+    # distinct (poster, liker) pairs by an inner join (a hot message stays
+    # splittable); posters whose messages have no likes keep score 0
+    pairs = (msgs.join(g["person_likes_message"].select("MessageId", F.col("PersonId").alias("person2id")), "MessageId")
+             .select("person1id", "person2id").distinct())
+    scores = (pairs.join(pop, "person2id", "left").groupBy("person1id")
+              .agg(F.sum(F.coalesce("popularityScore", F.lit(0))).alias("_s")))
+    posters = msgs.select("person1id").distinct()
+    return (posters.join(scores, "person1id", "left")
+            .select(F.col("person1id").alias("person1_id"), F.coalesce("_s", F.lit(0)).alias("authorityScore"))
             .orderBy(F.desc("authorityScore"), "person1_id").limit(100))
 
 
@@ -224,8 +227,12 @@ def bi_08_central_person(g, tag="Brand#3", startDate="1997-01-01", endDate="1999
              .select("PersonId", (F.coalesce("_i", F.lit(0)) + F.coalesce("_m", F.lit(0))).alias("score")))
     friends = g["knows"].select(F.col("Person1Id").alias("PersonId"), F.col("Person2Id").alias("FriendId"))
     fscore = score.select(F.col("PersonId").alias("FriendId"), F.col("score").alias("_fs"))
-    out = (score.join(friends, "PersonId", "left").join(fscore, "FriendId", "left")
-           .groupBy("PersonId", "score").agg(F.coalesce(F.sum("_fs"), F.lit(0)).alias("friendsScore")))
+    # inner joins + per-person sum (splittable for hub persons); friends without
+    # a score add nothing, persons without scored friends get 0 below
+    contrib = (friends.join(fscore, "FriendId").join(score.select("PersonId"), "PersonId", "left_semi")
+               .groupBy("PersonId").agg(F.sum("_fs").alias("_f")))
+    out = score.join(contrib, "PersonId", "left").select(
+        "PersonId", "score", F.coalesce("_f", F.lit(0)).alias("friendsScore"))
     return (out.select(F.col("PersonId").alias("person_id"), "score", "friendsScore")
             .orderBy(F.desc(F.col("score") + F.col("friendsScore")), "person_id").limit(100))
 
