@@ -11,7 +11,6 @@ deterministic tie-break.
 
 from __future__ import annotations
 
-import datetime as _dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -480,7 +479,6 @@ JOBS = {
     "pg_knows_window": pg_knows_window,
 }
 
-_ = _dt  # dates are built by Spark expressions above
 
 
 # --- uniform (naive) parameter samples ---------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphbi.plans import factors as FT
 from graphbi.plans import scoring as S
 from graphbi.session import configure
 from graphbi.sources.store import load_graph
@@ -56,4 +55,3 @@ QUERIES = {
     "score_throughput": lambda spark, sf_dir: S.score_throughput(_timings(spark, sf_dir), LOAD_SECONDS),
 }
 
-_ = FT

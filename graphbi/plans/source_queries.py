@@ -3,7 +3,6 @@ the workload's file layout, read it back through the source under test."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphbi.plans import bi, curation, factors, refresh
@@ -111,4 +110,3 @@ QUERIES = {
     "sink_table": sink_table_q,
 }
 
-_ = DataFrame, SparkSession

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphbi.plans import views
 from graphbi.session import configure, scratch_path, shared_root
@@ -144,8 +143,3 @@ def rebuild_precomputations(spark: SparkSession, tables: Mapping[str, DataFrame]
     return out
 
 
-def col_list(df: DataFrame) -> list[str]:
-    return list(df.columns)
-
-
-__all__ = ["Graph", "build_graph", "load_graph", "rebuild_precomputations", "F"]

@@ -1,7 +1,6 @@
 """Iterative graph operators on tiny hand-made graphs with known answers."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from graphbi.operators import graph as G
 from graphbi.operators import sssp
@@ -80,4 +79,3 @@ def test_common_neighbors_excludes_friends(spark):
     assert {(r["a"], r["b"], r["n"]) for r in got} == set()
     got = G.common_neighbors(df, nodes(spark, [3, 4]), True).collect()
     assert {(r["a"], r["b"], r["n"]) for r in got} == {(3, 4, 2), (4, 3, 2)}
-    _ = F
