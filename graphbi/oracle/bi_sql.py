@@ -87,7 +87,7 @@ BI_SQL["bi_08_central_person"] = with_fixture(
             "group by person.id"),
     ("ps", "select coalesce(pit.PersonId, pms.PersonId) PersonId, case when pit.PersonId is null then 0 else 100 end "
            "+ coalesce(pms.message_score, 0) score from pit full join pms on pit.PersonId = pms.PersonId"),
-    select="select p.PersonId person_id, p.score score, coalesce(sum(f.score), 0) friendsScore from ps p "
+    select="select p.PersonId person_id, p.score score, cast(coalesce(sum(f.score), 0) as bigint) friendsScore from ps p "
            "left join knows k on k.Person1Id = p.PersonId left join ps f on f.PersonId = k.Person2Id "
            "group by p.PersonId, p.score order by p.score + coalesce(sum(f.score), 0) desc, p.PersonId limit 100")
 

@@ -177,7 +177,7 @@ CUR_SQL["pg_11"] = _q(
     "from (select percentile_disc(0.92) within group (order by creationDay) anchorDate from creationDayNumMessages), "
     "(select unnest(generate_series(1, 20)) salt1), (select unnest(generate_series(0, 1)) salt2)")
 CUR_SQL["pg_12"] = _q(
-    "select startDate, 150 - salt*5 lengthThreshold, string_agg(lng, ';' order by rn) languages from ("
+    "select startDate, cast(150 - salt*5 as integer) lengthThreshold, string_agg(lng, ';' order by rn) languages from ("
     "select salt, startDate, lang_perm, lng, row_number() over (partition by lang_perm, salt order by "
     "md5(concat(lng, lang_perm))) rn from (select salt, cast((select percentile_disc(0.79) within group "
     "(order by creationDay) from creationDayNumMessages) + INTERVAL (salt*3) DAY as date) startDate from "
@@ -216,8 +216,8 @@ def _pg16(pa: float, pb: float) -> str:
         return (f"select {agg}(creationDay) creationDay, name tagName, frequency freq, abs(frequency - "
                 f"{_pct(p, 'frequency', 'creationDayAndTagNumMessages')}) diff from creationDayAndTagNumMessages "
                 f"group by tagName, freq, diff order by diff, md5(tagName), freq limit 100")
-    return _q(f"select tagA, dateA, tagB, dateB, 3 + (extract('dayofyear' from dateA) + extract('dayofyear' from dateB)) "
-              f"% 4 maxKnowsLimit from (select a.tagName tagA, a.creationDay dateA, b.tagName tagB, b.creationDay dateB "
+    return _q(f"select tagA, dateA, tagB, dateB, cast(3 + (extract('dayofyear' from dateA) + extract('dayofyear' from "
+              f"dateB)) % 4 as integer) maxKnowsLimit from (select a.tagName tagA, a.creationDay dateA, b.tagName tagB, b.creationDay dateB "
               f"from ({side(pa, 'max')}) a, ({side(pb, 'min')}) b) where tagA <> tagB "
               f"order by md5(concat(tagA, tagB)), dateA, dateB limit 400")
 
@@ -225,8 +225,8 @@ def _pg16(pa: float, pb: float) -> str:
 CUR_SQL["pg_16a"] = _pg16(1.00, 0.995)
 CUR_SQL["pg_16b"] = _pg16(0.45, 0.37)
 CUR_SQL["pg_17"] = _q(
-    "select tagName tag, 8 + (select sum(x) from (select unicode(unnest(string_split(tagName, ''))) x)) % 9 delta "
-    "from (" + _curate("tagNumMessages", 0.27, "tagName", "tagName", 400) + ")")
+    "select tagName tag, cast(8 + (select sum(x) from (select unicode(unnest(string_split(tagName, ''))) x)) % 9 as "
+    "integer) delta from (" + _curate("tagNumMessages", 0.27, "tagName", "tagName", 400) + ")")
 CUR_SQL["pg_18"] = _q("select name tag from (" + _curate("tagNumPersons", 0.99, "name", "name", 400) + ")")
 for key, cond in (("pg_19a", "<>"), ("pg_19b", "=")):
     CUR_SQL[key] = _q(f"select city1Id, city2Id from cityPairsNumFriends where country1Id {cond} country2Id "
@@ -285,8 +285,8 @@ CUR_SQL["naive_pg_08a"] = _q("select tagName tag, startDate, endDate from q8_win
                              "order by md5(concat(tagName, startDate)), tagName, startDate limit 400")
 CUR_SQL["naive_pg_14a"] = _q("select country1Name country1, country2Name country2 from countryPairsNumFriends "
                              "order by md5(concat(country1Name, country2Name)), country1Name, country2Name limit 400")
-CUR_SQL["naive_pg_17"] = _q("select tagName tag, 8 + (select sum(x) from (select unicode(unnest(string_split(tagName, "
-                            "''))) x)) % 9 delta from tagNumMessages order by md5(tagName || 'e'), tagName limit 400")
+CUR_SQL["naive_pg_17"] = _q("select tagName tag, cast(8 + (select sum(x) from (select unicode(unnest(string_split("
+                            "tagName, ''))) x)) % 9 as integer) delta from tagNumMessages order by md5(tagName || 'e'), tagName limit 400")
 CUR_SQL["naive_pg_19a"] = _q("select city1Id, city2Id from cityPairsNumFriends order by "
                              "md5((3532569367::bigint*city1Id + 342663089::bigint*city2Id)::varchar), city1Id, city2Id "
                              "limit 400")

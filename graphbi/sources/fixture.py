@@ -101,7 +101,7 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     tag = part.select(brand_no.alias("id"), F.col("p_brand").alias("name"),
                       (brand_no % 6).alias("TypeTagClassId")).distinct()
     tagclass = (part.select(F.col("p_type").alias("name")).distinct()
-                .select((F.row_number().over(Window.orderBy("name")) - 1).alias("id"), "name"))
+                .select((F.row_number().over(Window.orderBy("name")) - 1).cast("bigint").alias("id"), "name"))
 
     post_hastag = orders.select((ok * 10).alias("MessageId"), (1 + ok % 25).alias("TagId"))
     comment_hastag = (comment.select("id", "pk").join(part.select("p_partkey", "p_brand"), pk == F.col("p_partkey"))
