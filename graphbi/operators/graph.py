@@ -11,17 +11,31 @@ from pyspark.sql import functions as F
 from graphbi.operators.rounds import RoundStore
 
 
-def bfs_levels(edges: DataFrame, seeds: DataFrame, max_hops: int, src: str = "src", dst: str = "dst") -> DataFrame:
+def bfs_levels(edges: DataFrame, seeds: DataFrame, max_hops: int, src: str = "src", dst: str = "dst",
+               stored_after: int = 4) -> DataFrame:
     """(node, dist) for every node within ``max_hops`` of the seeds (BFS
     distance; seeds have dist 0).  Each level is a frontier join followed by
-    an anti join against the visited set, so no node is expanded twice."""
+    an anti join against the visited set, so no node is expanded twice.
+
+    Up to ``stored_after`` hops the levels form one lazy plan (the workload
+    uses at most 4); deeper searches store every level in the shared folder
+    and stop early on an empty frontier."""
     e = edges.select(F.col(src).alias("node"), F.col(dst).alias("_to"))
     visited = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("dist", F.lit(0))
+    store = RoundStore(seeds.sparkSession, "bfs") if max_hops > stored_after else None
+    if store:
+        visited = store.put(visited)
     frontier = visited
     for k in range(1, max_hops + 1):
         nxt = (frontier.select("node").join(e, "node").select(F.col("_to").alias("node")).distinct()
                .join(visited.select("node"), "node", "left_anti").withColumn("dist", F.lit(k)))
-        visited = visited.unionByName(nxt)
+        if store:
+            nxt = store.put(nxt)
+            if nxt.isEmpty():
+                break
+            visited = store.put(visited.unionByName(nxt))
+        else:
+            visited = visited.unionByName(nxt)
         frontier = nxt
     return visited
 

@@ -79,3 +79,10 @@ def test_common_neighbors_excludes_friends(spark):
     assert {(r["a"], r["b"], r["n"]) for r in got} == set()
     got = G.common_neighbors(df, nodes(spark, [3, 4]), True).collect()
     assert {(r["a"], r["b"], r["n"]) for r in got} == {(3, 4, 2), (4, 3, 2)}
+
+
+def test_bfs_levels_stored_rounds_match_lazy_plan(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(i + 1, i) for i in range(9)], "src bigint, dst bigint")
+    lazy = {tuple(r) for r in G.bfs_levels(chain, nodes(spark, [0]), 6, stored_after=10).collect()}
+    stored = {tuple(r) for r in G.bfs_levels(chain, nodes(spark, [0]), 6, stored_after=2).collect()}
+    assert lazy == stored == {(i, i) for i in range(7)}
