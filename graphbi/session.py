@@ -51,21 +51,25 @@ def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+_LOCAL_ROOTS: dict[int, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables (``spark.checkpoint.dir``).
 
-    On a cluster the setting must be present; a local session without it
-    (unit tests) gets a fresh private folder, which is then recorded in the
-    session so that every later call agrees.
+    On a cluster the setting must be present.  A local session without it
+    (unit tests) gets one private folder per SparkContext, registered as the
+    context's checkpoint directory (core configs cannot be changed at runtime).
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(id(sc))
     if not root:
         if not _is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="graphbi-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        _LOCAL_ROOTS[id(sc)] = root
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
