@@ -1,4 +1,9 @@
-"""DuckDB oracle texts for the BI read queries (default parameters)."""
+"""DuckDB oracle texts for the BI read queries (default parameters).
+
+Written independently of the Spark plans where possible: scalar subqueries
+and EXISTS filters instead of pre-aggregated joins, a recursive BFS distance
+for the hop ring, a keyed recursive Bellman-Ford for the path queries.
+"""
 
 from __future__ import annotations
 
@@ -9,204 +14,185 @@ def _ts(d: str) -> str:
     return f"TIMESTAMP '{d} 00:00:00'"
 
 
+def _in_country(alias: str, country: str) -> str:
+    return (f"{alias}.LocationCityId in (select ci.id from city ci join country co on co.id = ci.PartOfCountryId "
+            f"where co.name = '{country}')")
+
+
+def _tag(name: str) -> str:
+    return f"(select id from tag where name = '{name}')"
+
+
 BI_SQL: dict[str, str] = {}
 
 BI_SQL["bi_01_posting_summary"] = with_fixture(
-    ("mc", f"select cast(count(*) as double) cnt from message where creationDate < {_ts('2000-01-01')}"),
-    ("message_prep", "select cast(extract(year from creationDate) as integer) messageYear, ParentMessageId is not null "
-                     "isComment, case when length < 40 then 0 when length < 80 then 1 when length < 160 then 2 else 3 end "
-                     f"lengthCategory, length from message where creationDate < {_ts('2000-01-01')} and content is not null"),
-    select="select messageYear as year, isComment, lengthCategory, count(*) messageCount, avg(cast(length as bigint)) "
-           "averageMessageLength, cast(sum(cast(length as bigint)) as bigint) sumMessageLength, count(*) / any_value(mc.cnt) "
-           "percentageOfMessages from message_prep, mc group by messageYear, isComment, lengthCategory "
-           "order by messageYear desc, isComment, lengthCategory")
+    ("g", "select cast(year(creationDate) as integer) yr, ParentMessageId is not null isComment, "
+          "case when length < 40 then 0 when length < 80 then 1 when length < 160 then 2 else 3 end lengthCategory, "
+          "count(*) filter (where content is not null) n, avg(length) filter (where content is not null) a, "
+          "sum(length::bigint) filter (where content is not null) s, sum(count(*)) over () total "
+          f"from message where creationDate < {_ts('2000-01-01')} group by all"),
+    select="select yr as year, isComment, lengthCategory, n messageCount, a averageMessageLength, "
+           "cast(s as bigint) sumMessageLength, n / total percentageOfMessages from g where n > 0")
 
 BI_SQL["bi_02_tag_evolution"] = with_fixture(
-    ("MyTag", "select tag.id as id, tag.name as name from tagclass join tag on tag.TypeTagClassId = tagclass.id "
-              "where tagclass.name = 'LARGE'"),
-    ("detail", f"select t.id TagId, count(case when m.creationDate < {_ts('1997-01-01')} + INTERVAL 100 DAY then m.MessageId end) c1, "
-               f"count(case when m.creationDate >= {_ts('1997-01-01')} + INTERVAL 100 DAY then m.MessageId end) c2 "
-               "from MyTag t join message_hastag mt on mt.TagId = t.id join message m on m.MessageId = mt.MessageId "
-               f"and m.creationDate >= {_ts('1997-01-01')} and m.creationDate < {_ts('1997-01-01')} + INTERVAL 200 DAY "
-               "group by t.id"),
-    select="select t.name tag_name, coalesce(c1, 0) countWindow1, coalesce(c2, 0) countWindow2, "
-           "abs(coalesce(c1, 0) - coalesce(c2, 0)) diff from MyTag t left join detail on t.id = detail.TagId "
-           "order by diff desc, t.name limit 100")
+    ("w", "select t.id, t.name, count(m.MessageId) filter (where m.creationDate < "
+          f"{_ts('1997-01-01')} + INTERVAL 100 DAY) w1, count(m.MessageId) filter (where m.creationDate >= "
+          f"{_ts('1997-01-01')} + INTERVAL 100 DAY) w2 from tag t join tagclass c on c.id = t.TypeTagClassId "
+          "left join message_hastag mt on mt.TagId = t.id left join message m on m.MessageId = mt.MessageId "
+          f"and m.creationDate >= {_ts('1997-01-01')} and m.creationDate < {_ts('1997-01-01')} + INTERVAL 200 DAY "
+          "where c.name = 'LARGE' group by t.id, t.name"),
+    select="select name tag_name, w1 countWindow1, w2 countWindow2, abs(w1 - w2) diff from w "
+           "order by diff desc, tag_name limit 100")
 
 BI_SQL["bi_03_popular_topics"] = with_fixture(
-    select="select f.id forum_id, f.title forum_title, f.creationDate forum_creationDate, f.ModeratorPersonId person_id, "
-           "count(m.MessageId) messageCount from message m join forum f on f.id = m.ContainerForumId "
-           "join person mp on mp.id = f.ModeratorPersonId join city on city.id = mp.LocationCityId "
-           "join country on country.id = city.PartOfCountryId and country.name = 'NATION_2' "
-           "where exists (select 1 from tagclass join tag on tag.TypeTagClassId = tagclass.id join message_hastag mt "
-           "on mt.TagId = tag.id where m.MessageId = mt.MessageId and tagclass.name = 'LARGE') "
-           "group by f.id, f.title, f.creationDate, f.ModeratorPersonId order by messageCount desc, f.id limit 20")
+    ("cls", "select t.id from tag t join tagclass c on c.id = t.TypeTagClassId where c.name = 'LARGE'"),
+    select="select f.id forum_id, f.title forum_title, f.creationDate forum_creationDate, f.ModeratorPersonId "
+           "person_id, count(*) messageCount from forum f join message m on m.ContainerForumId = f.id "
+           f"where f.ModeratorPersonId in (select p.id from person p where {_in_country('p', 'NATION_2')}) "
+           "and m.MessageId in (select MessageId from message_hastag where TagId in (select id from cls)) "
+           "group by all order by messageCount desc, forum_id limit 20")
 
 BI_SQL["bi_04_top_creators"] = with_fixture(
-    ("Top100", f"select id, creationDate, maxNumberOfMembers from top_forums_q04 where creationDate > {_ts('1996-01-01')} "
-               "order by maxNumberOfMembers desc, id limit 100"),
-    select="select au.id person_id, au.firstName person_firstName, au.lastName person_lastName, "
-           "au.creationDate person_creationDate, count(m.MessageId) messageCount from person au "
-           "left join (select * from message where ContainerForumId in (select id from Top100)) m "
-           "on au.id = m.CreatorPersonId "
-           "where exists (select 1 from Top100 join forum_hasmember fm on fm.ForumId = Top100.id where fm.PersonId = au.id) "
-           "group by au.id, au.firstName, au.lastName, au.creationDate order by messageCount desc, au.id limit 100")
+    ("best", f"select id from top_forums_q04 where creationDate > {_ts('1996-01-01')} "
+             "order by maxNumberOfMembers desc, id limit 100"),
+    select="select p.id person_id, p.firstName person_firstName, p.lastName person_lastName, p.creationDate "
+           "person_creationDate, (select count(*) from message m where m.CreatorPersonId = p.id and "
+           "m.ContainerForumId in (select id from best)) messageCount from person p "
+           "where p.id in (select PersonId from forum_hasmember where ForumId in (select id from best)) "
+           "order by messageCount desc, person_id limit 100")
 
 BI_SQL["bi_05_active_posters"] = with_fixture(
-    ("detail", "select m.CreatorPersonId CreatorPersonId, cast(sum(coalesce(cs.c, 0)) as bigint) replyCount, "
-               "cast(sum(coalesce(plm.c, 0)) as bigint) likeCount, count(m.MessageId) messageCount from tag "
-               "join message_hastag mt on mt.TagId = tag.id join message m on m.MessageId = mt.MessageId "
-               "left join (select ParentMessageId id, count(*) c from message where ParentMessageId is not null "
-               "group by ParentMessageId) cs on cs.id = m.MessageId "
-               "left join (select MessageId id, count(*) c from person_likes_message group by MessageId) plm "
-               "on plm.id = m.MessageId where tag.name = 'Brand#3' group by m.CreatorPersonId"),
-    select="select CreatorPersonId person_id, replyCount, likeCount, messageCount, "
-           "messageCount + 2 * replyCount + 10 * likeCount score from detail order by score desc, CreatorPersonId limit 100")
+    ("pm", "select m.MessageId, m.CreatorPersonId, (select count(*) from message r where r.ParentMessageId = "
+           "m.MessageId) replies, (select count(*) from person_likes_message l where l.MessageId = m.MessageId) likes "
+           f"from message m join message_hastag mt on mt.MessageId = m.MessageId where mt.TagId = {_tag('Brand#3')}"),
+    select="select CreatorPersonId person_id, cast(sum(replies) as bigint) replyCount, cast(sum(likes) as bigint) "
+           "likeCount, count(*) messageCount, cast(count(*) + 2 * sum(replies) + 10 * sum(likes) as bigint) score "
+           "from pm group by CreatorPersonId order by score desc, person_id limit 100")
 
 BI_SQL["bi_06_authoritative_users"] = with_fixture(
-    ("pwl", "select distinct m1.CreatorPersonId person1id, l2.PersonId person2id from tag join message_hastag mt "
-            "on mt.TagId = tag.id join message m1 on m1.MessageId = mt.MessageId left join person_likes_message l2 "
-            "on l2.MessageId = m1.MessageId where tag.name = 'Brand#3'"),
-    select="select pl.person1id person1_id, cast(sum(coalesce(ps.popularityScore, 0)) as bigint) authorityScore "
-           "from pwl pl left join popularity_q06 ps on ps.person2id = pl.person2id group by pl.person1id "
-           "order by authorityScore desc, pl.person1id limit 100")
+    ("tm", f"select m.MessageId, m.CreatorPersonId from message m where m.MessageId in (select MessageId from "
+           f"message_hastag where TagId = {_tag('Brand#3')})"),
+    ("likers", "select distinct tm.CreatorPersonId p1, l.PersonId p2 from tm join person_likes_message l "
+               "on l.MessageId = tm.MessageId"),
+    select="select p1 person1_id, cast(coalesce((select sum(s.popularityScore) from likers x join popularity_q06 s "
+           "on s.person2id = x.p2 where x.p1 = c.p1), 0) as bigint) authorityScore from (select distinct "
+           "CreatorPersonId p1 from tm) c order by authorityScore desc, person1_id limit 100")
 
 BI_SQL["bi_07_related_topics"] = with_fixture(
-    ("MyMessage", "select mt.MessageId from message_hastag mt, tag where tag.name = 'Brand#3' and mt.TagId = tag.id"),
-    select="select rt.name relatedTag_name, count(*) count from MyMessage p join message c "
-           "on p.MessageId = c.ParentMessageId left join message_hastag ct on c.MessageId = ct.MessageId "
-           "join tag rt on rt.id = ct.TagId where c.MessageId not in (select MessageId from MyMessage) "
-           "and c.ParentMessageId is not null group by rt.name order by count desc, rt.name limit 100")
+    ("tm", f"select MessageId from message_hastag where TagId = {_tag('Brand#3')}"),
+    select="select t.name relatedTag_name, count(*) count from message c join message_hastag mt "
+           "on mt.MessageId = c.MessageId join tag t on t.id = mt.TagId where c.ParentMessageId in "
+           "(select MessageId from tm) and c.MessageId not in (select MessageId from tm) "
+           "group by t.name order by count desc, relatedTag_name limit 100")
 
 BI_SQL["bi_08_central_person"] = with_fixture(
-    ("pit", "select person.id PersonId from person join person_hasinterest pi on pi.PersonId = person.id "
-            "join tag on tag.id = pi.TagId and tag.name = 'Brand#3'"),
-    ("pms", "select person.id PersonId, count(*) message_score from tag join message_hastag mt on mt.TagId = tag.id "
-            f"join message m on mt.MessageId = m.MessageId and {_ts('1997-01-01')} < m.creationDate "
-            f"join person on person.id = m.CreatorPersonId where tag.name = 'Brand#3' and m.creationDate < {_ts('1999-01-01')} "
-            "group by person.id"),
-    ("ps", "select coalesce(pit.PersonId, pms.PersonId) PersonId, case when pit.PersonId is null then 0 else 100 end "
-           "+ coalesce(pms.message_score, 0) score from pit full join pms on pit.PersonId = pms.PersonId"),
-    select="select p.PersonId person_id, p.score score, cast(coalesce(sum(f.score), 0) as bigint) friendsScore from ps p "
-           "left join knows k on k.Person1Id = p.PersonId left join ps f on f.PersonId = k.Person2Id "
-           "group by p.PersonId, p.score order by p.score + coalesce(sum(f.score), 0) desc, p.PersonId limit 100")
+    ("fans", f"select distinct PersonId pid from person_hasinterest where TagId = {_tag('Brand#3')} "
+             "and PersonId in (select id from person)"),
+    ("writers", "select m.CreatorPersonId pid, count(*) n from message m where m.MessageId in (select MessageId "
+                f"from message_hastag where TagId = {_tag('Brand#3')}) and m.creationDate > {_ts('1997-01-01')} "
+                f"and m.creationDate < {_ts('1999-01-01')} and m.CreatorPersonId in (select id from person) group by 1"),
+    ("sc", "select coalesce(f.pid, w.pid) pid, (case when f.pid is null then 0 else 100 end) + coalesce(w.n, 0) "
+           "score from fans f full outer join writers w on w.pid = f.pid"),
+    ("withf", "select s.pid, s.score, cast(coalesce((select sum(o.score) from knows k join sc o "
+              "on o.pid = k.Person2Id where k.Person1Id = s.pid), 0) as bigint) fs from sc s"),
+    select="select pid person_id, score, fs friendsScore from withf order by score + fs desc, pid limit 100")
 
 BI_SQL["bi_09_thread_initiators"] = with_fixture(
-    ("MPP", f"select RootPostId, count(*) MessageCount from message where creationDate between {_ts('1996-01-01')} "
-            f"and {_ts('1998-01-01')} group by RootPostId"),
-    select="select person.id person_id, person.firstName person_firstName, person.lastName person_lastName, "
-           "count(post.MessageId) threadCount, cast(sum(MPP.MessageCount) as bigint) messageCount from person "
-           "join (select * from message where ParentMessageId is null) post on person.id = post.CreatorPersonId "
-           f"join MPP on post.MessageId = MPP.RootPostId where post.creationDate between {_ts('1996-01-01')} and "
-           f"{_ts('1998-01-01')} group by person.id, person.firstName, person.lastName "
-           "order by messageCount desc, person.id limit 100")
+    ("win", f"select * from message where creationDate between {_ts('1996-01-01')} and {_ts('1998-01-01')}"),
+    ("per_root", "select RootPostId, count(*) n from win group by RootPostId"),
+    select="select p.id person_id, p.firstName person_firstName, p.lastName person_lastName, count(*) threadCount, "
+           "cast(sum(r.n) as bigint) messageCount from win t join per_root r on r.RootPostId = t.MessageId "
+           "join person p on p.id = t.CreatorPersonId where t.ParentMessageId is null group by 1, 2, 3 "
+           "order by messageCount desc, person_id limit 100")
 
 BI_SQL["bi_10_experts"] = with_fixture(
-    ("friends", "select Person2Id from knows where Person1Id = 0"),
-    ("fof", "select kb.Person2Id from friends join knows kb on friends.Person2Id = kb.Person1Id"),
-    ("f12", "select Person2Id from friends union select Person2Id from fof"),
-    ("f34", "(select distinct kd.Person2Id from f12 join knows kc on kc.Person1Id = f12.Person2Id join knows kd "
-            "on kd.Person1Id = kc.Person2Id) except (select Person2Id from f12)"),
-    ("friend_list", "select f.Person2Id friendId from f34 f join person tf on tf.id = f.Person2Id join city "
-                    "on city.id = tf.LocationCityId join country on country.id = city.PartOfCountryId "
-                    "and country.name = 'NATION_2'"),
-    ("mtf", "select distinct f.friendId, m.MessageId from friend_list f join message m on m.CreatorPersonId = f.friendId "
-            "join message_hastag mt on mt.MessageId = m.MessageId join tag on tag.id = mt.TagId join tagclass "
-            "on tagclass.id = tag.TypeTagClassId where tagclass.name = 'LARGE'"),
-    select="select m.friendId expertCandidatePerson_id, tag.name tag_name, count(*) messageCount from mtf m "
-           "join message_hastag mt on mt.MessageId = m.MessageId join tag on tag.id = mt.TagId "
-           "group by m.friendId, tag.name order by messageCount desc, tag.name, m.friendId limit 100")
+    ("walk", "select 0::bigint node, 0 d union select k.Person2Id, w.d + 1 from walk w join knows k "
+             "on k.Person1Id = w.node where w.d < 4"),
+    ("ring", "select node from walk group by node having min(d) between 3 and 4"),
+    ("experts", f"select r.node pid from ring r join person p on p.id = r.node where {_in_country('p', 'NATION_2')}"),
+    ("cmsg", "select m.MessageId, m.CreatorPersonId pid from message m where m.CreatorPersonId in "
+             "(select pid from experts) and exists (select 1 from message_hastag mt join tag t on t.id = mt.TagId "
+             "join tagclass c on c.id = t.TypeTagClassId where mt.MessageId = m.MessageId and c.name = 'LARGE')"),
+    select="select c.pid expertCandidatePerson_id, t.name tag_name, count(*) messageCount from cmsg c "
+           "join message_hastag mt on mt.MessageId = c.MessageId join tag t on t.id = mt.TagId group by all "
+           "order by messageCount desc, tag_name, expertCandidatePerson_id limit 100")
 
 BI_SQL["bi_11_triangles"] = with_fixture(
-    ("pcf", "select person.id PersonId, k.Person2Id FriendId, k.creationDate from person join city "
-            "on city.id = person.LocationCityId join country on country.id = city.PartOfCountryId "
-            "and country.name = 'NATION_2' join knows k on k.Person1Id = person.id"),
-    select="select count(*) as count from pcf p1 join pcf p2 on p1.FriendId = p2.PersonId join pcf p3 "
-           "on p2.FriendId = p3.PersonId and p3.FriendId = p1.PersonId where p1.PersonId < p2.PersonId "
-           f"and p2.PersonId < p3.PersonId and {_ts('1995-01-01')} <= p1.creationDate and p1.creationDate <= {_ts('2001-12-31')} "
-           f"and {_ts('1995-01-01')} <= p2.creationDate and p2.creationDate <= {_ts('2001-12-31')} "
-           f"and {_ts('1995-01-01')} <= p3.creationDate and p3.creationDate <= {_ts('2001-12-31')}")
+    ("loc", f"select p.id from person p where {_in_country('p', 'NATION_2')}"),
+    ("e", f"select Person1Id a, Person2Id b from person_knows_person where creationDate between {_ts('1995-01-01')} "
+          f"and {_ts('2001-12-31')} and Person1Id in (select id from loc) and Person2Id in (select id from loc)"),
+    select="select count(*) as count from e x join e y on y.a = x.b join e z on z.a = x.a and z.b = y.b")
 
 BI_SQL["bi_12_message_distribution"] = with_fixture(
-    ("pwp", "select person.id, count(m.MessageId) messageCount from person left join message m "
-            "on person.id = m.CreatorPersonId and m.content is not null and m.length < 100 "
-            f"and m.creationDate > {_ts('1998-01-01')} and m.RootPostLanguage in ('fr', 'de') group by person.id"),
-    select="select messageCount, count(*) personCount from pwp group by messageCount "
-           "order by personCount desc, messageCount desc")
+    ("n", "select CreatorPersonId pid, count(*) c from message where content is not null and length < 100 "
+          f"and creationDate > {_ts('1998-01-01')} and RootPostLanguage in ('fr', 'de') group by 1"),
+    select="select coalesce(n.c, 0) messageCount, count(*) personCount from person p left join n on n.pid = p.id "
+           "group by 1 order by personCount desc, messageCount desc")
 
 BI_SQL["bi_13_zombies"] = with_fixture(
-    ("Zombies", "select person.id zombieid from country join city on city.PartOfCountryId = country.id "
-                "join person on person.LocationCityId = city.id left join message m on person.id = m.CreatorPersonId "
-                f"and m.creationDate between person.creationDate and {_ts('2001-01-01')} "
-                f"where country.name = 'NATION_2' and person.creationDate < {_ts('2001-01-01')} "
-                "group by person.id, person.creationDate having count(m.MessageId) < 12*2001 + 1 "
-                "- (12*extract(year from person.creationDate) + extract(month from person.creationDate)) + 1"),
-    ("t", "select z.zombieid, count(*) totalLikeCount, cast(sum(case when exists (select 1 from Zombies zl "
-          "where zl.zombieid = p.id) then 1 else 0 end) as bigint) zombieLikeCount from person p, person_likes_message plm, "
-          f"message m, Zombies z where z.zombieid = m.CreatorPersonId and p.creationDate < {_ts('2001-01-01')} "
-          "and p.id = plm.PersonId and m.MessageId = plm.MessageId group by z.zombieid"),
-    select="select z.zombieid zombie_id, coalesce(t.zombieLikeCount, 0) zombieLikeCount, coalesce(t.totalLikeCount, 0) "
-           "totalLikeCount, case when t.totalLikeCount > 0 then cast(t.zombieLikeCount as double) / t.totalLikeCount "
-           "else 0.0 end zombieScore from Zombies z left join t on z.zombieid = t.zombieid "
-           "order by zombieScore desc, z.zombieid limit 100")
+    ("cand", f"select p.id, p.creationDate from person p where {_in_country('p', 'NATION_2')} "
+             f"and p.creationDate < {_ts('2001-01-01')}"),
+    ("zombies", "select c.id from cand c where (select count(*) from message m where m.CreatorPersonId = c.id "
+                f"and m.creationDate >= c.creationDate and m.creationDate <= {_ts('2001-01-01')}) < "
+                "(2001 * 12 + 1) - (year(c.creationDate) * 12 + month(c.creationDate)) + 1"),
+    ("lk", "select m.CreatorPersonId zid, l.PersonId liker from person_likes_message l join message m "
+           "on m.MessageId = l.MessageId join person p on p.id = l.PersonId where p.creationDate < "
+           f"{_ts('2001-01-01')} and m.CreatorPersonId in (select id from zombies)"),
+    ("agg", "select lk.zid, count(*) total, count(z.id) zl from lk left join zombies z on z.id = lk.liker "
+            "group by lk.zid"),
+    select="select z.id zombie_id, coalesce(a.zl, 0) zombieLikeCount, coalesce(a.total, 0) totalLikeCount, "
+           "case when a.total > 0 then a.zl::double / a.total else 0.0 end zombieScore from zombies z "
+           "left join agg a on a.zid = z.id order by zombieScore desc, zombie_id limit 100")
 
 BI_SQL["bi_14_international_dialog"] = with_fixture(
-    ("ppc0", "select p1.id Person1Id, p2.id Person2Id, c1.id cityId, c1.name cityName from country co1 "
-             "join city c1 on c1.PartOfCountryId = co1.id join person p1 on p1.LocationCityId = c1.id "
-             "join knows k on k.Person1Id = p1.id join person p2 on p2.id = k.Person2Id join city c2 "
-             "on p2.LocationCityId = c2.id join country co2 on co2.id = c2.PartOfCountryId "
-             "where co1.name = 'NATION_16' and co2.name = 'NATION_24'"),
-    ("ppc", "select Person1Id, Person2Id, false Flipped from ppc0 union all select Person2Id, Person1Id, true from ppc0"),
-    ("pair_scores", "select case when Flipped then Person2Id else Person1Id end Person1Id, case when Flipped then "
-                    "Person1Id else Person2Id end Person2Id, (case when exists (select 1 from message m, message r "
-                    "where m.MessageId = r.ParentMessageId and ppc.Person1Id = r.CreatorPersonId and ppc.Person2Id = "
-                    "m.CreatorPersonId) then (case when Flipped then 1 else 4 end) else 0 end + case when exists "
-                    "(select 1 from message m, person_likes_message l where ppc.Person2Id = m.CreatorPersonId and "
-                    "m.MessageId = l.MessageId and l.PersonId = ppc.Person1Id) then (case when Flipped then 1 else 10 end) "
-                    "else 0 end) score from ppc"),
-    ("psx", "select Person1Id, Person2Id, sum(score) score from pair_scores group by Person1Id, Person2Id"),
-    ("sr", "select distinct on (cityId) c.Person1Id, c.Person2Id, cityId, cityName, s.score score from ppc0 c "
-           "left join psx s on s.Person1Id = c.Person1Id and s.Person2Id = c.Person2Id "
-           "order by cityId, s.score desc, c.Person1Id, c.Person2Id"),
-    select="select Person1Id person1_id, Person2Id person2_id, cityName city1_name, cast(score as integer) score from sr "
-           "order by score desc, Person1Id, Person2Id limit 100")
+    ("c1", "select p.id, ci.id cityId, ci.name cityName from person p join city ci on ci.id = p.LocationCityId "
+           "join country co on co.id = ci.PartOfCountryId where co.name = 'NATION_16'"),
+    ("pairs", "select c1.id p1, k.Person2Id p2, c1.cityId, c1.cityName from c1 join knows k on k.Person1Id = c1.id "
+              f"join person q on q.id = k.Person2Id where {_in_country('q', 'NATION_24')}"),
+    ("rep", "select distinct r.CreatorPersonId a, m.CreatorPersonId b from message r join message m "
+            "on m.MessageId = r.ParentMessageId"),
+    ("lik", "select distinct l.PersonId a, m.CreatorPersonId b from person_likes_message l join message m "
+            "on m.MessageId = l.MessageId"),
+    ("scored", "select p.*, (case when exists (select 1 from rep where a = p.p1 and b = p.p2) then 4 else 0 end) "
+               "+ (case when exists (select 1 from rep where a = p.p2 and b = p.p1) then 1 else 0 end) "
+               "+ (case when exists (select 1 from lik where a = p.p1 and b = p.p2) then 10 else 0 end) "
+               "+ (case when exists (select 1 from lik where a = p.p2 and b = p.p1) then 1 else 0 end) score from pairs p"),
+    ("ranked", "select *, row_number() over (partition by cityId order by score desc, p1, p2) rn from scored"),
+    select="select p1 person1_id, p2 person2_id, cityName city1_name, cast(score as integer) score from ranked "
+           "where rn = 1 order by score desc, person1_id, person2_id limit 100")
 
 BI_SQL["bi_16_fake_news"] = with_fixture(
-    ("sa", "select distinct person.id PersonId, m.MessageId from person join message m on m.CreatorPersonId = person.id "
-           "and cast(m.creationDate as date) = DATE '1995-01-04' join message_hastag mt on mt.MessageId = m.MessageId "
-           "join tag on tag.id = mt.TagId and tag.name = 'Brand#1'"),
-    ("pa", "select s.PersonId, count(distinct s.MessageId) cm, count(distinct k.Person2Id) cp2 from sa s left join "
-           "(select * from knows where Person2Id in (select PersonId from sa)) k on k.Person1Id = s.PersonId "
-           "group by s.PersonId having count(distinct k.Person2Id) <= 5"),
-    ("sb", "select distinct person.id PersonId, m.MessageId from person join message m on m.CreatorPersonId = person.id "
-           "and cast(m.creationDate as date) = DATE '1996-10-16' join message_hastag mt on mt.MessageId = m.MessageId "
-           "join tag on tag.id = mt.TagId and tag.name = 'Brand#4'"),
-    ("pb", "select s.PersonId, count(distinct s.MessageId) cm, count(distinct k.Person2Id) cp2 from sb s left join "
-           "(select * from knows where Person2Id in (select PersonId from sb)) k on k.Person1Id = s.PersonId "
-           "group by s.PersonId having count(distinct k.Person2Id) <= 5"),
-    select="select pa.PersonId person_id, pa.cm messageCountA, pb.cm messageCountB from pa join pb "
-           "on pb.PersonId = pa.PersonId order by pa.cm + pb.cm desc, pa.PersonId limit 20")
+    ("spec", "select * from (values ('A', 'Brand#1', DATE '1995-01-04'), ('B', 'Brand#4', DATE '1996-10-16')) "
+             "v(side, tagname, d)"),
+    ("hits", "select distinct s.side, m.CreatorPersonId pid, m.MessageId from spec s join tag t on t.name = s.tagname "
+             "join message_hastag mt on mt.TagId = t.id join message m on m.MessageId = mt.MessageId "
+             "and cast(m.creationDate as date) = s.d where m.CreatorPersonId in (select id from person)"),
+    ("per", "select h.side, h.pid, count(distinct h.MessageId) cm, (select count(distinct k.Person2Id) from knows k "
+            "where k.Person1Id = h.pid and k.Person2Id in (select x.pid from hits x where x.side = h.side)) nf "
+            "from hits h group by h.side, h.pid"),
+    select="select a.pid person_id, a.cm messageCountA, b.cm messageCountB from per a join per b on b.pid = a.pid "
+           "where a.side = 'A' and b.side = 'B' and a.nf <= 5 and b.nf <= 5 "
+           "order by a.cm + b.cm desc, person_id limit 20")
 
 BI_SQL["bi_17_information_propagation"] = with_fixture(
-    ("MyMessage", "select * from message where MessageId in (select MessageId from message_hastag where TagId in "
-                  "(select id from tag where tag.name = 'Brand#3'))"),
-    select="select m1.CreatorPersonId person1_id, count(distinct m2.MessageId) messageCount from MyMessage m1 "
-           "join MyMessage m2 on (m1.creationDate + INTERVAL 4 HOUR) < m2.creationDate "
-           "join MyMessage c on c.ParentMessageId = m2.MessageId "
-           "join forum_hasmember fm2 on fm2.ForumId = m1.ContainerForumId and fm2.PersonId = c.CreatorPersonId "
-           "join forum_hasmember fm3 on fm3.ForumId = m1.ContainerForumId and fm3.PersonId = m2.CreatorPersonId "
-           "where m1.ContainerForumId <> m2.ContainerForumId and fm2.PersonId <> fm3.PersonId "
-           "and not exists (select 1 from forum_hasmember fm1 where fm1.ForumId = m2.ContainerForumId "
-           "and fm1.PersonId = m1.CreatorPersonId) group by m1.CreatorPersonId "
-           "order by messageCount desc, m1.CreatorPersonId limit 10")
+    ("tm", "select * from message where MessageId in (select MessageId from message_hastag where TagId = "
+           f"{_tag('Brand#3')})"),
+    ("chain", "select x.MessageId m2, x.creationDate cd2, x.CreatorPersonId p3, x.ContainerForumId f2, "
+              "y.CreatorPersonId p2 from tm x join tm y on y.ParentMessageId = x.MessageId "
+              "where y.CreatorPersonId <> x.CreatorPersonId"),
+    select="select o.CreatorPersonId person1_id, count(distinct c.m2) messageCount from tm o join chain c "
+           "on o.creationDate + INTERVAL 4 HOUR < c.cd2 and o.ContainerForumId <> c.f2 "
+           "where exists (select 1 from forum_hasmember a where a.ForumId = o.ContainerForumId and a.PersonId = c.p2) "
+           "and exists (select 1 from forum_hasmember b where b.ForumId = o.ContainerForumId and b.PersonId = c.p3) "
+           "and not exists (select 1 from forum_hasmember z where z.ForumId = c.f2 and z.PersonId = o.CreatorPersonId) "
+           "group by o.CreatorPersonId order by messageCount desc, person1_id limit 10")
 
 BI_SQL["bi_18_friend_recommendation"] = with_fixture(
-    ("pwi", "select pt.PersonId from person_hasinterest pt, tag t where t.name = 'Brand#3' and pt.TagId = t.id"),
-    ("foi", "select k.Person1Id InterestedId, k.Person2Id FriendId from pwi p, knows k where p.PersonId = k.Person1Id"),
-    select="select k1.InterestedId person1_id, k2.InterestedId person2_id, count(k1.FriendId) mutualFriendCount "
-           "from foi k1 join foi k2 on k1.FriendId = k2.FriendId where k1.InterestedId != k2.InterestedId "
-           "and not exists (select 1 from knows k3 where k3.Person1Id = k2.InterestedId and k3.Person2Id = k1.InterestedId) "
-           "group by k1.InterestedId, k2.InterestedId order by mutualFriendCount desc, k1.InterestedId, k2.InterestedId limit 20")
+    ("adj", "select k.Person1Id a, k.Person2Id f from knows k where k.Person1Id in (select PersonId from "
+            f"person_hasinterest where TagId = {_tag('Brand#3')})"),
+    select="select x.a person1_id, y.a person2_id, count(*) mutualFriendCount from adj x join adj y on y.f = x.f "
+           "where x.a <> y.a and not exists (select 1 from knows k where k.Person1Id = y.a and k.Person2Id = x.a) "
+           "group by 1, 2 order by mutualFriendCount desc, person1_id, person2_id limit 20")
 
 
 def _sssp_sql(edges: str, seeds: str) -> str:
@@ -218,17 +204,21 @@ def _sssp_sql(edges: str, seeds: str) -> str:
             "and r.node = c.node where r.d is null or c.d < r.d)) select * from s)")
 
 
+# friend pairs with their reply score inside the forums created in the window
+MM_CTES = [
+    ("win_forums", f"select id from forum where creationDate between {_ts('1996-01-01')} and {_ts('1999-01-01')}"),
+    ("scored_replies", "select least(r.CreatorPersonId, m.CreatorPersonId) a, greatest(r.CreatorPersonId, "
+                       "m.CreatorPersonId) b, case when m.ParentMessageId is null then 10 else 5 end s from message r "
+                       "join message m on m.MessageId = r.ParentMessageId where r.ContainerForumId in (select id from "
+                       "win_forums) and m.ContainerForumId in (select id from win_forums)"),
+    ("mm", "select a src, b dst, sum(s) w from scored_replies where exists (select 1 from person_knows_person k "
+           "where k.Person1Id = a and k.Person2Id = b) group by a, b"),
+]
 _TRUSTED = ("select k.Person1Id src, k.Person2Id dst, 10::double / (coalesce(mm.w, 0) + 10) w from knows k "
-            "left join mm on least(k.Person1Id, k.Person2Id) = mm.src and greatest(k.Person1Id, k.Person2Id) = mm.dst")
+            "left join mm on mm.src = least(k.Person1Id, k.Person2Id) and mm.dst = greatest(k.Person1Id, k.Person2Id)")
 
 BI_SQL["bi_15_trusted_path"] = with_fixture(
-    ("myForums", f"select id from forum f where f.creationDate between {_ts('1996-01-01')} and {_ts('1999-01-01')}"),
-    ("mm", "select least(msg.CreatorPersonId, reply.CreatorPersonId) src, greatest(msg.CreatorPersonId, "
-           "reply.CreatorPersonId) dst, sum(case when msg.ParentMessageId is null then 10 else 5 end) w "
-           "from knows pp, message msg, message reply where pp.Person1Id = msg.CreatorPersonId and pp.Person2Id = "
-           "reply.CreatorPersonId and reply.ParentMessageId = msg.MessageId and exists (select * from myForums f "
-           "where f.id = msg.ContainerForumId) and exists (select * from myForums f where f.id = reply.ContainerForumId) "
-           "group by all"),
+    *MM_CTES,
     ("paths", _sssp_sql(_TRUSTED, "select 0::bigint id")),
     select="select round(coalesce((select min(d) from paths where node = 700), -1.0), 6) as weight")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphbi.oracle.bi_sql import _TRUSTED, _sssp_sql, _ts
+from graphbi.oracle.bi_sql import _TRUSTED, MM_CTES, _sssp_sql, _ts
 from graphbi.oracle.fixture_sql import with_fixture
 
 OP_SQL: dict[str, str] = {}
@@ -26,34 +26,21 @@ OP_SQL["precomp_forum_popularity"] = with_fixture(select="select * from top_foru
 OP_SQL["precomp_popularity_score"] = with_fixture(select="select * from popularity_q06")
 OP_SQL["precomp_interaction_edges"] = with_fixture(select="select * from path_q19")
 OP_SQL["precomp_university_edges"] = with_fixture(select="select * from path_q20")
-OP_SQL["trusted_edges"] = with_fixture(
-    ("myForums", f"select id from forum f where f.creationDate between {_ts('1996-01-01')} and {_ts('1999-01-01')}"),
-    ("mm", "select least(msg.CreatorPersonId, reply.CreatorPersonId) src, greatest(msg.CreatorPersonId, "
-           "reply.CreatorPersonId) dst, sum(case when msg.ParentMessageId is null then 10 else 5 end) w "
-           "from knows pp, message msg, message reply where pp.Person1Id = msg.CreatorPersonId and pp.Person2Id = "
-           "reply.CreatorPersonId and reply.ParentMessageId = msg.MessageId and exists (select * from myForums f "
-           "where f.id = msg.ContainerForumId) and exists (select * from myForums f where f.id = reply.ContainerForumId) "
-           "group by all"),
-    select=_TRUSTED)
+OP_SQL["trusted_edges"] = with_fixture(*MM_CTES, select=_TRUSTED)
 
-OP_SQL["khop_neighbors"] = with_fixture(
-    ("friends", "select Person2Id from knows where Person1Id = 0"),
-    select="select Person2Id node from friends union select kb.Person2Id from friends join knows kb "
-           "on friends.Person2Id = kb.Person1Id")
-OP_SQL["hop_ring"] = with_fixture(
-    ("friends", "select Person2Id from knows where Person1Id = 0"),
-    ("f12", "select Person2Id from friends union select kb.Person2Id from friends join knows kb "
-            "on friends.Person2Id = kb.Person1Id"),
-    select="(select distinct kd.Person2Id node from f12 join knows kc on kc.Person1Id = f12.Person2Id join knows kd "
-           "on kd.Person1Id = kc.Person2Id) except (select Person2Id from f12)")
+_WALK = ("walk", "select 0::bigint node, 0 d union select k.Person2Id, w.d + 1 from walk w join knows k "
+                 "on k.Person1Id = w.node where w.d < 4")
+# nodes reachable by a walk of 1 or 2 steps (the seed too, when it has a friend)
+OP_SQL["khop_neighbors"] = with_fixture(_WALK, select="select distinct node from walk where d between 1 and 2")
+OP_SQL["hop_ring"] = with_fixture(_WALK, select="select node from walk group by node having min(d) between 3 and 4")
 OP_SQL["count_triangles"] = with_fixture(
     select="select count(*) as count from person_knows_person e1 join person_knows_person e2 on e1.Person2Id = e2.Person1Id "
            "join person_knows_person e3 on e3.Person1Id = e1.Person1Id and e3.Person2Id = e2.Person2Id")
 OP_SQL["common_neighbors"] = with_fixture(
-    ("pwi", "select pt.PersonId from person_hasinterest pt, tag t where t.name = 'Brand#3' and pt.TagId = t.id"),
-    ("foi", "select k.Person1Id a, k.Person2Id f from pwi p, knows k where p.PersonId = k.Person1Id"),
-    select="select k1.a, k2.a b, count(*) n from foi k1 join foi k2 on k1.f = k2.f where k1.a <> k2.a and not exists "
-           "(select 1 from knows k3 where k3.Person1Id = k2.a and k3.Person2Id = k1.a) group by k1.a, k2.a")
+    ("adj", "select k.Person1Id a, k.Person2Id f from knows k where k.Person1Id in (select PersonId from "
+            "person_hasinterest where TagId = (select id from tag where name = 'Brand#3'))"),
+    select="select x.a, y.a b, count(*) n from adj x join adj y on y.f = x.f where x.a <> y.a and not exists "
+           "(select 1 from knows k where k.Person1Id = y.a and k.Person2Id = x.a) group by x.a, y.a")
 OP_SQL["thread_roots"] = (
     "with recursive t(id, parent, role, root_id, root_role, depth) as (select conv_id*100+turn, cast(null as bigint), "
     "role, conv_id*100+turn, role, 0 from conversations where turn = 0 union all select c.conv_id*100+c.turn, "
