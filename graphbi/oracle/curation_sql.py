@@ -73,11 +73,11 @@ FACTOR_CTES = [
                                            "where creationDay < DATE '2000-01-01' and deletionDay > DATE '2000-12-31'"),
     ("personWorkAtCompanyDays_window", "select * exclude (creationDay, deletionDay) from personWorkAtCompanyDays "
                                        "where creationDay < DATE '2000-01-01' and deletionDay > DATE '2000-12-31'"),
-    ("q20_sameUniversityKnows", "select p1j.Person1Id person1Id, p1j.Person2Id person2Id from (select k.Person1Id, "
-                                "k.Person2Id, p1.UniversityId from personKnowsPersonDays_window k join "
-                                "personStudyAtUniversityDays_window p1 on p1.PersonId = k.Person1Id) p1j join "
-                                "personStudyAtUniversityDays_window p2 on p2.PersonId = p1j.Person2Id and "
-                                "p2.UniversityId = p1j.UniversityId"),
+    # one row per shared university (a pair studying together twice appears twice)
+    ("q20_sameUniversityKnows", "select k.Person1Id person1Id, k.Person2Id person2Id from personKnowsPersonDays_window k "
+                                "join personStudyAtUniversityDays_window a on a.PersonId = k.Person1Id "
+                                "join personStudyAtUniversityDays_window b on b.PersonId = k.Person2Id "
+                                "and b.UniversityId = a.UniversityId"),
     ("suk_nodes", "select person1Id node from q20_sameUniversityKnows union select person2Id from q20_sameUniversityKnows"),
     ("suk_cc", "select node, component from (with recursive l(node, component) using key (node) as ("
                "select node, node from suk_nodes union (select c.node, c.component from (select e.person2Id node, "
@@ -86,167 +86,152 @@ FACTOR_CTES = [
                "select * from l)"),
     ("sameUniversityConnected", "select d.id PersonId, coalesce(c.component, d.id) Component from personDays_window d "
                                 "left join suk_cc c on c.node = d.id"),
-    ("anchor15", "select percentile_disc(0.15) within group (order by creationDay) anchorDate from creationDayNumMessages"),
-    ("q2_windows", "select cast(d.anchorDate + INTERVAL (-10 + s.salt) DAY as date) date, name tagClassName, "
-                   "cast(sum(frequency) as bigint) frequency from creationDayAndTagClassNumMessages, anchor15 d, "
-                   "(select unnest(generate_series(1, 20)) salt) s where creationDay between d.anchorDate + "
-                   "INTERVAL (-10 + s.salt) DAY and d.anchorDate + INTERVAL (-10 + s.salt + 199) DAY "
-                   "group by tagClassName, d.anchorDate, salt"),
-    ("q8_windows", "select cast(d.anchorDate + INTERVAL (-10 + s.salt) DAY as date) startDate, "
-                   "cast(d.anchorDate + INTERVAL (-10 + s.salt + 10 + s.salt * 37 % 5) DAY as date) endDate, "
-                   "name tagName, cast(sum(frequency) as bigint) frequency from creationDayAndTagNumMessages, anchor15 d, "
-                   "(select unnest(generate_series(1, 20)) salt) s where creationDay between d.anchorDate + "
-                   "INTERVAL (-10 + s.salt) DAY and d.anchorDate + INTERVAL (-10 + s.salt + 10 + s.salt * 37 % 5) DAY "
-                   "group by tagName, d.anchorDate, salt"),
-    ("q15a_core", "select distinct s.person1Id, s.person2Id, k2.Person2Id middleCandidate from (select * from "
-                  "people4Hops order by person1Id, person2Id limit 80) s join personKnowsPersonDays_window k1 "
-                  "on k1.Person1Id = s.person1Id join personKnowsPersonDays_window k2 on k2.Person1Id = k1.Person2Id"),
-    ("q20b_comp", "select person1Id, companyId, companyName from (select w.PersonId person1Id, w.CompanyId companyId, "
-                  "c.name companyName, abs(c.frequency - (select percentile_disc(0.47) within group (order by frequency) "
-                  "from companyNumEmployees)) diff, row_number() over (partition by w.CompanyId order by "
-                  "md5(w.PersonId::varchar)) rnum from companyNumEmployees c join personWorkAtCompanyDays_window w "
-                  "on w.CompanyId = c.id) where rnum < 5 order by diff, md5(person1Id::varchar), "
-                  "md5(companyId::varchar) limit 200"),
-    ("q20b_twohop", "select comp.companyId, comp.companyName, k2.person2Id from q20b_comp comp join "
-                    "q20_sameUniversityKnows k1 on k1.person1Id = comp.person1Id join q20_sameUniversityKnows k2 "
-                    "on k2.person1Id = k1.person2Id and k2.person2Id != k1.person1Id"),
+    ("day_anchor", "select quantile_disc(creationDay, 0.15) a15, quantile_disc(creationDay, 0.79) a79, "
+                   "quantile_disc(creationDay, 0.89) a89, quantile_disc(creationDay, 0.92) a92, "
+                   "quantile_disc(creationDay, 0.94) a94, quantile_disc(creationDay, 0.95) a95, "
+                   "quantile_disc(creationDay, 0.10) a10 from creationDayNumMessages"),
+    ("q2_windows", "select (x.a15 + (s.salt - 10))::date date, c.name tagClassName, sum(c.frequency)::bigint frequency "
+                   "from creationDayAndTagClassNumMessages c, day_anchor x, (select range::integer salt from range(1, 21)) s "
+                   "where c.creationDay >= x.a15 + (s.salt - 10) and c.creationDay <= x.a15 + (s.salt + 189) "
+                   "group by s.salt, x.a15, c.name"),
+    ("q8_windows", "select (x.a15 + (s.salt - 10))::date startDate, (x.a15 + (s.salt + (s.salt * 37) % 5))::date endDate, "
+                   "c.name tagName, sum(c.frequency)::bigint frequency from creationDayAndTagNumMessages c, day_anchor x, "
+                   "(select range::integer salt from range(1, 21)) s where c.creationDay >= x.a15 + (s.salt - 10) and c.creationDay <= "
+                   "x.a15 + (s.salt + (s.salt * 37) % 5) group by s.salt, x.a15, c.name"),
+    ("k4_sample", "select person1Id, person2Id from people4Hops order by person1Id, person2Id limit 80"),
+    ("q15a_core", "select distinct s.person1Id, s.person2Id, b.Person2Id middleCandidate from k4_sample s "
+                  "join personKnowsPersonDays_window a on a.Person1Id = s.person1Id "
+                  "join personKnowsPersonDays_window b on b.Person1Id = a.Person2Id"),
+    ("emp_ranked", "select w.PersonId person1Id, w.CompanyId companyId, c.name companyName, "
+                   "abs(c.frequency - (select quantile_disc(frequency, 0.47) from companyNumEmployees)) dist, "
+                   "rank() over (partition by w.CompanyId order by md5(cast(w.PersonId as varchar))) r "
+                   "from personWorkAtCompanyDays_window w join companyNumEmployees c on c.id = w.CompanyId"),
+    ("q20b_comp", "select person1Id, companyId, companyName from emp_ranked where r <= 4 "
+                  "order by dist, md5(cast(person1Id as varchar)), md5(cast(companyId as varchar)) limit 200"),
+    ("q20b_twohop", "select c.companyId, c.companyName, h2.person2Id from q20b_comp c join q20_sameUniversityKnows h1 "
+                    "on h1.person1Id = c.person1Id join q20_sameUniversityKnows h2 on h2.person1Id = h1.person2Id "
+                    "where h2.person2Id <> h1.person1Id"),
 ]
 
 
-def _pct(p: float, col: str, table: str) -> str:
-    return f"(select percentile_disc({p}) within group (order by {col}) from {table})"
-
-
 def _q(select: str, *extra) -> str:
     return with_fixture(*FACTOR_CTES, *extra, select=select)
 
 
-def _curate(table: str, p: float, cols: str, order: str, k: int) -> str:
-    return (f"select {cols}, abs(frequency - {_pct(p, 'frequency', table)}) diff from {table} "
-            f"order by diff, {order} limit {k}")
+def _nearest(table: str, p: float, cols: str, order: str, k: int) -> str:
+    """Top-k rows of ``table`` by distance of ``frequency`` to its discrete p-quantile."""
+    return (f"select {cols} from (select *, abs(frequency - (select quantile_disc(frequency, {p}) from {table})) "
+            f"as dist from {table}) order by dist, {order} limit {k}")
 
 
 CUR_SQL: dict[str, str] = {}
 
 CUR_SQL["pg_01"] = _q(
-    "select strftime(creationDay::timestamp + INTERVAL ((epoch(creationDay::timestamp)::bigint // 37) % 24) HOUR "
-    "+ INTERVAL ((epoch(creationDay::timestamp)::bigint // 37) % 60) MINUTE + INTERVAL "
-    "((epoch(creationDay::timestamp)::bigint // 31) % 60) SECOND, '%Y-%m-%dT%H:%M:%S.%g+00:00') datetime from ("
-    + _curate("creationDayNumMessages", 0.15, "creationDay", "creationDay", 80) + ")")
+    "select strftime(to_timestamp(e + ((e // 37) % 24) * 3600 + ((e // 37) % 60) * 60 + (e // 31) % 60), "
+    "'%Y-%m-%dT%H:%M:%S.%g+00:00') datetime from (select epoch(creationDay::timestamp)::bigint e from ("
+    + _nearest("creationDayNumMessages", 0.15, "creationDay", "creationDay", 80) + "))")
 CUR_SQL["pg_02_windows"] = _q("select * from q2_windows")
 for key, p in (("pg_02a", 0.92), ("pg_02b", 0.62)):
     CUR_SQL[key] = _q("select date, tagClassName tagClass from (" +
-                      _curate("q2_windows", p, "date, tagClassName", "date, tagClassName", 400) + ")")
+                      _nearest("q2_windows", p, "date, tagClassName", "date, tagClassName", 400) + ")")
 CUR_SQL["pg_03"] = _q("select name tagClass, case when id % 2 = 0 then 'China' else 'India' end country from (" +
-                      _curate("tagClassNumMessages", 0.82, "id, name", "name", 80) + ")")
+                      _nearest("tagClassNumMessages", 0.82, "id, name", "name", 80) + ")")
 CUR_SQL["pg_04"] = _q("select creationDay date from (select creationDay from creationDayNumMessages "
                       "order by creationDay limit 40)")
 for key, p, k in (("pg_05", 0.85, 400), ("pg_06", 0.88, 400), ("pg_07", 0.98, 200)):
-    CUR_SQL[key] = _q("select tagName tag from (" + _curate("tagNumMessages", p, "tagName", "tagName", k) + ")")
+    CUR_SQL[key] = _q("select tagName tag from (" + _nearest("tagNumMessages", p, "tagName", "tagName", k) + ")")
 CUR_SQL["pg_08_windows"] = _q("select * from q8_windows")
 for key, p in (("pg_08a", 0.98), ("pg_08b", 0.31)):
     CUR_SQL[key] = _q("select tagName tag, startDate, endDate from (" +
-                      _curate("q8_windows", p, "tagName, startDate, endDate", "tagName, startDate", 100) + ")")
+                      _nearest("q8_windows", p, "tagName, startDate, endDate", "tagName, startDate", 100) + ")")
 CUR_SQL["pg_09"] = _q(
-    "select distinct cast(anchorDate + INTERVAL (-5 + salt1*37 % 10) DAY as date) startDate, "
-    "cast(anchorDate + INTERVAL (80 + salt1*31 % 20 + salt2) DAY as date) endDate from (select percentile_disc(0.89) "
-    "within group (order by creationDay) anchorDate from creationDayNumMessages), (select unnest(generate_series(1, 20)) "
-    "salt1), (select unnest(generate_series(0, 1)) salt2)")
+    "select distinct (x.a89 + ((i * 37) % 10 - 5))::date startDate, (x.a89 + (80 + (i * 31) % 20 + j))::date endDate "
+    "from day_anchor x, (select range::integer i from range(1, 21)) s, (select range::integer j from range(0, 2)) t")
 
 
 def _pg10(countries: str, persons: str, classes: str) -> str:
-    return _q(f"select id personId, countryName country, tagClassName tagClass, 3 minPathDistance, 4 maxPathDistance "
-              f"from ({countries}), ({persons}), ({classes}) order by md5(concat(id, countryName, tagClassName)) "
-              f"limit 400")
+    return _q("select pe.id personId, c.countryName country, tc.tagClassName tagClass, 3 minPathDistance, "
+              "4 maxPathDistance from pe join c on true join tc on true "
+              "order by md5(pe.id::varchar || c.countryName || tc.tagClassName) limit 400",
+              ("c", countries), ("pe", persons), ("tc", classes))
 
 
-_ALIVE_FRIENDS = "(select n.* from personNumFriends n join personDays_window w on w.id = n.id)"
+_ALIVE_FRIENDS = "(select n.* from personNumFriends n where n.id in (select id from personDays_window))"
 CUR_SQL["pg_10a"] = _pg10(
-    "select name countryName from (" + _curate("countryNumPersons", 0.55, "name", "name", 20) + ")",
-    f"select id from (select id, abs(frequency - {_pct(0.55, 'frequency', 'personNumFriends')}) diff "
-    f"from {_ALIVE_FRIENDS} order by diff, id limit 50)",
-    "select name tagClassName from (" + _curate("tagClassNumTags", 0.55, "name", "name", 15) + ")")
+    "select name countryName from (" + _nearest("countryNumPersons", 0.55, "name", "name", 20) + ")",
+    "select id from (select id, abs(frequency - (select quantile_disc(frequency, 0.55) from personNumFriends)) dist "
+    f"from {_ALIVE_FRIENDS} order by dist, id limit 50)",
+    "select name tagClassName from (" + _nearest("tagClassNumTags", 0.55, "name", "name", 15) + ")")
 CUR_SQL["pg_10b"] = _pg10(
-    "select name countryName from (" + _curate("countryNumPersons", 0.35, "name", "name", 20) + ")",
+    "select name countryName from (" + _nearest("countryNumPersons", 0.35, "name", "name", 20) + ")",
     f"select id from {_ALIVE_FRIENDS} where frequency = 1 order by id limit 50",
-    "select name tagClassName from (" + _curate("tagClassNumTags", 0.25, "name", "name", 15) + ")")
+    "select name tagClassName from (" + _nearest("tagClassNumTags", 0.25, "name", "name", 15) + ")")
 CUR_SQL["pg_11"] = _q(
-    "select case when salt2 % 2 = 0 then 'China' else 'India' end country, "
-    "cast(anchorDate + INTERVAL (-15 + salt1*37 % 30) DAY as date) startDate, "
-    "cast(anchorDate + INTERVAL (-15 + salt1*37 % 30 + 92 + salt2*47 % 18 + salt2) DAY as date) endDate "
-    "from (select percentile_disc(0.92) within group (order by creationDay) anchorDate from creationDayNumMessages), "
-    "(select unnest(generate_series(1, 20)) salt1), (select unnest(generate_series(0, 1)) salt2)")
+    "select if(j % 2 = 0, 'China', 'India') country, (x.a92 + ((i * 37) % 30 - 15))::date startDate, "
+    "(x.a92 + ((i * 37) % 30 - 15 + 92 + (j * 47) % 18 + j))::date endDate from day_anchor x, (select range::integer i from range(1, 21)) s, "
+    "(select range::integer j from range(0, 2)) t")
 CUR_SQL["pg_12"] = _q(
-    "select startDate, cast(150 - salt*5 as integer) lengthThreshold, string_agg(lng, ';' order by rn) languages from ("
-    "select salt, startDate, lang_perm, lng, row_number() over (partition by lang_perm, salt order by "
-    "md5(concat(lng, lang_perm))) rn from (select salt, cast((select percentile_disc(0.79) within group "
-    "(order by creationDay) from creationDayNumMessages) + INTERVAL (salt*3) DAY as date) startDate from "
-    "(select unnest(generate_series(1, 20)) salt)) sd, (select language lng from (" +
-    _curate("languageNumPosts", 0.98, "language", "language", 10) + ")) lang, "
-    "(select unnest(generate_series(1, 4)) lang_perm)) where rn <= 3 group by startDate, salt, lang_perm")
+    "select startDate, cast(150 - salt * 5 as integer) lengthThreshold, string_agg(lng, ';' order by rn) languages "
+    "from (select s.salt, (x.a79 + s.salt * 3)::date startDate, p.perm, l.language lng, row_number() over "
+    "(partition by p.perm, s.salt order by md5(l.language || p.perm::varchar)) rn from day_anchor x, "
+    "(select range::integer salt from range(1, 21)) s, (select range::integer perm from range(1, 5)) p, (" + _nearest("languageNumPosts", 0.98, "language", "language", 10) +
+    ") l) where rn <= 3 group by startDate, salt, perm")
 CUR_SQL["pg_13"] = _q(
-    "select case when salt2 % 2 = 0 then 'India' else 'China' end country, endDate from (select distinct "
-    "cast(anchorDate + INTERVAL (-5 + salt1*47 % 20) DAY as date) endDate from (select percentile_disc(0.94) "
-    "within group (order by creationDay) anchorDate from creationDayNumMessages), (select unnest(generate_series("
-    "456789, 456789+20)) salt1)), (select unnest(generate_series(0, 1)) salt2)")
+    "select if(j % 2 = 0, 'India', 'China') country, d endDate from (select distinct (x.a94 + ((i * 47) % 20 - 5))::date d "
+    "from day_anchor x, (select range::integer i from range(456789, 456810)) s), (select range::integer j from range(0, 2)) t")
 for key, p in (("pg_14a", 0.98), ("pg_14b", 0.03)):
     CUR_SQL[key] = _q("select country1Name country1, country2Name country2 from (" +
-                      _curate("countryPairsNumFriends", p, "country1Name, country2Name", "country1Name, country2Name", 50)
+                      _nearest("countryPairsNumFriends", p, "country1Name, country2Name", "country1Name, country2Name", 50)
                       + ")")
 CUR_SQL["pg_15a_core"] = _q("select * from q15a_core")
 CUR_SQL["pg_15a"] = _q(
-    "select distinct q.person1Id, q.person2Id, cast((select percentile_disc(0.95) within group (order by creationDay) "
-    "from creationDayNumMessages) - INTERVAL (q.person1Id % 7) DAY as date) startDate, cast((select "
-    "percentile_disc(0.95) within group (order by creationDay) from creationDayNumMessages) + INTERVAL "
-    "(q.person2Id % 7) DAY as date) endDate from q15a_core q join personKnowsPersonDays_window k4 "
-    "on k4.Person1Id = q.person2Id join personKnowsPersonDays_window k3 on k3.Person1Id = k4.Person2Id "
-    "where q.middleCandidate = k3.Person2Id")
+    "select distinct q.person1Id, q.person2Id, (x.a95 - (q.person1Id % 7)::integer)::date startDate, "
+    "(x.a95 + (q.person2Id % 7)::integer)::date endDate from q15a_core q, day_anchor x where exists (select 1 from "
+    "personKnowsPersonDays_window a join personKnowsPersonDays_window b on b.Person1Id = a.Person2Id "
+    "where a.Person1Id = q.person2Id and b.Person2Id = q.middleCandidate)")
 CUR_SQL["pg_15b"] = _q(
-    "select * from (select distinct h.person1Id, h.person2Id, cast((select percentile_disc(0.10) within group "
-    "(order by creationDay) from creationDayNumMessages) + INTERVAL (-11 + h.person1Id % 9) DAY as date) startDate, "
-    "cast((select percentile_disc(0.10) within group (order by creationDay) from creationDayNumMessages) + INTERVAL "
-    "(11 + h.person1Id % 9) DAY as date) endDate from people2Hops h join personKnowsPersonDays_window k1 "
-    "on k1.Person1Id = h.person1Id join personKnowsPersonDays_window k2 on k2.Person1Id = k1.Person2Id "
-    "and k2.Person2Id = h.person2Id) order by md5((131*person1Id + 241*person2Id)::varchar), "
-    "md5(person1Id::varchar) limit 400")
+    "select * from (select distinct h.person1Id, h.person2Id, (x.a10 + (h.person1Id % 9 - 11)::integer)::date startDate, "
+    "(x.a10 + (h.person1Id % 9 + 11)::integer)::date endDate from people2Hops h, day_anchor x where exists (select 1 from "
+    "personKnowsPersonDays_window a join personKnowsPersonDays_window b on b.Person1Id = a.Person2Id "
+    "where a.Person1Id = h.person1Id and b.Person2Id = h.person2Id)) "
+    "order by md5((131 * person1Id + 241 * person2Id)::varchar), md5(person1Id::varchar) limit 400")
 
 
 def _pg16(pa: float, pb: float) -> str:
-    def side(p, agg):
-        return (f"select {agg}(creationDay) creationDay, name tagName, frequency freq, abs(frequency - "
-                f"{_pct(p, 'frequency', 'creationDayAndTagNumMessages')}) diff from creationDayAndTagNumMessages "
-                f"group by tagName, freq, diff order by diff, md5(tagName), freq limit 100")
-    return _q(f"select tagA, dateA, tagB, dateB, cast(3 + (extract('dayofyear' from dateA) + extract('dayofyear' from "
-              f"dateB)) % 4 as integer) maxKnowsLimit from (select a.tagName tagA, a.creationDay dateA, b.tagName tagB, b.creationDay dateB "
-              f"from ({side(pa, 'max')}) a, ({side(pb, 'min')}) b) where tagA <> tagB "
-              f"order by md5(concat(tagA, tagB)), dateA, dateB limit 400")
+    def side(p, agg, tag, day):
+        return (f"select name {tag}, {agg}(creationDay) {day}, frequency, abs(frequency - (select quantile_disc("
+                f"frequency, {p}) from creationDayAndTagNumMessages)) dist from creationDayAndTagNumMessages "
+                f"group by name, frequency order by dist, md5(name), frequency limit 100")
+    return _q("select tagA, dateA, tagB, dateB, cast(3 + (dayofyear(dateA) + dayofyear(dateB)) % 4 as integer) "
+              f"maxKnowsLimit from ({side(pa, 'max', 'tagA', 'dateA')}) a join ({side(pb, 'min', 'tagB', 'dateB')}) b "
+              "on a.tagA <> b.tagB order by md5(tagA || tagB), dateA, dateB limit 400")
 
 
 CUR_SQL["pg_16a"] = _pg16(1.00, 0.995)
 CUR_SQL["pg_16b"] = _pg16(0.45, 0.37)
 CUR_SQL["pg_17"] = _q(
-    "select tagName tag, cast(8 + (select sum(x) from (select unicode(unnest(string_split(tagName, ''))) x)) % 9 as "
-    "integer) delta from (" + _curate("tagNumMessages", 0.27, "tagName", "tagName", 400) + ")")
-CUR_SQL["pg_18"] = _q("select name tag from (" + _curate("tagNumPersons", 0.99, "name", "name", 400) + ")")
+    "select tagName tag, cast(8 + list_sum(list_transform(string_split(tagName, ''), lambda ch: unicode(ch))) % 9 "
+    "as integer) delta from (" + _nearest("tagNumMessages", 0.27, "tagName", "tagName", 400) + ")")
+CUR_SQL["pg_18"] = _q("select name tag from (" + _nearest("tagNumPersons", 0.99, "name", "name", 400) + ")")
 for key, cond in (("pg_19a", "<>"), ("pg_19b", "=")):
-    CUR_SQL[key] = _q(f"select city1Id, city2Id from cityPairsNumFriends where country1Id {cond} country2Id "
-                      "order by md5((3532569367::bigint*city1Id + 342663089::bigint*city2Id)::varchar) limit 400")
+    CUR_SQL[key] = _q(f"select city1Id, city2Id from cityPairsNumFriends where country1Id {cond} country2Id order by "
+                      "md5((city1Id * 3532569367 + city2Id * 342663089)::varchar) limit 400")
 CUR_SQL["pg_20_same_university_knows"] = _q("select * from q20_sameUniversityKnows")
 CUR_SQL["pg_20a"] = _q(
     "select s1.companyName company, s2.personId person2Id from (select id companyId, name companyName from (" +
-    _curate("companyNumEmployees", 0.9, "id, name", "name, id", 50) + ")) s1, "
-    f"(select id personId from (select id, abs(frequency - {_pct(0.55, 'frequency', 'personNumFriends')}) diff "
-    f"from {_ALIVE_FRIENDS} order by diff, md5(id::varchar) limit 50)) s2 join sameUniversityConnected c1 "
-    "on c1.PersonId = s2.personId where not exists (select 1 from personWorkAtCompanyDays_window w, "
-    "sameUniversityConnected c2 where w.CompanyId = s1.companyId and w.PersonId = c2.PersonId and c1.Component = "
-    "c2.Component) order by md5(concat(s2.personId, s1.companyId)), md5(s2.personId::varchar), "
+    _nearest("companyNumEmployees", 0.9, "id, name", "name, id", 50) + ")) s1 join (select id personId from "
+    f"(select n.id, abs(n.frequency - (select quantile_disc(frequency, 0.55) from personNumFriends)) dist from "
+    f"{_ALIVE_FRIENDS} n order by dist, md5(n.id::varchar) limit 50)) s2 on true join sameUniversityConnected c1 "
+    "on c1.PersonId = s2.personId where c1.Component not in (select c2.Component from "
+    "personWorkAtCompanyDays_window w join sameUniversityConnected c2 on c2.PersonId = w.PersonId "
+    "where w.CompanyId = s1.companyId) order by md5(concat(s2.personId, s1.companyId)), md5(s2.personId::varchar), "
     "md5(s1.companyId::varchar) limit 400")
 CUR_SQL["pg_20b_comp"] = _q("select * from q20b_comp")
 CUR_SQL["pg_20b_twohop"] = _q("select * from q20b_twohop")
 CUR_SQL["pg_20b"] = _q(
     "select company, person2Id from (select distinct t.companyName company, t.companyId, t.person2Id from q20b_twohop t "
-    "where not exists (select 1 from personWorkAtCompanyDays_window w where w.CompanyId = t.companyId and "
-    "w.PersonId = t.person2Id)) order by md5(person2Id::varchar), md5(companyId::varchar) limit 400")
+    "left join personWorkAtCompanyDays_window w on w.CompanyId = t.companyId and w.PersonId = t.person2Id "
+    "where w.PersonId is null) order by md5(person2Id::varchar), md5(companyId::varchar) limit 400")
 CUR_SQL["pg_knows_window"] = _q("select * from personKnowsPersonDays_window")
 
 # factor tables themselves

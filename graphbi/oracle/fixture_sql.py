@@ -71,22 +71,22 @@ FIXTURE_CTES = [
     ("message", "select * from message_post union all select c.creationDate, c.id, t.RootPostId, t.RootPostLanguage, "
                 "c.content, c.length, c.CreatorPersonId, t.ContainerForumId, coalesce(c.ParentPostId, c.ParentCommentId) "
                 "from comment_t c join thread t on t.MessageId = c.id"),
-    ("top_forums_q04", "select T.id, forum.creationDate, T.maxNumberOfMembers from (select ForumId id, "
-                       "max(numberOfMembers) maxNumberOfMembers from (select fm.ForumId, count(p.id) numberOfMembers, "
-                       "ci.PartOfCountryId from forum_hasmember fm join person p on p.id = fm.PersonId join city ci "
-                       "on ci.id = p.LocationCityId group by ci.PartOfCountryId, fm.ForumId) x group by ForumId) T "
-                       "join forum on T.id = forum.id"),
-    ("popularity_q06", "select m.CreatorPersonId person2id, count(*) popularityScore from message m "
-                       "join person_likes_message l on l.MessageId = m.MessageId group by m.CreatorPersonId"),
-    ("q19_weights", "select pp.Person1Id src, pp.Person2Id dst, cast(greatest(cast(round(40 - sqrt(count(*))) as bigint), 1) "
-                    "as double) w from person_knows_person pp, message m1, message m2 where pp.Person1Id = "
-                    "least(m1.CreatorPersonId, m2.CreatorPersonId) and pp.Person2Id = greatest(m1.CreatorPersonId, "
-                    "m2.CreatorPersonId) and m1.ParentMessageId = m2.MessageId and m1.CreatorPersonId <> m2.CreatorPersonId "
-                    "group by pp.Person1Id, pp.Person2Id"),
+    ("member_country", "select fm.ForumId, ci.PartOfCountryId country, count(*) n from forum_hasmember fm "
+                       "join person p on p.id = fm.PersonId join city ci on ci.id = p.LocationCityId group by 1, 2"),
+    ("top_forums_q04", "select f.id, f.creationDate, max(mc.n) maxNumberOfMembers from forum f join member_country mc "
+                       "on mc.ForumId = f.id group by f.id, f.creationDate"),
+    ("popularity_q06", "select m.CreatorPersonId person2id, count(*) popularityScore from person_likes_message l "
+                       "join message m on m.MessageId = l.MessageId group by 1"),
+    ("reply_pairs", "select least(r.CreatorPersonId, m.CreatorPersonId) a, greatest(r.CreatorPersonId, m.CreatorPersonId) b "
+                    "from message r join message m on m.MessageId = r.ParentMessageId "
+                    "where r.CreatorPersonId <> m.CreatorPersonId"),
+    ("q19_weights", "select a src, b dst, cast(greatest(round(40 - sqrt(count(*))), 1) as double) w from reply_pairs "
+                    "where exists (select 1 from person_knows_person k where k.Person1Id = a and k.Person2Id = b) "
+                    "group by a, b"),
     ("path_q19", "select src, dst, w from q19_weights union all select dst, src, w from q19_weights"),
-    ("path_q20", "select p1.PersonId src, p2.PersonId dst, cast(min(abs(p1.classYear - p2.classYear)) + 1 as int) w "
-                 "from knows pp, person_studyat p1, person_studyat p2 where pp.Person1Id = p1.PersonId and "
-                 "pp.Person2Id = p2.PersonId and p1.UniversityId = p2.UniversityId group by p1.PersonId, p2.PersonId"),
+    ("path_q20", "select k.Person1Id src, k.Person2Id dst, cast(1 + min(abs(s.classYear - t.classYear)) as int) w "
+                 "from knows k join person_studyat s on s.PersonId = k.Person1Id join person_studyat t "
+                 "on t.PersonId = k.Person2Id and t.UniversityId = s.UniversityId group by k.Person1Id, k.Person2Id"),
 ]
 
 

@@ -8,20 +8,20 @@ _POWER = ("'writes', '1', '2a', '2b', '3', '4', '5', '6', '7', '8a', '8b', '9',
           "'14a', '14b', '15a', '15b', '16a', '16b', '17', '18', '19a', '19b', '20a', '20b'")
 
 _CTES = [
-    ("pti", "select tool, regexp_replace('0' || q, '\\D', '', 'g')::int qid, q, time from timings "
-            "where batch_type = 'power'"),
+    ("power_rows", "select tool, cast(concat('0', regexp_replace(q, '[^0-9]+', '', 'g')) as integer) qid, q, time "
+                   "from timings where batch_type = 'power'"),
     ("pstats", "select tool, qid, q, count(time) count, min(time) min_time, max(time) max_time, round(avg(time), 6) "
-               "avg_time, round(sum(time), 6) total_time, percentile_disc(0.50) within group (order by time) p50_time, "
-               "percentile_disc(0.90) within group (order by time) p90_time, percentile_disc(0.95) within group "
-               "(order by time) p95_time, percentile_disc(0.99) within group (order by time) p99_time from pti "
+               "avg_time, round(sum(time), 6) total_time, quantile_disc(time, 0.5) p50_time, quantile_disc(time, 0.9) "
+               "p90_time, quantile_disc(time, 0.95) p95_time, quantile_disc(time, 0.99) p99_time from power_rows "
                "group by tool, qid, q"),
-    ("tpt", "select * from timings where batch_type = 'throughput' and q in ('reads', 'writes')"),
-    ("cut", "select tool, min(day) cut from (select distinct tool, day, sum(time) over (partition by tool order by day) "
-            "rt from tpt) where rt >= 3600.0 group by tool"),
-    ("tb", "select t.tool, coalesce(count(k.day), 0) // 2 n_batches, round(sum(k.time), 6) t_batches from "
-           "(select distinct tool from timings) t left join (select tpt.* from tpt join cut on cut.tool = tpt.tool "
-           "and tpt.day <= cut.cut) k on k.tool = t.tool group by t.tool"),
-    ("sfs", "select tool, first(sf) sf from timings group by tool"),
+    ("per_day", "select tool, day, sum(time) t, count(*) n from timings where batch_type = 'throughput' "
+                "and q in ('reads', 'writes') group by tool, day"),
+    ("running", "select *, sum(t) over (partition by tool order by day) acc from per_day"),
+    ("cutoff", "select tool, min(day) cut from running where acc >= 3600.0 group by tool"),
+    ("tb", "select r.tool, coalesce(sum(r.n) filter (where r.day <= c.cut), 0) // 2 n_batches, "
+           "round(sum(r.t) filter (where r.day <= c.cut), 6) t_batches from running r left join cutoff c "
+           "on c.tool = r.tool group by r.tool"),
+    ("sfs", "select tool, any_value(sf) sf from timings group by tool"),
 ]
 
 SCORE_SQL = {
@@ -29,7 +29,7 @@ SCORE_SQL = {
     "score_throughput_batches": with_fixture(*_CTES, select="select * from tb"),
     "score_power": with_fixture(*_CTES, select=(
         "select p.tool, round(p.power, 6) power, round(p.power * s.sf, 6) power_at_sf from (select tool, "
-        f"3600 / exp(avg(ln(total_time))) power from pstats where q in ({_POWER}) group by tool) p "
+        f"3600 / geometric_mean(total_time) power from pstats where q in ({_POWER}) group by tool) p "
         "join sfs s on s.tool = p.tool")),
     "score_throughput": with_fixture(*_CTES, select=(
         "select tb.tool, round(case when n_batches = 0 then null else (24 - 600.0/3600) * (n_batches / "
