@@ -19,6 +19,24 @@ from pyspark.sql import functions as F
 from graphbi.plans import factors as FT
 
 
+# Percentile p and row limit k of every curation job (they must
+# equal the workload's so that the same parameters are chosen).
+P = {
+    "pg_01": (0.15, 80), "pg_02a": (0.92, 400), "pg_02b": (0.62, 400), "pg_03": (0.82, 80), "pg_04": (None, 40),
+    "pg_05": (0.85, 400), "pg_06": (0.88, 400), "pg_07": (0.98, 200), "pg_08a": (0.98, 100), "pg_08b": (0.31, 100),
+    "pg_10a_country": (0.55, 20), "pg_10a_person": (0.55, 50), "pg_10a_tagclass": (0.55, 15),
+    "pg_10b_country": (0.35, 20), "pg_10b_person": (None, 50), "pg_10b_tagclass": (0.25, 15),
+    "pg_12_language": (0.98, 10), "pg_14a": (0.98, 50), "pg_14b": (0.03, 50), "pg_15a_sample": (None, 80),
+    "pg_15b": (None, 400), "pg_16a_a": (1.00, 100), "pg_16a_b": (0.995, 100), "pg_16b_a": (0.45, 100),
+    "pg_16b_b": (0.37, 100), "pg_16": (None, 400), "pg_17": (0.27, 400), "pg_18": (0.99, 400), "pg_19": (None, 400),
+    "pg_20a_company": (0.9, 50), "pg_20a_person": (0.55, 50), "pg_20a": (None, 400), "pg_20b_comp": (0.47, 200),
+    "pg_20b": (None, 400), "pg_10": (None, 400), "naive": (None, 400),
+}
+# Discrete percentiles of the creation days used as date anchors.
+ANCHOR = {"pg_02": 0.15, "pg_08": 0.15, "pg_09": 0.89, "pg_11": 0.92, "pg_12": 0.79, "pg_13": 0.94, "pg_15a": 0.95,
+          "pg_15b": 0.10}
+
+
 class Factors:
     """Lazily built factor and temporal tables of one graph snapshot."""
 
@@ -145,7 +163,7 @@ def _add_days(d: Column, n) -> Column:
 # --- curation jobs -----------------------------------------------------------
 
 def pg_01(f: Factors) -> DataFrame:
-    top = curate_by_percentile(f.creationDayNumMessages, 0.15, ["creationDay"], 80)
+    top = curate_by_percentile(f.creationDayNumMessages, P["pg_01"][0], ["creationDay"], P["pg_01"][1])
     e = F.unix_timestamp(F.col("creationDay").cast("timestamp"))
     h, m, s = F.expr("(x div 37) % 24"), F.expr("(x div 37) % 60"), F.expr("(x div 31) % 60")
     shifted = (top.withColumn("x", e)
@@ -155,7 +173,7 @@ def pg_01(f: Factors) -> DataFrame:
 
 
 def pg_02_windows(f: Factors) -> DataFrame:
-    anchor = percentile_day(f.creationDayNumMessages, "creationDay", 0.15)
+    anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_02"])
     rows = f.creationDayAndTagClassNumMessages.withColumn("_off", F.datediff("creationDay", anchor))
     lo, hi = F.greatest(F.lit(1), F.col("_off") - 189), F.least(F.lit(20), F.col("_off") + 10)
     salted = rows.where(lo <= hi).withColumn("salt", F.explode(F.sequence(lo, hi)))
@@ -163,49 +181,51 @@ def pg_02_windows(f: Factors) -> DataFrame:
             .select(_add_days(anchor, F.col("salt") - 10).alias("date"), "tagClassName", "frequency"))
 
 
-def _pg_02(f: Factors, p: float) -> DataFrame:
-    top = curate_by_percentile(pg_02_windows(f), p, ["date", "tagClassName"], 400)
+def _pg_02(f: Factors, key: str) -> DataFrame:
+    p, k = P[key]
+    top = curate_by_percentile(pg_02_windows(f), p, ["date", "tagClassName"], k)
     return top.orderBy(_md5("tagClassName", "date")).select("date", F.col("tagClassName").alias("tagClass"))
 
 
 def pg_02a(f):
-    return _pg_02(f, 0.92)
+    return _pg_02(f, "pg_02a")
 
 
 def pg_02b(f):
-    return _pg_02(f, 0.62)
+    return _pg_02(f, "pg_02b")
 
 
 def pg_03(f: Factors) -> DataFrame:
-    top = curate_by_percentile(f.tagClassNumMessages, 0.82, ["name"], 80)
+    top = curate_by_percentile(f.tagClassNumMessages, P["pg_03"][0], ["name"], P["pg_03"][1])
     return top.select(F.col("name").alias("tagClass"),
                       F.when(F.col("id") % 2 == 0, "China").otherwise("India").alias("country"))
 
 
 def pg_04(f: Factors) -> DataFrame:
-    first = f.creationDayNumMessages.select("creationDay").orderBy("creationDay").limit(40)
+    first = f.creationDayNumMessages.select("creationDay").orderBy("creationDay").limit(P["pg_04"][1])
     return first.orderBy(_md5("creationDay")).select(F.col("creationDay").alias("date"))
 
 
-def _tag_curation(f: Factors, p: float, k: int) -> DataFrame:
+def _tag_curation(f: Factors, key: str) -> DataFrame:
+    p, k = P[key]
     top = curate_by_percentile(f.tagNumMessages, p, ["tagName"], k)
     return top.orderBy(_md5("tagName")).select(F.col("tagName").alias("tag"))
 
 
 def pg_05(f):
-    return _tag_curation(f, 0.85, 400)
+    return _tag_curation(f, "pg_05")
 
 
 def pg_06(f):
-    return _tag_curation(f, 0.88, 400)
+    return _tag_curation(f, "pg_06")
 
 
 def pg_07(f):
-    return _tag_curation(f, 0.98, 200)
+    return _tag_curation(f, "pg_07")
 
 
 def pg_08_windows(f: Factors) -> DataFrame:
-    anchor = percentile_day(f.creationDayNumMessages, "creationDay", 0.15)
+    anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_08"])
     salt = F.col("salt")
     start = _add_days(anchor, salt - 10)
     end = _add_days(anchor, salt + salt * 37 % 5)
@@ -216,21 +236,22 @@ def pg_08_windows(f: Factors) -> DataFrame:
             .select(start.alias("startDate"), end.alias("endDate"), "tagName", "frequency"))
 
 
-def _pg_08(f: Factors, p: float) -> DataFrame:
-    top = curate_by_percentile(pg_08_windows(f), p, ["tagName", "startDate"], 100)
+def _pg_08(f: Factors, key: str) -> DataFrame:
+    p, k = P[key]
+    top = curate_by_percentile(pg_08_windows(f), p, ["tagName", "startDate"], k)
     return top.orderBy(_md5("tagName", "startDate")).select(F.col("tagName").alias("tag"), "startDate", "endDate")
 
 
 def pg_08a(f):
-    return _pg_08(f, 0.98)
+    return _pg_08(f, "pg_08a")
 
 
 def pg_08b(f):
-    return _pg_08(f, 0.31)
+    return _pg_08(f, "pg_08b")
 
 
 def pg_09(f: Factors) -> DataFrame:
-    anchor = percentile_day(f.creationDayNumMessages, "creationDay", 0.89)
+    anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_09"])
     base = (_one(f.spark, anchor=anchor).withColumn("salt1", F.explode(F.sequence(F.lit(1), F.lit(20))))
             .withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(1)))))
     s1, s2 = F.col("salt1"), F.col("salt2")
@@ -246,7 +267,7 @@ def _pg_10(f: Factors, countries: DataFrame, persons: DataFrame, classes: DataFr
             .select("c", "p", F.explode("t").alias("t"))
             .select(F.col("p.id").alias("id"), F.col("c.countryName").alias("countryName"),
                     F.col("t.tagClassName").alias("tagClassName")))
-    return (prod.orderBy(_md5("id", "countryName", "tagClassName")).limit(400)
+    return (prod.orderBy(_md5("id", "countryName", "tagClassName")).limit(P["pg_10"][1])
             .select(F.col("id").alias("personId"), F.col("countryName").alias("country"),
                     F.col("tagClassName").alias("tagClass"), F.lit(3).alias("minPathDistance"),
                     F.lit(4).alias("maxPathDistance")))
@@ -257,21 +278,25 @@ def _alive_friends(f: Factors) -> DataFrame:
 
 
 def pg_10a(f: Factors) -> DataFrame:
-    c = curate_by_percentile(f.countryNumPersons, 0.55, ["name"], 20).select(F.col("name").alias("countryName"))
-    p = curate_by_percentile(_alive_friends(f), 0.55, ["id"], 50).select("id")
-    t = curate_by_percentile(f.tagClassNumTags, 0.55, ["name"], 15).select(F.col("name").alias("tagClassName"))
+    c = curate_by_percentile(f.countryNumPersons, P["pg_10a_country"][0], ["name"], P["pg_10a_country"][1])
+    p = curate_by_percentile(_alive_friends(f), P["pg_10a_person"][0], ["id"], P["pg_10a_person"][1]).select("id")
+    t = curate_by_percentile(f.tagClassNumTags, P["pg_10a_tagclass"][0], ["name"], P["pg_10a_tagclass"][1])
+    c = c.select(F.col("name").alias("countryName"))
+    t = t.select(F.col("name").alias("tagClassName"))
     return _pg_10(f, c, p, t)
 
 
 def pg_10b(f: Factors) -> DataFrame:
-    c = curate_by_percentile(f.countryNumPersons, 0.35, ["name"], 20).select(F.col("name").alias("countryName"))
-    p = _alive_friends(f).where(F.col("frequency") == 1).orderBy("id").limit(50).select("id")
-    t = curate_by_percentile(f.tagClassNumTags, 0.25, ["name"], 15).select(F.col("name").alias("tagClassName"))
+    c = curate_by_percentile(f.countryNumPersons, P["pg_10b_country"][0], ["name"], P["pg_10b_country"][1])
+    p = _alive_friends(f).where(F.col("frequency") == 1).orderBy("id").limit(P["pg_10b_person"][1]).select("id")
+    t = curate_by_percentile(f.tagClassNumTags, P["pg_10b_tagclass"][0], ["name"], P["pg_10b_tagclass"][1])
+    c = c.select(F.col("name").alias("countryName"))
+    t = t.select(F.col("name").alias("tagClassName"))
     return _pg_10(f, c, p, t)
 
 
 def pg_11(f: Factors) -> DataFrame:
-    anchor = percentile_day(f.creationDayNumMessages, "creationDay", 0.92)
+    anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_11"])
     base = (_one(f.spark, anchor=anchor).withColumn("salt1", F.explode(F.sequence(F.lit(1), F.lit(20))))
             .withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(1)))))
     s1, s2 = F.col("salt1"), F.col("salt2")
@@ -282,8 +307,9 @@ def pg_11(f: Factors) -> DataFrame:
 
 
 def pg_12(f: Factors) -> DataFrame:
-    anchor = percentile_day(f.creationDayNumMessages, "creationDay", 0.79)
-    langs = curate_by_percentile(f.languageNumPosts, 0.98, ["language"], 10).select("language")
+    anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_12"])
+    langs = curate_by_percentile(f.languageNumPosts, P["pg_12_language"][0], ["language"],
+                                 P["pg_12_language"][1]).select("language")
     base = (_one(f.spark, anchor=anchor, langs=_array_of(langs, "language"))
             .withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(20))))
             .withColumn("lng", F.explode("langs"))
@@ -301,7 +327,7 @@ def pg_12(f: Factors) -> DataFrame:
 
 
 def pg_13(f: Factors) -> DataFrame:
-    anchor = percentile_day(f.creationDayNumMessages, "creationDay", 0.94)
+    anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_13"])
     days = (_one(f.spark, anchor=anchor).withColumn("salt1", F.explode(F.sequence(F.lit(456789), F.lit(456789 + 20))))
             .select(_add_days(F.col("anchor"), F.col("salt1") * 47 % 20 - 5).alias("endDate")).distinct())
     out = days.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(1))))
@@ -309,22 +335,23 @@ def pg_13(f: Factors) -> DataFrame:
             .select(F.when(F.col("salt2") % 2 == 0, "India").otherwise("China").alias("country"), "endDate"))
 
 
-def _pg_14(f: Factors, p: float) -> DataFrame:
-    top = curate_by_percentile(f.countryPairsNumFriends, p, ["country1Name", "country2Name"], 50)
+def _pg_14(f: Factors, key: str) -> DataFrame:
+    p, k = P[key]
+    top = curate_by_percentile(f.countryPairsNumFriends, p, ["country1Name", "country2Name"], k)
     return (top.orderBy(_md5("country1Name", "country2Name"))
             .select(F.col("country1Name").alias("country1"), F.col("country2Name").alias("country2")))
 
 
 def pg_14a(f):
-    return _pg_14(f, 0.98)
+    return _pg_14(f, "pg_14a")
 
 
 def pg_14b(f):
-    return _pg_14(f, 0.03)
+    return _pg_14(f, "pg_14b")
 
 
 def pg_15a_core(f: Factors) -> DataFrame:
-    sample = f.people4Hops.orderBy("person1Id", "person2Id").limit(80).select("person1Id", "person2Id")
+    sample = f.people4Hops.orderBy("person1Id", "person2Id").limit(P["pg_15a_sample"][1]).select("person1Id", "person2Id")
     k = f.personKnowsPersonDays_window
     k1 = k.select(F.col("Person1Id").alias("person1Id"), F.col("Person2Id").alias("_m1"))
     k2 = k.select(F.col("Person1Id").alias("_m1"), F.col("Person2Id").alias("middleCandidate"))
@@ -332,7 +359,7 @@ def pg_15a_core(f: Factors) -> DataFrame:
 
 
 def pg_15a(f: Factors) -> DataFrame:
-    anchor = percentile_day(f.creationDayNumMessages, "creationDay", 0.95)
+    anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_15a"])
     k = f.personKnowsPersonDays_window
     k4 = k.select(F.col("Person1Id").alias("person2Id"), F.col("Person2Id").alias("_m4"))
     k3 = k.select(F.col("Person1Id").alias("_m4"), F.col("Person2Id").alias("middleCandidate"))
@@ -344,7 +371,7 @@ def pg_15a(f: Factors) -> DataFrame:
 
 
 def pg_15b(f: Factors) -> DataFrame:
-    anchor = percentile_day(f.creationDayNumMessages, "creationDay", 0.10)
+    anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_15b"])
     k = f.personKnowsPersonDays_window
     k1 = k.select(F.col("Person1Id").alias("person1Id"), F.col("Person2Id").alias("_m"))
     k2 = k.select(F.col("Person1Id").alias("_m"), F.col("Person2Id").alias("person2Id"))
@@ -353,45 +380,46 @@ def pg_15b(f: Factors) -> DataFrame:
                           _add_days(anchor, F.col("person1Id") % 9 - 11).alias("startDate"),
                           _add_days(anchor, F.col("person1Id") % 9 + 11).alias("endDate")).distinct()
     return (out.orderBy(F.md5((131 * F.col("person1Id") + 241 * F.col("person2Id")).cast("string")), _md5("person1Id"))
-            .limit(400))
+            .limit(P["pg_15b"][1]))
 
 
-def _tag_dates(f: Factors, p: float, pick) -> DataFrame:
+def _tag_dates(f: Factors, key: str, pick) -> DataFrame:
+    p, k = P[key]
     ft = f.creationDayAndTagNumMessages
     target = percentile_disc(ft, "frequency", p)
     rows = (ft.withColumn("diff", F.abs(F.col("frequency") - target))
             .groupBy(F.col("name").alias("tagName"), F.col("frequency").alias("freq"), "diff")
             .agg(pick("creationDay").alias("creationDay")))
-    return rows.orderBy("diff", _md5("tagName"), "freq").limit(100)
+    return rows.orderBy("diff", _md5("tagName"), "freq").limit(k)
 
 
-def _pg_16(f: Factors, pa: float, pb: float) -> DataFrame:
-    a = _tag_dates(f, pa, F.max).select(F.col("tagName").alias("tagA"), F.col("creationDay").alias("dateA"))
-    b = _tag_dates(f, pb, F.min).select(F.col("tagName").alias("tagB"), F.col("creationDay").alias("dateB"))
+def _pg_16(f: Factors, key: str) -> DataFrame:
+    a = _tag_dates(f, f"{key}_a", F.max).select(F.col("tagName").alias("tagA"), F.col("creationDay").alias("dateA"))
+    b = _tag_dates(f, f"{key}_b", F.min).select(F.col("tagName").alias("tagB"), F.col("creationDay").alias("dateB"))
     lists = _one(f.spark, a=_array_of(a, "tagA", "dateA"), b=_array_of(b, "tagB", "dateB"))
     prod = (lists.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
             .select("a.tagA", "a.dateA", "b.tagB", "b.dateB").where(F.col("tagA") != F.col("tagB")))
-    return (prod.orderBy(_md5("tagA", "tagB"), "dateA", "dateB").limit(400)
+    return (prod.orderBy(_md5("tagA", "tagB"), "dateA", "dateB").limit(P["pg_16"][1])
             .select("tagA", "dateA", "tagB", "dateB",
                     (3 + (F.dayofyear("dateA") + F.dayofyear("dateB")) % 4).alias("maxKnowsLimit")))
 
 
 def pg_16a(f):
-    return _pg_16(f, 1.00, 0.995)
+    return _pg_16(f, "pg_16a")
 
 
 def pg_16b(f):
-    return _pg_16(f, 0.45, 0.37)
+    return _pg_16(f, "pg_16b")
 
 
 def pg_17(f: Factors) -> DataFrame:
-    top = curate_by_percentile(f.tagNumMessages, 0.27, ["tagName"], 400)
+    top = curate_by_percentile(f.tagNumMessages, P["pg_17"][0], ["tagName"], P["pg_17"][1])
     code_sum = F.aggregate(F.transform(F.split("tagName", ""), lambda ch: F.ascii(ch)), F.lit(0), lambda acc, x: acc + x)
     return top.orderBy(_md5("tagName")).select(F.col("tagName").alias("tag"), (8 + code_sum % 9).alias("delta"))
 
 
 def pg_18(f: Factors) -> DataFrame:
-    top = curate_by_percentile(f.tagNumPersons, 0.99, ["name"], 400)
+    top = curate_by_percentile(f.tagNumPersons, P["pg_18"][0], ["name"], P["pg_18"][1])
     return top.select(F.col("name").alias("tag"))
 
 
@@ -400,7 +428,7 @@ def _pg_19(f: Factors, same_country: bool) -> DataFrame:
     rows = cp.where((F.col("country1Id") == F.col("country2Id")) if same_country
                     else (F.col("country1Id") != F.col("country2Id")))
     key = F.md5((F.lit(3532569367) * F.col("city1Id") + F.lit(342663089) * F.col("city2Id")).cast("string"))
-    return rows.orderBy(key).limit(400).select("city1Id", "city2Id")
+    return rows.orderBy(key).limit(P["pg_19"][1]).select("city1Id", "city2Id")
 
 
 def pg_19a(f):
@@ -416,9 +444,10 @@ def pg_20_same_university_knows(f: Factors) -> DataFrame:
 
 
 def pg_20a(f: Factors) -> DataFrame:
-    s1 = (curate_by_percentile(f.companyNumEmployees, 0.9, ["name", "id"], 50)
+    s1 = (curate_by_percentile(f.companyNumEmployees, P["pg_20a_company"][0], ["name", "id"], P["pg_20a_company"][1])
           .select(F.col("id").alias("companyId"), F.col("name").alias("companyName")))
-    s2 = (curate_by_percentile(_alive_friends(f), 0.55, [_md5("id")], 50).select(F.col("id").alias("personId")))
+    s2 = (curate_by_percentile(_alive_friends(f), P["pg_20a_person"][0], [_md5("id")], P["pg_20a_person"][1])
+          .select(F.col("id").alias("personId")))
     lists = _one(f.spark, c=_array_of(s1, "companyId", "companyName"), p=_array_of(s2, "personId"))
     pairs = (lists.select(F.explode("c").alias("c"), "p").select("c", F.explode("p").alias("p"))
              .select("c.companyId", "c.companyName", "p.personId"))
@@ -427,18 +456,18 @@ def pg_20a(f: Factors) -> DataFrame:
     employer_comps = (f.personWorkAtCompanyDays_window.select(F.col("CompanyId").alias("companyId"), "PersonId")
                       .join(suc, "PersonId").select("companyId", "Component").distinct())
     ok = with_comp.join(employer_comps, ["companyId", "Component"], "left_anti")
-    return (ok.orderBy(_md5("personId", "companyId"), _md5("personId"), _md5("companyId")).limit(400)
+    return (ok.orderBy(_md5("personId", "companyId"), _md5("personId"), _md5("companyId")).limit(P["pg_20a"][1])
             .select(F.col("companyName").alias("company"), F.col("personId").alias("person2Id")))
 
 
 def pg_20b_comp(f: Factors) -> DataFrame:
-    target = percentile_disc(f.companyNumEmployees, "frequency", 0.47)
+    target = percentile_disc(f.companyNumEmployees, "frequency", P["pg_20b_comp"][0])
     w = f.personWorkAtCompanyDays_window.select(F.col("PersonId").alias("person1Id"), F.col("CompanyId").alias("id"))
     rows = (f.companyNumEmployees.join(w, "id")
             .select("person1Id", F.col("id").alias("companyId"), F.col("name").alias("companyName"),
                     F.abs(F.col("frequency") - target).alias("diff"),
                     F.row_number().over(Window.partitionBy("id").orderBy(_md5("person1Id"))).alias("rnum")))
-    return (rows.where(F.col("rnum") < 5).orderBy("diff", _md5("person1Id"), _md5("companyId")).limit(200)
+    return (rows.where(F.col("rnum") < 5).orderBy("diff", _md5("person1Id"), _md5("companyId")).limit(P["pg_20b_comp"][1])
             .select("person1Id", "companyId", "companyName"))
 
 
@@ -454,7 +483,7 @@ def pg_20b(f: Factors) -> DataFrame:
     work = f.personWorkAtCompanyDays_window.select(F.col("CompanyId").alias("companyId"),
                                                    F.col("PersonId").alias("person2Id"))
     cand = pg_20b_twohop(f).join(work, ["companyId", "person2Id"], "left_anti").distinct()
-    return (cand.orderBy(_md5("person2Id"), _md5("companyId")).limit(400)
+    return (cand.orderBy(_md5("person2Id"), _md5("companyId")).limit(P["pg_20b"][1])
             .select(F.col("companyName").alias("company"), "person2Id"))
 
 
@@ -492,7 +521,7 @@ def _naive(df: DataFrame, key: Column, n: int | None, out: list[Column], tie: li
 
 def naive_pg_01(f):
     d = f.creationDayNumMessages
-    return _naive(d, _md5("creationDay"), 400,
+    return _naive(d, _md5("creationDay"), P["naive"][1],
                   [F.date_format(F.col("creationDay").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
                    .alias("datetime")], ["creationDay"])
 
@@ -503,7 +532,7 @@ def naive_pg_02m(f):
 
 def naive_pg_02a(f):
     w = naive_pg_02m(f)
-    return _naive(w, _md5("date", "name"), 400, [F.col("date"), F.col("name").alias("tagClass")], ["date", "name"])
+    return _naive(w, _md5("date", "name"), P["naive"][1], [F.col("date"), F.col("name").alias("tagClass")], ["date", "name"])
 
 
 def naive_pg_04(f):
@@ -518,7 +547,7 @@ def _naive_tag(f, salt: str, with_delta: bool = False):
         code_sum = F.aggregate(F.transform(F.split("tagName", ""), lambda ch: F.ascii(ch)), F.lit(0),
                                lambda acc, x: acc + x)
         cols.append((8 + code_sum % 9).alias("delta"))
-    return _naive(t, F.md5(F.concat(F.col("tagName"), F.lit(salt))), 400, cols, ["tagName"])
+    return _naive(t, F.md5(F.concat(F.col("tagName"), F.lit(salt))), P["naive"][1], cols, ["tagName"])
 
 
 def naive_pg_05(f):
@@ -539,13 +568,13 @@ def naive_pg_08m(f):
 
 def naive_pg_08a(f):
     w = naive_pg_08m(f)
-    return _naive(w, _md5("name", "startDate"), 400, [F.col("name").alias("tag"), "startDate", "endDate"],
+    return _naive(w, _md5("name", "startDate"), P["naive"][1], [F.col("name").alias("tag"), "startDate", "endDate"],
                   ["name", "startDate"])
 
 
 def naive_pg_14a(f):
     c = f.countryPairsNumFriends
-    return _naive(c, _md5("country1Name", "country2Name"), 400,
+    return _naive(c, _md5("country1Name", "country2Name"), P["naive"][1],
                   [F.col("country1Name").alias("country1"), F.col("country2Name").alias("country2")],
                   ["country1Name", "country2Name"])
 
@@ -561,7 +590,7 @@ def naive_pg_18(f):
 def naive_pg_19a(f):
     c = f.cityPairsNumFriends
     key = F.md5((F.lit(3532569367) * F.col("city1Id") + F.lit(342663089) * F.col("city2Id")).cast("string"))
-    return _naive(c, key, 400, [F.col("city1Id"), F.col("city2Id")], ["city1Id", "city2Id"])
+    return _naive(c, key, P["naive"][1], [F.col("city1Id"), F.col("city2Id")], ["city1Id", "city2Id"])
 
 
 JOBS.update({
