@@ -11,6 +11,14 @@ MESSAGE_COLUMNS = ["creationDate", "MessageId", "RootPostId", "RootPostLanguage"
                    "CreatorPersonId", "ContainerForumId", "ParentMessageId"]
 THREAD_ATTRS = ["RootPostId", "RootPostLanguage", "ContainerForumId"]
 
+# Interaction weight w = max(round(INTERACTION_BASE - sqrt(replies)), 1);
+# trust weight w = TRUST_SCALE / (s + TRUST_SCALE), s adding TRUST_POST_REPLY per reply
+# to a post and TRUST_COMMENT_REPLY per reply to a comment.
+INTERACTION_BASE = 40
+TRUST_SCALE = 10.0
+TRUST_POST_REPLY = 10
+TRUST_COMMENT_REPLY = 5
+
 
 def message_from_posts(post: DataFrame) -> DataFrame:
     """Posts as messages: their own root, no parent."""
@@ -116,7 +124,7 @@ def precomp_interaction_edges(message: DataFrame, person_knows_person: DataFrame
               .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
     friends = person_knows_person.select(F.col("Person1Id").alias("src"), F.col("Person2Id").alias("dst"))
     weights = (counts.join(friends, ["src", "dst"], "left_semi")
-               .select("src", "dst", F.greatest(F.round(40 - F.sqrt("n")).cast("bigint"), F.lit(1))
+               .select("src", "dst", F.greatest(F.round(INTERACTION_BASE - F.sqrt("n")).cast("bigint"), F.lit(1))
                        .cast("double").alias("w")))
     return weights.unionByName(weights.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
@@ -141,7 +149,7 @@ def trusted_edges(message: DataFrame, knows: DataFrame, forum: DataFrame, start,
          .join(my_forums.withColumnRenamed("_f", "parent_forum"), "parent_forum", "left_semi"))
     # the friendship test is a semi join on the (ordered) pair
     scored = (r.select(F.least("replier", "author").alias("src"), F.greatest("replier", "author").alias("dst"),
-                       F.when(F.col("parent_is_post"), 10).otherwise(5).alias("s"))
+                       F.when(F.col("parent_is_post"), TRUST_POST_REPLY).otherwise(TRUST_COMMENT_REPLY).alias("s"))
               .groupBy("src", "dst").agg(F.sum("s").alias("s")))
     undirected_pairs = knows.where(F.col("Person1Id") < F.col("Person2Id")).select(
         F.col("Person1Id").alias("src"), F.col("Person2Id").alias("dst"))
@@ -150,4 +158,4 @@ def trusted_edges(message: DataFrame, knows: DataFrame, forum: DataFrame, start,
                      F.least("Person1Id", "Person2Id").alias("_a"), F.greatest("Person1Id", "Person2Id").alias("_b"))
     s = scored.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), "s")
     return (k.join(s, ["_a", "_b"], "left")
-            .select("src", "dst", (F.lit(10.0) / (F.coalesce(F.col("s"), F.lit(0)) + 10)).alias("w")))
+            .select("src", "dst", (F.lit(TRUST_SCALE) / (F.coalesce(F.col("s"), F.lit(0)) + TRUST_SCALE)).alias("w")))
