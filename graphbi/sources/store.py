@@ -109,9 +109,11 @@ def build_graph(spark: SparkSession, sf_dir: str, root: str | None = None) -> Gr
 def load_graph(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Graph:
     """The stored snapshot of ``sf_dir``.
 
-    The snapshot lives in a folder named after the input path and the code
-    version below the shared root and is reused by later sessions once its
-    completion marker exists; ``fresh`` builds a new one (benchmarks)."""
+    A completion marker in a folder named after the input path and the code
+    version points at the finished snapshot, so later sessions reuse it.
+    Every build writes a folder of its own and publishes it by writing the
+    marker last; concurrent builders therefore never share a folder.
+    ``fresh`` always builds a new snapshot (benchmarks)."""
     import hashlib
 
     from graphbi.sources.parquet import path_exists
@@ -120,11 +122,14 @@ def load_graph(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Graph:
     if fresh:
         return build_graph(spark, sf_dir)
     key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{_code_version()}".encode()).hexdigest()[:16]
-    root = f"{shared_root(spark)}/graphbi/snapshot-{key}"
-    if not path_exists(spark, f"{root}/{_DONE}"):
-        build_graph(spark, sf_dir, root)
-        spark.createDataFrame([(sf_dir,)], "sf_dir string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{_DONE}")
-    return Graph(spark, root, _NAMES)
+    marker = f"{shared_root(spark)}/graphbi/snapshot-{key}/{_DONE}"
+    if path_exists(spark, marker):
+        root = spark.read.parquet(marker).first()["root"]
+        return Graph(spark, root, _NAMES)
+    g = build_graph(spark, sf_dir)
+    spark.createDataFrame([(g.root, sf_dir)], "root string, sf_dir string").coalesce(1) \
+        .write.mode("overwrite").parquet(marker)
+    return Graph(spark, g.root, _NAMES)
 
 
 def rebuild_precomputations(spark: SparkSession, tables: Mapping[str, DataFrame], root: str) -> dict[str, DataFrame]:
