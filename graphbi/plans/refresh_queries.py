@@ -133,3 +133,19 @@ def refresh_batch_streaming_q(spark, sf_dir):
 
 
 QUERIES["refresh_batch_streaming"] = refresh_batch_streaming_q
+
+
+def refresh_batch_in_place_q(spark, sf_dir):
+    """The same batch applied in place to tables partitioned by batch_id
+    (appends plus rewrites of the touched partitions only)."""
+    from graphbi.plans.live_store import LiveStore, apply_batch_in_place
+    configure(spark)
+    g = load_graph(spark, sf_dir)
+    batched = R.with_batches(g)
+    store = LiveStore.create(spark, scratch_path(spark, "live"), batched, R.FIRST_BATCH,
+                             {t: g[t] for t in R.STATIC})
+    out = apply_batch_in_place(spark, store, R.FIRST_BATCH, R.batch_rows(batched, R.FIRST_BATCH), DELETION_DATE)
+    return R.table_counts(out, ALL + ["path_q19", "path_q20", "popularity_q06", "top_forums_q04"])
+
+
+QUERIES["refresh_batch_in_place"] = refresh_batch_in_place_q
