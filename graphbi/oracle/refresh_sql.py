@@ -157,3 +157,4 @@ REFRESH_SQL["refresh_batch"] = with_fixture(*INS, *_FINAL, select=_counts([
 
 REFRESH_SQL["refresh_batch_streaming"] = REFRESH_SQL["refresh_batch"]
 REFRESH_SQL["refresh_batch_in_place"] = REFRESH_SQL["refresh_batch"]
+REFRESH_SQL["refresh_batch_streaming_in_place"] = REFRESH_SQL["refresh_batch"]

@@ -149,3 +149,21 @@ def refresh_batch_in_place_q(spark, sf_dir):
 
 
 QUERIES["refresh_batch_in_place"] = refresh_batch_in_place_q
+
+
+def refresh_batch_streaming_in_place_q(spark, sf_dir):
+    """The streaming job driving the in-place (partitioned) store."""
+    from graphbi.plans.live_store import LiveStore
+    from graphbi.streaming.refresh_stream import SnapshotChain, publish_batch, run_available
+    configure(spark)
+    g = load_graph(spark, sf_dir)
+    batched = R.with_batches(g)
+    live = LiveStore.create(spark, scratch_path(spark, "live"), batched, R.FIRST_BATCH, {t: g[t] for t in R.STATIC})
+    root = scratch_path(spark, "stream")
+    publish_batch(spark, root, batched, R.FIRST_BATCH, DELETION_DATE)
+    chain = run_available(spark, root, SnapshotChain(spark, root, None, {t: df.schema for t, df in batched.items()},
+                                                     live=live))
+    return R.table_counts(chain.current, ALL + ["path_q19", "path_q20", "popularity_q06", "top_forums_q04"])
+
+
+QUERIES["refresh_batch_streaming_in_place"] = refresh_batch_streaming_in_place_q
