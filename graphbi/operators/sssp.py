@@ -63,26 +63,54 @@ def _seed(nodes: DataFrame, side: int, with_group: bool) -> DataFrame:
     return n.select(*cols, "node", F.lit(0.0).alias("d"), F.lit(True).alias("fresh"))
 
 
+def _seed_both(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per node with both sides' labels: (node, dl, dr, fl, fr)."""
+    src = sources.select(F.col(sources.columns[0]).alias("node")).distinct().withColumn("dl", F.lit(0.0))
+    dst = targets.select(F.col(targets.columns[0]).alias("node")).distinct().withColumn("dr", F.lit(0.0))
+    both = src.join(dst, "node", "full")
+    return both.select("node", "dl", "dr", F.col("dl").isNotNull().alias("fl"), F.col("dr").isNotNull().alias("fr"))
+
+
+def _relax_both(state: DataFrame, edges: DataFrame, bound: float | None) -> DataFrame:
+    """Expand the fresh labels of both sides at once; keep per-node minima."""
+    def side(d: str, fresh: str) -> DataFrame:
+        live = state.where(F.col(fresh))
+        if bound is not None:
+            live = live.where(F.col(d) <= F.lit(bound))
+        return (live.select("node", F.col(d).alias("_d")).join(edges, "node")
+                .select(F.col("_to").alias("node"), (F.col("_d") + F.col("_w")).alias("_c")))
+    cand = (side("dl", "fl").withColumn("_s", F.lit(0)).unionByName(side("dr", "fr").withColumn("_s", F.lit(1)))
+            .groupBy("node").agg(F.min(F.when(F.col("_s") == 0, F.col("_c"))).alias("cl"),
+                                 F.min(F.when(F.col("_s") == 1, F.col("_c"))).alias("cr")))
+    merged = state.select("node", "dl", "dr").join(cand, "node", "full")
+    inf = F.lit(float("inf"))
+    return merged.select(
+        "node", F.least("dl", "cl").alias("dl"), F.least("dr", "cr").alias("dr"),
+        F.coalesce(F.col("cl") < F.coalesce(F.col("dl"), inf), F.lit(False)).alias("fl"),
+        F.coalesce(F.col("cr") < F.coalesce(F.col("dr"), inf), F.lit(False)).alias("fr"))
+
+
 def shortest_distance(spark: SparkSession, edges: DataFrame, sources: DataFrame, targets: DataFrame) -> float | None:
-    """Minimum path weight from any source to any target (None if unreachable)."""
+    """Minimum path weight from any source to any target (None if unreachable).
+
+    The state has one row per reached node carrying both sides' labels, so a
+    meeting is a per-row sum and the round's scalars (best meeting, smallest
+    live label) come from one scan of the stored state."""
     store = RoundStore(spark, "sssp1")
     e = _prepare_edges(edges)
-    keys = ["side", "node"]
     try:
-        state = store.put(_seed(sources, 0, False).unionByName(_seed(targets, 1, False)))
+        state = store.put(_seed_both(sources, targets))
         best = None
         for _ in range(MAX_ROUNDS):
-            per_node = state.groupBy("node").agg(
-                F.min(F.when(F.col("side") == 0, F.col("d"))).alias("l"),
-                F.min(F.when(F.col("side") == 1, F.col("d"))).alias("r"),
-                F.min(F.when(F.col("fresh"), F.col("d"))).alias("f"))
-            row = per_node.agg(F.min(F.col("l") + F.col("r")).alias("best"), F.min("f").alias("live")).first()
+            row = state.agg(F.min(F.col("dl") + F.col("dr")).alias("best"),
+                            F.min(F.least(F.when(F.col("fl"), F.col("dl")),
+                                          F.when(F.col("fr"), F.col("dr")))).alias("live")).first()
             if row["best"] is not None:
                 best = row["best"] if best is None else min(best, row["best"])
             bound = None if best is None else best / 2 + _tol(best)
             if row["live"] is None or (bound is not None and row["live"] > bound):
                 break
-            state = store.put(_relax(state, e, keys, bound))
+            state = store.put(_relax_both(state, e, bound))
         else:
             raise RuntimeError("shortest path did not converge")
     finally:
