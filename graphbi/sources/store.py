@@ -47,7 +47,7 @@ _NAMES = ["country", "city", "company", "person", "person_knows_person", "forum"
           "tagclass", "post_hastag", "comment_hastag", "person_likes_message", "forum_hasmember",
           "person_hasinterest", "person_studyat", "person_workat", "timings", "message", "knows", "message_hastag",
           "top_forums_q04", "popularity_q06", "path_q19", "path_q20"]
-_DONE = "_GRAPH_COMPLETE"
+_DONE = "published"
 
 
 def _code_version() -> str:
