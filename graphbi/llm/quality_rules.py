@@ -21,7 +21,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 #: Labelled rows that the forest is fitted on, at most; its trees and their sample size.
 MAX_LABELLED = 20_000
-TREES, TREE_ROWS, DEPTH = 128, 512, 10
+TREES, TREE_ROWS, DEPTH = 128, 128, 8
 #: Bins of the anomaly score in which the calibration counts, and what a lost good document weighs against a kept bad one.
 BINS, GOOD_WEIGHT = 2000, 2.0
 
@@ -118,8 +118,24 @@ class Forest:
         return 2.0 ** (-total / max(len(self.feature), 1) / max(self.norm, 1e-9))
 
 
-def fit_forest(x: np.ndarray, seed: int = 11) -> Forest:
-    """Trees on random subsets of rows, split at random values of random features that still vary."""
+def separation(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """For each feature the largest distance between its two distributions (good, bad), squared; all 1 without both kinds."""
+    if not good.any() or good.all() or not len(x):
+        return np.ones(x.shape[1])
+    out = []
+    for column in x.T:
+        at = np.unique(column)
+        out.append(np.abs(np.searchsorted(np.sort(column[good]), at, "right") / good.sum()
+                          - np.searchsorted(np.sort(column[~good]), at, "right") / (~good).sum()).max())
+    return np.square(out) + 1e-3
+
+
+def fit_forest(x: np.ndarray, weight: np.ndarray, seed: int = 11) -> Forest:
+    """Trees on random subsets of rows, split at random values of random features that still vary.
+
+    A feature is drawn with its weight: statistics that don't tell labelled
+    documents apart rarely isolate a document.
+    """
     rng, nodes = np.random.default_rng(seed), 2 ** (DEPTH + 1) - 1
     size = min(TREE_ROWS, len(x))
     feature, split, length = np.full((TREES, nodes), -1, dtype=np.int16), np.zeros((TREES, nodes)), np.zeros((TREES, nodes))
@@ -132,7 +148,7 @@ def fit_forest(x: np.ndarray, seed: int = 11) -> Forest:
             if depth == DEPTH or len(rows) < 2 or not len(varying):
                 length[t, node] = depth + float(path_correction(len(rows)))
                 continue
-            k = int(rng.choice(varying))
+            k = int(rng.choice(varying, p=weight[varying] / weight[varying].sum()))
             s = rng.uniform(low[k], high[k])
             s = s if s > low[k] else high[k]
             feature[t, node], split[t, node] = k, s
@@ -168,7 +184,8 @@ def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     passed = all_stats.where(~base_failed)
     # at most max_labelled ids: the bound makes the broadcast safe
     fit_on = passed.join(F.broadcast(sampled_labels(labels, "quality", max_labelled)), "doc_id").orderBy(*STATS, "doc_id").toPandas()
-    forest = fit_forest(features({s: fit_on[s].to_numpy() for s in STATS}))
+    x = features({s: fit_on[s].to_numpy() for s in STATS})
+    forest = fit_forest(x, separation(x, fit_on["quality"].to_numpy() > 0))
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     kinds = ", ".join(f"{n} {t}" for n, t in all_stats.dtypes)
 

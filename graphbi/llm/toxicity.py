@@ -21,7 +21,7 @@ from graphbi.llm.common import FOLD, arrow_map, partition_map, remainder, sample
 #: Labelled rows that the model is fitted on, at most (a sample by a hash of the id).
 MAX_LABELLED = 20_000
 BUCKETS = 1 << 18
-TERMS, FACTORS = 1024, 8
+TERMS, FACTORS = 256, 8
 EPOCHS, BATCH, RATE, DECAY = 15, 256, 0.02, 2e-4
 THRESHOLD = 0.3
 #: Entries of a task's cache from word to term.
