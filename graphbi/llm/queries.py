@@ -6,6 +6,7 @@ from graphbi.llm.bpe import op2_bpe
 from graphbi.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from graphbi.llm.decontaminate import op3_decontaminate
 from graphbi.llm.html_text import op5_html_text
+from graphbi.llm.lm_score import op8_lm_score
 from graphbi.llm.quality_rules import op6_quality_rules
 from graphbi.llm.simhash import op4_simhash
 from graphbi.llm.suffix_dedup import op7_suffix_dedup
@@ -14,5 +15,5 @@ from graphbi.llm.url_filter import SQL as URL_SQL
 from graphbi.llm.url_filter import op9_url_filter
 from graphbi.llm.warc import op10_warc
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_bpe, op3_decontaminate, op4_simhash, op5_html_text, op6_quality_rules, op7_suffix_dedup, op9_url_filter, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_bpe, op3_decontaminate, op4_simhash, op5_html_text, op6_quality_rules, op7_suffix_dedup, op8_lm_score, op9_url_filter, op10_warc)}
 ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE_SQL, "op9_url_filter": URL_SQL}
