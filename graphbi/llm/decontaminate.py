@@ -154,6 +154,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return rows.select("__row.*", *[c for c in rows.columns if c != "__row"])
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows in which a window of the benchmark occurs; all columns stay."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return find_hits(whole, benchmark, window, id_col="doc").where(~F.col("contaminated")).select("doc_id.*")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     out = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
