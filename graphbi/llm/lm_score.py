@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphbi.llm.common import ASCII_SPACE, LOWER, arrow_map, fields, partition_map, remainder, stored, table
-from graphbi.llm.suffix_dedup import Spans
+from graphbi.llm.suffix_dedup import hash_words
 
 #: Words in the table of frequent words, at most; classes; buckets of hashed features.
 FREQUENT = 1 << 17
@@ -46,7 +46,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, dtype=np.uint8)
     word = ~_SPACE[data]
     edge = np.diff(np.concatenate([[False], word, [False]]).view(np.int8))
-    return Spans(data)(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+    return hash_words(raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
 
 
 def tokens(text: str | None) -> np.ndarray:

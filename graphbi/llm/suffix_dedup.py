@@ -26,8 +26,10 @@ MIN_WORDS = 50
 #: Words in the sequences whose smallest hash is the minimiser.
 K = 16
 #: Suffixes of one K-word sequence that a task sorts at once; a commoner sequence has its windows counted one by one, in Spark.
-MAX_GROUP = 20_000
-_CHUNK = 20_000
+MAX_GROUP = 10_000
+_CHUNK = 8_000
+#: Bytes whose words are hashed at once.
+_PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -60,11 +62,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of byte spans of a buffer: a difference of prefix sums, shifted to its beginning."""
+    """Hashes of spans of numbers: a difference of prefix sums, shifted to its beginning."""
 
-    def __init__(self, data: np.ndarray):
-        _POWERS.grow(len(data) + 1)
-        self.prefix = np.concatenate([[np.uint64(0)], np.cumsum(_letters()[data] * _POWERS.up[:len(data)], dtype=np.uint64)])
+    def __init__(self, values: np.ndarray):
+        _POWERS.grow(len(values) + 1)
+        self.prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * _POWERS.up[:len(values)], out=self.prefix[1:])
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.prefix[end] - self.prefix[begin]) * _POWERS.down[begin])
@@ -77,6 +80,17 @@ def word_bounds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ends - sizes, ends
 
 
+def hash_words(joined: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places, a piece of the buffer at a time."""
+    data, out, at = np.frombuffer(joined, dtype=np.uint8), np.empty(len(begins), dtype=np.uint64), 0
+    while at < len(begins):
+        to = max(at + 1, int(np.searchsorted(ends, begins[at] + _PIECE, "right")))
+        shift = begins[at]
+        out[at:to] = Spans(_letters()[data[shift:ends[to - 1]]])(begins[at:to] - shift, ends[at:to] - shift)
+        at = to
+    return out
+
+
 def minimisers(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, first window, last window) of runs of windows of ``width`` grams whose leftmost smallest gram is at ``place``."""
     n = len(grams) - width + 1
@@ -99,7 +113,8 @@ def suffixes(text: str, min_words: int = MIN_WORDS, k: int = K):
         return None
     joined = b" ".join(words)
     begins, ends = word_bounds(words)
-    grams = Spans(np.frombuffer(joined, dtype=np.uint8))(begins[:len(words) - k + 1], ends[k - 1:])
+    at = np.arange(len(words) - k + 1)
+    grams = Spans(hash_words(joined, begins, ends))(at, at + k)
     place, first, last = minimisers(grams, min_words - k + 1)
     return joined, begins, ends, grams[place].view(np.int64), place, first, last
 
@@ -163,7 +178,7 @@ def _word_rows(around: list[bytes], counts: np.ndarray) -> np.ndarray:
     buffer = b" ".join(around)
     begins, ends = word_bounds(buffer.split())
     assert len(begins) == counts.sum()
-    return Spans(np.frombuffer(buffer, dtype=np.uint8))(begins, ends)
+    return hash_words(buffer, begins, ends)
 
 
 def _neighbour_lengths(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
