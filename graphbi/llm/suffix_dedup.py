@@ -141,17 +141,19 @@ def _counts(rows: DataFrame, min_words: int) -> DataFrame:
     return partition_map(rows.select("text"), "g bigint, n bigint", run).groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
 
 
-def _occurrences(rows: DataFrame, shared, hot, want_hot: bool, min_words: int) -> DataFrame:
-    """(g, key, place, low, high, before, around): suffixes whose minimiser may be shared, with the words that their windows reach.
+def _occurrences(rows: DataFrame, shared, hot, min_words: int) -> DataFrame:
+    """(g, key, place, low, high, around, lows): suffixes whose minimiser may be shared, with the words that their windows reach.
 
-    ``around`` is the text from the first word of the first window to the last
-    word of the last one, ``before`` the words ahead of the minimiser in it.
+    ``around`` is the text from the first word of the first window (low) to
+    the last word of the last one (high); ``place`` is the minimiser's word.
+    Suffixes of common minimisers only have the surroundings and their first
+    windows, ``lows``.
     """
     def start():
         sent = set()
 
         def work(batch: pa.RecordBatch) -> dict:
-            out = {c: [] for c in ("g", "key", "place", "low", "high", "around")}
+            out = {c: [] for c in ("g", "key", "place", "low", "high", "around", "lows")}
             for text in batch.column("text"):
                 text = text.as_py()
                 if (key := _key(text)) in sent:
@@ -160,17 +162,23 @@ def _occurrences(rows: DataFrame, shared, hot, want_hot: bool, min_words: int) -
                 if not (s := suffixes(text, min_words)):
                     continue
                 joined, begins, ends, g, place, first, last = s
-                keep = bloom.probe(shared.value, g)
-                if hot is not None:
-                    keep &= bloom.probe(hot.value, g) == want_hot
-                for i in np.flatnonzero(keep).tolist():
-                    a, b = int(first[i]), int(last[i])
-                    for c, x in zip(out, (int(g[i]), key, int(place[i]), a, b, joined[begins[a]:ends[b + min_words - 1]]), strict=True):
+                keep = np.flatnonzero(bloom.probe(shared.value, g))
+                g, place, low, high = g[keep], place[keep], first[keep], last[keep]
+                common = bloom.probe(hot.value, g) if hot is not None else np.zeros(len(g), dtype=bool)
+                around = [joined[x:y] for x, y in zip(begins[low].tolist(), ends[high + min_words - 1].tolist(), strict=True)]
+                lows: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(common).tolist():  # equal surroundings in a text are one row
+                    lows.setdefault(around[i], []).append(int(low[i]))
+                for i in np.flatnonzero(~common).tolist():
+                    for c, x in zip(out, (int(g[i]), key, int(place[i]), int(low[i]), int(high[i]), around[i], None), strict=True):
+                        out[c].append(x)
+                for piece, at in lows.items():
+                    for c, x in zip(out, (None, key, None, None, None, piece, at), strict=True):
                         out[c].append(x)
             return out
         return work
 
-    return arrow_map(rows.select("text"), "g bigint, key binary, place int, low int, high int, around binary", start)
+    return arrow_map(rows.select("text"), "g bigint, key binary, place int, low int, high int, around binary, lows array<int>", start)
 
 
 def _word_rows(around: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -287,29 +295,51 @@ def _compare(occurrences: DataFrame, min_words: int) -> DataFrame:
 
 
 def _count_windows(occurrences: DataFrame, min_words: int) -> DataFrame:
-    """Cover rows of common groups: a row for each window, counted with pre-aggregation; no group meets in a task."""
-    def start():
+    """Cover rows of common groups; no group meets in a task.
+
+    Suffixes with equal surroundings are one row; the windows of these rows
+    are counted with pre-aggregation and joined back by their hash.
+    """
+    def context():
         def work(batch: pa.RecordBatch) -> dict:
-            out = {c: [] for c in ("hash", "again", "key", "window")}
-            for key, low, high, around in zip(*[batch.column(c).to_pylist() for c in ("key", "low", "high", "around")], strict=True):
+            return {c: batch.column(c) for c in ("key", "lows", "around")} | {"context": [xxhash.xxh3_128_digest(x.as_py()) for x in batch.column("around")]}
+        return work
+
+    found = arrow_map(occurrences.select("key", "lows", "around"), "context binary, key binary, lows array<int>, around binary", context)
+    # the same row from several tasks is one
+    places = stored(found.groupBy("context", "key").agg(F.max("lows").alias("lows")), "llm-places")
+    contexts = (found.groupBy("context").agg(F.max("around").alias("around"))
+                .join(places.groupBy("context").agg(F.sum(F.size("lows")).alias("n"), F.min(F.struct("key", F.col("lows")[0].alias("low"))).alias("least")), "context"))
+
+    def windows():
+        def work(batch: pa.RecordBatch) -> dict:
+            out = {c: [] for c in ("hash", "again", "context", "step", "n", "key", "window")}
+            for name, around, n, least in zip(*[batch.column(c).to_pylist() for c in ("context", "around", "n", "least")], strict=True):
                 begins, ends = word_bounds(around.split(b" "))
-                for i in range(high - low + 1):
+                for i in range(len(begins) - min_words + 1):
                     piece = around[begins[i]:ends[i + min_words - 1]]
-                    for c, x in zip(out, (xxhash.xxh64_intdigest(piece, 1), xxhash.xxh64_intdigest(piece, 2), key, low + i), strict=True):
+                    for c, x in zip(out, (xxhash.xxh64_intdigest(piece, 1), xxhash.xxh64_intdigest(piece, 2), name, i, n, least["key"], least["low"] + i), strict=True):
                         out[c].append(x)
             return out | {c: np.array(out[c], dtype=np.uint64).view(np.int64) for c in ("hash", "again")}
         return work
 
-    windows = arrow_map(occurrences, "hash bigint, again bigint, key binary, window int", start).distinct()
-    least = windows.groupBy("hash", "again").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "window")).alias("first")).where("n > 1")
-    found = windows.join(least, ["hash", "again"]).select("key", "window", (F.struct("key", "window") == F.col("first")).alias("first"))
-    by_text = found.groupBy("key").agg(F.sort_array(F.collect_set("window")).alias("all"), F.sort_array(F.collect_set(F.when(F.col("first"), F.col("window")))).alias("firsts"))
+    each = stored(arrow_map(contexts, "hash bigint, again bigint, context binary, step int, n bigint, key binary, window int", windows), "llm-windows")
+    least = each.groupBy("hash", "again").agg(F.sum("n").alias("n"), F.min(F.struct("key", "window")).alias("first")).where("n > 1")
+    repeated = (each.select("hash", "again", "context", "step").join(least.select("hash", "again", "first"), ["hash", "again"])
+                .groupBy("context").agg(F.collect_list(F.struct("step", "first.key", "first.window")).alias("steps")))
 
     def cover():
-        return lambda batch: {"key": batch.column("key")} | {
-            name: [_runs(np.array(x, dtype=np.int64), min_words) for x in batch.column(c).to_pylist()] for name, c in (("covered", "all"), ("kept", "firsts"))}
+        def work(batch: pa.RecordBatch) -> dict:
+            out = {"key": batch.column("key"), "covered": [], "kept": []}
+            for key, lows, steps in zip(*[batch.column(c).to_pylist() for c in ("key", "lows", "steps")], strict=True):
+                windows = np.unique(np.add.outer(lows, [s["step"] for s in steps]))
+                mine = np.array([s["window"] for s in steps if s["key"] == key], dtype=np.int64)
+                out["covered"].append(_runs(windows, min_words))
+                out["kept"].append(_runs(np.intersect1d(mine, windows), min_words))
+            return out
+        return work
 
-    return arrow_map(by_text, _COVER, cover)
+    return arrow_map(places.join(repeated, "context").select("key", "lows", "steps"), _COVER, cover)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, max_group: int = MAX_GROUP, max_filter_bytes: int = bloom.MAX_BYTES) -> DataFrame:
@@ -329,9 +359,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, max_group: int =
     seen = sc.broadcast(bloom.build(shared, F.col("g"), n_shared, max_filter_bytes))
     # a group's members all go the same way, whether the filter is right about it or not
     common = sc.broadcast(bloom.build(hot, F.col("g"), n_hot, max_filter_bytes)) if n_hot else None
-    covers = _compare(_occurrences(rows, seen, common, False, min_words), min_words)
+    found = _occurrences(rows, seen, common, min_words)
     if n_hot:
-        covers = covers.unionByName(_count_windows(_occurrences(rows, seen, common, True, min_words), min_words))
+        found = stored(found, "llm-suffixes")
+        covers = _compare(found.where("lows is null"), min_words).unionByName(_count_windows(found.where("lows is not null"), min_words))
+    else:
+        covers = _compare(found, min_words)
     merged = covers.groupBy("key").agg(F.flatten(F.collect_list("covered")).alias("covered"), F.flatten(F.collect_list("kept")).alias("kept"))
 
     def start():
