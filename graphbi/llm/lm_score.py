@@ -251,8 +251,8 @@ def _gradient(rows: DataFrame, shared, weights: np.ndarray, bias: np.ndarray) ->
 
 def train(rows: DataFrame, words: Words, updates: int = UPDATES):
     """(weights, bias) from the texts of ``rows``: a first update on all, then one on each of ``updates`` parts."""
-    p = words.size / words.size.sum()
-    bias = np.log(np.maximum(p, 1e-12)).astype(np.float32)
+    p = np.maximum(words.size / max(words.size.sum(), 1e-12), 1e-12)
+    bias = np.log(p).astype(np.float32)
     if not words.total:
         return np.zeros((BUCKETS, CLASSES), dtype=np.float32), bias
     shared = rows.sparkSession.sparkContext.broadcast(words)

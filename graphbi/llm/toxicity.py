@@ -22,7 +22,7 @@ from graphbi.llm.common import FOLD, arrow_map, partition_map, remainder, sample
 MAX_LABELLED = 20_000
 BUCKETS = 1 << 18
 TERMS, FACTORS = 256, 8
-EPOCHS, BATCH, RATE, DECAY = 15, 256, 0.02, 2e-4
+STEPS, BATCH, RATE, DECAY = 1200, 256, 0.02, 2e-4
 THRESHOLD = 0.3
 #: Entries of a task's cache from word to term.
 CACHE = 400_000
@@ -129,8 +129,9 @@ def train(slot: np.ndarray, terms: list[np.ndarray], y: np.ndarray, weight: np.n
         x[i, t] = 1
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = np.minimum(weight, 20.0)  # a text that is copied very often doesn't outweigh all others
-    for epoch in range(EPOCHS):
-        order, rate = rng.permutation(len(y)), RATE * (1 - epoch / EPOCHS)
+    epochs = -(-STEPS * BATCH // len(y))  # few rows are passed more often
+    for epoch in range(epochs):
+        order, rate = rng.permutation(len(y)), RATE * (1 - epoch / epochs)
         for at in range(0, len(y), BATCH):
             rows = order[at:at + BATCH]
             xb, wb = x[rows].astype(np.float32), weight[rows]
