@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 
 def static_dim(df: DataFrame) -> DataFrame:
-    """Broadcast a static dimension (tag, tag class, place).
+    """A static dimension (tag, tag class, place) as a join side.
 
-    These tables are part of the static graph: their size is fixed by the
-    generator's dictionaries and does not grow with the scale factor, so a
-    broadcast is bounded at any scale.
+    No broadcast is forced: Spark broadcasts the table when its size allows
+    and shuffles it otherwise.
     """
-    return F.broadcast(df)
+    return df
 
 
 def first_per_key(df: DataFrame, key: str | list[str], order: list[Column], cols: list[str]) -> DataFrame:

@@ -89,8 +89,7 @@ def precomp_forum_popularity(forum: DataFrame, forum_hasmember: DataFrame, perso
                              city: DataFrame) -> DataFrame:
     """Per forum: the largest number of members from any one country."""
     member_country = (forum_hasmember.join(person.select(F.col("id").alias("PersonId"), "LocationCityId"), "PersonId")
-                      .join(F.broadcast(city.select(F.col("id").alias("LocationCityId"), "PartOfCountryId")),
-                            "LocationCityId"))
+                      .join(city.select(F.col("id").alias("LocationCityId"), "PartOfCountryId"), "LocationCityId"))
     per_country = member_country.groupBy("ForumId", "PartOfCountryId").agg(F.count(F.lit(1)).alias("numberOfMembers"))
     per_forum = per_country.groupBy("ForumId").agg(F.max("numberOfMembers").alias("maxNumberOfMembers"))
     return (per_forum.join(forum.select(F.col("id").alias("ForumId"), "creationDate"), "ForumId")
