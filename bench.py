@@ -47,20 +47,22 @@ def main() -> None:
     if not only or "refresh" in only:
         # write path: one daily batch (inserts, cascading deletes, precomputations)
         from graphbi.plans import refresh as R
+        from graphbi.plans.refresh_queries import batch_deletes
+        batched = R.with_batches(g)
+        deletes = R.store(spark, batch_deletes(batched, R.FIRST_BATCH))
         initial, batch = R.initial_and_batch(spark, g)
         initial, batch = R.store(spark, initial), R.store(spark, batch)
         t = time.time()
-        R.refresh_batch(spark, initial, batch, "2001-02-01")
+        R.refresh_batch(spark, initial, batch, deletes)
         times["refresh_batch_writes"] = round(time.time() - t, 3)
         # the same batch applied in place (appends + touched partitions only)
         from graphbi.plans.live_store import LiveStore, apply_batch_in_place
         from graphbi.session import scratch_path
-        batched = R.with_batches(g)
         store = LiveStore.create(spark, scratch_path(spark, "live"), batched, R.FIRST_BATCH,
                                  {t: g[t] for t in R.STATIC})
         ins = R.store(spark, R.batch_rows(batched, R.FIRST_BATCH))
         t = time.time()
-        apply_batch_in_place(spark, store, R.FIRST_BATCH, ins, "2001-02-01")
+        apply_batch_in_place(spark, store, R.FIRST_BATCH, ins, deletes)
         times["refresh_in_place_writes"] = round(time.time() - t, 3)
     total = round(sum(v for k, v in times.items() if k.startswith("bi_")), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)

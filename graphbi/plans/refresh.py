@@ -21,10 +21,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphbi.operators.closure import descendants
 from graphbi.plans import views
 from graphbi.session import scratch_path
+from graphbi.sources.parquet import scan_batch_partition
 
 # table -> key columns (dedupe on insert, alignment of deletes)
 KEYS = {
@@ -35,9 +37,15 @@ KEYS = {
     "person_studyat": ["PersonId", "UniversityId"], "person_workat": ["PersonId", "CompanyId"],
 }
 STATIC = ["country", "city", "company", "tag", "tagclass", "timings"]
-
-# Delete-candidate rules of the refresh fixture (FIXTURES.md).
-DELETE_RULES = {"person": 97, "forum": 41, "post": 530, "comment": 59, "likes": 31, "membership": 37, "knows": 43}
+#: Tables that a snapshot stores: the inserted ones and what is derived row by row from them.
+STORED = [*KEYS, "message", "message_hastag", "knows"]
+PRECOMPUTED = ["top_forums_q04", "popularity_q06", "path_q19", "path_q20"]
+
+_NODE_DELETES = "deletionDate timestamp, id bigint, batch_id string"
+_EDGE_DELETES = "deletionDate timestamp, src bigint, trg bigint, batch_id string"
+#: Delete candidates of a batch, by kind: nodes by id, edges by their two ends.
+DELETE_SCHEMAS = {"person": _NODE_DELETES, "forum": _NODE_DELETES, "post": _NODE_DELETES, "comment": _NODE_DELETES,
+                  "likes": _EDGE_DELETES, "membership": _EDGE_DELETES, "knows": _EDGE_DELETES}
 FIRST_BATCH = "2001-01"
 
 
@@ -112,22 +120,10 @@ def apply_inserts(spark: SparkSession, tables: Mapping[str, DataFrame], ins: Map
 
 # --- deletes -------------------------------------------------------------------
 
-def delete_candidates(tables: Mapping[str, DataFrame], deletion_date: str) -> dict[str, DataFrame]:
-    """Delete candidates of the refresh fixture (rule per entity kind)."""
-    d = F.to_timestamp(F.lit(deletion_date))
-    r = DELETE_RULES
-    return {
-        "person": tables["person"].where(F.col("id") % r["person"] == 0).select(d.alias("deletionDate"), "id"),
-        "forum": tables["forum"].where(F.col("id") % r["forum"] == 0).select(d.alias("deletionDate"), "id"),
-        "post": tables["post"].where(F.col("id") % r["post"] == 0).select(d.alias("deletionDate"), "id"),
-        "comment": tables["comment"].where(F.col("id") % r["comment"] == 0).select(d.alias("deletionDate"), "id"),
-        "likes": tables["person_likes_message"].where((F.col("PersonId") + F.col("MessageId")) % r["likes"] == 0)
-        .select(d.alias("deletionDate"), F.col("PersonId").alias("src"), F.col("MessageId").alias("trg")),
-        "membership": tables["forum_hasmember"].where((F.col("ForumId") + F.col("PersonId")) % r["membership"] == 0)
-        .select(d.alias("deletionDate"), F.col("ForumId").alias("src"), F.col("PersonId").alias("trg")),
-        "knows": tables["person_knows_person"].where((F.col("Person1Id") + F.col("Person2Id")) % r["knows"] == 0)
-        .select(d.alias("deletionDate"), F.col("Person1Id").alias("src"), F.col("Person2Id").alias("trg")),
-    }
+def read_deletes(spark: SparkSession, root: str, batch_id: str) -> dict[str, DataFrame]:
+    """One batch's delete candidates from ``<root>/<kind>/batch_id=..`` (a missing partition reads as empty)."""
+    return {kind: scan_batch_partition(spark, f"{root}/{kind}", T.StructType.fromDDL(ddl), batch_id)
+            for kind, ddl in DELETE_SCHEMAS.items()}
 
 
 def _ids(df: DataFrame, col: str = "id", name: str = "_id") -> DataFrame:
@@ -238,27 +234,29 @@ def store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str | None
 
 
 def refresh_batch(spark: SparkSession, tables: Mapping[str, DataFrame], ins: Mapping[str, DataFrame],
-                  deletion_date: str, root: str | None = None) -> dict[str, DataFrame]:
-    """Inserts, then deletes, then precomputations; stored as a new snapshot."""
+                  deletes: Mapping[str, DataFrame], root: str | None = None) -> dict[str, DataFrame]:
+    """Inserts, then deletes (candidates by kind, see ``DELETE_SCHEMAS``), then
+    precomputations; stored as a new snapshot."""
     root = root or scratch_path(spark, "refresh")
     # after the inserts the other tables are unions of file scans (old snapshot
     # plus new rows); only Message, which every delete step reads, is written
     inserted = apply_inserts(spark, tables, ins)
     inserted.update(store(spark, {"message": inserted["message"]}, f"{root}/inserted"))
-    cands = delete_candidates(inserted, deletion_date)
-    deleted = store(spark, apply_deletes(spark, inserted, cands), f"{root}/final")
+    final = apply_deletes(spark, inserted, deletes)
+    deleted = store(spark, {t: final[t] for t in STORED}, f"{root}/final")
     deleted.update({t: tables[t] for t in STATIC if t in tables})
-    precomp = {
-        "top_forums_q04": views.precomp_forum_popularity(deleted["forum"], deleted["forum_hasmember"],
-                                                         deleted["person"], deleted["city"]),
-        "popularity_q06": views.precomp_popularity_score(deleted["message"], deleted["person_likes_message"]),
-        "path_q19": views.precomp_interaction_edges(deleted["message"], deleted["person_knows_person"]),
-        "path_q20": views.precomp_university_edges(deleted["knows"], deleted["person_studyat"]),
-    }
-    deleted.update(store(spark, precomp, f"{root}/precomp"))
+    deleted.update(store(spark, views.precomputed(deleted), f"{root}/precomp"))
     return deleted
 
 
+def read_snapshot(spark: SparkSession, root: str, static: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The table set that ``refresh_batch`` stored below ``root``."""
+    out = {t: spark.read.parquet(f"{root}/final/{t}") for t in STORED}
+    out.update({t: static[t] for t in STATIC if t in static})
+    out.update({t: spark.read.parquet(f"{root}/precomp/{t}") for t in PRECOMPUTED})
+    return out
+
+
 def initial_and_batch(spark: SparkSession, g: Mapping[str, DataFrame], batch_id: str = FIRST_BATCH):
     """Split the stored graph into the initial snapshot (before ``batch_id``)
     and that batch's inserts."""

@@ -3,6 +3,8 @@ snapshot of everything created before it."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,28 @@ MERGED = ["post_hastag", "comment_hastag", "message_hastag", "person_likes_messa
 ALL = NODES + EDGES + MERGED + ["message", "knows"]
 
 
+# Delete-candidate rules of the refresh fixture (FIXTURES.md); an entity goes if its id, an edge if the
+# sum of its two ends, is a multiple.
+DELETE_RULES = {"person": 97, "forum": 41, "post": 530, "comment": 59, "likes": 31, "membership": 37, "knows": 43}
+_DELETE_ENDS = {"likes": ("person_likes_message", "PersonId", "MessageId"), "membership": ("forum_hasmember", "ForumId", "PersonId"),
+                "knows": ("person_knows_person", "Person1Id", "Person2Id")}
+
+
+def fixture_deletes(tables: Mapping[str, DataFrame], deletion_date: str = DELETION_DATE) -> dict[str, DataFrame]:
+    """Delete candidates of the refresh fixture, by kind."""
+    when, out = F.to_timestamp(F.lit(deletion_date)).alias("deletionDate"), {}
+    for kind, n in DELETE_RULES.items():
+        table, *ends = _DELETE_ENDS.get(kind, (kind, "id"))
+        named = [F.col(c).alias(a) for c, a in zip(ends, ("src", "trg") if len(ends) == 2 else ("id",), strict=True)]
+        out[kind] = tables[table].where(sum(map(F.col, ends)) % n == 0).select(when, *named)
+    return out
+
+
+def batch_deletes(batched: Mapping[str, DataFrame], batch_id: str) -> dict[str, DataFrame]:
+    """The fixture's candidates of one batch: among all rows that arrived until then."""
+    return fixture_deletes({t: df.where(F.col("batch_id") <= batch_id) for t, df in batched.items()})
+
+
 def _inserted(spark: SparkSession, sf_dir: str):
     configure(spark)
     g = load_graph(spark, sf_dir)
@@ -42,7 +66,7 @@ def refresh_threads_incremental(spark, sf_dir):
 
 def _after(spark, sf_dir, step) -> dict[str, DataFrame]:
     t = _inserted(spark, sf_dir)
-    return step(t, R.delete_candidates(t, DELETION_DATE))
+    return step(t, fixture_deletes(t))
 
 
 def delete_person_q(spark, sf_dir):
@@ -69,7 +93,7 @@ def delete_comment_like_q(spark, sf_dir):
 
 def delete_forum_q(spark, sf_dir):
     t = _inserted(spark, sf_dir)
-    out, posts = R.delete_forum(t, R.delete_candidates(t, DELETION_DATE)["forum"])
+    out, posts = R.delete_forum(t, fixture_deletes(t)["forum"])
     return R.table_counts({**out, "cascaded_posts": posts}, ["forum", "forum_hasmember", "cascaded_posts"])
 
 
@@ -97,7 +121,7 @@ def refresh_batch_q(spark, sf_dir):
     configure(spark)
     g = load_graph(spark, sf_dir)
     initial, batch = R.initial_and_batch(spark, g)
-    out = R.refresh_batch(spark, initial, batch, DELETION_DATE, scratch_path(spark, "refresh"))
+    out = R.refresh_batch(spark, initial, batch, batch_deletes(R.with_batches(g), R.FIRST_BATCH), scratch_path(spark, "refresh"))
     return R.table_counts(out, ALL + ["path_q19", "path_q20", "popularity_q06", "top_forums_q04"])
 
 
@@ -127,7 +151,7 @@ def refresh_batch_streaming_q(spark, sf_dir):
     initial = R.derive(spark, R.snapshot_before(batched, R.FIRST_BATCH))
     initial.update({t: g[t] for t in R.STATIC})
     root = scratch_path(spark, "stream")
-    publish_batch(spark, root, batched, R.FIRST_BATCH, DELETION_DATE)
+    publish_batch(spark, root, batched, R.FIRST_BATCH, batch_deletes(batched, R.FIRST_BATCH))
     chain = run_available(spark, root, SnapshotChain(spark, root, initial, {t: df.schema for t, df in batched.items()}))
     return R.table_counts(chain.current, ALL + ["path_q19", "path_q20", "popularity_q06", "top_forums_q04"])
 
@@ -144,7 +168,8 @@ def refresh_batch_in_place_q(spark, sf_dir):
     batched = R.with_batches(g)
     store = LiveStore.create(spark, scratch_path(spark, "live"), batched, R.FIRST_BATCH,
                              {t: g[t] for t in R.STATIC})
-    out = apply_batch_in_place(spark, store, R.FIRST_BATCH, R.batch_rows(batched, R.FIRST_BATCH), DELETION_DATE)
+    out = apply_batch_in_place(spark, store, R.FIRST_BATCH, R.batch_rows(batched, R.FIRST_BATCH),
+                               batch_deletes(batched, R.FIRST_BATCH))
     return R.table_counts(out, ALL + ["path_q19", "path_q20", "popularity_q06", "top_forums_q04"])
 
 
@@ -160,7 +185,7 @@ def refresh_batch_streaming_in_place_q(spark, sf_dir):
     batched = R.with_batches(g)
     live = LiveStore.create(spark, scratch_path(spark, "live"), batched, R.FIRST_BATCH, {t: g[t] for t in R.STATIC})
     root = scratch_path(spark, "stream")
-    publish_batch(spark, root, batched, R.FIRST_BATCH, DELETION_DATE)
+    publish_batch(spark, root, batched, R.FIRST_BATCH, batch_deletes(batched, R.FIRST_BATCH))
     chain = run_available(spark, root, SnapshotChain(spark, root, None, {t: df.schema for t, df in batched.items()},
                                                      live=live))
     return R.table_counts(chain.current, ALL + ["path_q19", "path_q20", "popularity_q06", "top_forums_q04"])

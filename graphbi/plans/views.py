@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +140,16 @@ def precomp_university_edges(knows: DataFrame, person_studyat: DataFrame) -> Dat
             .groupBy("src", "dst").agg((F.min(F.abs(F.col("y1") - F.col("y2"))) + 1).cast("int").alias("w")))
 
 
+def precomputed(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The four precomputed tables of a table set."""
+    return {
+        "top_forums_q04": precomp_forum_popularity(t["forum"], t["forum_hasmember"], t["person"], t["city"]),
+        "popularity_q06": precomp_popularity_score(t["message"], t["person_likes_message"]),
+        "path_q19": precomp_interaction_edges(t["message"], t["person_knows_person"]),
+        "path_q20": precomp_university_edges(t["knows"], t["person_studyat"]),
+    }
+
+
 def trusted_edges(message: DataFrame, knows: DataFrame, forum: DataFrame, start, end) -> DataFrame:
     """Q15 weights for every friendship: 10 / (s + 10), where s sums 10 per
     reply to a post and 5 per reply to a comment, both messages in forums

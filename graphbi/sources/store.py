@@ -94,12 +94,7 @@ def build_graph(spark: SparkSession, sf_dir: str, root: str | None = None) -> Gr
     names += list(derived)
     g = Graph(spark, root, names)
 
-    precomp = {
-        "top_forums_q04": views.precomp_forum_popularity(g["forum"], g["forum_hasmember"], g["person"], g["city"]),
-        "popularity_q06": views.precomp_popularity_score(g["message"], g["person_likes_message"]),
-        "path_q19": views.precomp_interaction_edges(g["message"], g["person_knows_person"]),
-        "path_q20": views.precomp_university_edges(g["knows"], g["person_studyat"]),
-    }
+    precomp = views.precomputed(g)
     for name, df in precomp.items():
         _write(df, f"{root}/{name}", "src" if name.startswith("path") else None)
     names += list(precomp)
@@ -130,21 +125,3 @@ def load_graph(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Graph:
     spark.createDataFrame([(g.root, sf_dir)], "root string, sf_dir string").coalesce(1) \
         .write.mode("overwrite").parquet(marker)
     return Graph(spark, g.root, _NAMES)
-
-
-def rebuild_precomputations(spark: SparkSession, tables: Mapping[str, DataFrame], root: str) -> dict[str, DataFrame]:
-    """Recompute the four precomputed tables over ``tables`` (after a refresh)."""
-    pre = {
-        "top_forums_q04": views.precomp_forum_popularity(tables["forum"], tables["forum_hasmember"],
-                                                         tables["person"], tables["city"]),
-        "popularity_q06": views.precomp_popularity_score(tables["message"], tables["person_likes_message"]),
-        "path_q19": views.precomp_interaction_edges(tables["message"], tables["person_knows_person"]),
-        "path_q20": views.precomp_university_edges(tables["knows"], tables["person_studyat"]),
-    }
-    out = {}
-    for name, df in pre.items():
-        _write(df, f"{root}/{name}")
-        out[name] = spark.read.parquet(f"{root}/{name}")
-    return out
-
-

@@ -1,17 +1,10 @@
-"""Source/sink round trips and streaming replays."""
+"""Source/sink round trips."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
-from graphbi.plans import refresh as R
 from graphbi.session import scratch_path
 from graphbi.sources import csv as C
 from graphbi.sources.parquet import scan_batch_partition
-from graphbi.sources.store import load_graph
-from graphbi.streaming.refresh_stream import SnapshotChain, publish_batch, run_available
-
-SF = "/root/testdata/sf0.001"
 
 
 def test_parameter_file_round_trip_with_arrays(spark):
@@ -30,22 +23,3 @@ def test_missing_batch_partition_reads_empty(spark):
     schema = spark.createDataFrame([], "id bigint, batch_id string").schema
     df = scan_batch_partition(spark, scratch_path(spark, "t-none"), schema, "2001-01")
     assert df.count() == 0 and df.columns == ["id"]
-
-
-def test_stream_replay_is_a_noop(spark):
-    g = load_graph(spark, SF)
-    batched = R.with_batches(g)
-    initial = R.derive(spark, R.snapshot_before(batched, R.FIRST_BATCH))
-    initial.update({t: g[t] for t in R.STATIC})
-    root = scratch_path(spark, "t-stream")
-    schemas = {t: df.schema for t, df in batched.items()}
-    publish_batch(spark, root, batched, R.FIRST_BATCH, "2001-02-01")
-    chain = run_available(spark, root, SnapshotChain(spark, root, initial, schemas))
-    first = {r["table_name"]: r["row_count"] for r in R.table_counts(chain.current, ["message", "person"]).collect()}
-    # the same batch announced again: skipped, the snapshot stays
-    publish_batch(spark, root, batched, R.FIRST_BATCH, "2001-02-01")
-    run_available(spark, root, chain)
-    again = {r["table_name"]: r["row_count"] for r in R.table_counts(chain.current, ["message", "person"]).collect()}
-    assert first == again
-    applied = spark.read.parquet(f"{root}/applied").where(F.col("batch_id") == R.FIRST_BATCH).count()
-    assert applied == 1
