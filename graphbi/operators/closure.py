@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from graphbi.operators.rounds import RoundStore
 
-MAX_DEPTH = 100_000
-
 
 def thread_roots(spark: SparkSession, roots: DataFrame, children: DataFrame, *,
                  id_col: str, parent_col: str, inherit: list[str]) -> DataFrame:
@@ -26,58 +24,60 @@ def thread_roots(spark: SparkSession, roots: DataFrame, children: DataFrame, *,
     ``parent_col`` (which references a root or another child) and any other
     attributes.  A child whose chain does not reach a root is dropped, as in
     an inner-join recursion.  The result has a ``depth`` column (1 = direct
-    child of a root).
+    child of a root).  Ids of children are unique, so a cycle can only be
+    reached from a root that lies on it; the walk ends where it returns there.
     """
     store = RoundStore(spark, "closure")
     # cached as read, not hash partitioned: a hot parent (one thread holding a
     # large share of all replies) then stays splittable by AQE's skew join, and
     # small frontiers are broadcast
     pending = children.persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = roots.select(F.col(id_col).alias("_pid"), *inherit)
+    frontier = roots.select(F.col(id_col).alias("_pid"), F.col(id_col).alias("_root"), *inherit)
     out_cols = [c for c in children.columns] + inherit
     levels = []
     try:
-        for depth in range(1, MAX_DEPTH):
-            level = (pending.join(frontier, pending[parent_col] == frontier["_pid"])
-                     .select(*out_cols).withColumn("depth", F.lit(depth)))
+        while True:
+            depth = len(levels) + 1
+            level = (pending.join(frontier, pending[parent_col] == frontier["_pid"]).where(F.col(id_col) != F.col("_root"))
+                     .select(*out_cols, "_root").withColumn("depth", F.lit(depth)))
             level = store.put(level, f"level_{depth}")
             if level.isEmpty():
                 break
             levels.append(depth)
-            frontier = level.select(F.col(id_col).alias("_pid"), *inherit)
-        else:
-            raise RuntimeError("parent links contain a cycle or exceed MAX_DEPTH")
+            frontier = level.select(F.col(id_col).alias("_pid"), "_root", *inherit)
     finally:
         pending.unpersist()
-    if not levels:
-        return level
-    return spark.read.schema(level.schema).parquet(*[store.path(f"level_{d}") for d in levels])
+    if levels:
+        level = spark.read.schema(level.schema).parquet(*[store.path(f"level_{d}") for d in levels])
+    return level.drop("_root")
 
 
 def descendants(spark: SparkSession, seeds: DataFrame, links: DataFrame, *,
                 id_col: str, parent_col: str) -> DataFrame:
     """Ids of all rows of ``links`` below the ``seeds`` ids (seeds excluded).
 
-    ``links`` is (id_col, parent_col).  Distinct per round, so shared
-    descendants are visited once; used by cascading sub-thread deletes.
+    ``links`` is (id_col, parent_col).  Ids of earlier rounds are left out,
+    so each is visited once and a cycle ends; used by cascading sub-thread
+    deletes.
     """
     store = RoundStore(spark, "descendants")
     edges = links.select(id_col, parent_col).persist(StorageLevel.MEMORY_AND_DISK)
     frontier = seeds.select(F.col(id_col).alias("_pid")).distinct()
     parts = []
     try:
-        for depth in range(1, MAX_DEPTH):
+        while True:
             level = (edges.join(frontier, edges[parent_col] == frontier["_pid"])
                      .select(id_col).distinct())
-            level = store.put(level, f"d{depth}")
+            if parts:
+                level = level.join(spark.read.schema(level.schema).parquet(*parts), id_col, "left_anti")
+            name = f"d{len(parts) + 1}"
+            level = store.put(level, name)
             if level.isEmpty():
                 break
-            parts.append(store.path(f"d{depth}"))
+            parts.append(store.path(name))
             frontier = level.select(F.col(id_col).alias("_pid"))
-        else:
-            raise RuntimeError("parent links contain a cycle or exceed MAX_DEPTH")
     finally:
         edges.unpersist()
     if not parts:
         return seeds.select(id_col).limit(0)
-    return spark.read.schema(level.schema).parquet(*parts).distinct()
+    return spark.read.schema(level.schema).parquet(*parts)

@@ -11,33 +11,24 @@ from pyspark.sql import functions as F
 from graphbi.operators.rounds import RoundStore
 
 
-def bfs_levels(edges: DataFrame, seeds: DataFrame, max_hops: int, src: str = "src", dst: str = "dst",
-               stored_after: int = 4) -> DataFrame:
+def bfs_levels(edges: DataFrame, seeds: DataFrame, max_hops: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, dist) for every node within ``max_hops`` of the seeds (BFS
     distance; seeds have dist 0).  Each level is a frontier join followed by
-    an anti join against the visited set, so no node is expanded twice.
-
-    Up to ``stored_after`` hops the levels form one lazy plan (the workload
-    uses at most 4); deeper searches store every level in the shared folder
-    and stop early on an empty frontier."""
+    an anti join against the levels before it, so no node is expanded twice;
+    levels are stored in the shared folder, and an empty one ends the search."""
+    spark = seeds.sparkSession
     e = edges.select(F.col(src).alias("node"), F.col(dst).alias("_to"))
-    visited = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("dist", F.lit(0))
-    store = RoundStore(seeds.sparkSession, "bfs") if max_hops > stored_after else None
-    if store:
-        visited = store.put(visited)
-    frontier = visited
+    store = RoundStore(spark, "bfs")
+    frontier = store.put(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("dist", F.lit(0)), "level_0")
+    schema, paths = frontier.schema, [store.path("level_0")]
     for k in range(1, max_hops + 1):
-        nxt = (frontier.select("node").join(e, "node").select(F.col("_to").alias("node")).distinct()
-               .join(visited.select("node"), "node", "left_anti").withColumn("dist", F.lit(k)))
-        if store:
-            nxt = store.put(nxt)
-            if nxt.isEmpty():
-                break
-            visited = store.put(visited.unionByName(nxt))
-        else:
-            visited = visited.unionByName(nxt)
-        frontier = nxt
-    return visited
+        visited = spark.read.schema(schema).parquet(*paths)
+        frontier = store.put(frontier.select("node").join(e, "node").select(F.col("_to").alias("node")).distinct()
+                             .join(visited.select("node"), "node", "left_anti").withColumn("dist", F.lit(k)), f"level_{k}")
+        if frontier.isEmpty():
+            break
+        paths.append(store.path(f"level_{k}"))
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def hop_ring(edges: DataFrame, seeds: DataFrame, lo: int, hi: int, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -49,12 +40,12 @@ def hop_ring(edges: DataFrame, seeds: DataFrame, lo: int, hi: int, src: str = "s
 def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct nodes within 1..k hops of the seeds (seeds only if re-reached)."""
     e = edges.select(F.col(src).alias("node"), F.col(dst).alias("_to"))
-    frontier = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct()
-    reached = None
-    for _ in range(k):
-        frontier = frontier.join(e, "node").select(F.col("_to").alias("node")).distinct()
-        reached = frontier if reached is None else reached.unionByName(frontier).distinct()
-    return reached
+    start = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct()
+    levels = bfs_levels(edges, start, k, src, dst)
+    # a seed counts if an edge leads back to it: from a node that is within k - 1 hops
+    back = (levels.where(F.col("dist") < k).select("node").join(e, "node").select(F.col("_to").alias("node"))
+            .join(start, "node", "left_semi").distinct())
+    return levels.where(F.col("dist") > 0).select("node").unionByName(back)
 
 
 def count_triangles(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

@@ -42,10 +42,10 @@ OP_SQL["common_neighbors"] = with_fixture(
     select="select x.a, y.a b, count(*) n from adj x join adj y on y.f = x.f where x.a <> y.a and not exists "
            "(select 1 from knows k where k.Person1Id = y.a and k.Person2Id = x.a) group by x.a, y.a")
 OP_SQL["thread_roots"] = (
-    "with recursive t(id, parent, role, root_id, root_role, depth) as (select conv_id*100+turn, cast(null as bigint), "
-    "role, conv_id*100+turn, role, 0 from conversations where turn = 0 union all select c.conv_id*100+c.turn, "
-    "c.conv_id*100+c.turn-1, c.role, t.root_id, t.root_role, t.depth + 1 from conversations c join t "
-    "on c.conv_id*100+c.turn-1 = t.id and c.turn > 0) select id, parent, role, root_id, root_role, "
+    "with recursive t(id, parent, role, root_id, root_role, depth) as (select conv_id::bigint*4294967296+turn, cast(null as bigint), "
+    "role, conv_id::bigint*4294967296+turn, role, 0 from conversations where turn = 0 union all select c.conv_id::bigint*4294967296+c.turn, "
+    "c.conv_id::bigint*4294967296+c.turn-1, c.role, t.root_id, t.root_role, t.depth + 1 from conversations c join t "
+    "on c.conv_id::bigint*4294967296+c.turn-1 = t.id and c.turn > 0) select id, parent, role, root_id, root_role, "
     "cast(depth as integer) depth from t where depth > 0")
 OP_SQL["descendants"] = with_fixture(
     ("d", "select MessageId from message where ParentMessageId in (select MessageId from message where "

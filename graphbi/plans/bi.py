@@ -265,9 +265,8 @@ def bi_09_thread_initiators(g, startDate="1996-01-01", endDate="1998-01-01") ->
 
 def bi_10_experts(g, personId=0, country="NATION_2", tagClass="LARGE", minPathDistance=3,
                   maxPathDistance=4) -> DataFrame:
-    # the workload fixes the ring to 3..4 hops, whatever is passed
     seed = g["person"].where(F.col("id") == F.lit(personId)).select("id")
-    ring = G.hop_ring(g["knows"], seed, 3, 4, src="Person1Id", dst="Person2Id")
+    ring = G.hop_ring(g["knows"], seed, minPathDistance, maxPathDistance, src="Person1Id", dst="Person2Id")
     experts = (ring.withColumnRenamed("node", "id").join(_persons_in(g, country), "id", "left_semi")
                .select(F.col("id").alias("friendId")))
     class_msgs = (g["message"].select("MessageId", F.col("CreatorPersonId").alias("friendId"))

@@ -150,7 +150,8 @@ def thread_roots_q(spark, sf_dir):
     """Conversation turns inherit the first turn's id and role (turn n replies to n-1)."""
     configure(spark)
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    node_id = F.col("conv_id") * 100 + F.col("turn")
+    # conversation in the upper half, turn (an int) in the lower: no two turns share an id
+    node_id = F.shiftleft(F.col("conv_id").cast("bigint"), 32) + F.col("turn")
     roots = conv.where(F.col("turn") == 0).select(node_id.alias("id"), node_id.alias("root_id"),
                                                   F.col("role").alias("root_role"))
     children = conv.where(F.col("turn") > 0).select(node_id.alias("id"), (node_id - 1).alias("parent"), "role")

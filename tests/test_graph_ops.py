@@ -81,8 +81,39 @@ def test_common_neighbors_excludes_friends(spark):
     assert {(r["a"], r["b"], r["n"]) for r in got} == {(3, 4, 2), (4, 3, 2)}
 
 
-def test_bfs_levels_stored_rounds_match_lazy_plan(spark):
+def test_bfs_levels_end_at_the_bound_or_when_nothing_is_left(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(i + 1, i) for i in range(9)], "src bigint, dst bigint")
-    lazy = {tuple(r) for r in G.bfs_levels(chain, nodes(spark, [0]), 6, stored_after=10).collect()}
-    stored = {tuple(r) for r in G.bfs_levels(chain, nodes(spark, [0]), 6, stored_after=2).collect()}
-    assert lazy == stored == {(i, i) for i in range(7)}
+    for hops, last in ((0, 0), (2, 2), (6, 6), (20, 9)):
+        assert {tuple(r) for r in G.bfs_levels(chain, nodes(spark, [0]), hops).collect()} == {(i, i) for i in range(last + 1)}
+
+
+def test_khop_counts_a_seed_only_if_reached_again(spark):
+    line = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (2, 1)], "src bigint, dst bigint")
+    for seeds, k, want in (([0], 2, {1, 2}), ([1], 1, {2}), ([1], 2, {1, 2, 3}), ([0, 1], 1, {1, 2})):
+        got = [r[0] for r in G.khop_neighbors(line, nodes(spark, seeds), k).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_closures_end_on_cycles(spark):
+    roots = spark.createDataFrame([(1, "a")], "id bigint, tag string")
+    ring = spark.createDataFrame([(2, 1), (3, 2), (1, 3), (8, 7), (7, 8)], "id bigint, parent bigint")
+    out = thread_roots(spark, roots, ring, id_col="id", parent_col="parent", inherit=["tag"])
+    assert out.columns == ["id", "parent", "tag", "depth"]
+    assert {(r["id"], r["depth"]) for r in out.collect()} == {(2, 1), (3, 2)}
+    below = descendants(spark, spark.createDataFrame([(2,)], "id bigint"), ring, id_col="id", parent_col="parent")
+    assert sorted(r[0] for r in below.collect()) == [1, 2, 3]
+
+
+def test_negative_weights_are_refused(spark):
+    with pytest.raises(ValueError):
+        sssp.shortest_distance(spark, edges(spark, [(0, 1, -1.0)]), nodes(spark, [0]), nodes(spark, [1]))
+
+
+def test_long_conversations_keep_their_turns_apart(spark, tmp_path):
+    from graphbi.plans.operator_queries import thread_roots_q
+
+    rows = [(c, t, "user" if t % 2 == 0 else "bot") for c in (1, 2) for t in range(12)] + [(1, t, "user") for t in range(100, 103)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = thread_roots_q(spark, str(tmp_path)).collect()
+    assert len(out) == 22 and len({r["id"] for r in out}) == 22  # turns 100 to 102 have no predecessor
+    assert {r["root_id"] >> 32 for r in out if r["id"] >> 32 == 2} == {2}
