@@ -51,16 +51,23 @@ def khop_neighbors(edges: DataFrame, seeds: DataFrame, k: int, src: str = "src",
 def count_triangles(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Number of triangles of an undirected edge set (one row, column ``count``).
 
-    Edges are oriented from the smaller to the larger id and deduplicated;
-    wedges a<b<c are built by one join on the middle node and closed by a
-    semi join on (a, c), so every triangle is counted once.
+    Each edge leads from its end of smaller (degree, id) to the other, so that
+    a hub, which most edges only enter, starts few wedges: none starts more
+    than about the square root of the doubled number of edges.  Wedges are
+    pairs of edges from one node, closed by a semi join; every triangle is
+    counted once, at its least node.
     """
-    o = (edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-         .where(F.col("x") < F.col("y")).distinct())
-    wedges = (o.select(F.col("x").alias("a"), F.col("y").alias("b"))
-              .join(o.select(F.col("x").alias("b"), F.col("y").alias("c")), "b"))
-    closed = wedges.join(o.select(F.col("x").alias("a"), F.col("y").alias("c")), ["a", "c"], "left_semi")
-    return closed.agg(F.count(F.lit(1)).alias("count"))
+    pairs = (edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+             .where(F.col("lo") < F.col("hi")).distinct())
+    degree = (pairs.select(F.explode(F.array("lo", "hi")).alias("node")).groupBy("node")
+              .agg(F.count(F.lit(1)).alias("deg")))
+    ends = (pairs.join(degree.select(F.col("node").alias("lo"), F.struct("deg", F.col("node").alias("id")).alias("_l")), "lo")
+            .join(degree.select(F.col("node").alias("hi"), F.struct("deg", F.col("node").alias("id")).alias("_h")), "hi"))
+    out = ends.select(F.least("_l", "_h").alias("x"), F.greatest("_l", "_h").alias("y"))
+    wedges = (out.select("x", F.col("y").alias("b")).join(out.select("x", F.col("y").alias("c")), "x")
+              .where(F.col("b") < F.col("c")).select(F.col("b.id").alias("b"), F.col("c.id").alias("c")))
+    closing = out.select(F.col("x.id").alias("b"), F.col("y.id").alias("c"))
+    return wedges.join(closing, ["b", "c"], "left_semi").agg(F.count(F.lit(1)).alias("count"))
 
 
 def common_neighbors(edges: DataFrame, nodes: DataFrame, exclude_adjacent: bool = True,

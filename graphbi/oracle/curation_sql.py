@@ -7,6 +7,13 @@ from graphbi.oracle.fixture_sql import with_fixture
 
 _DEL = "case when {0} % 10 = 0 then DATE '2000-06-01' else DATE '2030-01-01' end"
 
+
+def _nearest(table: str, p: float, cols: str, order: str, k: int, population: str | None = None) -> str:
+    """Top-k rows of ``table`` by distance of ``frequency`` to the discrete p-quantile of the population."""
+    return (f"select {cols} from (select *, abs(frequency - (select quantile_disc(frequency, {p}) from {population or table})) "
+            f"as dist from {table}) order by dist, {order} limit {k}")
+
+
 FACTOR_CTES = [
     ("pgeo", "select p.id, p.LocationCityId, ci.name cityName, co.id countryId, co.name countryName from person p "
              "join city ci on ci.id = p.LocationCityId join country co on co.id = ci.PartOfCountryId"),
@@ -45,17 +52,6 @@ FACTOR_CTES = [
     ("tagNumMessages", "select TagId tagId, tagName, count(*) frequency from mtags group by 1, 2"),
     ("tagNumPersons", "select t.id tagId, t.name, count(*) frequency from person_hasinterest pi join tag t "
                       "on t.id = pi.TagId group by 1, 2"),
-    ("hop_seeds", "select id from person where LocationCityId = 1008"),
-    ("unit_knows", "select Person1Id src, Person2Id dst, 1.0::double w from knows"),
-    ("hop_dist", _sssp_sql("select * from unit_knows", "select id from hop_seeds")),
-    ("people2Hops", "select h.g person1Id, h.node person2Id, cast(p1.creationDate as date) person1CreationDate, "
-                    f"{_DEL.format('h.g')} person1DeletionDate, cast(p2.creationDate as date) person2CreationDate, "
-                    f"{_DEL.format('h.node')} person2DeletionDate from hop_dist h join person p1 on p1.id = h.g "
-                    "join person p2 on p2.id = h.node where h.d = 2"),
-    ("people4Hops", "select h.g person1Id, h.node person2Id, cast(p1.creationDate as date) person1CreationDate, "
-                    f"{_DEL.format('h.g')} person1DeletionDate, cast(p2.creationDate as date) person2CreationDate, "
-                    f"{_DEL.format('h.node')} person2DeletionDate from hop_dist h join person p1 on p1.id = h.g "
-                    "join person p2 on p2.id = h.node where h.d = 4"),
     ("personDays", f"select id, cast(creationDate as date) creationDay, {_DEL.format('id')} deletionDay from person"),
     ("personKnowsPersonDays", "select Person1Id, Person2Id, cast(creationDate as date) creationDay, "
                               f"{_DEL.format('(Person1Id + Person2Id)')} deletionDay from person_knows_person"),
@@ -73,6 +69,18 @@ FACTOR_CTES = [
                                            "where creationDay < DATE '2000-01-01' and deletionDay > DATE '2000-12-31'"),
     ("personWorkAtCompanyDays_window", "select * exclude (creationDay, deletionDay) from personWorkAtCompanyDays "
                                        "where creationDay < DATE '2000-01-01' and deletionDay > DATE '2000-12-31'"),
+    ("alive_friends", "select n.* from personNumFriends n semi join personDays_window d on d.id = n.id"),
+    ("hop_seeds", _nearest("alive_friends", 0.55, "id", "id", 50, "personNumFriends")),
+    ("unit_knows", "select Person1Id src, Person2Id dst, 1.0::double w from knows"),
+    ("hop_dist", _sssp_sql("select * from unit_knows", "select id from hop_seeds")),
+    ("people2Hops", "select h.g person1Id, h.node person2Id, cast(p1.creationDate as date) person1CreationDate, "
+                    f"{_DEL.format('h.g')} person1DeletionDate, cast(p2.creationDate as date) person2CreationDate, "
+                    f"{_DEL.format('h.node')} person2DeletionDate from hop_dist h join person p1 on p1.id = h.g "
+                    "join person p2 on p2.id = h.node where h.d = 2"),
+    ("people4Hops", "select h.g person1Id, h.node person2Id, cast(p1.creationDate as date) person1CreationDate, "
+                    f"{_DEL.format('h.g')} person1DeletionDate, cast(p2.creationDate as date) person2CreationDate, "
+                    f"{_DEL.format('h.node')} person2DeletionDate from hop_dist h join person p1 on p1.id = h.g "
+                    "join person p2 on p2.id = h.node where h.d = 4"),
     # one row per shared university (a pair studying together twice appears twice)
     ("q20_sameUniversityKnows", "select k.Person1Id person1Id, k.Person2Id person2Id from personKnowsPersonDays_window k "
                                 "join personStudyAtUniversityDays_window a on a.PersonId = k.Person1Id "
@@ -102,12 +110,13 @@ FACTOR_CTES = [
     ("q15a_core", "select distinct s.person1Id, s.person2Id, b.Person2Id middleCandidate from k4_sample s "
                   "join personKnowsPersonDays_window a on a.Person1Id = s.person1Id "
                   "join personKnowsPersonDays_window b on b.Person1Id = a.Person2Id"),
-    ("emp_ranked", "select w.PersonId person1Id, w.CompanyId companyId, c.name companyName, "
-                   "abs(c.frequency - (select quantile_disc(frequency, 0.47) from companyNumEmployees)) dist, "
-                   "rank() over (partition by w.CompanyId order by md5(cast(w.PersonId as varchar))) r "
-                   "from personWorkAtCompanyDays_window w join companyNumEmployees c on c.id = w.CompanyId"),
-    ("q20b_comp", "select person1Id, companyId, companyName from emp_ranked where r <= 4 "
-                  "order by dist, md5(cast(person1Id as varchar)), md5(cast(companyId as varchar)) limit 200"),
+    # four employees of each company, by the order of their ids' digests
+    ("emp_four", "select CompanyId companyId, unnest(arg_min(PersonId, md5(PersonId::varchar), 4)) person1Id "
+                 "from personWorkAtCompanyDays_window group by CompanyId"),
+    ("emp_size", "select f.person1Id, f.companyId, c.name companyName, c.frequency from emp_four f "
+                 "join companyNumEmployees c on c.id = f.companyId"),
+    ("q20b_comp", _nearest("emp_size", 0.47, "person1Id, companyId, companyName",
+                           "md5(person1Id::varchar), md5(companyId::varchar)", 200, "companyNumEmployees")),
     ("q20b_twohop", "select c.companyId, c.companyName, h2.person2Id from q20b_comp c join q20_sameUniversityKnows h1 "
                     "on h1.person1Id = c.person1Id join q20_sameUniversityKnows h2 on h2.person1Id = h1.person2Id "
                     "where h2.person2Id <> h1.person1Id"),
@@ -118,12 +127,6 @@ def _q(select: str, *extra) -> str:
     return with_fixture(*FACTOR_CTES, *extra, select=select)
 
 
-def _nearest(table: str, p: float, cols: str, order: str, k: int) -> str:
-    """Top-k rows of ``table`` by distance of ``frequency`` to its discrete p-quantile."""
-    return (f"select {cols} from (select *, abs(frequency - (select quantile_disc(frequency, {p}) from {table})) "
-            f"as dist from {table}) order by dist, {order} limit {k}")
-
-
 CUR_SQL: dict[str, str] = {}
 
 CUR_SQL["pg_01"] = _q(
@@ -156,26 +159,24 @@ def _pg10(countries: str, persons: str, classes: str) -> str:
               ("c", countries), ("pe", persons), ("tc", classes))
 
 
-_ALIVE_FRIENDS = "(select n.* from personNumFriends n where n.id in (select id from personDays_window))"
 CUR_SQL["pg_10a"] = _pg10(
     "select name countryName from (" + _nearest("countryNumPersons", 0.55, "name", "name", 20) + ")",
-    "select id from (select id, abs(frequency - (select quantile_disc(frequency, 0.55) from personNumFriends)) dist "
-    f"from {_ALIVE_FRIENDS} order by dist, id limit 50)",
+    "select id from hop_seeds",
     "select name tagClassName from (" + _nearest("tagClassNumTags", 0.55, "name", "name", 15) + ")")
 CUR_SQL["pg_10b"] = _pg10(
     "select name countryName from (" + _nearest("countryNumPersons", 0.35, "name", "name", 20) + ")",
-    f"select id from {_ALIVE_FRIENDS} where frequency = 1 order by id limit 50",
+    "select id from alive_friends where frequency = 1 order by id limit 50",
     "select name tagClassName from (" + _nearest("tagClassNumTags", 0.25, "name", "name", 15) + ")")
 CUR_SQL["pg_11"] = _q(
     "select if(j % 2 = 0, 'China', 'India') country, (x.a92 + ((i * 37) % 30 - 15))::date startDate, "
     "(x.a92 + ((i * 37) % 30 - 15 + 92 + (j * 47) % 18 + j))::date endDate from day_anchor x, (select range::integer i from range(1, 21)) s, "
     "(select range::integer j from range(0, 2)) t")
+# four orders of the languages by digest, the first three of each; every salt shifts the day and the length alike
 CUR_SQL["pg_12"] = _q(
-    "select startDate, cast(150 - salt * 5 as integer) lengthThreshold, string_agg(lng, ';' order by rn) languages "
-    "from (select s.salt, (x.a79 + s.salt * 3)::date startDate, p.perm, l.language lng, row_number() over "
-    "(partition by p.perm, s.salt order by md5(l.language || p.perm::varchar)) rn from day_anchor x, "
-    "(select range::integer salt from range(1, 21)) s, (select range::integer perm from range(1, 5)) p, (" + _nearest("languageNumPosts", 0.98, "language", "language", 10) +
-    ") l) where rn <= 3 group by startDate, salt, perm")
+    "select (a79 + i * 3)::date startDate, (150 - 5 * i)::integer lengthThreshold, languages from day_anchor, "
+    "(select unnest(generate_series(1, 20))::integer i), (select array_to_string(list_slice(list(language order by "
+    "md5(concat(language, o))), 1, 3), ';') languages from langs, (select unnest([1, 2, 3, 4]) o) group by o)",
+    ("langs", _nearest("languageNumPosts", 0.98, "language", "language", 10)))
 CUR_SQL["pg_13"] = _q(
     "select if(j % 2 = 0, 'India', 'China') country, d endDate from (select distinct (x.a94 + ((i * 47) % 20 - 5))::date d "
     "from day_anchor x, (select range::integer i from range(456789, 456810)) s), (select range::integer j from range(0, 2)) t")
@@ -198,13 +199,15 @@ CUR_SQL["pg_15b"] = _q(
 
 
 def _pg16(pa: float, pb: float) -> str:
-    def side(p, agg, tag, day):
-        return (f"select name {tag}, {agg}(creationDay) {day}, frequency, abs(frequency - (select quantile_disc("
-                f"frequency, {p}) from creationDayAndTagNumMessages)) dist from creationDayAndTagNumMessages "
-                f"group by name, frequency order by dist, md5(name), frequency limit 100")
-    return _q("select tagA, dateA, tagB, dateB, cast(3 + (dayofyear(dateA) + dayofyear(dateB)) % 4 as integer) "
-              f"maxKnowsLimit from ({side(pa, 'max', 'tagA', 'dateA')}) a join ({side(pb, 'min', 'tagB', 'dateB')}) b "
-              "on a.tagA <> b.tagB order by md5(tagA || tagB), dateA, dateB limit 400")
+    """Tags with their last (A) and first (B) day of a frequency, each nearest to its percentile; pairs of unequal tags."""
+    last = _nearest("tag_days", pa, "name, last_day", "md5(name), frequency", 100, "creationDayAndTagNumMessages")
+    first = _nearest("tag_days", pb, "name, first_day", "md5(name), frequency", 100, "creationDayAndTagNumMessages")
+    return _q("select a.name tagA, last_day dateA, b.name tagB, first_day dateB, (3 + (dayofyear(last_day) + "
+              "dayofyear(first_day)) % 4)::integer maxKnowsLimit from picked_a a, picked_b b where a.name <> b.name "
+              "order by md5(concat(a.name, b.name)), last_day, first_day limit 400",
+              ("tag_days", "select name, frequency, max(creationDay) last_day, min(creationDay) first_day "
+                           "from creationDayAndTagNumMessages group by name, frequency"),
+              ("picked_a", last), ("picked_b", first))
 
 
 CUR_SQL["pg_16a"] = _pg16(1.00, 0.995)
@@ -217,15 +220,17 @@ for key, cond in (("pg_19a", "<>"), ("pg_19b", "=")):
     CUR_SQL[key] = _q(f"select city1Id, city2Id from cityPairsNumFriends where country1Id {cond} country2Id order by "
                       "md5((city1Id * 3532569367 + city2Id * 342663089)::varchar) limit 400")
 CUR_SQL["pg_20_same_university_knows"] = _q("select * from q20_sameUniversityKnows")
+# a company and a person fit if no employee is in the person's component
 CUR_SQL["pg_20a"] = _q(
-    "select s1.companyName company, s2.personId person2Id from (select id companyId, name companyName from (" +
-    _nearest("companyNumEmployees", 0.9, "id, name", "name, id", 50) + ")) s1 join (select id personId from "
-    f"(select n.id, abs(n.frequency - (select quantile_disc(frequency, 0.55) from personNumFriends)) dist from "
-    f"{_ALIVE_FRIENDS} n order by dist, md5(n.id::varchar) limit 50)) s2 on true join sameUniversityConnected c1 "
-    "on c1.PersonId = s2.personId where c1.Component not in (select c2.Component from "
-    "personWorkAtCompanyDays_window w join sameUniversityConnected c2 on c2.PersonId = w.PersonId "
-    "where w.CompanyId = s1.companyId) order by md5(concat(s2.personId, s1.companyId)), md5(s2.personId::varchar), "
-    "md5(s1.companyId::varchar) limit 400")
+    "select c.name company, p.id person2Id from picked_c c, picked_p p where not list_contains(c.comps, p.Component) "
+    "order by md5(concat(p.id, c.id)), md5(p.id::varchar), md5(c.id::varchar) limit 400",
+    ("staff_comps", "select CompanyId, list(distinct Component) comps from personWorkAtCompanyDays_window "
+                    "join sameUniversityConnected using (PersonId) group by CompanyId"),
+    ("picked_c", "select n.id, n.name, coalesce(comps, []) comps from (" +
+     _nearest("companyNumEmployees", 0.9, "id, name", "name, id", 50) + ") n left join staff_comps on CompanyId = n.id"),
+    ("picked_p", "select n.id, Component from (" +
+     _nearest("alive_friends", 0.55, "id", "md5(id::varchar)", 50, "personNumFriends") +
+     ") n join sameUniversityConnected on PersonId = n.id"))
 CUR_SQL["pg_20b_comp"] = _q("select * from q20b_comp")
 CUR_SQL["pg_20b_twohop"] = _q("select * from q20b_twohop")
 CUR_SQL["pg_20b"] = _q(

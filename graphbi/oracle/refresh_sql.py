@@ -137,12 +137,13 @@ _FINAL = [
     ("comment_hastag_f", "select * from comment_hastag_i where MessageId not in (select id from gone)"),
     ("mht_f", "select * from mht_i where MessageId not in (select id from gone)"),
     ("city_f", "select * from city"),
-    ("q19w", "select pp.Person1Id src, pp.Person2Id dst from pkp_f pp, message_f m1, message_f m2 where pp.Person1Id = "
-             "least(m1.CreatorPersonId, m2.CreatorPersonId) and pp.Person2Id = greatest(m1.CreatorPersonId, "
-             "m2.CreatorPersonId) and m1.ParentMessageId = m2.MessageId and m1.CreatorPersonId <> m2.CreatorPersonId "
-             "group by all"),
-    ("q20w", "select p1.PersonId src, p2.PersonId dst from knows_f pp, studyat_f p1, studyat_f p2 where pp.Person1Id = "
-             "p1.PersonId and pp.Person2Id = p2.PersonId and p1.UniversityId = p2.UniversityId group by all"),
+    ("talked_f", "select distinct least(c.CreatorPersonId, p.CreatorPersonId) lo, greatest(c.CreatorPersonId, "
+                 "p.CreatorPersonId) hi from message_f c join message_f p on p.MessageId = c.ParentMessageId "
+                 "where c.CreatorPersonId <> p.CreatorPersonId"),
+    ("q19w", "select * from pkp_f where (Person1Id, Person2Id) in (select (lo, hi) from talked_f)"),
+    ("schools_f", "select PersonId, list(UniversityId) us from studyat_f group by PersonId"),
+    ("q20w", "select k.* from knows_f k join schools_f a on a.PersonId = k.Person1Id join schools_f b "
+             "on b.PersonId = k.Person2Id where list_has_any(a.us, b.us)"),
     ("pop_f", "select m.CreatorPersonId from message_f m join likes_f l on l.MessageId = m.MessageId group by 1"),
     ("top_f", "select distinct fm.ForumId from member_f fm join person_f p on p.id = fm.PersonId join forum_f f "
               "on f.id = fm.ForumId"),

@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 from graphbi.oracle.fixture_sql import with_fixture
+from graphbi.plans.scoring import POWER_VARIANTS, THROUGHPUT_MIN_TIME
+
+_POWER = ", ".join(f"'{q}'" for q in POWER_VARIANTS)
+
+
+def _at(p: float) -> str:
+    """The discrete percentile of the sorted times ``ts``."""
+    return f"ts[greatest(1, ceil({p} * len(ts))::integer)]"
 
-_POWER = ("'writes', '1', '2a', '2b', '3', '4', '5', '6', '7', '8a', '8b', '9', '10a', '10b', '11', '12', '13', "
-          "'14a', '14b', '15a', '15b', '16a', '16b', '17', '18', '19a', '19b', '20a', '20b'")
 
 _CTES = [
-    ("power_rows", "select tool, cast(concat('0', regexp_replace(q, '[^0-9]+', '', 'g')) as integer) qid, q, time "
-                   "from timings where batch_type = 'power'"),
-    ("pstats", "select tool, qid, q, count(time) count, min(time) min_time, max(time) max_time, round(avg(time), 6) "
-               "avg_time, round(sum(time), 6) total_time, quantile_disc(time, 0.5) p50_time, quantile_disc(time, 0.9) "
-               "p90_time, quantile_disc(time, 0.95) p95_time, quantile_disc(time, 0.99) p99_time from power_rows "
-               "group by tool, qid, q"),
-    ("per_day", "select tool, day, sum(time) t, count(*) n from timings where batch_type = 'throughput' "
-                "and q in ('reads', 'writes') group by tool, day"),
-    ("running", "select *, sum(t) over (partition by tool order by day) acc from per_day"),
-    ("cutoff", "select tool, min(day) cut from running where acc >= 3600.0 group by tool"),
-    ("tb", "select r.tool, coalesce(sum(r.n) filter (where r.day <= c.cut), 0) // 2 n_batches, "
-           "round(sum(r.t) filter (where r.day <= c.cut), 6) t_batches from running r left join cutoff c "
-           "on c.tool = r.tool group by r.tool"),
+    ("sorted_times", "select tool, q, list_sort(list(time)) ts from timings where batch_type = 'power' group by tool, q"),
+    ("pstats", "select tool, coalesce(try_cast(regexp_extract(q, '[0-9]+') as integer), 0) qid, q, len(ts)::bigint count, "
+               "ts[1] min_time, ts[-1] max_time, round(list_avg(ts), 6) avg_time, round(list_sum(ts), 6) total_time, "
+               + ", ".join(f"{_at(p / 100)} p{p}_time" for p in (50, 90, 95, 99)) + " from sorted_times"),
     ("sfs", "select tool, any_value(sf) sf from timings group by tool"),
+    ("days", "select tool, day, sum(time) took, count(*) runs from timings where batch_type = 'throughput' "
+             "and q in ('reads', 'writes') group by tool, day"),
+    # a day counts if the days before it take less than the hour that all days together reach
+    ("counted", "select tool, took, runs from (select *, coalesce(sum(took) over (partition by tool order by day rows "
+                "between unbounded preceding and 1 preceding), 0) earlier, sum(took) over (partition by tool) whole from days) "
+                f"where earlier < {THROUGHPUT_MIN_TIME} and whole >= {THROUGHPUT_MIN_TIME}"),
+    ("tb", "select tool, coalesce(sum(runs), 0)::bigint // 2 n_batches, round(sum(took), 6) t_batches "
+           "from sfs left join counted using (tool) group by tool"),
 ]
 
 SCORE_SQL = {
@@ -32,9 +37,8 @@ SCORE_SQL = {
         f"3600 / geometric_mean(total_time) power from pstats where q in ({_POWER}) group by tool) p "
         "join sfs s on s.tool = p.tool")),
     "score_throughput": with_fixture(*_CTES, select=(
-        "select tb.tool, round(case when n_batches = 0 then null else (24 - 600.0/3600) * (n_batches / "
-        "(t_batches/3600)) end, 6) throughput, round(case when n_batches = 0 then null else (24 - 600.0/3600) * "
-        "(n_batches / (t_batches/3600)) end * s.sf, 6) throughput_at_sf from tb join sfs s on s.tool = tb.tool")),
+        "select tool, round(rate, 6) throughput, round(rate * sf, 6) throughput_at_sf from sfs join (select tool, "
+        "(86400 - 600.0) * nullif(n_batches, 0) / t_batches rate from tb) using (tool)")),
     "validate_results": with_fixture(
         ("d1", "select cast(creationDate as date) d, count(*) f, avg(length) a from message group by 1"),
         ("d2", "select d, sum(n) f, sum(s) / sum(n) a from (select cast(creationDate as date) d, count(*) n, "

@@ -97,11 +97,11 @@ class Factors:
 
     @cached_property
     def people2Hops(self):
-        return FT.people_2_hops(self.g)
+        return FT.people_2_hops(self.g, hop_seeds(self))
 
     @cached_property
     def people4Hops(self):
-        return FT.people_4_hops(self.g)
+        return FT.people_4_hops(self.g, hop_seeds(self))
 
     @cached_property
     def personDays_window(self):
@@ -137,9 +137,10 @@ def percentile_day(df: DataFrame, col: str, p: float) -> Column:
     return F.date_from_unix_date(percentile_disc(days, "_d", p))
 
 
-def curate_by_percentile(df: DataFrame, p: float, keys: list, k: int, value: str = "frequency") -> DataFrame:
-    """Top-k rows nearest to the discrete p-percentile of ``value``."""
-    target = percentile_disc(df, value, p)
+def curate_by_percentile(df: DataFrame, p: float, keys: list, k: int, value: str = "frequency",
+                         population: DataFrame | None = None) -> DataFrame:
+    """Top-k rows nearest to the discrete p-percentile of ``value`` in ``population`` (by default in ``df``)."""
+    target = percentile_disc(df if population is None else population, value, p)
     return df.withColumn("diff", F.abs(F.col(value) - target)).orderBy("diff", *keys).limit(k)
 
 
@@ -277,9 +278,20 @@ def _alive_friends(f: Factors) -> DataFrame:
     return f.personNumFriends.join(f.personDays_window, "id", "left_semi")
 
 
+def _alive_persons(f: Factors, key: str, order: list) -> DataFrame:
+    """Alive persons nearest to the percentile of all persons' numbers of friends."""
+    p, k = P[key]
+    return curate_by_percentile(_alive_friends(f), p, order, k, population=f.personNumFriends).select("id")
+
+
+def hop_seeds(f: Factors) -> DataFrame:
+    """The persons that curation picks for Q10, from whom hop pairs are found."""
+    return _alive_persons(f, "pg_10a_person", ["id"])
+
+
 def pg_10a(f: Factors) -> DataFrame:
     c = curate_by_percentile(f.countryNumPersons, P["pg_10a_country"][0], ["name"], P["pg_10a_country"][1])
-    p = curate_by_percentile(_alive_friends(f), P["pg_10a_person"][0], ["id"], P["pg_10a_person"][1]).select("id")
+    p = _alive_persons(f, "pg_10a_person", ["id"])
     t = curate_by_percentile(f.tagClassNumTags, P["pg_10a_tagclass"][0], ["name"], P["pg_10a_tagclass"][1])
     c = c.select(F.col("name").alias("countryName"))
     t = t.select(F.col("name").alias("tagClassName"))
@@ -446,8 +458,7 @@ def pg_20_same_university_knows(f: Factors) -> DataFrame:
 def pg_20a(f: Factors) -> DataFrame:
     s1 = (curate_by_percentile(f.companyNumEmployees, P["pg_20a_company"][0], ["name", "id"], P["pg_20a_company"][1])
           .select(F.col("id").alias("companyId"), F.col("name").alias("companyName")))
-    s2 = (curate_by_percentile(_alive_friends(f), P["pg_20a_person"][0], [_md5("id")], P["pg_20a_person"][1])
-          .select(F.col("id").alias("personId")))
+    s2 = _alive_persons(f, "pg_20a_person", [_md5("id")]).withColumnRenamed("id", "personId")
     lists = _one(f.spark, c=_array_of(s1, "companyId", "companyName"), p=_array_of(s2, "personId"))
     pairs = (lists.select(F.explode("c").alias("c"), "p").select("c", F.explode("p").alias("p"))
              .select("c.companyId", "c.companyName", "p.personId"))

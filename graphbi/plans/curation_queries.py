@@ -53,8 +53,8 @@ QUERIES.update({
     "f_creation_day_tagclass_num_messages": _factor(FT.creation_day_tagclass_num_messages),
     "f_language_num_posts": _factor(FT.language_num_posts),
     "f_length_num_messages": _factor(FT.length_num_messages),
-    "f_people_2_hops": _factor(FT.people_2_hops),
-    "f_people_4_hops": _factor(FT.people_4_hops),
+    "f_people_2_hops": _job(lambda f: f.people2Hops),
+    "f_people_4_hops": _job(lambda f: f.people4Hops),
     "f_person_num_friends": _factor(FT.person_num_friends),
     "f_tagclass_num_messages": _factor(FT.tagclass_num_messages),
     "f_tagclass_num_tags": _factor(FT.tagclass_num_tags),

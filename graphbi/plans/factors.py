@@ -21,7 +21,6 @@ DELETED_DAY = _dt.date(2000, 6, 1)
 ALIVE_DAY = _dt.date(2030, 1, 1)
 WINDOW_START = _dt.date(2000, 1, 1)
 WINDOW_END = _dt.date(2000, 12, 31)
-HOP_SEED_CITY = 1008
 
 
 def deletion_day(id_col: Column) -> Column:
@@ -142,10 +141,9 @@ def tag_num_persons(g) -> DataFrame:
     return g["tag"].select(F.col("id").alias("tagId"), "name").join(per, "tagId")
 
 
-def _hop_pairs(g, hops: int, seed_city: int) -> DataFrame:
-    """Pairs (seed, person) at BFS distance exactly ``hops``; seeds are the
-    persons of one city (the generator samples its seeds)."""
-    seeds = g["person"].where(F.col("LocationCityId") == seed_city).select("id")
+def _hop_pairs(g, hops: int, seeds: DataFrame) -> DataFrame:
+    """Pairs (seed, person) at BFS distance exactly ``hops`` from the caller's seeds (column ``id``)."""
+    seeds = seeds.select("id").distinct()
     life = g["person"].select("id", F.to_date("creationDate").alias("cd"))
     # one BFS per seed, all seeds expanded together: (seed, node) frontiers
     e = g["knows"].select(F.col("Person1Id").alias("node"), F.col("Person2Id").alias("_to"))
@@ -164,12 +162,12 @@ def _hop_pairs(g, hops: int, seed_city: int) -> DataFrame:
                     deletion_day(F.col("node")).alias("person2DeletionDate")))
 
 
-def people_2_hops(g, seed_city: int = HOP_SEED_CITY) -> DataFrame:
-    return _hop_pairs(g, 2, seed_city)
+def people_2_hops(g, seeds: DataFrame) -> DataFrame:
+    return _hop_pairs(g, 2, seeds)
 
 
-def people_4_hops(g, seed_city: int = HOP_SEED_CITY) -> DataFrame:
-    return _hop_pairs(g, 4, seed_city)
+def people_4_hops(g, seeds: DataFrame) -> DataFrame:
+    return _hop_pairs(g, 4, seeds)
 
 
 # --- temporal tables -------------------------------------------------------

@@ -24,16 +24,18 @@ def build_session(master: str | None = None, cpus: int | None = None,
         builder = builder.master(master)
     elif not os.environ.get("SPARK_MASTER"):
         builder = builder.master(f"local[{cpus}]")
-    parts = shuffle_partitions or max(cpus, 8)
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "UTC")
-               .config("spark.sql.shuffle.partitions", str(parts))
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
-               .config("spark.driver.memory", os.environ.get("GRAPHBI_DRIVER_MEMORY", "16g")))
+               .config("spark.driver.memory", os.environ.get("GRAPHBI_DRIVER_MEMORY", "8g")))
+    local = (master or "local").startswith("local") and not os.environ.get("SPARK_MASTER")
+    parts = shuffle_partitions or (max(cpus, 8) if local else None)  # a cluster's own setting stays
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
