@@ -2,12 +2,15 @@
 
 The machine adds to linear weights a learned interaction of each pair of
 terms (the inner product of their factors), so a pair can weigh more than its
-parts.  Terms are hashed to a fixed number of buckets; the buckets that tell
-the classes apart best are kept.  The model has a fixed size.
+parts.  Terms are the words of a text (runs of letters, lower-cased) and their
+first letters, so that compounds and inflected forms share a term.  They are
+hashed to a fixed number of buckets; the buckets that tell the classes apart
+best are kept.  The model has a fixed size.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -16,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphbi.llm.common import FOLD, arrow_map, partition_map, remainder, sampled_labels, table, texts
+from graphbi.llm.common import arrow_map, partition_map, remainder, sampled_labels, table, texts
 
 #: Labelled rows that the model is fitted on, at most (a sample by a hash of the id).
 MAX_LABELLED = 20_000
 BUCKETS = 1 << 18
-TERMS, FACTORS = 256, 8
+TERMS, FACTORS = 512, 8
+WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the word beginnings that are terms too.
+STEMS = (4, 5, 6)
 STEPS, BATCH, RATE, DECAY = 1200, 256, 0.02, 2e-4
 THRESHOLD = 0.3
 #: Entries of a task's cache from word to term.
@@ -44,8 +50,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def words_of(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
+
+
+def word_buckets(word: str) -> list[int]:
+    """The buckets of a word and of its beginnings."""
+    terms = [word] + [word[:k] + "*" for k in STEMS if len(word) >= k]
+    return [zlib.crc32(t.encode()) % BUCKETS for t in terms]
+
+
 def buckets_of(text: str) -> np.ndarray:
-    return np.array(sorted({zlib.crc32(w) % BUCKETS for w in set(text.encode().translate(FOLD).split())}), dtype=np.int64)
+    return np.array(sorted({b for w in words_of(text) for b in word_buckets(w)}), dtype=np.int64)
 
 
 class Terms:
@@ -56,14 +72,14 @@ class Terms:
 
     def __call__(self, text: str) -> np.ndarray:
         cache, found = self.cache, set()
-        for w in set(text.encode().translate(FOLD).split()):
+        for w in words_of(text):
             t = cache.get(w)
             if t is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                t = cache[w] = int(self.slot[zlib.crc32(w) % BUCKETS])
-            if t >= 0:
-                found.add(t)
+                t = cache[w] = tuple(k for b in word_buckets(w) if (k := int(self.slot[b])) >= 0)
+            if t:
+                found.update(t)
         return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
