@@ -130,8 +130,8 @@ def _q(select: str, *extra) -> str:
 CUR_SQL: dict[str, str] = {}
 
 CUR_SQL["pg_01"] = _q(
-    "select strftime(to_timestamp(e + ((e // 37) % 24) * 3600 + ((e // 37) % 60) * 60 + (e // 31) % 60), "
-    "'%Y-%m-%dT%H:%M:%S.%g+00:00') datetime from (select epoch(creationDay::timestamp)::bigint e from ("
+    "select strftime(d + to_hours(trunc(e / 37 % 24)::bigint) + to_minutes(trunc(e / 37 % 60)::bigint) + to_seconds(e / 31 % 60), "
+    "'%Y-%m-%dT%H:%M:%S.%g+00:00') datetime from (select creationDay::timestamp d, epoch(creationDay::timestamp) e from ("
     + _nearest("creationDayNumMessages", 0.15, "creationDay", "creationDay", 80) + "))")
 CUR_SQL["pg_02_windows"] = _q("select * from q2_windows")
 for key, p in (("pg_02a", 0.92), ("pg_02b", 0.62)):
@@ -280,3 +280,26 @@ CUR_SQL["naive_pg_17"] = _q("select tagName tag, cast(8 + (select sum(x) from (s
 CUR_SQL["naive_pg_19a"] = _q("select city1Id, city2Id from cityPairsNumFriends order by "
                              "md5((3532569367::bigint*city1Id + 342663089::bigint*city2Id)::varchar), city1Id, city2Id "
                              "limit 400")
+for _v in ("02", "08", "14", "19"):
+    CUR_SQL[f"naive_pg_{_v}b"] = CUR_SQL[f"naive_pg_{_v}a"]
+CUR_SQL["naive_pg_09"] = _q("select creationDay + ((i * 37) % 10 - 5) startDate, creationDay + (80 + (i * 31) % 20) endDate "
+                            "from creationDayNumMessages join (select range::integer i from range(1, 21)) on true")
+CUR_SQL["naive_pg_12"] = _q(
+    "select (hd.lo + i * 3)::date startDate, (150 - 5 * i)::integer lengthThreshold, languages from hashed_days hd, "
+    "(select unnest(generate_series(1, 20))::integer i), (select array_to_string(list_slice(list(language order by "
+    "md5(concat(language, o))), 1, 3), ';') languages from langs, (select unnest([1, 2, 3, 4]) o) group by o)",
+    ("langs", "select language from languageNumPosts order by md5(language), language limit 10"),
+    ("hashed_days", "select arg_min(creationDay, md5(creationDay::varchar)) lo from creationDayNumMessages"))
+CUR_SQL["naive_pg_15a"] = CUR_SQL["naive_pg_15b"] = _q(
+    "select x.id person1Id, y.id person2Id, hd.lo - (x.id % 7)::integer startDate, hd.hi + (y.id % 7)::integer endDate "
+    "from ranked x join ranked y on x.up <= 20 and y.down <= 20 join hashed_days hd on true",
+    ("ranked", "select id, row_number() over (order by md5(id::varchar)) up, row_number() over (order by md5(id::varchar) desc) "
+               "down from personNumFriends"),
+    ("hashed_days", "select arg_min(creationDay, md5(creationDay::varchar)) lo, arg_max(creationDay, md5(creationDay::varchar)) hi "
+                    "from creationDayNumMessages"))
+CUR_SQL["naive_pg_16a"] = CUR_SQL["naive_pg_16b"] = _q(
+    "select x.name tagA, x.creationDay dateA, y.name tagB, y.creationDay dateB, (3 + (dayofyear(x.creationDay) + "
+    "dayofyear(y.creationDay)) % 4)::integer maxKnowsLimit from ranked x join ranked y on x.up <= 100 and y.down <= 100 "
+    "and x.name <> y.name order by md5(x.name || y.name), dateA, dateB limit 400",
+    ("ranked", "select creationDay, name, row_number() over (order by md5(creationDay::varchar || name)) up, row_number() "
+               "over (order by md5(creationDay::varchar || name) desc) down from creationDayAndTagNumMessages"))

@@ -31,6 +31,7 @@ P = {
     "pg_16b_b": (0.37, 100), "pg_16": (None, 400), "pg_17": (0.27, 400), "pg_18": (0.99, 400), "pg_19": (None, 400),
     "pg_20a_company": (0.9, 50), "pg_20a_person": (0.55, 50), "pg_20a": (None, 400), "pg_20b_comp": (0.47, 200),
     "pg_20b": (None, 400), "pg_10": (None, 400), "naive": (None, 400),
+    "naive_pg_12_language": (None, 10), "naive_pg_15_person": (None, 20), "naive_pg_16_side": (None, 100),
 }
 # Discrete percentiles of the creation days used as date anchors.
 ANCHOR = {"pg_02": 0.15, "pg_08": 0.15, "pg_09": 0.89, "pg_11": 0.92, "pg_12": 0.79, "pg_13": 0.94, "pg_15a": 0.95,
@@ -165,10 +166,11 @@ def _add_days(d: Column, n) -> Column:
 
 def pg_01(f: Factors) -> DataFrame:
     top = curate_by_percentile(f.creationDayNumMessages, P["pg_01"][0], ["creationDay"], P["pg_01"][1])
-    e = F.unix_timestamp(F.col("creationDay").cast("timestamp"))
-    h, m, s = F.expr("(x div 37) % 24"), F.expr("(x div 37) % 60"), F.expr("(x div 31) % 60")
-    shifted = (top.withColumn("x", e)
-               .withColumn("_ts", F.timestamp_seconds(F.col("x") + h * 3600 + m * 60 + s)))
+    h, m = F.expr("(x div 37) % 24"), F.expr("(x div 37) % 60")
+    # hours and minutes count whole, seconds with their fraction
+    sec = F.expr("cast(cast(x as double) / 31 % 60 * 1000000 as bigint)")
+    shifted = (top.withColumn("x", F.unix_timestamp(F.col("creationDay").cast("timestamp")))
+               .withColumn("_ts", F.timestamp_micros((F.col("x") + h * 3600 + m * 60) * 1000000 + sec)))
     return (shifted.select(F.date_format("_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'").alias("datetime"), "creationDay")
             .orderBy(_md5("creationDay")).select("datetime"))
 
@@ -322,6 +324,10 @@ def pg_12(f: Factors) -> DataFrame:
     anchor = percentile_day(f.creationDayNumMessages, "creationDay", ANCHOR["pg_12"])
     langs = curate_by_percentile(f.languageNumPosts, P["pg_12_language"][0], ["language"],
                                  P["pg_12_language"][1]).select("language")
+    return _length_and_languages(f, anchor, langs)
+
+
+def _length_and_languages(f: Factors, anchor: Column, langs: DataFrame) -> DataFrame:
     base = (_one(f.spark, anchor=anchor, langs=_array_of(langs, "language"))
             .withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(20))))
             .withColumn("lng", F.explode("langs"))
@@ -408,6 +414,11 @@ def _tag_dates(f: Factors, key: str, pick) -> DataFrame:
 def _pg_16(f: Factors, key: str) -> DataFrame:
     a = _tag_dates(f, f"{key}_a", F.max).select(F.col("tagName").alias("tagA"), F.col("creationDay").alias("dateA"))
     b = _tag_dates(f, f"{key}_b", F.min).select(F.col("tagName").alias("tagB"), F.col("creationDay").alias("dateB"))
+    return _tag_date_pairs(f, a, b)
+
+
+def _tag_date_pairs(f: Factors, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of unequal tags with their days; both sides are top-k results."""
     lists = _one(f.spark, a=_array_of(a, "tagA", "dateA"), b=_array_of(b, "tagB", "dateB"))
     prod = (lists.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
             .select("a.tagA", "a.dateA", "b.tagB", "b.dateB").where(F.col("tagA") != F.col("tagB")))
@@ -604,9 +615,48 @@ def naive_pg_19a(f):
     return _naive(c, key, P["naive"][1], [F.col("city1Id"), F.col("city2Id")], ["city1Id", "city2Id"])
 
 
+def naive_pg_09(f):
+    salted = f.creationDayNumMessages.select("creationDay", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("salt"))
+    return salted.select(_add_days(F.col("creationDay"), F.col("salt") * 37 % 10 - 5).alias("startDate"),
+                         _add_days(F.col("creationDay"), F.col("salt") * 31 % 20 + 80).alias("endDate"))
+
+
+def _naive_day(f, last: bool = False) -> Column:
+    key = _md5("creationDay")
+    return f.creationDayNumMessages.orderBy(key.desc() if last else key).limit(1).select("creationDay").scalar()
+
+
+def naive_pg_12(f):
+    langs = f.languageNumPosts.orderBy(_md5("language"), "language").limit(P["naive_pg_12_language"][1]).select("language")
+    return _length_and_languages(f, _naive_day(f), langs)
+
+
+def naive_pg_15(f):
+    ids, k = f.personNumFriends, P["naive_pg_15_person"][1]
+    lists = _one(f.spark, a=_array_of(ids.orderBy(_md5("id"), "id").limit(k), "id"),
+                 b=_array_of(ids.orderBy(_md5("id").desc(), "id").limit(k), "id"), lo=_naive_day(f), hi=_naive_day(f, last=True))
+    pairs = (lists.select(F.explode("a").alias("a"), "b", "lo", "hi").select("a", F.explode("b").alias("b"), "lo", "hi")
+             .select(F.col("a.id").alias("person1Id"), F.col("b.id").alias("person2Id"), "lo", "hi"))
+    key = F.md5((131 * F.col("person1Id") + 241 * F.col("person2Id")).cast("string"))
+    return _naive(pairs, key, P["naive"][1],
+                  [F.col("person1Id"), F.col("person2Id"), _add_days(F.col("lo"), -(F.col("person1Id") % 7)).alias("startDate"),
+                   _add_days(F.col("hi"), F.col("person2Id") % 7).alias("endDate")], ["person1Id", "person2Id"])
+
+
+def naive_pg_16(f):
+    days, k, key = f.creationDayAndTagNumMessages, P["naive_pg_16_side"][1], _md5("creationDay", "name")
+    a = days.orderBy(key, "name").limit(k).select(F.col("name").alias("tagA"), F.col("creationDay").alias("dateA"))
+    b = days.orderBy(key.desc(), "name").limit(k).select(F.col("name").alias("tagB"), F.col("creationDay").alias("dateB"))
+    return _tag_date_pairs(f, a, b)
+
+
 JOBS.update({
     "naive_pg_01": naive_pg_01, "naive_pg_02m": naive_pg_02m, "naive_pg_02a": naive_pg_02a,
     "naive_pg_04": naive_pg_04, "naive_pg_05": naive_pg_05, "naive_pg_06": naive_pg_06, "naive_pg_07": naive_pg_07,
     "naive_pg_08m": naive_pg_08m, "naive_pg_08a": naive_pg_08a, "naive_pg_14a": naive_pg_14a,
     "naive_pg_17": naive_pg_17, "naive_pg_18": naive_pg_18, "naive_pg_19a": naive_pg_19a,
+    # the b-variants take the same samples
+    "naive_pg_02b": naive_pg_02a, "naive_pg_08b": naive_pg_08a, "naive_pg_14b": naive_pg_14a, "naive_pg_19b": naive_pg_19a,
+    "naive_pg_09": naive_pg_09, "naive_pg_12": naive_pg_12, "naive_pg_15a": naive_pg_15, "naive_pg_15b": naive_pg_15,
+    "naive_pg_16a": naive_pg_16, "naive_pg_16b": naive_pg_16,
 })
