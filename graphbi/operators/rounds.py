@@ -30,6 +30,7 @@ class RoundStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-
-def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+    def drop(self, name: str) -> None:
+        """Remove a table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

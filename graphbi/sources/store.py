@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphbi.plans import views
 from graphbi.session import configure, scratch_path, shared_root
@@ -54,17 +55,23 @@ def _code_version() -> str:
     """Hash of the modules that define the stored tables (a new version
     never reuses an old snapshot)."""
     import hashlib
-    import os
-    here = os.path.dirname(os.path.abspath(__file__))
-    pkg = os.path.dirname(here)
+    import inspect
+    import sys
+
+    from graphbi.operators import closure, rounds
     h = hashlib.sha1()
-    for rel in ("sources/fixture.py", "sources/store.py", "plans/views.py", "operators/closure.py",
-                "operators/rounds.py"):
-        with open(os.path.join(pkg, rel), "rb") as fh:
-            h.update(fh.read())
+    for module in (fixture, sys.modules[__name__], views, closure, rounds):
+        h.update(inspect.getsource(module).encode())
     return h.hexdigest()[:12]
 
 
+def _input_version(spark: SparkSession, sf_dir: str) -> str:
+    """One number over names, sizes and times of the input files; their contents are not read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load([f"{sf_dir}/{t}.parquet" for t in fixture.SOURCE_TABLES]))
+    return str(files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0])
+
+
 def _write(df: DataFrame, path: str, sort_by: str | None = None) -> None:
     if sort_by:
         df = df.sortWithinPartitions(sort_by)
@@ -104,8 +111,8 @@ def build_graph(spark: SparkSession, sf_dir: str, root: str | None = None) -> Gr
 def load_graph(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Graph:
     """The stored snapshot of ``sf_dir``.
 
-    A completion marker in a folder named after the input path and the code
-    version points at the finished snapshot, so later sessions reuse it.
+    A completion marker in a folder named after the input path, the input
+    files' sizes and times, and the code version points at the finished snapshot, so later sessions reuse it.
     Every build writes a folder of its own and publishes it by writing the
     marker last; concurrent builders therefore never share a folder.
     ``fresh`` always builds a new snapshot (benchmarks)."""
@@ -116,9 +123,9 @@ def load_graph(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Graph:
     configure(spark)
     if fresh:
         return build_graph(spark, sf_dir)
-    key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{_code_version()}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{sf_dir.rstrip('/')}|{_input_version(spark, sf_dir)}|{_code_version()}".encode()).hexdigest()[:16]
     marker = f"{shared_root(spark)}/graphbi/snapshot-{key}/{_DONE}"
-    if path_exists(spark, marker):
+    if path_exists(spark, f"{marker}/_SUCCESS"):  # written last
         root = spark.read.parquet(marker).first()["root"]
         return Graph(spark, root, _NAMES)
     g = build_graph(spark, sf_dir)

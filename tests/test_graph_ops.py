@@ -117,3 +117,11 @@ def test_long_conversations_keep_their_turns_apart(spark, tmp_path):
     out = thread_roots_q(spark, str(tmp_path)).collect()
     assert len(out) == 22 and len({r["id"] for r in out}) == 22  # turns 100 to 102 have no predecessor
     assert {r["root_id"] >> 32 for r in out if r["id"] >> 32 == 2} == {2}
+
+
+def test_components_of_a_long_path_loops_and_single_nodes(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (300, 200), (200, 300), (250, 200)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    got = {tuple(r) for r in G.connected_components(spark, df).collect()}
+    assert got == {(i, 100) for i in range(100, 161)} | {(7, 7), (200, 200), (250, 200), (300, 200)}
+    assert G.connected_components(spark, df.limit(0)).count() == 0
