@@ -46,7 +46,8 @@ SCORE_SQL = {
                "when length < 160 then 2 else 3 end) group by d"),
         ("inst", "select year(coalesce(d1.d, d2.d))::varchar params, max(case when d1.d is null or d2.d is null "
                  "or abs(d1.f - d2.f) > 0.00001 or abs(d1.a - d2.a) > 0.00001 then 1 else 0 end) failed, "
-                 "min(case when d2.d is null then 1 else 0 end) skipped from d1 full join d2 on d1.d = d2.d group by 1"),
-        select="select 'creationDay' variant, count(*) instances, cast(sum(skipped) as bigint) skipped, "
-               "cast(sum(failed) as bigint) failed, sum(failed) = 0 passed from inst"),
+                 "count(d1.d) > 0 e, count(d2.d) > 0 a from d1 full join d2 on d1.d = d2.d group by 1"),
+        select="select 'creationDay' variant, count(*) instances, count(*) filter (e and not a) skipped, "
+               "count(*) filter (e <> a) misaligned, count(*) filter (e and a and failed = 1) failed, "
+               "count(*) filter (e and a and failed = 1) = 0 passed from inst"),
 }
