@@ -47,8 +47,10 @@ FIXTURE_CTES = [
     ("tagclass", "select row_number() over(order by p_type)-1 id, p_type as name from (select distinct p_type from part) t"),
     ("message_hastag", "select o_orderkey*10 MessageId, 1+o_orderkey%25 TagId from orders union all "
                        "select c.id, cast(substring(p_brand,7) as bigint) from comment_t c join part on p_partkey=c.pk"),
-    ("person_likes_message", "select distinct user_id PersonId,(event_id*7%(select count(*) from orders))*10 MessageId "
-                             "from events where event_type in ('view','purchase')"),
+    ("liking", "select user_id p, event_id, event_id*7%(select count(*) from orders)*10 post from events "
+               "where event_type in ('view','purchase')"),
+    ("person_likes_message", "select p PersonId, post MessageId from liking union select p, post + 1 from liking "
+                             "where event_id % 3 = 0 and post + 1 in (select id from comment_t)"),
     ("forum_hasmember", "select distinct f ForumId,p PersonId from (select c_custkey%n_forum f,c_custkey p from customer "
                         "cross join fx_n union all select (c_custkey*3+1)%n_forum,c_custkey from customer cross join fx_n "
                         "union all select o_orderkey%n_forum,o_custkey from orders cross join fx_n where o_orderkey%3=0) x"),

@@ -84,8 +84,9 @@ REFRESH_SQL["delete_person"] = with_fixture(*INS, select=_counts([
                                 "(ModeratorPersonId in (select id from pdel) and title like 'Group %'))"),
 ]))
 REFRESH_SQL["delete_post_like"] = with_fixture(*INS, select=_counts([
-    ("person_likes_message", "(select * from likes_i where (PersonId, MessageId) not in (select * from likes_c))")]))
-REFRESH_SQL["delete_comment_like"] = with_fixture(*INS, select=_counts([("person_likes_message", "likes_i")]))
+    ("person_likes_message", "(select * from likes_i where MessageId % 10 <> 0 or (PersonId, MessageId) not in (select * from likes_c))")]))
+REFRESH_SQL["delete_comment_like"] = with_fixture(*INS, select=_counts([
+    ("person_likes_message", "(select * from likes_i where MessageId % 10 = 0 or (PersonId, MessageId) not in (select * from likes_c))")]))
 REFRESH_SQL["delete_forum"] = with_fixture(*INS, select=_counts([
     ("forum", "(select * from forum_i where id not in (select id from fcand))"),
     ("forum_hasmember", "(select * from member_i where ForumId not in (select id from fcand))"),

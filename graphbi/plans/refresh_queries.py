@@ -78,17 +78,20 @@ def delete_person_q(spark, sf_dir):
     return counts.unionByName(no_mod)
 
 
+def _delete_likes_of(spark, sf_dir, posts: bool) -> DataFrame:
+    """Like candidates of posts or of comments only, removed."""
+    def step(t, c):
+        own = F.col("ParentMessageId").isNull() if posts else F.col("ParentMessageId").isNotNull()
+        return R.delete_likes(t, c["likes"].join(t["message"].where(own).select(F.col("MessageId").alias("trg")), "trg", "left_semi"))
+    return R.table_counts(_after(spark, sf_dir, step), ["person_likes_message"])
+
+
 def delete_post_like_q(spark, sf_dir):
-    return R.table_counts(_after(spark, sf_dir, lambda t, c: R.delete_likes(t, c["likes"])), ["person_likes_message"])
+    return _delete_likes_of(spark, sf_dir, posts=True)
 
 
 def delete_comment_like_q(spark, sf_dir):
-    """Comment likes: the test graph's likes all target posts, so the rule
-    is applied to the likes of comments (none) and nothing may change."""
-    def step(t, c):
-        comments = t["message"].where(F.col("ParentMessageId").isNotNull()).select(F.col("MessageId").alias("trg"))
-        return R.delete_likes(t, c["likes"].join(comments, "trg", "left_semi"))
-    return R.table_counts(_after(spark, sf_dir, step), ["person_likes_message"])
+    return _delete_likes_of(spark, sf_dir, posts=False)
 
 
 def delete_forum_q(spark, sf_dir):

@@ -107,10 +107,13 @@ def project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     comment_hastag = (comment.select("id", "pk").join(part.select("p_partkey", "p_brand"), pk == F.col("p_partkey"))
                       .select(F.col("id").alias("MessageId"), brand_no.alias("TagId")))
 
-    person_likes_message = (events.where(F.col("event_type").isin("view", "purchase"))
-                            .select(F.col("user_id").alias("PersonId"),
-                                    ((F.col("event_id") * 7 % n_orders) * 10).alias("MessageId"))
-                            .distinct())
+    liking = events.where(F.col("event_type").isin("view", "purchase")).select(
+        F.col("user_id").alias("PersonId"), ((F.col("event_id") * 7 % n_orders) * 10).alias("_post"), "event_id")
+    # every third one likes the first comment below the post too, where there is one
+    comment_likes = (liking.where(F.col("event_id") % 3 == 0).select("PersonId", (F.col("_post") + 1).alias("MessageId"))
+                     .join(comment.select(F.col("id").alias("MessageId")), "MessageId", "left_semi"))
+    person_likes_message = (liking.select("PersonId", F.col("_post").alias("MessageId"))
+                            .unionByName(comment_likes).distinct())
 
     forum_hasmember = (customer.select((c % n_forum).alias("ForumId"), c.alias("PersonId"))
                        .unionByName(customer.select(((c * 3 + 1) % n_forum).alias("ForumId"), c.alias("PersonId")))
