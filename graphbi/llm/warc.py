@@ -172,6 +172,11 @@ def _read(spark: SparkSession, path: str, end: bytes, ddl: str, parse) -> DataFr
     return lines.mapInArrow(run, schema)
 
 
+def is_version_block(url: str, block: bytes) -> bool:
+    """The first record of a file (or of a file appended to it); a page fetched from a filedesc: url is an HTTP response."""
+    return url.startswith("filedesc:") and not is_http(block)
+
+
 def _parse_arc(pieces):
     names: dict[str, tuple[str, ...]] = {}
 
@@ -180,7 +185,7 @@ def _parse_arc(pieces):
 
     for file, line, block in _records(pieces, ARC_END, lambda d: d.find(b"\n") + 1 or -1, length_of):
         values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        if values[0].startswith("filedesc:"):
+        if is_version_block(values[0], block):
             version, listed = block.split(b"\n")[:2]
             names[file] = tuple(listed.decode().split(" "))
             if names[file] != ARC_FIELDS.get(int(version.split(b" ")[0])):
@@ -209,9 +214,13 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def is_http(block: bytes) -> bool:
+    return block.startswith(b"HTTP/")
+
+
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """(status line and headers with the empty line, payload); without HTTP all is payload."""
-    n = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -1
+    n = block.find(b"\r\n\r\n") if is_http(block) else -1
     return (block[:n + 4], block[n + 4:]) if n >= 0 else (b"", block)
 
 
@@ -223,8 +232,10 @@ def http_header(head: bytes, name: bytes) -> str | None:
     return None
 
 
-def warc_type(url: str) -> str:
-    """warcinfo for the version block, resource for dns and the like, response for what was fetched over HTTP."""
+def warc_type(url: str, block: bytes = b"") -> str:
+    """response for an HTTP block, whatever the url; else by the url: warcinfo for the version block, resource for dns and the like."""
+    if is_http(block):
+        return "response"
     scheme = url.split(":", 1)[0].lower()
     return "warcinfo" if scheme == "filedesc" else "response" if scheme in ("http", "https", "unknown") or "://" in url or ":" not in url else "resource"
 
@@ -253,7 +264,7 @@ def convert(arc: DataFrame) -> DataFrame:
             for url, date, kind, block in zip(*[batch.column(c).to_pylist() for c in ("url", "date", "content_type", "block")], strict=True):
                 head, payload = split_http(block)
                 digest, page = sha1_base32(payload), http_header(head, b"x-page-id")
-                row = {"url": url, "date": warc_date(date), "content_type": kind, "type": warc_type(url), "page": page, "block": block,
+                row = {"url": url, "date": warc_date(date), "content_type": kind, "type": warc_type(url, block), "page": page, "block": block,
                        "record_id": record_id(url, date, page, digest), "payload_digest": digest, "payload_bytes": len(payload)}
                 for c, x in row.items():
                     out[c].append(x)
@@ -344,13 +355,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as legacy archives, converted to WARC, and read back from the WARC files.
 
-    Null html is an empty payload.  Empty table: no archives, no rows.
+    A row per page, whatever its url.  Null html is an empty payload.  Empty table: no archives, no rows.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     root, kind = scratch_path(spark, "llm-archives"), dict(pages.dtypes)["page_id"]
     write_arc(pages, f"{root}/arc")
     write_warc(mark_revisits(convert(read_arc(spark, f"{root}/arc")), id_type=kind), f"{root}/warc")
-    back = read_warc(spark, f"{root}/warc").where(F.col("type").isin("response", "revisit"))
+    back = read_warc(spark, f"{root}/warc").where("type != 'warcinfo'")
     return back.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
                        F.col("refers_to").cast(kind).alias("refers_to"))
 

@@ -399,6 +399,16 @@ def test_warc(spark, pages, tmp_path):
     assert warc.warc_date("2004") == "2004-01-01T00:00:00Z" and warc.warc_type("dns:x.org") == "resource" and warc.warc_type("filedesc://x") == "warcinfo"
 
 
+def test_warc_urls(spark, tmp_path):
+    """A page is a row whatever its url, and the smallest page of a payload is the response."""
+    urls = ["mailto:x@y.z", "host:8080/y", "filedesc://z", "filedesc:z", "FILEDESC://z", "data:text/plain,a b", "urn:x", "dns:x.org", "unknown:", ":", "", None, "http://x/"]
+    pages = [(i, u, "same") for i, u in enumerate(urls)] + [(100 + i, u, f"own {i}") for i, u in enumerate(urls)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = rows_of(warc.op10_warc(spark, str(tmp_path)).select("page_id", "record_type", "refers_to"))
+    assert got == sorted(((i, "revisit" if 0 < i < 100 else "response", 0 if 0 < i < 100 else None) for i, _, _ in pages), key=repr)
+    assert warc.warc_type("mailto:x", b"HTTP/1.1 200 OK\r\n\r\n") == "response"
+
+
 HTML = [
     ("<p>a <b>b</b>\n c<p>d", "a b c\n\nd"), ("<ul><li>x<li>y<ul><li>z</ul></ul>", "- x\n- y\n  - z"), ("<ol start=3><li>x</li><li>y</ol>", "3. x\n4. y"),
     ("<table><tr><td>a<td>bbb<tr><th>cc</th><td>d</table>e", "a  | bbb\ncc | d\n\ne"), ("<div hidden>x</div><p style='display: none'>y</p><script>if (a<b) 'z'</script>v", "v"),
