@@ -24,6 +24,11 @@ SPACED = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre sect
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
           "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th", "thead", "tbody", "tfoot"),
           "tbody": ("tr", "td", "th", "thead", "tbody", "tfoot"), "tfoot": ("tr", "td", "th", "thead", "tbody", "tfoot"), "body": ("head",)}
+#: A start tag of another element ends an open head (its end tag may be omitted).
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Elements of other vocabularies, in which "/>" ends an element, and those whose content is HTML again.
+FOREIGN = frozenset(("math", "svg"))
+HTML_INSIDE = frozenset("annotation-xml desc foreignobject mi mn mo ms mtext title".split())
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "optgroup": ("select",)}
 #: A start tag of these closes an open paragraph.
 ENDS_P = BLOCK - {"body", "html", "caption", "dd", "dt", "li", "legend"} | {"dd", "dt", "li"}
@@ -35,10 +40,10 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "name")
+    __slots__ = ("attrs", "children", "foreign", "name")
 
-    def __init__(self, name: str, attrs: dict | None = None):
-        self.name, self.attrs, self.children = name, attrs or {}, []
+    def __init__(self, name: str, attrs: dict | None = None, foreign: bool = False):
+        self.name, self.attrs, self.foreign, self.children = name, attrs or {}, foreign, []
 
 
 def _attrs(raw: str) -> dict[str, str]:
@@ -49,6 +54,11 @@ def _attrs(raw: str) -> dict[str, str]:
     return out
 
 
+def _self_closed(raw: str) -> bool:
+    """Ends with a slash that isn't the end of an attribute's value."""
+    return raw.endswith("/") and all(m.end() < len(raw) for m in _ATTR.finditer(raw))
+
+
 def parse(source: str) -> Node:
     """A tree for any input: omitted end tags are implied, stray end tags ignored, open elements closed at the end."""
     root = Node("html")
@@ -56,7 +66,10 @@ def parse(source: str) -> Node:
 
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+            s = html.unescape(s) if "&" in s else s
+            if stack[-1].name == "head" and s.strip(" \t\n\r\f"):
+                stack.pop()
+            stack[-1].children.append(s)
 
     def close(names, stops) -> None:
         """Pops up to and with the outermost of ``names`` above the nearest stop."""
@@ -90,6 +103,8 @@ def parse(source: str) -> Node:
         if name == "html":
             root.attrs = _attrs(m[3]) | root.attrs
             continue
+        if stack[-1].name == "head" and name not in HEAD:
+            stack.pop()
         if name in CLOSES:
             close(CLOSES[name], STOPS.get(name, ("table",)))
         if name in ENDS_P:
@@ -97,8 +112,10 @@ def parse(source: str) -> Node:
         if name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
             stack[-1].children.append(row := Node("tr"))
             stack.append(row)
-        node = Node(name, _attrs(m[3]))
+        node = Node(name, _attrs(m[3]), name in FOREIGN or (stack[-1].foreign and stack[-1].name not in HTML_INSIDE))
         stack[-1].children.append(node)
+        if node.foreign and _self_closed(m[3]):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
             body, at = source[at:end.start() if end else len(source)], end.end() if end else len(source)

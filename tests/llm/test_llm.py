@@ -414,6 +414,10 @@ HTML = [
     ("<table><tr><td>a<td>bbb<tr><th>cc</th><td>d</table>e", "a  | bbb\ncc | d\n\ne"), ("<div hidden>x</div><p style='display: none'>y</p><script>if (a<b) 'z'</script>v", "v"),
     ("a<!-- <p> -->b<br>c<pre>  x\n y</pre>", "ab\nc\n\n  x\n y"), ("<title>t</title><img alt='pic'>&lt;&amp;&eacute;", "pic<&é"), ("<td>loose</td> </p> <p", "loose"),
     (None, ""), ("", ""), ("<", "<"), ("<div>" * 3000 + "deep", "deep"), ("<dl><dt>a<dd>b<dt>c</dl>", "a\nb\nc"), ("<p>a<table><tr><td>b<p>c</table>d", "a\n\nb / c\n\nd"),
+    ("<html><head><title>t</title><p>Hello<p>you", "Hello\n\nyou"), ("<head> <meta charset=x>\n<script>s</script> bare <b>text</b>", "bare text"),
+    ("<head><noscript><p>n</p></noscript><style>x{}</style></head><body>b", "b"), ("<head><title>t</title></head>a<head><link rel=x><div>c</div>", "a\nc"),
+    ("a<svg width='1'/>b<svg><path d='z'/><style/><g/><text>s</text></svg>c", "abc"), ("<p>a<svg/><p>b", "a\n\nb"), ("a<svg href=x/>hidden</svg>b<svg href='y?z=1'/>c", "abc"),
+    ("<math><mspace/><mi>x</mi></math> y<div/>z", "x y\nz"),
 ]
 
 
