@@ -418,6 +418,8 @@ HTML = [
     ("<head><noscript><p>n</p></noscript><style>x{}</style></head><body>b", "b"), ("<head><title>t</title></head>a<head><link rel=x><div>c</div>", "a\nc"),
     ("a<svg width='1'/>b<svg><path d='z'/><style/><g/><text>s</text></svg>c", "abc"), ("<p>a<svg/><p>b", "a\n\nb"), ("a<svg href=x/>hidden</svg>b<svg href='y?z=1'/>c", "abc"),
     ("<math><mspace/><mi>x</mi></math> y<div/>z", "x y\nz"),
+    ("<div class=\"a\"\">text</div>more \"q\" <b>z</b>", 'text\nmore "q" z'), ("<a title=Bob's>text</a> it's <i>all</i>", "text it's all"),
+    ("a<b title = 'x>y' hidden>h</b><i t=\">\">c</i>", "ac"), ("<p class=\"a\"\"hidden>v<p x='' hidden>h", "v"), ("<a href=>v</a ' >w<b ' hidden>h", "vw"),
 ]
 
 
