@@ -192,13 +192,33 @@ def _plain(node: Node) -> str:
     return "".join(out)
 
 
+def _cells(row: Node) -> tuple[list[Node], Node]:
+    """The cells of a row at any depth, but not those of inner tables, and a copy of all else that is visible in it."""
+    cells, rest = [], Node("caption")
+    todo = [(x, rest) for x in reversed(row.children)]
+    while todo:
+        x, into = todo.pop()
+        if isinstance(x, str) or (x.name == "table" and visible(x)):
+            into.children.append(x)
+        elif visible(x):
+            if x.name in ("td", "th"):
+                cells.append(x)
+            else:
+                into.children.append(copy := Node(x.name, x.attrs))
+                todo += [(c, copy) for c in reversed(x.children)]
+    return cells, rest
+
+
 def _rows(node: Node) -> list[Node | list]:
-    """The rows (lists of cells) and captions of a table in order; not those of inner tables."""
+    """The rows (lists of cells) and captions of a table in order; not those of inner tables. What lies between a row's cells comes before it."""
     out = []
     for x in node.children:
         if isinstance(x, Node) and visible(x):
             if x.name == "tr":
-                out.append([c for c in x.children if isinstance(c, Node) and c.name in ("td", "th") and visible(c)])
+                cells, rest = _cells(x)
+                if any(isinstance(c, Node) or c.strip() for c in rest.children):
+                    out.append(rest)
+                out.append(cells)
             elif x.name in ("thead", "tbody", "tfoot"):
                 out += _rows(x)
             elif x.name not in ("colgroup", "col"):

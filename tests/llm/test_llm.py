@@ -420,6 +420,9 @@ HTML = [
     ("<math><mspace/><mi>x</mi></math> y<div/>z", "x y\nz"),
     ("<div class=\"a\"\">text</div>more \"q\" <b>z</b>", 'text\nmore "q" z'), ("<a title=Bob's>text</a> it's <i>all</i>", "text it's all"),
     ("a<b title = 'x>y' hidden>h</b><i t=\">\">c</i>", "ac"), ("<p class=\"a\"\"hidden>v<p x='' hidden>h", "v"), ("<a href=>v</a ' >w<b ' hidden>h", "vw"),
+    ("<table><tr><form><td>Name</td><td>x</td></form></tr></table>", "Name | x"), ("<table><tr>text<td>a</td></table>", "text\na"),
+    ("<table><tr><b>t</b> u<td>a<td>b<tr><td>c</table>", "t u\na | b\nc"), ("<table><tr>k<form>l <td>a</td>m</form><td>b</tr></table>z", "k\nl m\na | b\n\nz"),
+    ("<table><tr><div hidden><td>h</td></div><td>a<tr><table><tr><td>i<td>j</table></table>", "a\ni | j"), ("<table><tr>" + "<b>" * 3000 + "<td>deep", "deep"),
 ]
 
 
