@@ -1,12 +1,17 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class).  The class softmax
+P(word | context) = (n(word before, word) + STRENGTH * Q) / (n(word before) + STRENGTH)
+with Q = P(class | context) * P(word | class).  The counts n of words and of
+word pairs are tables by full 64-bit hashes, which grow with the corpus; the
+most frequent (bounded tables) are broadcast, all others joined.
+
+The class softmax
 has weights for hashed features of the context (the word before, the word
 before that, and both together); it is trained by gradients that tasks sum
 over their documents and Spark adds up.  Within a class a word's share is its
 smoothed count, which is what a softmax with one weight a word learns.
 Frequent words (a bounded table) are split into classes of about equal count;
-all others share the last class, and their counts are joined.
+all others share the last class of Q.
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ from graphbi.llm.suffix_dedup import hash_words
 FREQUENT = 1 << 17
 CLASSES = 32
 BUCKETS = 1 << 14
+#: Word pairs in the table of frequent pairs, at most; weight of Q in positions.
+FREQUENT_PAIRS = 1 << 20
+STRENGTH = 64.0
 #: Kinds of features: previous word, skip, previous two; each position has one of each.
 KINDS = 3
 #: Gradient updates after the first; together they pass over all training documents once.
@@ -97,8 +105,21 @@ def blocks(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield flush()
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """(h, c): tokens of all texts with their counts; summed in tasks, then in Spark."""
+def words_before(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The token before each; before a text is an end token."""
+    out = np.concatenate([[END], t[:-1]])
+    out[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = END
+    return out
+
+
+def pair_hashes(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of each token with the one before."""
+    k = (words_before(t, lengths) * np.uint64(0x9E3779B97F4A7C15)) ^ (t * np.uint64(0xD6E8FEB86659FD93))
+    return (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def count_words(rows: DataFrame, hashes=lambda t, lengths: t) -> DataFrame:
+    """(h, c): tokens (or other ``hashes``) of all texts with their counts; summed in tasks, then in Spark."""
     def run(batches):
         hs, ns, size = [], [], 0
 
@@ -107,8 +128,8 @@ def count_words(rows: DataFrame) -> DataFrame:
             return h, np.bincount(inverse, weights=np.concatenate(ns), minlength=len(h)).astype(np.int64)
 
         for batch in batches:
-            for t, _ in blocks(batch.column("text")):
-                h, n = np.unique(t, return_counts=True)
+            for t, lengths in blocks(batch.column("text")):
+                h, n = np.unique(hashes(t, lengths), return_counts=True)
                 hs.append(h)
                 ns.append(n)
                 size += len(h)
@@ -145,9 +166,8 @@ class Words:
         return at, np.where(at >= 0, self.classes[at], CLASSES - 1)
 
 
-def choose_words(counts: DataFrame, frequent: int = FREQUENT) -> Words:
-    """The words above the smallest count that at most ``frequent`` words reach, in classes of about equal count."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
+def most_frequent(counts: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) above the smallest count that at most ``frequent`` of them reach."""
     level = F.floor(F.log2("c") * 8)  # a few hundred levels, whatever the counts
     levels = sorted(map(tuple, counts.groupBy(level.alias("level")).count().collect()), reverse=True)
     least, n = None, 0
@@ -155,9 +175,15 @@ def choose_words(counts: DataFrame, frequent: int = FREQUENT) -> Words:
         if n + words > frequent:
             break
         least, n = at, n + words
-    # n words, at most `frequent`
-    top = counts.where(level >= least).toPandas() if least is not None else counts.limit(0).toPandas()
-    h, c = top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64)
+    # n rows, at most `frequent`
+    top = (counts.where(level >= least) if least is not None else counts.limit(0)).select("h", "c").toArrow()
+    return top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+
+
+def choose_words(counts: DataFrame, frequent: int = FREQUENT) -> Words:
+    """The most frequent words in classes of about equal count."""
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
+    h, c = most_frequent(counts, frequent)
     order = np.lexsort((h, -c))
     upto = np.cumsum(c[order])
     classes = np.empty(len(c), dtype=np.int64)
@@ -264,10 +290,12 @@ def train(rows: DataFrame, words: Words, updates: int = UPDATES):
     return weights, bias
 
 
-_SCORED = "key binary, n_tokens bigint, known bigint, log_counts double, log_class double, log_size double, sender int, rare array<struct<h:bigint,n:int>>"
+# pairs, rare, log_q: of each position that isn't settled in the task, the pair's hash, the word's if it is rare, log10 of Q (but for a rare word's count)
+_SCORED = ("key binary, ref bigint, n_tokens bigint, known bigint, log_counts double, log_joint double, log_before double, "
+           "pairs array<bigint>, rare array<bigint>, log_q array<float>")
 
 
-def score(docs: DataFrame, held_out=None, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, held_out=None, frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; logarithms to base 10.
 
     ``held_out``: a boolean column of rows that aren't learned from; by default
@@ -279,21 +307,26 @@ def score(docs: DataFrame, held_out=None, frequent: int = FREQUENT) -> DataFrame
     rows = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     training = rows.where(~F.col("held_out"))
     counts = stored(count_words(training), "llm-words")
+    pair_counts = stored(count_words(training, pair_hashes), "llm-pairs")
     words = choose_words(counts, frequent)
+    top, n = most_frequent(pair_counts, frequent_pairs)
+    order = np.argsort(top)
     sc, kind = docs.sparkSession.sparkContext, dict(rows.dtypes)["doc_id"]
-    shared, model = sc.broadcast(words), sc.broadcast(train(training, words))
-    names = fields(_SCORED).names
+    shared, model, top_pairs = sc.broadcast(words), sc.broadcast(train(training, words)), sc.broadcast((top[order], n[order]))
 
     def start():
         from pyspark import TaskContext
 
-        words, (weights, bias) = shared.value, model.value
+        words, (weights, bias), (top, top_n) = shared.value, model.value, top_pairs.value
         log_count, log_size = np.log10(words.counts + 0.5), np.log10(np.maximum(words.size, 1e-300))
-        part, sent = TaskContext.get().partitionId(), set()
+        log_before = np.log10(words.counts + STRENGTH)
+        first, sent = TaskContext.get().partitionId() << 33, {}
 
         def work(batch: pa.RecordBatch) -> dict:
             column = batch.column("text")
-            out = {c: [] for c in names} | {"key": [xxhash.xxh3_128_digest(t.as_py()) for t in column]}
+            keys = [xxhash.xxh3_128_digest(t.as_py()) for t in column]
+            out = {c: [] for c in ("ref", "n_tokens", "known", "log_counts", "log_joint", "log_before")}
+            left, sizes = {"pairs": [], "rare": [], "log_q": [], "is_rare": []}, [0]
             for t, lengths in blocks(column):
                 at, c = words.look_up(t)
                 f, log_class = feature_buckets(t, lengths), np.empty(len(t))
@@ -302,34 +335,55 @@ def score(docs: DataFrame, held_out=None, frequent: int = FREQUENT) -> DataFrame
                     log_class[i:i + _ROWS] = class_log_probs(weights, bias, f[:, i:i + _ROWS])[np.arange(len(k)), k]
                 begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
                 known = at >= 0
+                of_word = lambda x: np.where(known, x[at] if len(x) else 0.0, 0.0)
+                log_q = log_class / np.log(10) - log_size[c] + of_word(log_count)
+                pairs = pair_hashes(t, lengths)
+                place = np.minimum(np.searchsorted(top, pairs), max(len(top) - 1, 0))
+                settled = known & (top[place] == pairs) if len(top) else np.zeros(len(t), dtype=bool)
+                joint = np.zeros(len(t))
+                if settled.any():
+                    joint[settled] = np.log10(top_n[place[settled]] + STRENGTH * 10.0 ** log_q[settled])
                 sums = lambda x: np.add.reduceat(x, begins).tolist()
                 out["n_tokens"] += lengths.tolist()
                 out["known"] += sums(known.astype(np.int64))
-                out["log_counts"] += sums(np.where(known, log_count[at] if len(log_count) else 0.0, 0.0))
-                out["log_class"] += sums(log_class / np.log(10))
-                out["log_size"] += sums(log_size[c])
+                out["log_counts"] += sums(of_word(log_count))
+                out["log_joint"] += sums(joint)
+                out["log_before"] += sums(of_word(log_before))
+                send = ~settled
                 for a, n in zip(begins.tolist(), lengths.tolist(), strict=True):
-                    key = out["key"][len(out["rare"])]
-                    if key in sent:  # a task sends the rare words of a text once
-                        out["rare"].append(None)
-                        continue
-                    sent.add(key)
-                    h, times = np.unique(t[a:a + n][~known[a:a + n]], return_counts=True)
-                    out["rare"].append([{"h": x, "n": y} for x, y in zip(h.view(np.int64).tolist(), times.tolist(), strict=True)])
-            return out | {"sender": [part] * batch.num_rows, "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
+                    key = keys[len(out["ref"])]
+                    if key in sent:  # a task sends the positions of a text once
+                        send[a:a + n] = False
+                    out["ref"].append(sent.setdefault(key, first + len(sent)))
+                sizes += sums(send.astype(np.int64))
+                for name, x in (("pairs", pairs.view(np.int64)), ("rare", t.view(np.int64)), ("log_q", log_q.astype(np.float32)), ("is_rare", ~known)):
+                    left[name].append(x[send])
+            left = {c: np.concatenate(x) for c, x in left.items()}
+            offsets = pa.array(np.cumsum(sizes).astype(np.int32))
+            lists = {c: pa.ListArray.from_arrays(offsets, pa.array(left[c], mask=~left["is_rare"] if c == "rare" else None)) for c in ("pairs", "rare", "log_q")}
+            return out | lists | {"key": keys, "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
         return work
 
     scored = stored(arrow_map(rows, f"doc_id {kind}, held_out boolean, {_SCORED}", start), "llm-scored")
-    uses = scored.where(F.size("rare") > 0).select("key", "sender", F.explode("rare").alias("w")).select("key", "sender", "w.h", "w.n")
-    found = uses.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    by_text = (found.groupBy("key", "sender").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_counts"),
-                                                  F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-               .groupBy("key").agg(F.min("rare_counts").alias("rare_counts"), F.min("rare_known").alias("rare_known")))  # the same from each sender
+    left = scored.where(F.size("pairs") > 0).select("ref", F.explode(F.arrays_zip("pairs", "rare", "log_q")).alias("x"))
+    left = left.select("ref", F.col("x.pairs").alias("pair"), F.col("x.rare").alias("h"), "x.log_q")
+    rare = left.where(F.col("h").isNotNull()).join(counts, "h", "left").select("ref", "pair", "log_q", F.coalesce("c", F.lit(0)).alias("c"))
+    # c is the count of a rare word, null for frequent ones
+    looked_up = (left.where(F.col("h").isNull()).select("ref", "pair", "log_q", F.lit(None).cast("bigint").alias("c")).unionByName(rare)
+                 .join(pair_counts.select(F.col("h").alias("pair"), F.col("c").alias("n")), "pair", "left"))
+    log_c = F.coalesce(F.log10(F.col("c") + 0.5), F.lit(0.0))
+    by_ref = looked_up.groupBy("ref").agg(
+        F.sum(log_c).alias("rare_counts"), F.sum((F.col("c") > 0).cast("bigint")).alias("rare_known"), F.sum(F.log10(F.col("c") + STRENGTH)).alias("rare_before"),
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + STRENGTH * F.pow(F.lit(10.0), F.col("log_q") + log_c))).alias("left_joint"))
+    sums = ("rare_counts", "rare_known", "rare_before", "left_joint")
+    by_text = (scored.where(F.size("pairs") > 0).select("ref", "key").join(by_ref, "ref")
+               .groupBy("key").agg(*[F.min(F.coalesce(c, F.lit(0))).alias(c) for c in sums]))  # the same from each task but for the order of sums
     size = float(np.log10(words.total + 0.5 * (words.distinct + 1)))
-    log_counts = F.col("log_counts") + F.coalesce("rare_counts", F.lit(0.0))
-    return scored.drop("rare").join(by_text, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("bigint").alias("train_tokens"),
-        (log_counts - F.col("n_tokens") * size).alias("base_score"), (log_counts + F.col("log_class") - F.col("log_size")).alias("score"))
+    plus = lambda c, more: F.col(c) + F.coalesce(more, F.lit(0))
+    return scored.drop("pairs", "rare", "log_q").join(by_text, "key", "left").select(
+        "doc_id", "held_out", "n_tokens", plus("known", "rare_known").alias("n_known"), F.lit(words.total).cast("bigint").alias("train_tokens"),
+        (plus("log_counts", "rare_counts") - F.col("n_tokens") * size).alias("base_score"),
+        (plus("log_joint", "left_joint") - plus("log_before", "rare_before")).alias("score"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,6 +346,24 @@ def test_lm_score(spark, docs, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_lm_pairs(spark):
+    """Without frequent words Q is the base, so the score follows from the counts of words and pairs, however many there are."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"A{k} b{k}" for k in (rng.randrange(3000) for _ in range(60)))) for i in range(400)] + [(400, "new words"), (401, None), (7, "A1 b1"), (None, "A1 b1")]
+    toks = [(i, (t or "").lower().split() + [""], i is not None and zlib.crc32(str(i).encode()) % 5 == 1) for i, t in texts]
+    c, pairs = Counter(w for _, t, held in toks if not held for w in t), Counter(p for _, t, held in toks if not held for p in zip(["", *t], t))
+    n, v, k = sum(c.values()), len(c), lm_score.STRENGTH
+    p = lambda a, w: (pairs[a, w] + k * (c[w] + 0.5) / (n + 0.5 * (v + 1))) / (c[a] + k)
+    assert abs(sum(p("a1", w) for w in c) + p("a1", "unknown") - 1) < 1e-9
+    want = sorted(((i, held, len(t), sum(math.log10(p(*x)) for x in zip(["", *t], t))) for i, t, held in toks), key=repr)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    for most in (0, 100, 1 << 20):  # no, some and all pairs in the table
+        got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.score) for r in lm_score.score(docs, frequent=0, frequent_pairs=most).collect()), key=repr)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-3)
+    same = [lm_score.score(docs, frequent=500, frequent_pairs=most).orderBy("doc_id", "n_tokens").toPandas()["score"] for most in (0, 100, 1 << 20)]
+    assert np.allclose(same[0], same[1], atol=1e-3) and np.allclose(same[0], same[2], atol=1e-3)
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     w = rng.normal(size=(lm_score.BUCKETS, lm_score.CLASSES)).astype(np.float32)
