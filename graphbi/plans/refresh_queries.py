@@ -79,10 +79,10 @@ def delete_person_q(spark, sf_dir):
 
 
 def _delete_likes_of(spark, sf_dir, posts: bool) -> DataFrame:
-    """Like candidates of posts or of comments only, removed."""
+    """Like candidates of posts or of comments only, removed; a comment whose parent hasn't arrived counts as well."""
     def step(t, c):
-        own = F.col("ParentMessageId").isNull() if posts else F.col("ParentMessageId").isNotNull()
-        return R.delete_likes(t, c["likes"].join(t["message"].where(own).select(F.col("MessageId").alias("trg")), "trg", "left_semi"))
+        own = t["post" if posts else "comment"].select(F.col("id").alias("trg"))
+        return R.delete_likes(t, c["likes"].join(own, "trg", "left_semi"))
     return R.table_counts(_after(spark, sf_dir, step), ["person_likes_message"])
 
 

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as E
+from graphbi.catalog import ORACLE_SQL, QUERIES
 from oracle_util import canon, duck
 
 SF = "/root/testdata/sf0.001"
-KEYS = sorted(E.queries())
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry_runs(spark):
@@ -27,9 +28,9 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
-    df = E.queries()[key](spark, SF)
+    df = QUERIES[key](spark, SF)
     rows, cols = [tuple(r) for r in df.collect()], df.columns
-    res = con.execute(E.oracle_sql()[key])
+    res = con.execute(ORACLE_SQL[key])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(cols) == sorted(ocols)
