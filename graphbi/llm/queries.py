@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphbi.llm.bpe import op2_bpe
 from graphbi.llm.byte_bpe import op13_byte_bpe
+from graphbi.llm.conversation_repair import op11_conversation_repair
 from graphbi.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from graphbi.llm.decontaminate import op3_decontaminate
 from graphbi.llm.html_text import op5_html_text
@@ -16,5 +17,5 @@ from graphbi.llm.url_filter import SQL as URL_SQL
 from graphbi.llm.url_filter import op9_url_filter
 from graphbi.llm.warc import op10_warc
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_bpe, op3_decontaminate, op4_simhash, op5_html_text, op6_quality_rules, op7_suffix_dedup, op8_lm_score, op9_url_filter, op10_warc, op13_byte_bpe)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_bpe, op3_decontaminate, op4_simhash, op5_html_text, op6_quality_rules, op7_suffix_dedup, op8_lm_score, op9_url_filter, op10_warc, op11_conversation_repair, op13_byte_bpe)}
 ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE_SQL, "op9_url_filter": URL_SQL}
