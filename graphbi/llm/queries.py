@@ -16,6 +16,7 @@ from graphbi.llm.toxicity import op1_toxicity
 from graphbi.llm.url_filter import SQL as URL_SQL
 from graphbi.llm.url_filter import op9_url_filter
 from graphbi.llm.warc import op10_warc
+from graphbi.llm.whitening import op12_whitening
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_bpe, op3_decontaminate, op4_simhash, op5_html_text, op6_quality_rules, op7_suffix_dedup, op8_lm_score, op9_url_filter, op10_warc, op11_conversation_repair, op13_byte_bpe)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_bpe, op3_decontaminate, op4_simhash, op5_html_text, op6_quality_rules, op7_suffix_dedup, op8_lm_score, op9_url_filter, op10_warc, op11_conversation_repair, op12_whitening, op13_byte_bpe)}
 ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE_SQL, "op9_url_filter": URL_SQL}
