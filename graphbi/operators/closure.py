@@ -1,10 +1,11 @@
 """Transitive closures along parent links (reply threads, sub-thread deletes).
 
-Both operators walk one tree level per round: the frontier of the previous
-level is joined to the children on the parent key.  The children are persisted
-once; AQE broadcasts a small frontier and otherwise splits a hot parent's
-partition (skew join).  Rounds are
-written to shared storage; the loop stops on an empty level.
+:func:`thread_roots` doubles ancestor pointers: after k rounds a row points
+2^k links up, so a chain of d replies is resolved in about log2(d) rounds.
+:func:`descendants` walks one tree level per round from the seeds; the
+children are persisted once, AQE broadcasts a small frontier and otherwise
+splits a hot parent's partition (skew join).  Rounds are written to shared
+storage.
 """
 
 from __future__ import annotations
@@ -14,42 +15,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphbi.operators.rounds import RoundStore
+from graphbi.sources.parquet import path_exists
+
+#: Rounds after which a chain is compared with the number of rows, to find cycles.
+_CYCLE_ROUND = 6
 
 
 def thread_roots(spark: SparkSession, roots: DataFrame, children: DataFrame, *,
                  id_col: str, parent_col: str, inherit: list[str]) -> DataFrame:
     """Children rows extended with the ``inherit`` columns of their root.
 
-    ``roots`` holds ``id_col`` and ``inherit``; ``children`` holds ``id_col``,
-    ``parent_col`` (which references a root or another child) and any other
-    attributes.  A child whose chain does not reach a root is dropped, as in
-    an inner-join recursion.  The result has a ``depth`` column (1 = direct
-    child of a root).  Ids of children are unique, so a cycle can only be
-    reached from a root that lies on it; the walk ends where it returns there.
+    ``roots`` holds ``id_col`` and ``inherit``; ``children`` holds ``id_col``
+    (unique), ``parent_col`` (which references a root or another child) and any
+    other attributes.  A child whose chain does not reach a root is dropped, as
+    in an inner-join recursion, and so is one that leads into a cycle or is its
+    own root.  The result has a ``depth`` column (1 = direct child of a root).
+
+    The loop's state is slim: each child's pointer, how many links up it
+    reaches, and the root's columns once the pointer meets a resolved row.
+    Resolved rows leave the loop; the open ones are joined with the children on
+    the pointer, an inner join whose hot keys AQE can split.
     """
     store = RoundStore(spark, "closure")
-    # cached as read, not hash partitioned: a hot parent (one thread holding a
-    # large share of all replies) then stays splittable by AQE's skew join, and
-    # small frontiers are broadcast
-    pending = children.persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = roots.select(F.col(id_col).alias("_pid"), F.col(id_col).alias("_root"), *inherit)
-    out_cols = [c for c in children.columns] + inherit
-    levels = []
-    try:
-        while True:
-            depth = len(levels) + 1
-            level = (pending.join(frontier, pending[parent_col] == frontier["_pid"]).where(F.col(id_col) != F.col("_root"))
-                     .select(*out_cols, "_root").withColumn("depth", F.lit(depth)))
-            level = store.put(level, f"level_{depth}")
-            if level.isEmpty():
+    kids = children.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_up"), F.lit(1).cast("bigint").alias("_hops"))
+    tops = roots.select(F.col(id_col).alias("_up"), F.col(id_col).alias("_root"), *inherit)
+    state, paths = kids.join(tops, "_up", "left").withColumn("_done", F.col("_root").isNotNull()), []
+    state_cols = ["_id", "_up", "_hops", "_root", *inherit]
+    schema, limit = state.select(*state_cols).schema, None
+
+    def read(parts: list[str]) -> DataFrame:
+        parts = [p for p in parts if path_exists(spark, p)]
+        return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+    while True:
+        path = store.put_parts(state.select(*state_cols, "_done"), ["_done"])
+        paths.append(f"{path}/_done=true")
+        open_path = f"{path}/_done=false"
+        if not path_exists(spark, open_path):
+            break
+        if len(paths) >= _CYCLE_ROUND:
+            limit = limit if limit is not None else kids.count()
+            if 2 ** (len(paths) - 1) >= limit:  # no chain is longer than the number of rows: the rest are cycles
                 break
-            levels.append(depth)
-            frontier = level.select(F.col(id_col).alias("_pid"), "_root", *inherit)
-    finally:
-        pending.unpersist()
-    if levels:
-        level = spark.read.schema(level.schema).parquet(*[store.path(f"level_{d}") for d in levels])
-    return level.drop("_root")
+        waiting = read([open_path])
+        ahead = read([*paths, open_path]).select(F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("_hops").alias("_more"), "_root", *inherit)
+        state = (waiting.select("_id", "_up", "_hops").join(ahead, "_up")
+                 .select("_id", F.col("_next").alias("_up"), (F.col("_hops") + F.col("_more")).alias("_hops"), "_root", *inherit,
+                         F.col("_root").isNotNull().alias("_done")))
+    found = read(paths).where(F.col("_id") != F.col("_root")).select("_id", F.col("_hops").cast("int").alias("depth"), *inherit)
+    return children.join(found, children[id_col] == found["_id"]).select(*[children[c] for c in children.columns], *inherit, "depth")
 
 
 def descendants(spark: SparkSession, seeds: DataFrame, links: DataFrame, *,

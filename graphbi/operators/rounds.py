@@ -27,6 +27,13 @@ class RoundStore:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def put_parts(self, df: DataFrame, by: list[str]) -> str:
+        """Write ``df`` as a new table with a folder for each value of ``by``; its path."""
+        self._n += 1
+        path = f"{self.root}/r{self._n:05d}"
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
+        return path
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -3,6 +3,7 @@ everything created before it, deletion candidates by the fixture rules)."""
 
 from __future__ import annotations
 
+from graphbi.oracle.chain_sql import MONTHS, chain_sql
 from graphbi.oracle.fixture_sql import with_fixture
 
 B = "'2001-01'"
@@ -114,49 +115,8 @@ REFRESH_SQL["delete_comment_subthread"] = _msg_delete("select id from comment_c"
 REFRESH_SQL["delete_friendship"] = with_fixture(*INS, select=_counts([
     ("person_knows_person", "(select * from pkp_i where (Person1Id, Person2Id) not in (select * from knows_c))")]))
 
-_FINAL = [
-    _closure("gone", "select id from post_c union select id from comment_c union select MessageId from message_i "
-                     "where CreatorPersonId in (select id from pdel) union select MessageId from message_i "
-                     "where ParentMessageId is null and ContainerForumId in (select id from fdel)"),
-    ("person_f", "select * from person_i where id not in (select id from pdel)"),
-    ("forum_f", "select * from forum_i where id not in (select id from fdel)"),
-    ("post_f", "select * from post_i where id not in (select id from gone)"),
-    ("comment_f", "select * from comment_i where id not in (select id from gone)"),
-    ("message_f", "select * from message_i where MessageId not in (select id from gone)"),
-    ("pkp_f", "select * from pkp_i where Person1Id not in (select id from pdel) and Person2Id not in "
-              "(select id from pdel) and (Person1Id, Person2Id) not in (select * from knows_c)"),
-    ("knows_f", "select creationDate, Person1Id, Person2Id from pkp_f union all "
-                "select creationDate, Person2Id, Person1Id from pkp_f"),
-    ("member_f", "select * from member_i where PersonId not in (select id from pdel) and ForumId not in "
-                 "(select id from fdel) and (ForumId, PersonId) not in (select * from member_c)"),
-    ("interest_f", "select * from interest_i where PersonId not in (select id from pdel)"),
-    ("studyat_f", "select * from studyat_i where PersonId not in (select id from pdel)"),
-    ("workat_f", "select * from workat_i where PersonId not in (select id from pdel)"),
-    ("likes_f", "select * from likes_i where PersonId not in (select id from pdel) and (PersonId, MessageId) "
-                "not in (select * from likes_c) and MessageId not in (select id from gone)"),
-    ("post_hastag_f", "select * from post_hastag_i where MessageId not in (select id from gone)"),
-    ("comment_hastag_f", "select * from comment_hastag_i where MessageId not in (select id from gone)"),
-    ("mht_f", "select * from mht_i where MessageId not in (select id from gone)"),
-    ("city_f", "select * from city"),
-    ("talked_f", "select distinct least(c.CreatorPersonId, p.CreatorPersonId) lo, greatest(c.CreatorPersonId, "
-                 "p.CreatorPersonId) hi from message_f c join message_f p on p.MessageId = c.ParentMessageId "
-                 "where c.CreatorPersonId <> p.CreatorPersonId"),
-    ("q19w", "select * from pkp_f where (Person1Id, Person2Id) in (select (lo, hi) from talked_f)"),
-    ("schools_f", "select PersonId, list(UniversityId) us from studyat_f group by PersonId"),
-    ("q20w", "select k.* from knows_f k join schools_f a on a.PersonId = k.Person1Id join schools_f b "
-             "on b.PersonId = k.Person2Id where list_has_any(a.us, b.us)"),
-    ("pop_f", "select m.CreatorPersonId from message_f m join likes_f l on l.MessageId = m.MessageId group by 1"),
-    ("top_f", "select distinct fm.ForumId from member_f fm join person_f p on p.id = fm.PersonId join forum_f f "
-              "on f.id = fm.ForumId"),
-]
-REFRESH_SQL["refresh_batch"] = with_fixture(*INS, *_FINAL, select=_counts([
-    ("person", "person_f"), ("forum", "forum_f"), ("post", "post_f"), ("comment", "comment_f"),
-    ("person_knows_person", "pkp_f"), ("forum_hasmember", "member_f"), ("person_hasinterest", "interest_f"),
-    ("person_studyat", "studyat_f"), ("person_workat", "workat_f"), ("post_hastag", "post_hastag_f"),
-    ("comment_hastag", "comment_hastag_f"), ("message_hastag", "mht_f"), ("person_likes_message", "likes_f"),
-    ("message", "message_f"), ("knows", "knows_f"), ("path_q19", "(select * from q19w union all select * from q19w)"),
-    ("path_q20", "q20w"), ("popularity_q06", "pop_f"), ("top_forums_q04", "top_f")]))
-
-REFRESH_SQL["refresh_batch_streaming"] = REFRESH_SQL["refresh_batch"]
-REFRESH_SQL["refresh_batch_in_place"] = REFRESH_SQL["refresh_batch"]
-REFRESH_SQL["refresh_batch_streaming_in_place"] = REFRESH_SQL["refresh_batch"]
+# full rows of every dynamic and precomputed table: after the first batch, and after all of them
+for _key in ("refresh_batch", "refresh_batch_in_place"):
+    REFRESH_SQL[_key] = chain_sql(MONTHS[:1])
+for _key in ("refresh_batch_streaming", "refresh_batch_streaming_in_place"):
+    REFRESH_SQL[_key] = chain_sql(MONTHS)

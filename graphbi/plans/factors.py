@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphbi.operators import graph as G
 from graphbi.operators.relational import count_all, static_dim
+from graphbi.operators.rounds import RoundStore
 
 # Lifetime rule of the test graph and the default alive window.
 DELETED_DAY = _dt.date(2000, 6, 1)
@@ -145,15 +146,15 @@ def _hop_pairs(g, hops: int, seeds: DataFrame) -> DataFrame:
     """Pairs (seed, person) at BFS distance exactly ``hops`` from the caller's seeds (column ``id``)."""
     seeds = seeds.select("id").distinct()
     life = g["person"].select("id", F.to_date("creationDate").alias("cd"))
-    # one BFS per seed, all seeds expanded together: (seed, node) frontiers
+    # one BFS per seed, all seeds expanded together: (seed, node) frontiers, each level stored
     e = g["knows"].select(F.col("Person1Id").alias("node"), F.col("Person2Id").alias("_to"))
-    visited = seeds.select(F.col("id").alias("person1Id"), F.col("id").alias("node"))
-    frontier = visited
-    for _ in range(hops):
-        nxt = (frontier.join(e, "node").select("person1Id", F.col("_to").alias("node")).distinct()
-               .join(visited, ["person1Id", "node"], "left_anti"))
-        visited = visited.unionByName(nxt)
-        frontier = nxt
+    spark = seeds.sparkSession
+    store = RoundStore(spark, "hops")
+    frontier = store.put(seeds.select(F.col("id").alias("person1Id"), F.col("id").alias("node")), "level_0")
+    for k in range(1, hops + 1):
+        visited = spark.read.schema(frontier.schema).parquet(*[store.path(f"level_{j}") for j in range(k)])
+        frontier = store.put(frontier.join(e, "node").select("person1Id", F.col("_to").alias("node")).distinct()
+                             .join(visited, ["person1Id", "node"], "left_anti"), f"level_{k}")
     p1 = life.select(F.col("id").alias("person1Id"), F.col("cd").alias("person1CreationDate"))
     p2 = life.select(F.col("id").alias("node"), F.col("cd").alias("person2CreationDate"))
     return (frontier.join(p1, "person1Id").join(p2, "node")

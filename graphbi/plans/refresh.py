@@ -18,6 +18,7 @@ the likes and tags of every deleted message.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ _EDGE_DELETES = "deletionDate timestamp, src bigint, trg bigint, batch_id string
 DELETE_SCHEMAS = {"person": _NODE_DELETES, "forum": _NODE_DELETES, "post": _NODE_DELETES, "comment": _NODE_DELETES,
                   "likes": _EDGE_DELETES, "membership": _EDGE_DELETES, "knows": _EDGE_DELETES}
 FIRST_BATCH = "2001-01"
+#: Jobs that write independent tables at the same time.
+_WRITES = 8
 
 
 def _month(c: Column) -> Column:
@@ -224,13 +227,11 @@ def apply_deletes(spark: SparkSession, tables: Mapping[str, DataFrame], cands: M
 # --- one batch end to end ------------------------------------------------------
 
 def store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str | None = None) -> dict[str, DataFrame]:
-    """Write a table set as a new snapshot and return DataFrames reading it."""
+    """Write a table set as a new snapshot and return DataFrames reading it; independent writes are submitted together."""
     root = root or scratch_path(spark, "refresh")
-    out = {}
-    for t, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{t}")
-        out[t] = spark.read.parquet(f"{root}/{t}")
-    return out
+    with ThreadPoolExecutor(_WRITES) as pool:
+        list(pool.map(lambda t: tables[t].write.mode("overwrite").parquet(f"{root}/{t}"), tables))
+    return {t: spark.read.schema(df.schema).parquet(f"{root}/{t}") for t, df in tables.items()}
 
 
 def refresh_batch(spark: SparkSession, tables: Mapping[str, DataFrame], ins: Mapping[str, DataFrame],
@@ -266,6 +267,49 @@ def initial_and_batch(spark: SparkSession, g: Mapping[str, DataFrame], batch_id:
     return initial, batch_rows(batched, batch_id)
 
 
+def batch_ids(batched: Mapping[str, DataFrame], first: str = FIRST_BATCH) -> list[str]:
+    """The batches from ``first`` on that any table has rows of, in order (one short string per batch)."""
+    found = None
+    for df in batched.values():
+        ids = df.where(F.col("batch_id") >= first).select("batch_id").distinct()
+        found = ids if found is None else found.unionByName(ids)
+    return sorted(r["batch_id"] for r in found.distinct().collect())
+
+
+#: Columns of a table that make up a row, for comparisons of full rows; "~" stands for null.
+ROW_COLUMNS = {
+    "person": ["id", "firstName", "lastName", "LocationCityId", "creationDate"],
+    "forum": ["id", "title", "ModeratorPersonId", "creationDate"],
+    "post": ["id", "creationDate", "CreatorPersonId", "ContainerForumId", "language", "content", "length"],
+    "comment": ["id", "creationDate", "CreatorPersonId", "ParentPostId", "ParentCommentId", "length", "content"],
+    "person_knows_person": ["Person1Id", "Person2Id", "creationDate"],
+    "forum_hasmember": ["ForumId", "PersonId"],
+    "person_hasinterest": ["PersonId", "TagId"],
+    "person_studyat": ["PersonId", "UniversityId", "classYear"],
+    "person_workat": ["PersonId", "CompanyId"],
+    "post_hastag": ["MessageId", "TagId"],
+    "comment_hastag": ["MessageId", "TagId"],
+    "message_hastag": ["MessageId", "TagId"],
+    "person_likes_message": ["PersonId", "MessageId"],
+    "message": ["MessageId", "creationDate", "RootPostId", "RootPostLanguage", "content", "length", "CreatorPersonId", "ContainerForumId", "ParentMessageId"],
+    "knows": ["Person1Id", "Person2Id", "creationDate"],
+    "path_q19": ["src", "dst", "w"],
+    "path_q20": ["src", "dst", "w"],
+    "popularity_q06": ["person2id", "popularityScore"],
+    "top_forums_q04": ["id", "creationDate", "maxNumberOfMembers"],
+}
+
+
+def table_rows(tables: Mapping[str, DataFrame], names: list[str] | None = None) -> DataFrame:
+    """(table_name, row) of every row of the named tables, a row as text."""
+    out = None
+    for n in names or ROW_COLUMNS:
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ROW_COLUMNS[n]]
+        rows = tables[n].select(F.lit(n).alias("table_name"), F.concat_ws("|", *cells).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def table_counts(tables: Mapping[str, DataFrame], names: list[str]) -> DataFrame:
     parts = [tables[n].select(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for n in names]
     out = parts[0]

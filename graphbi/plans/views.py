@@ -123,6 +123,11 @@ def precomp_interaction_edges(message: DataFrame, person_knows_person: DataFrame
     r = direct_replies(message).where(F.col("replier") != F.col("author"))
     counts = (r.select(F.least("replier", "author").alias("src"), F.greatest("replier", "author").alias("dst"))
               .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
+    return interaction_weights(counts, person_knows_person)
+
+
+def interaction_weights(counts: DataFrame, person_knows_person: DataFrame) -> DataFrame:
+    """Q19 weights of friends from the replies ``n`` of each unordered pair (src < dst), both directions."""
     friends = person_knows_person.select(F.col("Person1Id").alias("src"), F.col("Person2Id").alias("dst"))
     weights = (counts.join(friends, ["src", "dst"], "left_semi")
                .select("src", "dst", F.greatest(F.round(INTERACTION_BASE - F.sqrt("n")).cast("bigint"), F.lit(1))

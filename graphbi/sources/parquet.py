@@ -27,6 +27,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path`` (none if it doesn't exist)."""
+    if not path_exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(st.getPath().getName() for st in found if st.isDirectory())
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scan_batch_partition(spark: SparkSession, path: str, schema, batch_id: str) -> DataFrame:
     """One ``batch_id=`` partition of an entity stored partitioned by batch.
 

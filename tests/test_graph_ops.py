@@ -94,6 +94,22 @@ def test_khop_counts_a_seed_only_if_reached_again(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_thread_roots_of_a_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 replies below each other, orphans and a cycle beside them."""
+    from graphbi.operators.rounds import RoundStore
+
+    n, rounds = 10000, []
+    put = RoundStore.put_parts
+    monkeypatch.setattr(RoundStore, "put_parts", lambda self, *a: rounds.append(1) or put(self, *a))
+    roots = spark.createDataFrame([(0, "a")], "id bigint, tag string")
+    kids = spark.range(1, n + 1).selectExpr("id", "id - 1 as parent").unionByName(
+        spark.createDataFrame([(n + 10, n + 11), (n + 12, n + 10), (n + 20, n + 21), (n + 21, n + 20), (n + 30, n)], "id bigint, parent bigint"))
+    out = thread_roots(spark, roots, kids, id_col="id", parent_col="parent", inherit=["tag"])
+    got = {(r["id"], r["depth"]) for r in out.collect()}
+    assert got == {(i, i) for i in range(1, n + 1)} | {(n + 30, n + 1)}
+    assert len(rounds) <= 15  # log2 of 10,000 and one
+
+
 def test_closures_end_on_cycles(spark):
     roots = spark.createDataFrame([(1, "a")], "id bigint, tag string")
     ring = spark.createDataFrame([(2, 1), (3, 2), (1, 3), (8, 7), (7, 8)], "id bigint, parent bigint")
