@@ -10,6 +10,8 @@ storage.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,21 +79,18 @@ def descendants(spark: SparkSession, seeds: DataFrame, links: DataFrame, *,
     store = RoundStore(spark, "descendants")
     edges = links.select(id_col, parent_col).persist(StorageLevel.MEMORY_AND_DISK)
     frontier = seeds.select(F.col(id_col).alias("_pid")).distinct()
-    parts = []
+    levels: list[DataFrame] = []
     try:
         while True:
             level = (edges.join(frontier, edges[parent_col] == frontier["_pid"])
                      .select(id_col).distinct())
-            if parts:
-                level = level.join(spark.read.schema(level.schema).parquet(*parts), id_col, "left_anti")
-            name = f"d{len(parts) + 1}"
-            level = store.put(level, name)
-            if level.isEmpty():
+            if levels:
+                level = level.join(reduce(DataFrame.union, levels), id_col, "left_anti")
+            found = store.put_rows(level)
+            if found is None:
                 break
-            parts.append(store.path(name))
-            frontier = level.select(F.col(id_col).alias("_pid"))
+            levels.append(found)
+            frontier = found.select(F.col(id_col).alias("_pid"))
     finally:
         edges.unpersist()
-    if not parts:
-        return seeds.select(id_col).limit(0)
-    return spark.read.schema(level.schema).parquet(*parts)
+    return reduce(DataFrame.union, levels) if levels else seeds.select(id_col).limit(0)

@@ -4,6 +4,8 @@ the caller; undirected graphs are stored with both directions."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +20,15 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, max_hops: int, src: str = "sr
     spark = seeds.sparkSession
     e = edges.select(F.col(src).alias("node"), F.col(dst).alias("_to"))
     store = RoundStore(spark, "bfs")
-    frontier = store.put(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("dist", F.lit(0)), "level_0")
-    schema, paths = frontier.schema, [store.path("level_0")]
+    levels = [store.put(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("dist", F.lit(0)))]
     for k in range(1, max_hops + 1):
-        visited = spark.read.schema(schema).parquet(*paths)
-        frontier = store.put(frontier.select("node").join(e, "node").select(F.col("_to").alias("node")).distinct()
-                             .join(visited.select("node"), "node", "left_anti").withColumn("dist", F.lit(k)), f"level_{k}")
-        if frontier.isEmpty():
+        visited = reduce(DataFrame.union, levels)
+        found = store.put_rows(levels[-1].select("node").join(e, "node").select(F.col("_to").alias("node")).distinct()
+                               .join(visited.select("node"), "node", "left_anti").withColumn("dist", F.lit(k)))
+        if found is None:
             break
-        paths.append(store.path(f"level_{k}"))
-    return spark.read.schema(schema).parquet(*paths)
+        levels.append(found)
+    return reduce(DataFrame.union, levels)
 
 
 def hop_ring(edges: DataFrame, seeds: DataFrame, lo: int, hi: int, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -9,8 +9,10 @@ exact sizes for its broadcast / partition decisions.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphbi.session import scratch_path
+from graphbi.sources.parquet import path_exists
 
 
 class RoundStore:
@@ -34,6 +36,11 @@ class RoundStore:
         df.write.mode("overwrite").partitionBy(*by).parquet(path)
         return path
 
+    def put_rows(self, df: DataFrame) -> DataFrame | None:
+        """Write ``df`` as a new table; None if it has no rows (told by the written folder, without another job)."""
+        path = f"{self.put_parts(df.withColumn('_some', F.lit(True)), ['_some'])}/_some=true"
+        return self.spark.read.schema(df.schema).parquet(path) if path_exists(self.spark, path) else None
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

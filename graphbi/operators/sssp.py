@@ -94,46 +94,49 @@ def _relax_both(state: DataFrame, edges: DataFrame, bound: float | None) -> Data
 
 
 def shortest_distance(spark: SparkSession, edges: DataFrame, sources: DataFrame, targets: DataFrame) -> float | None:
-    """Minimum path weight from any source to any target (None if unreachable).
+    """Minimum path weight from any source to any target (None if unreachable)."""
+    e = _prepare_edges(edges)
+    try:
+        return _distance(spark, e, sources, targets)
+    finally:
+        e.unpersist()
+
+
+def _distance(spark: SparkSession, e: DataFrame, sources: DataFrame, targets: DataFrame) -> float | None:
+    """Phase 1 on prepared edges.
 
     The state has one row per reached node carrying both sides' labels, so a
     meeting is a per-row sum and the round's scalars (best meeting, smallest
     live label) come from one scan of the stored state."""
     store = RoundStore(spark, "sssp1")
-    e = _prepare_edges(edges)
-    try:
-        state = store.put(_seed_both(sources, targets))
-        best = None
-        while True:
-            row = state.agg(F.min(F.col("dl") + F.col("dr")).alias("best"),
-                            F.min(F.least(F.when(F.col("fl"), F.col("dl")),
-                                          F.when(F.col("fr"), F.col("dr")))).alias("live")).first()
-            if row["best"] is not None:
-                best = row["best"] if best is None else min(best, row["best"])
-            bound = None if best is None else best / 2 + _tol(best)
-            if row["live"] is None or (bound is not None and row["live"] > bound):
-                break
-            state = store.put(_relax_both(state, e, bound))
-    finally:
-        e.unpersist()
-    return best
+    state = store.put(_seed_both(sources, targets))
+    best = None
+    while True:
+        row = state.agg(F.min(F.col("dl") + F.col("dr")).alias("best"),
+                        F.min(F.least(F.when(F.col("fl"), F.col("dl")),
+                                      F.when(F.col("fr"), F.col("dr")))).alias("live")).first()
+        if row["best"] is not None:
+            best = row["best"] if best is None else min(best, row["best"])
+        bound = None if best is None else best / 2 + _tol(best)
+        if row["live"] is None or (bound is not None and row["live"] > bound):
+            return best
+        state = store.put(_relax_both(state, e, bound))
 
 
 def shortest_pairs(spark: SparkSession, edges: DataFrame, sources: DataFrame, targets: DataFrame,
                    distance: float | None = None) -> DataFrame:
     """All (f, t, w) with f a source, t a target and w the global minimum
-    distance over all such pairs (ties kept).  Empty when unreachable."""
-    if distance is None:
-        distance = shortest_distance(spark, edges, sources, targets)
-    schema = "f bigint, t bigint, w double"
-    if distance is None:
-        return spark.createDataFrame([], schema)
-    D = float(distance)
-    bound = D / 2 + _tol(D)
-    store = RoundStore(spark, "sssp2")
+    distance over all such pairs (ties kept).  Empty when unreachable.  Both
+    phases use the edges prepared once."""
     e = _prepare_edges(edges)
+    store = RoundStore(spark, "sssp2")
     keys = ["side", "g", "node"]
     try:
+        distance = _distance(spark, e, sources, targets) if distance is None else distance
+        if distance is None:
+            return spark.createDataFrame([], "f bigint, t bigint, w double")
+        D = float(distance)
+        bound = D / 2 + _tol(D)
         state = store.put(_seed(sources, 0, True).unionByName(_seed(targets, 1, True)))
         while True:
             if state.where(F.col("fresh") & (F.col("d") <= F.lit(bound))).isEmpty():

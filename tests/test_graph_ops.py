@@ -141,3 +141,26 @@ def test_components_of_a_long_path_loops_and_single_nodes(spark):
     got = {tuple(r) for r in G.connected_components(spark, df).collect()}
     assert got == {(i, 100) for i in range(100, 161)} | {(7, 7), (200, 200), (250, 200), (300, 200)}
     assert G.connected_components(spark, df.limit(0)).count() == 0
+
+
+def test_shortest_pairs_of_random_graphs(spark):
+    """Against Floyd-Warshall: weights of 0, ties, several components."""
+    import random
+
+    for seed in range(2):
+        rng, n = random.Random(seed), 24
+        triples = [(a, b, float(rng.choice([0, 1, 1, 2, 3, 7]))) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(34)) if a != b]
+        dist = {(a, b): 0.0 if a == b else float("inf") for a in range(n) for b in range(n)}
+        for a, b, w in triples:
+            dist[a, b] = dist[b, a] = min(dist[a, b], w)
+        for k in range(n):
+            for a in range(n):
+                for b in range(n):
+                    dist[a, b] = min(dist[a, b], dist[a, k] + dist[k, b])
+        src, dst = rng.sample(range(n), 4), rng.sample(range(n), 4)
+        best = min(dist[a, b] for a in src for b in dst)
+        want = {(a, b, best) for a in src for b in dst if dist[a, b] == best < float("inf")}
+        got = {tuple(r) for r in sssp.shortest_pairs(spark, edges(spark, triples), nodes(spark, src), nodes(spark, dst)).collect()}
+        assert got == want
+        one = sssp.shortest_distance(spark, edges(spark, triples), nodes(spark, src), nodes(spark, dst))
+        assert one == (None if best == float("inf") else best)
