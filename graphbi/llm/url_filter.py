@@ -75,9 +75,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
         return work
 
     probed = arrow_map(rows, f"page_id {kind}, host string, path string, rule string, canonical string, may boolean", start)
-    # rows that can't be listed have a null key: they pass the outer join without a partner
-    key = F.when(F.col("may"), F.col("canonical"))
-    exact = probed.withColumn("key", key).join(keys.select(F.col("canonical").alias("key"), F.lit(True).alias("hit")), "key", "left")
+    # only possible hits are shuffled; all other rows pass beside the join
+    exact = (probed.where("may").join(keys.withColumn("hit", F.lit(True)), "canonical", "left")
+             .unionByName(probed.where(~F.col("may")).withColumn("hit", F.lit(None).cast("boolean"))))
     verdict = F.lit("allow")
     for kind_of, rule in rules:
         verdict = F.when(F.col("rule") == rule, F.lit(kind_of)).otherwise(verdict)
