@@ -2,10 +2,17 @@
 
 Archives are written by Spark's text writer (gzip), one file a task: the line
 separator is the format's own record separator, so a file is exactly its
-records.  They are read by the text reader as pieces between separators; the
+records.  They are read by the text reader as pieces between empty lines; the
 pieces of a file are joined again until a header's declared length is
-fulfilled, so separators inside payloads do no harm and a task holds one
-record at a time.
+fulfilled, so it doesn't matter where the separator occurs, and a task holds
+one record at a time.  A malformed archive raises an error with the file's name.
+
+Each archive is parsed once: converted records are stored.  Only records whose
+payload may occur twice (a Bloom filter of the repeated digests) go through
+the join that marks revisits; all others go straight to the writer.
+
+Null urls, bodies and ids, repeated rows, empty tables and pages of any length
+have the results that the functions state; further columns are not read.
 """
 
 from __future__ import annotations
@@ -15,15 +22,19 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphbi.llm.common import arrow_map, fields, table, to_batch
+from graphbi.llm import bloom
+from graphbi.llm.common import arrow_map, fields, stored, table, to_batch
 from graphbi.session import scratch_path
 
 #: Record separators of the two formats and field lists of the ARC versions (fixed by the formats).
 ARC_END, WARC_END = b"\n", b"\r\n\r\n"
+#: What the readers split files at; it ends the headers of both formats' HTTP blocks, and is rare elsewhere.
+READ_AT = b"\r\n\r\n"
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
@@ -110,9 +121,9 @@ class _Stream:
         return data[:n]
 
 
-def _records(pieces: Iterator[tuple[str, bytes]], end: bytes, head_size, length_of) -> Iterator[tuple[str, bytes, bytes]]:
+def _records(pieces: Iterator[tuple[str, bytes]], head_size, length_of) -> Iterator[tuple[str, bytes, bytes]]:
     """(file, header, block) in file order; head_size(data) is the header's length or -1, length_of(header, file) the declared one."""
-    stream, file, header, need = _Stream(end), None, None, 0
+    stream, file, header, need = _Stream(READ_AT), None, None, 0
 
     def drain(last: bool):
         nonlocal header, need
@@ -142,15 +153,15 @@ def _records(pieces: Iterator[tuple[str, bytes]], end: bytes, head_size, length_
     for at, piece in pieces:
         if at != file:
             yield from drain(True)
-            stream, file, header = _Stream(end), at, None
+            stream, file, header = _Stream(READ_AT), at, None
         stream.add(piece)
         yield from drain(False)
     yield from drain(True)
 
 
-def _read(spark: SparkSession, path: str, end: bytes, ddl: str, parse) -> DataFrame:
+def _read(spark: SparkSession, path: str, ddl: str, parse) -> DataFrame:
     """Rows parse(records) of the archives below ``path``; parse takes (file, piece) pairs and yields dicts."""
-    lines = (spark.read.option("lineSep", end.decode()).text(path)
+    lines = (spark.read.option("lineSep", READ_AT.decode()).text(path)
              .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")))
     schema = fields(ddl)
 
@@ -183,7 +194,7 @@ def _parse_arc(pieces):
     def length_of(line: bytes, file: str) -> int:
         return int(line.rsplit(b" ", 1)[1])
 
-    for file, line, block in _records(pieces, ARC_END, lambda d: d.find(b"\n") + 1 or -1, length_of):
+    for file, line, block in _records(pieces, lambda d: d.find(b"\n") + 1 or -1, length_of):
         values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
         if is_version_block(values[0], block):
             version, listed = block.split(b"\n")[:2]
@@ -205,7 +216,7 @@ ARC_ROW = "file string, version int, url string, ip string, date string, content
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """A row per record, the version blocks included."""
-    return _read(spark, path, ARC_END, ARC_ROW, _parse_arc)
+    return _read(spark, path, ARC_ROW, _parse_arc)
 
 
 # -- ARC to WARC -----------------------------------------------------------------------------------------
@@ -283,12 +294,23 @@ def mark_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, id_typ
     """
     page = F.col("page").cast(id_type)
     enough = (F.col("type") == "response") & (F.col("payload_bytes") >= min_bytes)
-    # the first record of each payload, pre-aggregated; the records themselves are only joined
-    firsts = (records.where(enough).groupBy("payload_digest", "payload_bytes").agg(F.min(F.struct(page.isNull(), page.alias("page"), "record_id")).alias("first"))
-              .select("payload_digest", "payload_bytes", F.col("first.page").alias("first_page"), F.col("first.record_id").alias("first_id")))
-    out = records.join(firsts, ["payload_digest", "payload_bytes"], "left")
-    revisit = enough & ~page.eqNullSafe(F.col("first_page"))
-    return out.withColumn("refers_to", F.when(revisit, F.col("first_page"))).withColumn("refers_id", F.when(revisit, F.col("first_id")))
+    payload = ["payload_digest", "payload_bytes"]
+    # the first record of each repeated payload, pre-aggregated from the columns beside the blocks
+    firsts = (records.where(enough).groupBy(*payload).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(page.isNull(), page.alias("page"), "record_id")).alias("first"))
+              .where("n > 1").select(*payload, F.col("first.page").alias("first_page"), F.col("first.record_id").alias("first_id")))
+    firsts = stored(firsts, "llm-first-records")
+    shared = records.sparkSession.sparkContext.broadcast(bloom.build(firsts, F.xxhash64(*payload), firsts.count()))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bloom.probe(shared.value, hashes.to_numpy()))
+
+    marked = records.withColumn("_may", enough & may_repeat(F.xxhash64(*payload)))
+    some = marked.where("_may").join(firsts, payload, "left")
+    revisit = F.col("first_id").isNotNull() & ~page.eqNullSafe(F.col("first_page"))
+    some = some.withColumn("refers_to", F.when(revisit, F.col("first_page"))).withColumn("refers_id", F.when(revisit, F.col("first_id")))
+    rest = marked.where(~F.col("_may")).withColumn("refers_to", F.lit(None).cast(id_type)).withColumn("refers_id", F.lit(None).cast("string"))
+    return some.drop("_may", "first_page", "first_id").unionByName(rest.drop("_may"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -325,7 +347,7 @@ def _parse_warc(pieces):
         n = data.find(b"\r\n\r\n")
         return n + 4 if n >= 0 else -1
 
-    for file, head, block in _records(pieces, WARC_END, head_size, length_of):
+    for file, head, block in _records(pieces, head_size, length_of):
         if not head.startswith(b"WARC/1."):
             raise ValueError(f"{file}: not a WARC record: {head[:40]!r}")
         http, payload = split_http(block)
@@ -349,7 +371,7 @@ WARC_ROW = ("file string, type string, record_id string, date string, url string
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row per record with declared lengths and digests checked; a revisit's payload is empty, its size and digest are the full payload's."""
-    return _read(spark, path, WARC_END, WARC_ROW, _parse_warc)
+    return _read(spark, path, WARC_ROW, _parse_warc)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +382,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     root, kind = scratch_path(spark, "llm-archives"), dict(pages.dtypes)["page_id"]
     write_arc(pages, f"{root}/arc")
-    write_warc(mark_revisits(convert(read_arc(spark, f"{root}/arc")), id_type=kind), f"{root}/warc")
+    records = stored(convert(read_arc(spark, f"{root}/arc")), "llm-records")
+    write_warc(mark_revisits(records, id_type=kind), f"{root}/warc")
     back = read_warc(spark, f"{root}/warc").where("type != 'warcinfo'")
     return back.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
                        F.col("refers_to").cast(kind).alias("refers_to"))
