@@ -14,6 +14,27 @@ def _nearest(table: str, p: float, cols: str, order: str, k: int, population: st
             f"as dist from {table}) order by dist, {order} limit {k}")
 
 
+# Salted windows of the curation jobs, in days from their anchor (first and last day).
+WINDOW_02 = (-9, 200)  # the first of 20 starts, one day apart, and the length of each
+WINDOWS_08 = [(n - 10, n + n * 37 % 5) for n in range(1, 21)]
+WINDOWS_09 = sorted({(n * 37 % 10 - 5, 80 + n * 31 % 20 + more) for n in range(1, 21) for more in (0, 1)})
+_STARTS_11 = [n * 37 % 30 - 15 for n in range(1, 21)]
+WINDOWS_11 = {"China": [(d, d + 92) for d in _STARTS_11], "India": [(d, d + 92 + 47 % 18 + 1) for d in _STARTS_11]}
+DAYS_13 = sorted({(n * 47 % 20 - 5, 0) for n in range(456789, 456810)})
+
+
+def _offsets(pairs: list[tuple[int, int]]) -> str:
+    """A relation ``o(lo, hi)`` of the given days."""
+    return f"(values {', '.join(map(str, pairs))}) o(lo, hi)"
+
+
+def _running(name: str, factor: str, days: int) -> list[tuple[str, str]]:
+    """``<name>_run(name, day, total)``: messages of each name up to each of ``days`` days from 12 before the anchor on."""
+    return [(f"{name}_day", f"select name, creationDay - a15 as day, sum(frequency) n from {factor}, day_anchor group by all"),
+            (f"{name}_run", f"select name, day, sum(coalesce(n, 0)) over (partition by name order by day) total from (select distinct name from {name}_day) "
+                            f"cross join (select unnest(range(-12, {days - 12})) as day) left join {name}_day using (name, day)")]
+
+
 FACTOR_CTES = [
     ("pgeo", "select p.id, p.LocationCityId, ci.name cityName, co.id countryId, co.name countryName from person p "
              "join city ci on ci.id = p.LocationCityId join country co on co.id = ci.PartOfCountryId"),
@@ -98,14 +119,14 @@ FACTOR_CTES = [
                    "quantile_disc(creationDay, 0.89) a89, quantile_disc(creationDay, 0.92) a92, "
                    "quantile_disc(creationDay, 0.94) a94, quantile_disc(creationDay, 0.95) a95, "
                    "quantile_disc(creationDay, 0.10) a10 from creationDayNumMessages"),
-    ("q2_windows", "select (x.a15 + (s.salt - 10))::date date, c.name tagClassName, sum(c.frequency)::bigint frequency "
-                   "from creationDayAndTagClassNumMessages c, day_anchor x, (select range::integer salt from range(1, 21)) s "
-                   "where c.creationDay >= x.a15 + (s.salt - 10) and c.creationDay <= x.a15 + (s.salt + 189) "
-                   "group by s.salt, x.a15, c.name"),
-    ("q8_windows", "select (x.a15 + (s.salt - 10))::date startDate, (x.a15 + (s.salt + (s.salt * 37) % 5))::date endDate, "
-                   "c.name tagName, sum(c.frequency)::bigint frequency from creationDayAndTagNumMessages c, day_anchor x, "
-                   "(select range::integer salt from range(1, 21)) s where c.creationDay >= x.a15 + (s.salt - 10) and c.creationDay <= "
-                   "x.a15 + (s.salt + (s.salt * 37) % 5) group by s.salt, x.a15, c.name"),
+    # windows are differences of running sums over a calendar of days around the anchor
+    *_running("classes", "creationDayAndTagClassNumMessages", 230),
+    ("q2_windows", "select (a15 + (b.day + 1)::integer)::date date, b.name tagClassName, (e.total - b.total)::bigint frequency from day_anchor, "
+                   f"classes_run b join classes_run e on e.name = b.name and e.day = b.day + {WINDOW_02[1]} "
+                   f"where b.day between {WINDOW_02[0]} - 1 and {WINDOW_02[0]} + 18 and e.total > b.total"),
+    *_running("tags", "creationDayAndTagNumMessages", 40),
+    ("q8_windows", f"select (a15 + lo)::date startDate, (a15 + hi)::date endDate, b.name tagName, (e.total - b.total)::bigint frequency from day_anchor, "
+                   f"{_offsets(WINDOWS_08)} join tags_run b on b.day = lo - 1 join tags_run e on e.name = b.name and e.day = hi where e.total > b.total"),
     ("k4_sample", "select person1Id, person2Id from people4Hops order by person1Id, person2Id limit 80"),
     ("q15a_core", "select distinct s.person1Id, s.person2Id, b.Person2Id middleCandidate from k4_sample s "
                   "join personKnowsPersonDays_window a on a.Person1Id = s.person1Id "
@@ -147,9 +168,7 @@ CUR_SQL["pg_08_windows"] = _q("select * from q8_windows")
 for key, p in (("pg_08a", 0.98), ("pg_08b", 0.31)):
     CUR_SQL[key] = _q("select tagName tag, startDate, endDate from (" +
                       _nearest("q8_windows", p, "tagName, startDate, endDate", "tagName, startDate", 100) + ")")
-CUR_SQL["pg_09"] = _q(
-    "select distinct (x.a89 + ((i * 37) % 10 - 5))::date startDate, (x.a89 + (80 + (i * 31) % 20 + j))::date endDate "
-    "from day_anchor x, (select range::integer i from range(1, 21)) s, (select range::integer j from range(0, 2)) t")
+CUR_SQL["pg_09"] = _q(f"select (a89 + lo)::date startDate, (a89 + hi)::date endDate from day_anchor, {_offsets(WINDOWS_09)}")
 
 
 def _pg10(countries: str, persons: str, classes: str) -> str:
@@ -167,19 +186,16 @@ CUR_SQL["pg_10b"] = _pg10(
     "select name countryName from (" + _nearest("countryNumPersons", 0.35, "name", "name", 20) + ")",
     "select id from alive_friends where frequency = 1 order by id limit 50",
     "select name tagClassName from (" + _nearest("tagClassNumTags", 0.25, "name", "name", 15) + ")")
-CUR_SQL["pg_11"] = _q(
-    "select if(j % 2 = 0, 'China', 'India') country, (x.a92 + ((i * 37) % 30 - 15))::date startDate, "
-    "(x.a92 + ((i * 37) % 30 - 15 + 92 + (j * 47) % 18 + j))::date endDate from day_anchor x, (select range::integer i from range(1, 21)) s, "
-    "(select range::integer j from range(0, 2)) t")
+CUR_SQL["pg_11"] = _q(" union all ".join(
+    f"select '{country}' country, (a92 + lo)::date startDate, (a92 + hi)::date endDate from day_anchor, {_offsets(pairs)}"
+    for country, pairs in WINDOWS_11.items()))
 # four orders of the languages by digest, the first three of each; every salt shifts the day and the length alike
 CUR_SQL["pg_12"] = _q(
     "select (a79 + i * 3)::date startDate, (150 - 5 * i)::integer lengthThreshold, languages from day_anchor, "
     "(select unnest(generate_series(1, 20))::integer i), (select array_to_string(list_slice(list(language order by "
     "md5(concat(language, o))), 1, 3), ';') languages from langs, (select unnest([1, 2, 3, 4]) o) group by o)",
     ("langs", _nearest("languageNumPosts", 0.98, "language", "language", 10)))
-CUR_SQL["pg_13"] = _q(
-    "select if(j % 2 = 0, 'India', 'China') country, d endDate from (select distinct (x.a94 + ((i * 47) % 20 - 5))::date d "
-    "from day_anchor x, (select range::integer i from range(456789, 456810)) s), (select range::integer j from range(0, 2)) t")
+CUR_SQL["pg_13"] = _q(f"select country, (a94 + lo)::date endDate from day_anchor, {_offsets(DAYS_13)}, (values ('China'), ('India')) c(country)")
 for key, p in (("pg_14a", 0.98), ("pg_14b", 0.03)):
     CUR_SQL[key] = _q("select country1Name country1, country2Name country2 from (" +
                       _nearest("countryPairsNumFriends", p, "country1Name, country2Name", "country1Name, country2Name", 50)

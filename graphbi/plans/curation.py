@@ -328,19 +328,14 @@ def pg_12(f: Factors) -> DataFrame:
 
 
 def _length_and_languages(f: Factors, anchor: Column, langs: DataFrame) -> DataFrame:
-    base = (_one(f.spark, anchor=anchor, langs=_array_of(langs, "language"))
-            .withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(20))))
-            .withColumn("lng", F.explode("langs"))
+    rows = (_one(f.spark, anchor=anchor, langs=_array_of(langs, "language"))
             .withColumn("lang_perm", F.explode(F.sequence(F.lit(1), F.lit(4))))
-            .select("salt", _add_days(F.col("anchor"), F.col("salt") * 3).alias("startDate"), "lang_perm",
-                    F.col("lng.language").alias("lng")))
-    ranked = base.withColumn("rn", F.row_number().over(
-        Window.partitionBy("lang_perm", "salt").orderBy(_md5("lng", "lang_perm"))))
-    picked = ranked.where(F.col("rn") <= 3)
-    grouped = (picked.groupBy("startDate", "salt", "lang_perm")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "lng"))), lambda x: x["lng"]),
-                                 ";").alias("languages")))
-    return (grouped.orderBy(_md5("startDate"), "lang_perm")
+            .withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(20)))))
+    # the languages in an order of their own for each permutation: three of them
+    shuffled = F.array_sort(F.transform("langs", lambda x: F.struct(F.md5(F.concat(x["language"], F.col("lang_perm").cast("string"))), x["language"].alias("lng"))))
+    return (rows.select("salt", "lang_perm", _add_days(F.col("anchor"), F.col("salt") * 3).alias("startDate"),
+                        F.array_join(F.slice(shuffled, 1, 3)["lng"], ";").alias("languages"))
+            .orderBy(_md5("startDate"), "lang_perm")
             .select("startDate", (150 - F.col("salt") * 5).alias("lengthThreshold"), "languages"))
 
 
