@@ -1,17 +1,23 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = (n(word before, word) + STRENGTH * Q) / (n(word before) + STRENGTH)
-with Q = P(class | context) * P(word | class).  The counts n of words and of
-word pairs are tables by full 64-bit hashes, which grow with the corpus; the
-most frequent (bounded tables) are broadcast, all others joined.
-
-The class softmax
+P(word | context) = P(class | context) * P(word | class).  The class softmax
 has weights for hashed features of the context (the word before, the word
-before that, and both together); it is trained by gradients that tasks sum
-over their documents and Spark adds up.  Within a class a word's share is its
-smoothed count, which is what a softmax with one weight a word learns.
-Frequent words (a bounded table) are split into classes of about equal count;
-all others share the last class of Q.
+before that, and both together).  It starts at the words' own shares, and its
+updates are those of iterative scaling: a weight grows by the logarithm of
+observed over expected counts of its feature and class, both with a
+pseudocount.  Tasks sum the counts over their documents, Spark adds them up.
+Texts are scored in numpy batches against the broadcast weights.
+
+What is gathered grows with the corpus: the table of word counts, and the
+number of buckets of hashed features (a power of two in proportion to the
+training tokens, up to the ``BUCKETS`` that bound the broadcast).  Within a
+class a word's share is its smoothed count.  Frequent words (a bounded table)
+are split into classes of about equal count; all others share the last class,
+and their counts are joined.
+
+Null texts count as empty ones, which have an end token only; repeated rows
+have equal scores; very long texts are hashed and scored in pieces; further
+columns are not read; without training rows all words are unknown.
 """
 
 from __future__ import annotations
@@ -31,16 +37,14 @@ from graphbi.llm.suffix_dedup import hash_words
 #: Words in the table of frequent words, at most; classes; buckets of hashed features.
 FREQUENT = 1 << 17
 CLASSES = 32
-BUCKETS = 1 << 14
-#: Word pairs in the table of frequent pairs, at most; weight of Q in positions.
-FREQUENT_PAIRS = 1 << 20
-STRENGTH = 64.0
+#: Buckets of hashed features: one for so many training tokens, at least and at most.
+TOKENS_PER_BUCKET, LEAST_BUCKETS, BUCKETS = 16, 1 << 12, 1 << 16
 #: Kinds of features: previous word, skip, previous two; each position has one of each.
 KINDS = 3
-#: Gradient updates after the first; together they pass over all training documents once.
+#: Gradient updates after the first; together they pass over all training documents once. The k-th has the rate 1 / k.
 UPDATES = 2
-#: Pseudocount of a feature, largest change of a weight in a gradient update.
-PRIOR, MOST = 8.0, 1.0
+#: Pseudocount of a feature; what a class seen with it gives to the prior (absolute discounting).
+PRIOR, DISCOUNT = 64.0, 2.0
 #: Bytes of text whose words are hashed at once, and positions scored at once.
 _BYTES, _ROWS = 1 << 21, 1 << 15
 #: The token at the end of a text; no word has this hash but by chance.
@@ -105,21 +109,8 @@ def blocks(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield flush()
 
 
-def words_before(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The token before each; before a text is an end token."""
-    out = np.concatenate([[END], t[:-1]])
-    out[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = END
-    return out
-
-
-def pair_hashes(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of each token with the one before."""
-    k = (words_before(t, lengths) * np.uint64(0x9E3779B97F4A7C15)) ^ (t * np.uint64(0xD6E8FEB86659FD93))
-    return (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def count_words(rows: DataFrame, hashes=lambda t, lengths: t) -> DataFrame:
-    """(h, c): tokens (or other ``hashes``) of all texts with their counts; summed in tasks, then in Spark."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """(h, c): tokens of all texts with their counts; summed in tasks, then in Spark."""
     def run(batches):
         hs, ns, size = [], [], 0
 
@@ -128,8 +119,8 @@ def count_words(rows: DataFrame, hashes=lambda t, lengths: t) -> DataFrame:
             return h, np.bincount(inverse, weights=np.concatenate(ns), minlength=len(h)).astype(np.int64)
 
         for batch in batches:
-            for t, lengths in blocks(batch.column("text")):
-                h, n = np.unique(hashes(t, lengths), return_counts=True)
+            for t, _ in blocks(batch.column("text")):
+                h, n = np.unique(t, return_counts=True)
                 hs.append(h)
                 ns.append(n)
                 size += len(h)
@@ -166,8 +157,9 @@ class Words:
         return at, np.where(at >= 0, self.classes[at], CLASSES - 1)
 
 
-def most_frequent(counts: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) above the smallest count that at most ``frequent`` of them reach."""
+def choose_words(counts: DataFrame, frequent: int = FREQUENT) -> Words:
+    """The words above the smallest count that at most ``frequent`` words reach, in classes of about equal count."""
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
     level = F.floor(F.log2("c") * 8)  # a few hundred levels, whatever the counts
     levels = sorted(map(tuple, counts.groupBy(level.alias("level")).count().collect()), reverse=True)
     least, n = None, 0
@@ -175,15 +167,9 @@ def most_frequent(counts: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndar
         if n + words > frequent:
             break
         least, n = at, n + words
-    # n rows, at most `frequent`
-    top = (counts.where(level >= least) if least is not None else counts.limit(0)).select("h", "c").toArrow()
-    return top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
-
-
-def choose_words(counts: DataFrame, frequent: int = FREQUENT) -> Words:
-    """The most frequent words in classes of about equal count."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    h, c = most_frequent(counts, frequent)
+    # n words, at most `frequent`
+    top = counts.where(level >= least).toPandas() if least is not None else counts.limit(0).toPandas()
+    h, c = top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64)
     order = np.lexsort((h, -c))
     upto = np.cumsum(c[order])
     classes = np.empty(len(c), dtype=np.int64)
@@ -194,7 +180,11 @@ def choose_words(counts: DataFrame, frequent: int = FREQUENT) -> Words:
     return Words(h[order], c[order], classes[order], size, int(total), int(distinct))
 
 
-def feature_buckets(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def bucket_count(tokens: int) -> int:
+    return min(BUCKETS, max(LEAST_BUCKETS, 1 << max(tokens // TOKENS_PER_BUCKET - 1, 0).bit_length()))
+
+
+def feature_buckets(t: np.ndarray, lengths: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets of the features of each position, shape (KINDS, positions); before a text there are end tokens."""
     begin = np.zeros(len(t), dtype=bool)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
@@ -203,7 +193,7 @@ def feature_buckets(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     after = np.concatenate([[True], begin[:-1]]) | begin
     two = np.where(after, END, np.concatenate([[END, END], t[:-2]])[:len(t)])
     keys = (one * np.uint64(0x9E3779B97F4A7C15), two * np.uint64(0xC2B2AE3D27D4EB4F), (one * np.uint64(0x165667B19E3779F9)) ^ (two * np.uint64(0xD6E8FEB86659FD93)))
-    bits = np.uint64(64 - BUCKETS.bit_length() + 1)
+    bits = np.uint64(64 - buckets.bit_length() + 1)
     return np.stack([((k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> bits for k in keys]).astype(np.int64)
 
 
@@ -217,43 +207,49 @@ def class_log_probs(weights: np.ndarray, bias: np.ndarray, buckets: np.ndarray)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def _first_weights(rows: DataFrame, shared, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, positions of each bucket) after the first update, for which the model's expectation needs no pass.
+def _summed(rows: DataFrame, kind: str, gather) -> np.ndarray:
+    """Sums by bucket and class of what ``gather(batches)`` finds in the texts of each task, shape (buckets, CLASSES)."""
+    names = [f"c{k}" for k in range(CLASSES)]
 
-    At zero weights each feature expects classes by the bias; the update is
-    the logarithm of observed over expected, divided by the features of a position.
-    """
     def run(batches):
-        words, found = shared.value, np.zeros(BUCKETS * CLASSES, dtype=np.int64)
+        found = gather(batches)
+        at = np.flatnonzero(found.any(axis=1))
+        yield {"bucket": at, "of": np.full(len(at), len(found)), **{f"c{k}": found[at, k] for k in range(CLASSES)}}
+
+    # a task's sums are as large as the model, so there are only as many tasks as keep all cores busy
+    few = rows.select("text").coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    summed = (partition_map(few, "bucket bigint, of bigint, " + ", ".join(f"{c} {kind}" for c in names), run)
+              .groupBy("bucket").agg(F.max("of").alias("of"), *[F.sum(c).alias(c) for c in names])).toPandas()
+    out = np.zeros((int(summed["of"].max()) if len(summed) else LEAST_BUCKETS, CLASSES))
+    out[summed["bucket"].to_numpy(dtype=np.int64)] = summed[names].to_numpy()
+    return out
+
+
+def _observed(rows: DataFrame, shared, buckets: int) -> np.ndarray:
+    """How often each class follows a feature."""
+    def gather(batches):
+        words, found = shared.value, np.zeros(buckets * CLASSES, dtype=np.int64)
         for batch in batches:
             for t, lengths in blocks(batch.column("text")):
                 _, c = words.look_up(t)
-                for b in feature_buckets(t, lengths):
-                    found += np.bincount(b * CLASSES + c, minlength=BUCKETS * CLASSES)
-        found = found.reshape(BUCKETS, CLASSES)
-        at = np.flatnonzero(found.any(axis=1))
-        yield {"bucket": at, **{f"c{k}": found[at, k] for k in range(CLASSES)}}
+                for b in feature_buckets(t, lengths, buckets):
+                    found += np.bincount(b * CLASSES + c, minlength=buckets * CLASSES)
+        return found.reshape(buckets, CLASSES)
 
-    names = [f"c{k}" for k in range(CLASSES)]
-    summed = (partition_map(rows.select("text"), "bucket bigint, " + ", ".join(f"{c} bigint" for c in names), run)
-              .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])).toPandas()
-    seen = np.zeros((BUCKETS, CLASSES))
-    seen[summed["bucket"].to_numpy(dtype=np.int64)] = summed[names].to_numpy()
-    n, p = seen.sum(axis=1, keepdims=True), np.exp(bias)
-    return (np.log((seen + PRIOR * p) / ((n + PRIOR) * p)) / KINDS).astype(np.float32), n
+    return _summed(rows, "bigint", gather)
 
 
-def _gradient(rows: DataFrame, shared, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(observed minus expected classes, positions) of each bucket over the texts of ``rows``."""
+def _gradient(rows: DataFrame, shared, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Observed minus expected classes of each feature over the texts of ``rows``."""
     model = rows.sparkSession.sparkContext.broadcast((weights, bias))
 
-    def run(batches):
+    def gather(batches):
         words, (w, b0) = shared.value, model.value
-        found, n = np.zeros((BUCKETS, CLASSES), dtype=np.float32), np.zeros(BUCKETS, dtype=np.int64)
+        found = np.zeros(w.shape, dtype=np.float32)
         for batch in batches:
             for t, lengths in blocks(batch.column("text")):
                 _, c = words.look_up(t)
-                f = feature_buckets(t, lengths)
+                f = feature_buckets(t, lengths, len(w))
                 for at in range(0, len(t), _ROWS):
                     b = f[:, at:at + _ROWS]
                     rest = -np.exp(class_log_probs(w, b0, b))
@@ -262,40 +258,41 @@ def _gradient(rows: DataFrame, shared, weights: np.ndarray, bias: np.ndarray) ->
                         order = np.argsort(k, kind="stable")
                         cut = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) > 0]))
                         found[k[order[cut]]] += np.add.reduceat(rest[order], cut, axis=0)
-                    n += np.bincount(b.ravel(), minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        yield {"bucket": at, "n": n[at], **{f"c{k}": found[at, k] for k in range(CLASSES)}}
+        return found
 
-    names = [f"c{k}" for k in range(CLASSES)]
-    summed = (partition_map(rows.select("text"), "bucket bigint, n bigint, " + ", ".join(f"{c} float" for c in names), run)
-              .groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])).toPandas()
-    gradient, n = np.zeros((BUCKETS, CLASSES)), np.zeros((BUCKETS, 1))
-    at = summed["bucket"].to_numpy(dtype=np.int64)
-    gradient[at], n[at, 0] = summed[names].to_numpy(), summed["n"].to_numpy()
-    return gradient, n
+    return _summed(rows, "float", gather)
 
 
 def train(rows: DataFrame, words: Words, updates: int = UPDATES):
-    """(weights, bias) from the texts of ``rows``: a first update on all, then one on each of ``updates`` parts."""
+    """(weights, bias) from the texts of ``rows``: a first update on all, then one on each of ``updates`` parts.
+
+    At zero weights each feature expects classes by the bias, so the first
+    expectation needs no pass; later ones are carried on from their part to all.
+    """
+    buckets = bucket_count(words.total)
     p = np.maximum(words.size / max(words.size.sum(), 1e-12), 1e-12)
     bias = np.log(p).astype(np.float32)
     if not words.total:
-        return np.zeros((BUCKETS, CLASSES), dtype=np.float32), bias
+        return np.zeros((buckets, CLASSES), dtype=np.float32), bias
     shared = rows.sparkSession.sparkContext.broadcast(words)
-    weights, _ = _first_weights(rows, shared, bias.astype(np.float64))
+    seen = _observed(rows, shared, buckets)
+    # what was seen once tells little of other texts: each class seen gives a part of its count to the prior
+    less = np.minimum(seen, DISCOUNT)
+    prior = (PRIOR + less.sum(axis=1, keepdims=True)) * p
+    scaled = lambda expected: np.log((seen - less + prior) / (np.maximum(expected, 0) + PRIOR * p)) / KINDS
+    weights = scaled(seen.sum(axis=1, keepdims=True) * p).astype(np.float32)
     for k in range(updates):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(updates)) == k)
-        gradient, n = _gradient(part, shared, weights, bias)
-        weights = (weights + np.clip(gradient / ((n + PRIOR) * p * KINDS), -MOST, MOST)).astype(np.float32)
+        gradient = _gradient(part, shared, weights, bias)
+        gradient = gradient if len(gradient) == buckets else np.zeros((buckets, CLASSES))  # a part without rows
+        weights = (weights + scaled(seen - updates * gradient) / (k + 1)).astype(np.float32)
     return weights, bias
 
 
-# pairs, rare, log_q: of each position that isn't settled in the task, the pair's hash, the word's if it is rare, log10 of Q (but for a rare word's count)
-_SCORED = ("key binary, ref bigint, n_tokens bigint, known bigint, log_counts double, log_joint double, log_before double, "
-           "pairs array<bigint>, rare array<bigint>, log_q array<float>")
+_SCORED = "key binary, n_tokens bigint, known bigint, log_counts double, log_class double, log_size double, sender int, rare array<struct<h:bigint,n:int>>"
 
 
-def score(docs: DataFrame, held_out=None, frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
+def score(docs: DataFrame, held_out=None, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; logarithms to base 10.
 
     ``held_out``: a boolean column of rows that aren't learned from; by default
@@ -307,83 +304,57 @@ def score(docs: DataFrame, held_out=None, frequent: int = FREQUENT, frequent_pai
     rows = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     training = rows.where(~F.col("held_out"))
     counts = stored(count_words(training), "llm-words")
-    pair_counts = stored(count_words(training, pair_hashes), "llm-pairs")
     words = choose_words(counts, frequent)
-    top, n = most_frequent(pair_counts, frequent_pairs)
-    order = np.argsort(top)
     sc, kind = docs.sparkSession.sparkContext, dict(rows.dtypes)["doc_id"]
-    shared, model, top_pairs = sc.broadcast(words), sc.broadcast(train(training, words)), sc.broadcast((top[order], n[order]))
+    shared, model = sc.broadcast(words), sc.broadcast(train(training, words))
+    names = fields(_SCORED).names
 
     def start():
         from pyspark import TaskContext
 
-        words, (weights, bias), (top, top_n) = shared.value, model.value, top_pairs.value
+        words, (weights, bias) = shared.value, model.value
         log_count, log_size = np.log10(words.counts + 0.5), np.log10(np.maximum(words.size, 1e-300))
-        log_before = np.log10(words.counts + STRENGTH)
-        first, sent = TaskContext.get().partitionId() << 33, {}
+        part, sent = TaskContext.get().partitionId(), set()
 
         def work(batch: pa.RecordBatch) -> dict:
             column = batch.column("text")
-            keys = [xxhash.xxh3_128_digest(t.as_py()) for t in column]
-            out = {c: [] for c in ("ref", "n_tokens", "known", "log_counts", "log_joint", "log_before")}
-            left, sizes = {"pairs": [], "rare": [], "log_q": [], "is_rare": []}, [0]
+            out = {c: [] for c in names} | {"key": [xxhash.xxh3_128_digest(t.as_py()) for t in column]}
             for t, lengths in blocks(column):
                 at, c = words.look_up(t)
-                f, log_class = feature_buckets(t, lengths), np.empty(len(t))
+                f, log_class = feature_buckets(t, lengths, len(weights)), np.empty(len(t))
                 for i in range(0, len(t), _ROWS):
                     k = c[i:i + _ROWS]
                     log_class[i:i + _ROWS] = class_log_probs(weights, bias, f[:, i:i + _ROWS])[np.arange(len(k)), k]
                 begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
                 known = at >= 0
-                of_word = lambda x: np.where(known, x[at] if len(x) else 0.0, 0.0)
-                log_q = log_class / np.log(10) - log_size[c] + of_word(log_count)
-                pairs = pair_hashes(t, lengths)
-                place = np.minimum(np.searchsorted(top, pairs), max(len(top) - 1, 0))
-                settled = known & (top[place] == pairs) if len(top) else np.zeros(len(t), dtype=bool)
-                joint = np.zeros(len(t))
-                if settled.any():
-                    joint[settled] = np.log10(top_n[place[settled]] + STRENGTH * 10.0 ** log_q[settled])
                 sums = lambda x: np.add.reduceat(x, begins).tolist()
                 out["n_tokens"] += lengths.tolist()
                 out["known"] += sums(known.astype(np.int64))
-                out["log_counts"] += sums(of_word(log_count))
-                out["log_joint"] += sums(joint)
-                out["log_before"] += sums(of_word(log_before))
-                send = ~settled
+                out["log_counts"] += sums(np.where(known, log_count[at] if len(log_count) else 0.0, 0.0))
+                out["log_class"] += sums(log_class / np.log(10))
+                out["log_size"] += sums(log_size[c])
                 for a, n in zip(begins.tolist(), lengths.tolist(), strict=True):
-                    key = keys[len(out["ref"])]
-                    if key in sent:  # a task sends the positions of a text once
-                        send[a:a + n] = False
-                    out["ref"].append(sent.setdefault(key, first + len(sent)))
-                sizes += sums(send.astype(np.int64))
-                for name, x in (("pairs", pairs.view(np.int64)), ("rare", t.view(np.int64)), ("log_q", log_q.astype(np.float32)), ("is_rare", ~known)):
-                    left[name].append(x[send])
-            left = {c: np.concatenate(x) for c, x in left.items()}
-            offsets = pa.array(np.cumsum(sizes).astype(np.int32))
-            lists = {c: pa.ListArray.from_arrays(offsets, pa.array(left[c], mask=~left["is_rare"] if c == "rare" else None)) for c in ("pairs", "rare", "log_q")}
-            return out | lists | {"key": keys, "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
+                    key = out["key"][len(out["rare"])]
+                    if key in sent:  # a task sends the rare words of a text once
+                        out["rare"].append(None)
+                        continue
+                    sent.add(key)
+                    h, times = np.unique(t[a:a + n][~known[a:a + n]], return_counts=True)
+                    out["rare"].append([{"h": x, "n": y} for x, y in zip(h.view(np.int64).tolist(), times.tolist(), strict=True)])
+            return out | {"sender": [part] * batch.num_rows, "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
         return work
 
     scored = stored(arrow_map(rows, f"doc_id {kind}, held_out boolean, {_SCORED}", start), "llm-scored")
-    left = scored.where(F.size("pairs") > 0).select("ref", F.explode(F.arrays_zip("pairs", "rare", "log_q")).alias("x"))
-    left = left.select("ref", F.col("x.pairs").alias("pair"), F.col("x.rare").alias("h"), "x.log_q")
-    rare = left.where(F.col("h").isNotNull()).join(counts, "h", "left").select("ref", "pair", "log_q", F.coalesce("c", F.lit(0)).alias("c"))
-    # c is the count of a rare word, null for frequent ones
-    looked_up = (left.where(F.col("h").isNull()).select("ref", "pair", "log_q", F.lit(None).cast("bigint").alias("c")).unionByName(rare)
-                 .join(pair_counts.select(F.col("h").alias("pair"), F.col("c").alias("n")), "pair", "left"))
-    log_c = F.coalesce(F.log10(F.col("c") + 0.5), F.lit(0.0))
-    by_ref = looked_up.groupBy("ref").agg(
-        F.sum(log_c).alias("rare_counts"), F.sum((F.col("c") > 0).cast("bigint")).alias("rare_known"), F.sum(F.log10(F.col("c") + STRENGTH)).alias("rare_before"),
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + STRENGTH * F.pow(F.lit(10.0), F.col("log_q") + log_c))).alias("left_joint"))
-    sums = ("rare_counts", "rare_known", "rare_before", "left_joint")
-    by_text = (scored.where(F.size("pairs") > 0).select("ref", "key").join(by_ref, "ref")
-               .groupBy("key").agg(*[F.min(F.coalesce(c, F.lit(0))).alias(c) for c in sums]))  # the same from each task but for the order of sums
+    uses = scored.where(F.size("rare") > 0).select("key", "sender", F.explode("rare").alias("w")).select("key", "sender", "w.h", "w.n")
+    found = uses.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    by_text = (found.groupBy("key", "sender").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_counts"),
+                                                  F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+               .groupBy("key").agg(F.min("rare_counts").alias("rare_counts"), F.min("rare_known").alias("rare_known")))  # the same from each sender
     size = float(np.log10(words.total + 0.5 * (words.distinct + 1)))
-    plus = lambda c, more: F.col(c) + F.coalesce(more, F.lit(0))
-    return scored.drop("pairs", "rare", "log_q").join(by_text, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("known", "rare_known").alias("n_known"), F.lit(words.total).cast("bigint").alias("train_tokens"),
-        (plus("log_counts", "rare_counts") - F.col("n_tokens") * size).alias("base_score"),
-        (plus("log_joint", "left_joint") - plus("log_before", "rare_before")).alias("score"))
+    log_counts = F.col("log_counts") + F.coalesce("rare_counts", F.lit(0.0))
+    return scored.drop("rare").join(by_text, "key", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("bigint").alias("train_tokens"),
+        (log_counts - F.col("n_tokens") * size).alias("base_score"), (log_counts + F.col("log_class") - F.col("log_size")).alias("score"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 from graphbi.llm import bloom, bpe, components, decontaminate, html_text, lm_score, quality_rules, queries, simhash, suffix_dedup, toxicity, url_filter, warc  # noqa: E402
@@ -346,29 +347,62 @@ def test_lm_score(spark, docs, none):
     assert lm_score.score(none).count() == 0
 
 
-def test_lm_pairs(spark):
-    """Without frequent words Q is the base, so the score follows from the counts of words and pairs, however many there are."""
+def test_lm_model(spark):
+    """The trained softmax and its scores, computed position by position."""
     rng = random.Random(5)
-    texts = [(i, " ".join(f"A{k} b{k}" for k in (rng.randrange(3000) for _ in range(60)))) for i in range(400)] + [(400, "new words"), (401, None), (7, "A1 b1"), (None, "A1 b1")]
-    toks = [(i, (t or "").lower().split() + [""], i is not None and zlib.crc32(str(i).encode()) % 5 == 1) for i, t in texts]
-    c, pairs = Counter(w for _, t, held in toks if not held for w in t), Counter(p for _, t, held in toks if not held for p in zip(["", *t], t))
-    n, v, k = sum(c.values()), len(c), lm_score.STRENGTH
-    p = lambda a, w: (pairs[a, w] + k * (c[w] + 0.5) / (n + 0.5 * (v + 1))) / (c[a] + k)
-    assert abs(sum(p("a1", w) for w in c) + p("a1", "unknown") - 1) < 1e-9
-    want = sorted(((i, held, len(t), sum(math.log10(p(*x)) for x in zip(["", *t], t))) for i, t, held in toks), key=repr)
+    texts = [(i, " ".join(f"A{k} b{k}" for k in (rng.randrange(60) for _ in range(30)))) for i in range(60)] + [(100, "new words"), (101, None), (7, "A1 b1"), (None, "A1 b1")]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
-    for most in (0, 100, 1 << 20):  # no, some and all pairs in the table
-        got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.score) for r in lm_score.score(docs, frequent=0, frequent_pairs=most).collect()), key=repr)
-        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-3)
-    same = [lm_score.score(docs, frequent=500, frequent_pairs=most).orderBy("doc_id", "n_tokens").toPandas()["score"] for most in (0, 100, 1 << 20)]
-    assert np.allclose(same[0], same[1], atol=1e-3) and np.allclose(same[0], same[2], atol=1e-3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    training = docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))).withColumn("text", F.coalesce("text", F.lit("")))
+    counts = lm_score.count_words(training)
+    words = lm_score.choose_words(counts, 100)
+    all_counts = {np.int64(r.h).view(np.uint64): r.c for r in counts.collect()}
+    n, K = lm_score.bucket_count(words.total), lm_score.CLASSES
+    share = words.size / words.size.sum()
+    p = np.maximum(share, 1e-12)
+
+    def positions(text):
+        t = lm_score.tokens(text)
+        f = lm_score.feature_buckets(t, np.array([len(t)]), n)
+        return [(f[:, i], int(words.look_up(t[i:i + 1])[1][0]), all_counts.get(t[i], 0)) for i in range(len(t))]
+
+    def q(weights, f):
+        z = np.log(p) + sum(weights[b] for b in f)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    rows = [(i, text or "", positions(text)) for i, text in texts]
+    learned = [(text, x) for i, text, x in rows if not held(i)]
+    seen = np.zeros((n, K))
+    for _, x in learned:
+        for f, c, _ in x:
+            for b in f:
+                seen[b, c] += 1
+    less = np.minimum(seen, lm_score.DISCOUNT)
+    prior = (lm_score.PRIOR + less.sum(axis=1, keepdims=True)) * p
+    step = lambda expected: np.log((seen - less + prior) / (np.maximum(expected, 0) + lm_score.PRIOR * p)) / lm_score.KINDS
+    weights = step(seen.sum(axis=1, keepdims=True) * p)
+    part = {r.text: r.k for r in training.select("text", F.pmod(F.xxhash64("text"), F.lit(lm_score.UPDATES)).alias("k")).collect()}
+    for k in range(lm_score.UPDATES):
+        gradient = np.zeros((n, K))
+        for text, x in learned:
+            for f, c, _ in x if part[text] == k else ():
+                rest = np.eye(K)[c] - q(weights, f)
+                for b in f:
+                    gradient[b] += rest
+        weights = weights + step(seen - lm_score.UPDATES * gradient) / (k + 1)
+    got_w, got_b = lm_score.train(training, words)
+    assert np.allclose(got_w, weights, atol=1e-3) and np.allclose(got_b, np.log(p), atol=1e-5)
+    want = sorted(((i, held(i), len(x), sum(math.log10(q(weights, f)[c] * (m + 0.5) / words.size[c]) for f, c, m in x)) for i, _, x in rows), key=repr)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.score) for r in lm_score.score(docs, frequent=100).collect()), key=repr)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-2)
 
 
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    w = rng.normal(size=(lm_score.BUCKETS, lm_score.CLASSES)).astype(np.float32)
+    w = rng.normal(size=(lm_score.LEAST_BUCKETS, lm_score.CLASSES)).astype(np.float32)
     t = rng.integers(0, 2**63, 500).astype(np.uint64)
-    f = lm_score.feature_buckets(t, np.array([200, 1, 299]))
+    f = lm_score.feature_buckets(t, np.array([200, 1, 299]), lm_score.LEAST_BUCKETS)
     assert np.allclose(np.exp(lm_score.class_log_probs(w, w[0], f)).sum(axis=1), 1, atol=1e-4)
     assert f.shape == (3, 500) and len(set(f[0][[0, 200, 201]])) == 1  # nothing is known of a text before it begins
 
