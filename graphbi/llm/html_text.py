@@ -1,9 +1,17 @@
-"""HTML extraction: a tree builder with implied tags, then a layout-aware rendering of all visible text."""
+"""HTML extraction: a tree builder with implied tags, then a layout-aware rendering of all visible text.
+
+The builder keeps the positions of the open elements by name, so a tag costs
+what it closes, however many elements are open.  Cells of a table stand in
+columns, those that span rows or columns as well; inner tables and lists of a
+cell are one line with " / " between their lines.  The values of form controls
+(input, select, textarea) aren't text of the page and aren't shown.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,28 +69,49 @@ def _self_closed(raw: str) -> bool:
     return raw.endswith("/") and all(m.end() < len(raw) for m in _ATTR.finditer(raw))
 
 
+class _Open:
+    """The open elements, and the positions of those of each name."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, n: int) -> None:
+        """Closes all but the outer ``n`` elements."""
+        while len(self.stack) > n:
+            self.at[self.stack.pop().name].pop()
+
+    def last(self, names) -> int:
+        """Position of the innermost open element of these names, or 0."""
+        return max((at[-1] for name in names if (at := self.at.get(name))), default=0)
+
+    def close(self, names, stops) -> None:
+        """Closes up to and with the outermost of ``names`` inside the nearest stop; of a single name the innermost."""
+        stop = self.last(stops)
+        if len(names) == 1:
+            found = [self.last(names)]
+        else:
+            found = [at[k] for name in names if (at := self.at.get(name)) and (k := bisect_right(at, stop)) < len(at)]
+        if found and min(found) > stop:
+            self.cut(min(found))
+
+
 def parse(source: str) -> Node:
     """A tree for any input: omitted end tags are implied, stray end tags ignored, open elements closed at the end."""
     root = Node("html")
-    stack, at = [root], 0
+    opened, at = _Open(root), 0
+    stack = opened.stack
 
     def text(s: str) -> None:
         if s:
             s = html.unescape(s) if "&" in s else s
             if stack[-1].name == "head" and s.strip(" \t\n\r\f"):
-                stack.pop()
+                opened.cut(len(stack) - 1)
             stack[-1].children.append(s)
 
-    def close(names, stops) -> None:
-        """Pops up to and with the outermost of ``names`` above the nearest stop."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in stops:
-                return
-            if stack[i].name in names:
-                del stack[i:]
-                if len(names) == 1:
-                    return
-
     while True:
         m = _TOKEN.search(source, at)
         text(source[at:m.start()] if m else source[at:])
@@ -92,28 +121,24 @@ def parse(source: str) -> Node:
         if not name:
             continue
         if m[1]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+            if name == "p" and not opened.at.get("p"):
                 stack[-1].children.append(Node("p"))
             barrier = {"td", "th", "table", "caption"} - {name} if name not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html") else {"table"} - {name}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in barrier:
-                    break
+            if opened.last((name,)) > opened.last(barrier):
+                opened.cut(opened.last((name,)))
             continue
         if name == "html":
             root.attrs = _attrs(m[3]) | root.attrs
             continue
         if stack[-1].name == "head" and name not in HEAD:
-            stack.pop()
+            opened.cut(len(stack) - 1)
         if name in CLOSES:
-            close(CLOSES[name], STOPS.get(name, ("table",)))
+            opened.close(CLOSES[name], STOPS.get(name, ("table",)))
         if name in ENDS_P:
-            close(("p",), ("table", "td", "th", "caption", "button"))
+            opened.close(("p",), ("table", "td", "th", "caption", "button"))
         if name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
             stack[-1].children.append(row := Node("tr"))
-            stack.append(row)
+            opened.push(row)
         node = Node(name, _attrs(m[3]), name in FOREIGN or (stack[-1].foreign and stack[-1].name not in HTML_INSIDE))
         stack[-1].children.append(node)
         if node.foreign and _self_closed(m[3]):
@@ -125,7 +150,7 @@ def parse(source: str) -> Node:
                 body = html.unescape(body)
             node.children.append(body)
         elif name not in VOID:
-            stack.append(node)
+            opened.push(node)
 
 
 def visible(node: Node) -> bool:
@@ -233,28 +258,46 @@ def _rows(node: Node) -> list[Node | list]:
 COLUMN_WIDTH = 40
 
 
+#: Largest spans of a cell in columns and rows (fixed values of HTML).
+SPANS = {"colspan": 1000, "rowspan": 65534}
+
+
+def _span(cell: Node, name: str) -> int:
+    value = cell.attrs.get(name, "1").strip()
+    n = int(value) if value.isdecimal() and value.isascii() and len(value) < 10 else 1
+    return min(n, SPANS[name]) if n else (SPANS[name] if name == "rowspan" else 1)  # rowspan 0: to the table's end
+
+
 def _table(node: Node, depth: int) -> list[str]:
-    grid, out = [], []
+    """Lines of a table; a cell stands in the first column that no cell above reaches down to."""
+    grid: list[dict[int, str] | list[str]] = []
+    taken: dict[int, int] = {}  # columns that cells above take up, and for how many rows more
     for row in _rows(node):
         if isinstance(row, Node):
             grid.append(render_lines(row, depth + 1))
-        else:
-            cells = []
-            for cell in row:
-                cells.append(" / ".join(x.strip() for x in render_lines(cell, depth + 1) if x.strip()))
-                cells += [""] * (min(int(s), 100) - 1 if (s := cell.attrs.get("colspan", "1")).isdecimal() and s.isascii() and len(s) < 6 else 0)
-            grid.append(tuple(cells))
+            continue
+        cells, below, column = {}, {}, 0
+        for cell in row:
+            while column in taken:
+                column += 1
+            cells[column] = " / ".join(x.strip() for x in render_lines(cell, depth + 1) if x.strip())
+            wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
+            if high > 1:
+                below.update((c, high) for c in range(column, column + wide))
+            column += wide
+        taken = {c: n - 1 for c, n in [*taken.items(), *below.items()] if n > 1}
+        grid.append(cells)
     widths: dict[int, int] = {}
     for row in grid:
-        if isinstance(row, tuple):
-            for i, c in enumerate(row):
+        if isinstance(row, dict):
+            for i, c in row.items():
                 widths[i] = max(widths.get(i, 0), min(len(c), COLUMN_WIDTH))
+    out = []
     for row in grid:
-        if isinstance(row, tuple):
-            line = " | ".join(c.ljust(widths[i]) for i, c in enumerate(row)).rstrip()
-            out += [line] if line.strip(" |") else []
-        else:
+        if isinstance(row, list):
             out += row
+        elif shown := [i for i, c in row.items() if c]:
+            out.append(" | ".join(row.get(i, "").ljust(widths.get(i, 0)) for i in range(max(shown) + 1)).rstrip())
     return out
 
 
