@@ -144,7 +144,7 @@ def train(slot: np.ndarray, terms: list[np.ndarray], y: np.ndarray, weight: np.n
     for i, t in enumerate(terms):
         x[i, t] = 1
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    weight = np.minimum(weight, 20.0)  # a text that is copied very often doesn't outweigh all others
+    weight = np.sqrt(weight)  # a text that is copied very often doesn't outweigh all others
     epochs = -(-STEPS * BATCH // len(y))  # few rows are passed more often
     for epoch in range(epochs):
         order, rate = rng.permutation(len(y)), RATE * (1 - epoch / epochs)
