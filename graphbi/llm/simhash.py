@@ -202,12 +202,25 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """One row of each component stays: that with the smallest doc_id, of several such rows the first by content; all columns stay."""
-    marked = add_fingerprint(docs, "text", "__llm_fp", size)
-    light = stored(marked.select("doc_id", F.col("__llm_fp").alias("fp")), "llm-simhash")
-    groups = link(light, radius).select(F.col("fp").alias("__llm_fp"), F.col("root").alias("__llm_root"), F.col("component_id").alias("__llm_component"))
-    kept = marked.join(groups, "__llm_fp").where(F.col("doc_id").eqNullSafe(F.col("__llm_component")))
-    # what is left of a component has one id: mostly a single row, else repeated rows
+    """One row of each component stays: that with the smallest doc_id, of several such rows the first by content; all columns stay.
+
+    Decided on (doc_id, fp); texts take part in no shuffle while the ids that
+    go are few enough for Spark to broadcast.  Only rows whose id is null or
+    repeated are fingerprinted a second time, since their id doesn't tell them apart.
+    """
+    light = stored(add_fingerprint(docs.select("doc_id", "text"), "text", "fp", size).select("doc_id", "fp"), "llm-simhash")
+    groups = stored(link(light, radius), "llm-simhash-groups")
+    many = stored(light.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "llm-simhash-repeated")
+    gone = stored(light.join(groups, "fp").where(F.col("doc_id") != F.coalesce("component_id", "doc_id")).select("doc_id").distinct(), "llm-simhash-gone")
+    alone = docs.where("doc_id is not null").join(gone.unionByName(many), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    unnamed = docs.where("doc_id is null")
+    if not many.isEmpty():
+        unnamed = unnamed.unionByName(docs.join(many, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    marked = add_fingerprint(unnamed, "text", "__llm_fp", size)
+    names = groups.select(F.col("fp").alias("__llm_fp"), F.col("root").alias("__llm_root"), F.col("component_id").alias("__llm_component"))
+    kept = marked.join(names, "__llm_fp").where(F.col("doc_id").eqNullSafe(F.col("__llm_component")))
+    # what is left of a component has one id
     order = [F.xxhash64("text"), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id",)]]
     first = F.row_number().over(Window.partitionBy("__llm_root").orderBy(*order))
-    return kept.withColumn("__llm_n", first).where(F.col("__llm_n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = kept.withColumn("__llm_n", first).where(F.col("__llm_n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.unionByName(repeated)
