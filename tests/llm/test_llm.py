@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import importlib.util
+import itertools
 import math
 import os
 import random
@@ -110,6 +111,42 @@ def test_toxicity(spark, docs, none):
     assert toxicity.drop_toxic(docs, labels, threshold=0.0).count() == 0
 
 
+def test_toxicity_scores_like_a_plain_model(spark):
+    """Every pair of a text's terms, one after the other, on the same fitted model."""
+    some, labels = labelled(spark)
+    model = toxicity.fit(some, labels)
+    got = {r.doc_id: r.s for r in toxicity.add_score(some, model, "text", "s").collect()}
+    for r in some.where("doc_id % 50 = 0").collect():
+        words_in = set(re.findall(toxicity.WORD.pattern, r.text.lower()))
+        pieces = words_in | {w[:k] + "*" for w in words_in for k in (4, 5, 6) if len(w) >= k}
+        at = sorted({int(model.slot[zlib.crc32(p.encode()) % len(model.slot)]) for p in pieces} - {-1})
+        z = model.bias + sum(model.linear[i] for i in at)
+        for i, j in itertools.combinations(at, 2):
+            z += sum(float(a) * float(b) for a, b in zip(model.factors[i], model.factors[j], strict=True))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_forest_scores_like_plain_paths():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4))
+    x[:, 3] = 1.0  # never splits
+    forest = quality_rules.fit_forest(x, np.ones(4))
+    assert (forest.feature != 3).all()
+
+    def path(t, row):
+        node, steps = 0, 0
+        while forest.feature[t, node] >= 0:
+            node = 2 * node + (2 if row[forest.feature[t, node]] >= forest.split[t, node] else 1)
+            steps += 1
+        # what ends here stands for a random tree of the rows left: at least the steps taken
+        assert forest.length[t, node] >= steps
+        return forest.length[t, node]
+
+    want = [2 ** (-np.mean([path(t, row) for t in range(len(forest.feature))]) / forest.norm) for row in x[:40]]
+    assert np.allclose(forest.anomaly(x[:40]), want)
+    assert forest.anomaly(np.array([[40.0, -40.0, 40.0, 1.0]]))[0] > forest.anomaly(x).max()
+
+
 def plain_stats(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
