@@ -12,7 +12,8 @@ from graphbi.oracle.operator_sql import OP_SQL
 from graphbi.oracle.refresh_sql import REFRESH_SQL
 from graphbi.oracle.scoring_sql import SCORE_SQL
 from graphbi.oracle.source_sql import SOURCE_SQL
-from graphbi.plans import bi, curation_queries, operator_queries, refresh_queries, scoring_queries, source_queries
+from graphbi.oracle.workload_sql import WORKLOAD_SQL
+from graphbi.plans import bi, curation_queries, operator_queries, refresh_queries, scoring_queries, source_queries, workload_queries
 from graphbi.session import configure
 from graphbi.sources.store import load_graph
 
@@ -37,4 +38,5 @@ QUERIES.update(curation_queries.QUERIES)
 QUERIES.update(scoring_queries.QUERIES)
 QUERIES.update(refresh_queries.QUERIES)
 QUERIES.update(source_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL, **CUR_SQL, **SCORE_SQL, **REFRESH_SQL, **SOURCE_SQL}
+QUERIES.update(workload_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = {**BI_SQL, **OP_SQL, **CUR_SQL, **SCORE_SQL, **REFRESH_SQL, **SOURCE_SQL, **WORKLOAD_SQL}

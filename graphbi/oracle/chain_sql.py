@@ -40,9 +40,10 @@ def _arrivals() -> list[tuple[str, str]]:
     return out
 
 
-def _step(k: int, batch: str | None, first: str) -> list[tuple[str, str, bool]]:
-    """(name, sql, is recursive) of one step; ``batch`` None is the initial snapshot."""
-    arrived = f"m < '{first}'" if batch is None else f"m = '{batch}'"
+def _step(k: int, batch: str | None, first: str, last: str | None) -> list[tuple[str, str, bool]]:
+    """(name, sql, is recursive) of one step; ``batch`` None is the initial snapshot, ``last`` the batch before."""
+    since = f"m > '{last}'" if last else f"m >= '{first}'"
+    arrived = f"m < '{first}'" if batch is None else f"{since} and m <= '{batch}'"
     out = []
     for t in [*_TABLES, *_EDGES]:
         new = f"select {_columns(t)} from b_{t} where {arrived}"
@@ -112,7 +113,7 @@ def chain_sql(batches: list[str], names: list[str] | None = None, first: str = M
     base = [(n, s, n in ("thread",)) for n, s in FIXTURE_CTES[: [n for n, _ in FIXTURE_CTES].index("timings")]]
     steps = [(n, s, False) for n, s in _arrivals()]
     for k, batch in enumerate([None, *batches]):
-        steps += _step(k, batch, first)
+        steps += _step(k, batch, first, batches[k - 2] if k > 1 else None)
     last = len(batches)
     derived, parts = _derived(last), []
     for n in names or ROW_COLUMNS:

@@ -81,8 +81,11 @@ def _write(df: DataFrame, path: str, sort_by: str | None = None) -> None:
 def build_graph(spark: SparkSession, sf_dir: str, root: str | None = None) -> Graph:
     """Project, derive and store every table of the graph under ``root``."""
     configure(spark)
-    root = root or scratch_path(spark, "snapshot")
-    base = fixture.project(spark, sf_dir)
+    return store_graph(spark, fixture.project(spark, sf_dir), root or scratch_path(spark, "snapshot"))
+
+
+def store_graph(spark: SparkSession, base: Mapping[str, DataFrame], root: str) -> Graph:
+    """Store the base tables, then what is derived from them and the precomputations, under ``root``."""
     sort_keys = {"post": "creationDate", "comment": "creationDate", "person_knows_person": "Person1Id"}
     for name, df in base.items():
         _write(df, f"{root}/{name}", sort_keys.get(name))
