@@ -78,3 +78,11 @@ OP_SQL["connected_components"] = with_fixture(
            "component from l join ue on ue.a = l.node group by ue.b) c join recurring.l r on r.node = c.node "
            "where c.component < r.component)) select * from l)"),
     select="select node, component from cc")
+
+OP_SQL["exact_percentile"] = (
+    "with r as (select l_returnflag, l_extendedprice, l_shipdate, count(*) over (partition by l_returnflag) n, "
+    "row_number() over (partition by l_returnflag order by l_extendedprice) i, "
+    "row_number() over (partition by l_returnflag order by l_shipdate) j from lineitem), "
+    "p as (select unnest([0.05::double, 0.5::double, 0.95::double]) fraction) "
+    "select l_returnflag, fraction, max(case when i = greatest(ceil(fraction * n), 1) then l_extendedprice end) price, "
+    "max(case when j = greatest(ceil(fraction * n), 1) then l_shipdate end) shipped from r cross join p group by 1, 2")

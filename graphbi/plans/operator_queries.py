@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphbi.operators import graph as G
 from graphbi.operators import sssp
 from graphbi.operators.closure import descendants, thread_roots
+from graphbi.operators.percentile import exact_percentiles
 from graphbi.operators.relational import ts
 from graphbi.plans import views
 from graphbi.session import configure
@@ -207,7 +208,17 @@ def connected_components_q(spark, sf_dir):
     return G.connected_components(spark, g["path_q20"], "src", "dst")
 
 
+def exact_percentile_q(spark, sf_dir):
+    """Prices and commit dates of all line items, by return flag."""
+    configure(spark)
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    prices = exact_percentiles(items, "l_extendedprice", [0.05, 0.5, 0.95], ["l_returnflag"])
+    days = exact_percentiles(items, "l_shipdate", [0.05, 0.5, 0.95], ["l_returnflag"])
+    return prices.withColumnRenamed("value", "price").join(days.withColumnRenamed("value", "shipped"), ["l_returnflag", "fraction"])
+
+
 QUERIES = {
+    "exact_percentile": exact_percentile_q,
     "split_places": split_places_q,
     "split_organisations": split_organisations_q,
     "message_from_posts": message_from_posts_q,
