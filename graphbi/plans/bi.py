@@ -429,15 +429,17 @@ def bi_17_information_propagation(g, tag="Brand#3", delta=4) -> DataFrame:
         F.col("ParentMessageId").alias("m2"), F.col("CreatorPersonId").alias("p2"))
     chain = m2.join(comment, "m2").where(F.col("p2") != F.col("p3"))
     fm = g["forum_hasmember"]
-    # forum1 candidates: forums having both the replier and the m2 author as members (equi joins)
+    # forum1 candidates: forums having both the replier and the m2 author as members (equi joins); once a message,
+    # however many repliers it has there
     with_forum = (chain.join(fm.select(F.col("PersonId").alias("p2"), F.col("ForumId").alias("f1")), "p2")
-                  .join(fm.select(F.col("PersonId").alias("p3"), F.col("ForumId").alias("f1")), ["p3", "f1"], "left_semi"))
-    m1 = mine.select(F.col("ContainerForumId").alias("f1"), F.col("CreatorPersonId").alias("p1"),
-                     F.col("creationDate").alias("cd1"))
-    # equi join on forum1, the time condition is a residual filter of that join
+                  .join(fm.select(F.col("PersonId").alias("p3"), F.col("ForumId").alias("f1")), ["p3", "f1"], "left_semi")
+                  .where(F.col("f1") != F.col("f2")).select("m2", "f1", "f2", "cd2").distinct())
+    # some message of person1 in forum1 is early enough if the first one is: one row a person and forum, so that a hot
+    # forum gives no pairs of times
+    m1 = (mine.groupBy(F.col("ContainerForumId").alias("f1"), F.col("CreatorPersonId").alias("p1"))
+          .agg(F.min("creationDate").alias("cd1")))
     hit = (with_forum.join(m1, "f1")
-           .where((F.col("cd1") + F.make_dt_interval(hours=F.lit(int(delta)))) < F.col("cd2"))
-           .where(F.col("f1") != F.col("f2")))
+           .where((F.col("cd1") + F.make_dt_interval(hours=F.lit(int(delta)))) < F.col("cd2")))
     hit = hit.join(fm.select(F.col("ForumId").alias("f2"), F.col("PersonId").alias("p1")), ["f2", "p1"], "left_anti")
     return (hit.groupBy("p1").agg(F.countDistinct("m2").alias("messageCount"))
             .select(F.col("p1").alias("person1_id"), "messageCount")
