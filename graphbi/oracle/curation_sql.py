@@ -319,3 +319,29 @@ CUR_SQL["naive_pg_16a"] = CUR_SQL["naive_pg_16b"] = _q(
     "and x.name <> y.name order by md5(x.name || y.name), dateA, dateB limit 400",
     ("ranked", "select creationDay, name, row_number() over (order by md5(creationDay::varchar || name)) up, row_number() "
                "over (order by md5(creationDay::varchar || name) desc) down from creationDayAndTagNumMessages"))
+
+# products of a factor with places or sampled persons: each kept row has fewer than the limit before it in the hash order
+_HASHED_PERSONS = ("hashed_persons", "select id, row_number() over (order by md5(id::varchar)) place from personNumFriends "
+                                     "qualify place <= 100")
+_FIRST_400 = "qualify row_number() over (order by h) <= 400"
+CUR_SQL["naive_pg_03"] = _q("select t.name tagClass, c.name country from tagClassNumMessages t join countryNumPersons c on true")
+CUR_SQL["naive_pg_10a"] = CUR_SQL["naive_pg_10b"] = _q(
+    "select personId, country, tagClass, 3::integer minPathDistance, 4::integer maxPathDistance from triples " + _FIRST_400,
+    _HASHED_PERSONS,
+    ("triples", "select p.id personId, c.name country, t.name tagClass, md5(p.id::varchar || c.name || t.name) h "
+                "from hashed_persons p join countryNumPersons c on true join tagClassNumTags t on true"))
+CUR_SQL["naive_pg_11"] = _q(
+    "select c.name country, d.creationDay + o.lo startDate, d.creationDay + o.hi endDate from creationDayNumMessages d "
+    "join countryNumPersons c on true join " + _offsets([(n * 37 % 30 - 15, n * 37 % 30 + 77 + n * 47 % 18) for n in (1, 2, 3)])
+    + " on true")
+CUR_SQL["naive_pg_13"] = _q("select country, endDate from pairs " + _FIRST_400,
+                            ("pairs", "select c.name country, d.creationDay endDate, md5(c.name || d.creationDay::varchar) h "
+                                      "from creationDayNumMessages d join countryNumPersons c on true"))
+CUR_SQL["naive_pg_20a"] = CUR_SQL["naive_pg_20b"] = _q(
+    "select company, person2Id from pairs " + _FIRST_400, _HASHED_PERSONS,
+    ("pairs", "select c.name company, p.id person2Id, md5((211::bigint * p.id + c.id * 3532569367::bigint)::varchar) h "
+              "from hashed_persons p join companyNumEmployees c on true"))
+CUR_SQL["f_person_disjoint_employer_pairs"] = _q(
+    "select p.id person2Id, c.name companyName, c.id companyId, cast(p.creationDate as date) person2CreationDate, "
+    + _DEL.format("p.id") + " person2DeletionDate from person p semi join hop_seeds using (id) join company c on not exists "
+    "(select 1 from person_workat w where w.PersonId = p.id and w.CompanyId = c.id)")

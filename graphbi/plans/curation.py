@@ -31,6 +31,7 @@ P = {
     "pg_16b_b": (0.37, 100), "pg_16": (None, 400), "pg_17": (0.27, 400), "pg_18": (0.99, 400), "pg_19": (None, 400),
     "pg_20a_company": (0.9, 50), "pg_20a_person": (0.55, 50), "pg_20a": (None, 400), "pg_20b_comp": (0.47, 200),
     "pg_20b": (None, 400), "pg_10": (None, 400), "naive": (None, 400),
+    "naive_pg_10_person": (None, 100), "naive_pg_20_person": (None, 100),
     "naive_pg_12_language": (None, 10), "naive_pg_15_person": (None, 20), "naive_pg_16_side": (None, 100),
 }
 # Discrete percentiles of the creation days used as date anchors.
@@ -104,6 +105,10 @@ class Factors:
     def people4Hops(self):
         return FT.people_4_hops(self.g, hop_seeds(self))
 
+    @cached_property
+    def personDisjointEmployerPairs(self):
+        return FT.person_disjoint_employer_pairs(self.g, hop_seeds(self))
+
     @cached_property
     def personDays_window(self):
         return FT.alive_window(FT.person_days(self.g))
@@ -645,6 +650,59 @@ def naive_pg_16(f):
     return _tag_date_pairs(f, a, b)
 
 
+def _with_each(df: DataFrame, **lists: DataFrame) -> DataFrame:
+    """Every row of ``df`` with every row of each list, a one-column DataFrame of proven size.
+
+    A list is a place or a sample (countries, the first persons by hash), gathered into an array that is exploded beside the
+    rows: pairs stream through the task that reads the row, and a top-k behind them keeps only its k rows a task."""
+    for name, values in lists.items():
+        gathered = values.select(F.collect_list(values.columns[0])).scalar()
+        df = df.select("*", F.explode(gathered).alias(name))
+    return df
+
+
+def _countries(f) -> DataFrame:
+    return f.countryNumPersons.select("name")
+
+
+def _hashed_persons(f, key: str) -> DataFrame:
+    return f.personNumFriends.orderBy(_md5("id"), "id").limit(P[key][1]).select("id")
+
+
+def naive_pg_03(f):
+    pairs = _with_each(f.tagClassNumMessages.select(F.col("name").alias("tagClass")), country=_countries(f))
+    return _naive(pairs, _md5("tagClass", "country"), None, ["tagClass", "country"], ["tagClass", "country"])
+
+
+def naive_pg_10(f):
+    triples = _with_each(f.tagClassNumTags.select(F.col("name").alias("tagClass")), country=_countries(f),
+                         personId=_hashed_persons(f, "naive_pg_10_person"))
+    names = ["personId", "country", "tagClass"]
+    return _naive(triples, _md5(*names), P["naive"][1],
+                  [*names, F.lit(3).alias("minPathDistance"), F.lit(4).alias("maxPathDistance")], names)
+
+
+def naive_pg_11(f):
+    salted = f.creationDayNumMessages.select("creationDay", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("salt"))
+    start = F.col("salt") * 37 % 30 - 15
+    return _naive(_with_each(salted, country=_countries(f)), _md5("creationDay", "country", "salt"), None,
+                  ["country", _add_days(F.col("creationDay"), start).alias("startDate"),
+                   _add_days(F.col("creationDay"), start + 92 + F.col("salt") * 47 % 18).alias("endDate")],
+                  ["creationDay", "country", "salt"])
+
+
+def naive_pg_13(f):
+    pairs = _with_each(f.creationDayNumMessages.select(F.col("creationDay").alias("endDate")), country=_countries(f))
+    return _naive(pairs, _md5("country", "endDate"), P["naive"][1], ["country", "endDate"], ["country", "endDate"])
+
+
+def naive_pg_20(f):
+    pairs = _with_each(f.companyNumEmployees.select("id", F.col("name").alias("company")),
+                       person2Id=_hashed_persons(f, "naive_pg_20_person"))
+    key = F.md5((F.lit(3532569367) * F.col("id") + F.lit(211) * F.col("person2Id")).cast("string"))
+    return _naive(pairs, key, P["naive"][1], ["company", "person2Id"], ["id", "person2Id"])
+
+
 JOBS.update({
     "naive_pg_01": naive_pg_01, "naive_pg_02m": naive_pg_02m, "naive_pg_02a": naive_pg_02a,
     "naive_pg_04": naive_pg_04, "naive_pg_05": naive_pg_05, "naive_pg_06": naive_pg_06, "naive_pg_07": naive_pg_07,
@@ -653,5 +711,7 @@ JOBS.update({
     # the b-variants take the same samples
     "naive_pg_02b": naive_pg_02a, "naive_pg_08b": naive_pg_08a, "naive_pg_14b": naive_pg_14a, "naive_pg_19b": naive_pg_19a,
     "naive_pg_09": naive_pg_09, "naive_pg_12": naive_pg_12, "naive_pg_15a": naive_pg_15, "naive_pg_15b": naive_pg_15,
-    "naive_pg_16a": naive_pg_16, "naive_pg_16b": naive_pg_16,
+    "naive_pg_16a": naive_pg_16, "naive_pg_16b": naive_pg_16, "naive_pg_03": naive_pg_03, "naive_pg_10a": naive_pg_10,
+    "naive_pg_10b": naive_pg_10, "naive_pg_11": naive_pg_11, "naive_pg_13": naive_pg_13, "naive_pg_20a": naive_pg_20,
+    "naive_pg_20b": naive_pg_20,
 })

@@ -55,6 +55,7 @@ QUERIES.update({
     "f_length_num_messages": _factor(FT.length_num_messages),
     "f_people_2_hops": _job(lambda f: f.people2Hops),
     "f_people_4_hops": _job(lambda f: f.people4Hops),
+    "f_person_disjoint_employer_pairs": _job(lambda f: f.personDisjointEmployerPairs),
     "f_person_num_friends": _factor(FT.person_num_friends),
     "f_tagclass_num_messages": _factor(FT.tagclass_num_messages),
     "f_tagclass_num_tags": _factor(FT.tagclass_num_tags),

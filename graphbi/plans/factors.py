@@ -171,6 +171,20 @@ def people_4_hops(g, seeds: DataFrame) -> DataFrame:
     return _hop_pairs(g, 4, seeds)
 
 
+def person_disjoint_employer_pairs(g, seeds: DataFrame) -> DataFrame:
+    """(person2Id, companyName, companyId, dates of the person): companies at which a person of the caller's seeds (column
+    ``id``, a list of proven size) never worked.
+
+    The complement of a sparse relation: each company meets the gathered list, then the employments are taken away."""
+    life = seeds.select("id").distinct().join(g["person"].select("id", F.to_date("creationDate").alias("day")), "id")
+    listed = life.select(F.collect_list(F.struct("id", "day"))).scalar()
+    pairs = (g["company"].select(F.col("id").alias("companyId"), F.col("name").alias("companyName"), F.explode(listed).alias("p"))
+             .select(F.col("p.id").alias("person2Id"), "companyName", "companyId", F.col("p.day").alias("person2CreationDate")))
+    jobs = g["person_workat"].select(F.col("PersonId").alias("person2Id"), F.col("CompanyId").alias("companyId"))
+    return (pairs.join(jobs, ["person2Id", "companyId"], "left_anti")
+            .withColumn("person2DeletionDate", deletion_day(F.col("person2Id"))))
+
+
 # --- temporal tables -------------------------------------------------------
 
 def person_days(g) -> DataFrame:
