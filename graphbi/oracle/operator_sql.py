@@ -41,6 +41,9 @@ OP_SQL["common_neighbors"] = with_fixture(
             "person_hasinterest where TagId = (select id from tag where name = 'Brand#3'))"),
     select="select x.a, y.a b, count(*) n from adj x join adj y on y.f = x.f where x.a <> y.a and not exists "
            "(select 1 from knows k where k.Person1Id = y.a and k.Person2Id = x.a) group by x.a, y.a")
+OP_SQL["common_neighbors_top"] = with_fixture(
+    select="select a, b, count(*) n from (select x.Person2Id a, y.Person2Id b from knows x join knows y using (Person1Id)) w "
+           "anti join knows k on k.Person1Id = a and k.Person2Id = b where a <> b group by a, b order by n desc, a, b limit 100")
 OP_SQL["thread_roots"] = (
     "with recursive t(id, parent, role, root_id, root_role, depth) as (select conv_id::bigint*4294967296+turn, cast(null as bigint), "
     "role, conv_id::bigint*4294967296+turn, role, 0 from conversations where turn = 0 union all select c.conv_id::bigint*4294967296+c.turn, "

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphbi.operators import graph as G
-from graphbi.operators import sssp
+from graphbi.operators import hubs, sssp
 from graphbi.operators.relational import count_all, first_per_key, lit_ts, static_dim, ts
 from graphbi.plans import views
 
@@ -450,10 +450,10 @@ def bi_17_information_propagation(g, tag="Brand#3", delta=4) -> DataFrame:
 
 def bi_18_friend_recommendation(g, tag="Brand#3") -> DataFrame:
     interested = g["person_hasinterest"].join(_tag_ids(g, tag), "TagId", "left_semi").select("PersonId")
-    pairs = G.common_neighbors(g["knows"], interested, True, src="Person1Id", dst="Person2Id")
+    pairs = hubs.top_common_neighbors(g["knows"], interested, 20, src="Person1Id", dst="Person2Id")
     return (pairs.select(F.col("a").alias("person1_id"), F.col("b").alias("person2_id"),
                          F.col("n").alias("mutualFriendCount"))
-            .orderBy(F.desc("mutualFriendCount"), "person1_id", "person2_id").limit(20))
+            .orderBy(F.desc("mutualFriendCount"), "person1_id", "person2_id"))
 
 
 # --- Q19 ------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphbi.operators import graph as G
-from graphbi.operators import sssp
+from graphbi.operators import hubs, sssp
 from graphbi.operators.closure import descendants, thread_roots
 from graphbi.operators.percentile import exact_percentiles
 from graphbi.operators.relational import ts
@@ -147,6 +147,12 @@ def common_neighbors_q(spark, sf_dir):
     return G.common_neighbors(g["knows"], nodes, True, "Person1Id", "Person2Id")
 
 
+def common_neighbors_top_q(spark, sf_dir):
+    """The 100 pairs of persons with most common friends; here every friend of more than 16 persons counts as a hub."""
+    g = _g(spark, sf_dir)
+    return hubs.top_common_neighbors(g["knows"], g["person"].select("id"), 100, "Person1Id", "Person2Id", hub_degree=16)
+
+
 def thread_roots_q(spark, sf_dir):
     """Conversation turns inherit the first turn's id and role (turn n replies to n-1)."""
     configure(spark)
@@ -238,6 +244,7 @@ QUERIES = {
     "hop_ring": hop_ring_q,
     "count_triangles": count_triangles_q,
     "common_neighbors": common_neighbors_q,
+    "common_neighbors_top": common_neighbors_top_q,
     "thread_roots": thread_roots_q,
     "descendants": descendants_q,
     "reachable": reachable_q,
