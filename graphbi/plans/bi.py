@@ -90,7 +90,7 @@ def bi_01_posting_summary(g, datetime="2000-01-01") -> DataFrame:
     One scan: groups are formed with a content-present flag, so the share's
     denominator (all messages, also those without content) is the sum over
     the few grouped rows."""
-    m = g["message"].where(F.col("creationDate") < lit_ts(datetime))
+    m = views.messages_between(g, hi=ts(datetime)).where(F.col("creationDate") < lit_ts(datetime))
     length = F.col("length")
     b1, b2, b3 = LENGTH_BOUNDS
     cat = F.when(length < b1, 0).when(length < b2, 1).when(length < b3, 2).otherwise(3)
@@ -118,7 +118,7 @@ def bi_02_tag_evolution(g, date="1997-01-01", tagClass="LARGE") -> DataFrame:
     d0 = ts(date)
     d1, d2 = d0 + _dt.timedelta(days=100), d0 + _dt.timedelta(days=200)
     tags = _class_tags(g, tagClass)
-    msgs = g["message"].where((F.col("creationDate") >= F.lit(d0)) & (F.col("creationDate") < F.lit(d2))) \
+    msgs = views.messages_between(g, d0, d2).where(F.col("creationDate") < F.lit(d2)) \
         .select("MessageId", "creationDate")
     detail = (g["message_hastag"].join(tags.select("TagId"), "TagId").join(msgs, "MessageId")
               .groupBy("TagId")
@@ -227,7 +227,8 @@ def bi_08_central_person(g, tag="Brand#3", startDate="1997-01-01", endDate="1999
     persons = g["person"].select(F.col("id").alias("PersonId"))
     interested = (g["person_hasinterest"].join(tid, "TagId", "left_semi").select("PersonId")
                   .join(persons, "PersonId", "left_semi").withColumn("_i", F.lit(Q8_INTEREST)))
-    msgs = g["message"].where((F.col("creationDate") > lit_ts(startDate)) & (F.col("creationDate") < lit_ts(endDate)))
+    msgs = (views.messages_between(g, ts(startDate), ts(endDate))
+            .where((F.col("creationDate") > lit_ts(startDate)) & (F.col("creationDate") < lit_ts(endDate))))
     pms = (msgs.select("MessageId", F.col("CreatorPersonId").alias("PersonId"))
            .join(g["message_hastag"].join(tid, "TagId").select("MessageId"), "MessageId")
            .join(persons, "PersonId", "left_semi")
@@ -249,7 +250,7 @@ def bi_08_central_person(g, tag="Brand#3", startDate="1997-01-01", endDate="1999
 # --- Q9 -------------------------------------------------------------------
 
 def bi_09_thread_initiators(g, startDate="1996-01-01", endDate="1998-01-01") -> DataFrame:
-    in_range = g["message"].where(F.col("creationDate").between(lit_ts(startDate), lit_ts(endDate)))
+    in_range = views.messages_between(g, ts(startDate), ts(endDate))
     mpp = in_range.groupBy("RootPostId").agg(count_all().alias("_mc"))
     posts = in_range.where(F.col("ParentMessageId").isNull()).select(
         F.col("MessageId").alias("RootPostId"), F.col("CreatorPersonId").alias("id"))
@@ -294,9 +295,9 @@ def bi_11_triangles(g, country="NATION_2", startDate="1995-01-01", endDate="2001
 # --- Q12 ------------------------------------------------------------------
 
 def bi_12_message_distribution(g, startDate="1998-01-01", lengthThreshold=100, languages=("fr", "de")) -> DataFrame:
-    m = g["message"].where(F.col("content").isNotNull() & (F.col("length") < F.lit(int(lengthThreshold)))
-                           & (F.col("creationDate") > lit_ts(startDate))
-                           & F.col("RootPostLanguage").isin(list(languages)))
+    m = views.messages_between(g, lo=ts(startDate)).where(
+        F.col("content").isNotNull() & (F.col("length") < F.lit(int(lengthThreshold)))
+        & (F.col("creationDate") > lit_ts(startDate)) & F.col("RootPostLanguage").isin(list(languages)))
     per_creator = m.groupBy(F.col("CreatorPersonId").alias("id")).agg(count_all().alias("_c"))
     per_person = g["person"].select("id").join(per_creator, "id", "left").select(
         F.coalesce("_c", F.lit(0)).alias("messageCount"))
@@ -310,7 +311,7 @@ def bi_13_zombies(g, country="NATION_2", endDate="2001-01-01") -> DataFrame:
     end = ts(endDate)
     cand = _persons_in(g, country).where(F.col("creationDate") < F.lit(end)).select(
         F.col("id").alias("zid"), F.col("creationDate").alias("pcd"))
-    msgs = g["message"].where(F.col("creationDate") <= F.lit(end)).select(
+    msgs = views.messages_between(g, hi=end).select(
         F.col("CreatorPersonId").alias("zid"), "MessageId", "creationDate")
     months = 12 * end.year + end.month - (12 * F.year("pcd") + F.month("pcd")) + 1
     # inner join + per-person count (splittable when one creator is hot), then
@@ -394,8 +395,8 @@ def bi_15_trusted_path(g, person1Id=0, person2Id=700, startDate="1996-01-01", en
 def _fake_news_side(g, tag: str, date, limit: int) -> DataFrame:
     start = ts(date)
     # same day as a half-open range: pushed to the parquet reader (row-group skipping)
-    sub = (g["message"].where((F.col("creationDate") >= F.lit(start))
-                              & (F.col("creationDate") < F.lit(start + _dt.timedelta(days=1))))
+    after = start + _dt.timedelta(days=1)
+    sub = (views.messages_between(g, start, after).where(F.col("creationDate") < F.lit(after))
            .select("MessageId", F.col("CreatorPersonId").alias("PersonId"))
            .join(_tagged_messages(g, tag), "MessageId")
            .join(g["person"].select(F.col("id").alias("PersonId")), "PersonId", "left_semi")

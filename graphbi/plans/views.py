@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphbi.operators.closure import thread_roots
@@ -50,6 +50,27 @@ def message_union(spark: SparkSession, post: DataFrame, comment: DataFrame) -> D
     return posts.unionByName(resolve_comments(spark, posts, comment))
 
 
+MONTH = "creationMonth"
+
+
+def month_of(time) -> Column:
+    """A month as one number: 199607."""
+    return F.year(time) * 100 + F.month(time)
+
+
+def messages_between(g, lo=None, hi=None) -> DataFrame:
+    """Messages created from ``lo`` to ``hi`` (timestamps, both included, None: open).
+
+    Where messages are stored by month, files of other months are not read."""
+    m = getattr(g, "stored", g.__getitem__)("message")
+    for bound, holds in ((lo, Column.__ge__), (hi, Column.__le__)):
+        if bound is not None:
+            m = m.where(holds(F.col("creationDate"), F.lit(bound)))
+            if MONTH in m.columns:
+                m = m.where(holds(F.col(MONTH), F.lit(bound.year * 100 + bound.month)))
+    return m.drop(MONTH)
+
+
 def tags_union(post_hastag: DataFrame, comment_hastag: DataFrame) -> DataFrame:
     return post_hastag.select("MessageId", "TagId").unionByName(comment_hastag.select("MessageId", "TagId"))
 

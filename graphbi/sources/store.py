@@ -19,15 +19,21 @@ from graphbi.sources import fixture
 
 
 class Graph(Mapping):
-    """Name -> DataFrame over the stored snapshot tables."""
+    """Name -> DataFrame over the stored snapshot tables, whose files don't change: each is listed once."""
 
     def __init__(self, spark: SparkSession, root: str, names: list[str]):
-        self.spark, self.root, self._names = spark, root, list(names)
+        self.spark, self.root, self._names, self._tables = spark, root, list(names), {}
 
-    def __getitem__(self, name: str) -> DataFrame:
+    def stored(self, name: str) -> DataFrame:
+        """The table with the column by which it is laid out (messages: ``views.MONTH``)."""
         if name not in self._names:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}")
+        return self._tables[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.stored(name).drop(views.MONTH)
 
     def __iter__(self):
         return iter(self._names)
@@ -78,6 +84,14 @@ def _write(df: DataFrame, path: str, sort_by: str | None = None) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_messages(message: DataFrame, path: str) -> None:
+    """Messages in a folder for each month, each file in order of time.
+
+    The rebalance hint lets Spark cut a month with many messages into tasks of the advisory size and join small ones."""
+    (message.withColumn(views.MONTH, views.month_of(F.col("creationDate"))).hint("rebalance", views.MONTH)
+     .sortWithinPartitions(views.MONTH, "creationDate").write.mode("overwrite").partitionBy(views.MONTH).parquet(path))
+
+
 def build_graph(spark: SparkSession, sf_dir: str, root: str | None = None) -> Graph:
     """Project, derive and store every table of the graph under ``root``."""
     configure(spark)
@@ -93,7 +107,7 @@ def store_graph(spark: SparkSession, base: Mapping[str, DataFrame], root: str) -
 
     derived: dict[str, DataFrame] = {}
     message = views.message_union(spark, g["post"], g["comment"])
-    _write(message, f"{root}/message", "creationDate")
+    write_messages(message, f"{root}/message")
     names = list(base) + ["message"]
     g = Graph(spark, root, names)
 
