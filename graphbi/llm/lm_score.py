@@ -232,8 +232,7 @@ def _observed(rows: DataFrame, shared, buckets: int) -> np.ndarray:
         for batch in batches:
             for t, lengths in blocks(batch.column("text")):
                 _, c = words.look_up(t)
-                for b in feature_buckets(t, lengths, buckets):
-                    found += np.bincount(b * CLASSES + c, minlength=buckets * CLASSES)
+                found += np.bincount((feature_buckets(t, lengths, buckets) * CLASSES + c).ravel(), minlength=buckets * CLASSES)
         return found.reshape(buckets, CLASSES)
 
     return _summed(rows, "bigint", gather)
@@ -254,9 +253,9 @@ def _gradient(rows: DataFrame, shared, weights: np.ndarray, bias: np.ndarray) ->
                     b = f[:, at:at + _ROWS]
                     rest = -np.exp(class_log_probs(w, b0, b))
                     rest[np.arange(len(rest)), c[at:at + _ROWS]] += 1
-                    for k in b:
+                    for k in b.astype(np.uint16):  # buckets fit; numpy sorts them by radix, in the same order
                         order = np.argsort(k, kind="stable")
-                        cut = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) > 0]))
+                        cut = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) != 0]))
                         found[k[order[cut]]] += np.add.reduceat(rest[order], cut, axis=0)
         return found
 
