@@ -49,6 +49,20 @@ def remainder(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+#: Bytes of an Arrow batch of whole texts.
+_BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python in batches of about ``_BATCH_BYTES`` (a longer row is one of its own).
+
+    10,000 whole texts at once take a task, its Python worker and the way back several times their size; a smaller limit of the session stays."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= _BATCH_BYTES:
+        spark.conf.set(name, str(_BATCH_BYTES))
+    return df
+
+
 def fields(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphbi.llm.common import LOWER, arrow_map, partition_map, stored, table
+from graphbi.llm.common import LOWER, arrow_map, partition_map, small_batches, stored, table
 from graphbi.llm.components import components
 
 #: Fixed by the contract: words in a shingle, seed of the hash, largest bit distance.
@@ -52,7 +52,7 @@ def add_fingerprint(rows: DataFrame, text_col: str, out: str, size: int = SHINGL
         return lambda batch: {n: batch.column(n) for n in batch.schema.names} | {
             out: np.array([fingerprint(t.as_py(), size) for t in batch.column(text_col)], dtype=np.uint64).view(np.int64)}
 
-    return arrow_map(rows, f"{kinds}, `{out}` bigint", start)
+    return arrow_map(small_batches(rows), f"{kinds}, `{out}` bigint", start)
 
 
 def _cells(fps: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphbi.llm import bloom
-from graphbi.llm.common import arrow_map, partition_map, stored, table, texts
+from graphbi.llm.common import arrow_map, partition_map, small_batches, stored, table, texts
 
 #: A passage of at least so many words that occurs again is repeated.
 MIN_WORDS = 50
@@ -352,7 +352,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, max_group: int =
     """
     if min_words < K:
         raise ValueError(f"min_words must be at least {K}")
-    rows, sc = texts(docs), docs.sparkSession.sparkContext
+    rows, sc = small_batches(texts(docs)), docs.sparkSession.sparkContext
     shared = stored(_counts(rows, min_words), "llm-minimisers")
     hot = shared.where(F.col("n") > max_group)
     n_shared, n_hot = shared.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > max_group, 1))).head()
@@ -404,7 +404,7 @@ def _with_key(rows: DataFrame, text_col: str) -> DataFrame:
     def start():
         return lambda batch: {n: batch.column(n) for n in batch.schema.names} | {"__llm_key": [_key(t.as_py() or "") for t in batch.column(text_col)]}
 
-    return arrow_map(rows, f"{kinds}, `__llm_key` binary", start)
+    return arrow_map(small_batches(rows), f"{kinds}, `__llm_key` binary", start)
 
 
 def _copies(keyed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphbi.llm.common import arrow_map, partition_map, remainder, sampled_labels, table, texts
+from graphbi.llm.common import arrow_map, partition_map, remainder, sampled_labels, small_batches, table, texts
 
 #: Labelled rows that the model is fitted on, at most (a sample by a hash of the id).
 MAX_LABELLED = 20_000
@@ -174,7 +174,7 @@ def add_score(rows: DataFrame, model: Model, text_col: str, out: str) -> DataFra
         terms = Terms(model.slot)
         return lambda batch: {n: batch.column(n) for n in batch.schema.names} | {out: [model.score(terms(t.as_py() or "")) for t in batch.column(text_col)]}
 
-    return arrow_map(rows, f"{kinds}, `{out}` double", start)
+    return arrow_map(small_batches(rows), f"{kinds}, `{out}` double", start)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
