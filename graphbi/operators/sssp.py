@@ -17,6 +17,11 @@ balls around the endpoint sets.
 
 Only two scalars per round leave the cluster (best meeting, smallest live
 label); each round's state is written to the shared folder.
+
+A graph with long ways (roads, rings, chains) takes a round for each hop.
+Phase 1 therefore goes on, after some rounds, on a smaller graph with the same
+distances: :func:`contracted` replaces nodes with at most two neighbours by
+edges between these, a third of a chain's nodes at once.
 """
 
 from __future__ import annotations
@@ -28,6 +33,10 @@ from pyspark.sql import functions as F
 from graphbi.operators.rounds import RoundStore
 
 REL_TOL = 1e-9
+#: Rounds of a search after which the graph is contracted.
+_LONG_SEARCH = 12
+#: Contraction goes on while a round leaves at most this part of the edges.
+_WORTH = 0.9
 
 
 def _tol(x: float) -> float:
@@ -102,14 +111,56 @@ def shortest_distance(spark: SparkSession, edges: DataFrame, sources: DataFrame,
         e.unpersist()
 
 
+def _eliminated(e: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Edges (node, _to, _w) without the ``chosen`` nodes, no two of which are neighbours; ways through them become edges."""
+    gone = chosen.select(F.col("node").alias("_to"))
+    rest = e.join(chosen, "node", "left_anti").join(gone, "_to", "left_anti").select("node", "_to", "_w")
+    into = e.join(gone, "_to").select(F.col("_to").alias("_by"), "node", F.col("_w").alias("_v"))
+    out = e.join(chosen, "node").select(F.col("node").alias("_by"), "_to", "_w")
+    through = into.join(out, "_by").where(F.col("node") != F.col("_to")).select("node", "_to", (F.col("_v") + F.col("_w")).alias("_w"))
+    return rest.unionByName(through).groupBy("node", "_to").agg(F.min("_w").alias("_w"))
+
+
+def _eliminable(e: DataFrame, keep: DataFrame, n: int) -> DataFrame:
+    """Nodes with at most two neighbours, of neighbours only the one with the smaller hash; not those in ``keep``."""
+    near = e.select("node", "_to").unionByName(e.select(F.col("_to").alias("node"), F.col("node").alias("_to"))).distinct()
+    few = (near.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= 2).join(keep, "node", "left_anti")
+           .select("node", F.struct(F.xxhash64("node", F.lit(n)).alias("h"), F.col("node").alias("id")).alias("_h")))
+    other = few.select(F.col("node").alias("_to"), F.col("_h").alias("_g"))
+    later = near.join(few, "node").join(other, "_to").where(F.col("_g") < F.col("_h")).select("node").distinct()
+    return few.select("node").join(later, "node", "left_anti")
+
+
+def contracted(spark: SparkSession, edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """Fewer edges (node, _to, _w) with the same distances between the nodes in ``keep`` (node), stored.
+
+    No round has more edges than the one before it; sums of weights are associated otherwise than along the way."""
+    store = RoundStore(spark, "contracted")
+    keep = store.put(keep.select("node").distinct())
+    whole = edges.where((F.col("node") != F.col("_to")) & F.col("_w").isNotNull())
+    e, n = store.put(whole.groupBy("node", "_to").agg(F.min("_w").alias("_w")), "e0"), 0
+    count = e.count()
+    while count:
+        n += 1
+        chosen = store.put(_eliminable(e, keep, n), f"c{n}")
+        e, before = store.put(_eliminated(e, chosen), f"e{n}"), count
+        count = e.count()
+        store.drop(f"c{n}")
+        store.drop(f"e{n - 1}")
+        if count > _WORTH * before:
+            break
+    return e
+
+
 def _distance(spark: SparkSession, e: DataFrame, sources: DataFrame, targets: DataFrame) -> float | None:
     """Phase 1 on prepared edges.
 
     The state has one row per reached node carrying both sides' labels, so a
     meeting is a per-row sum and the round's scalars (best meeting, smallest
-    live label) come from one scan of the stored state."""
+    live label) come from one scan of the stored state.  A long search starts
+    again on the contracted graph, with the best meeting found so far."""
     store = RoundStore(spark, "sssp1")
-    state = store.put(_seed_both(sources, targets))
+    state, n = store.put(_seed_both(sources, targets), "s0"), 0
     best = None
     while True:
         row = state.agg(F.min(F.col("dl") + F.col("dr")).alias("best"),
@@ -120,7 +171,14 @@ def _distance(spark: SparkSession, e: DataFrame, sources: DataFrame, targets: Da
         bound = None if best is None else best / 2 + _tol(best)
         if row["live"] is None or (bound is not None and row["live"] > bound):
             return best
-        state = store.put(_relax_both(state, e, bound))
+        n += 1
+        if n == _LONG_SEARCH:
+            ends = state.where((F.col("dl") == 0) | (F.col("dr") == 0))  # sources and targets, and what lies at no distance from them
+            e = contracted(spark, e, ends.select("node"))
+            state = store.put(_seed_both(sources, targets), f"s{n}")
+        else:
+            state = store.put(_relax_both(state, e, bound), f"s{n}")
+        store.drop(f"s{n - 1}")
 
 
 def shortest_pairs(spark: SparkSession, edges: DataFrame, sources: DataFrame, targets: DataFrame,
